@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, near_dedup, sql
+from . import decontaminate, mixing, near_dedup, quality, sharding, sql
 from .common import table
 
 
@@ -14,13 +14,31 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), k=4, threshold_percent=80)
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_digest(table(spark, sf_dir, "documents"), shards=40)
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents"))
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_near_dedup": op1_near_dedup, "op10_decontaminate": op10_decontaminate}
+    found = [op1_near_dedup, op2_mixing, op3_sharding, op4_quality, op10_decontaminate]
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_near_dedup": sql.near_dedup(4), "op10_decontaminate": sql.decontaminate()}
+    return {
+        "op1_near_dedup": sql.near_dedup(4),
+        "op2_mixing": sql.mixing(mixing.POWER, mixing.ROUNDS, mixing.FIXES, mixing.BUDGET, mixing.SEED),
+        "op4_quality": sql.quality(quality.FLOORS, quality.SCALE, quality.MIN_GROUP),
+        "op10_decontaminate": sql.decontaminate(),
+    }

@@ -53,3 +53,95 @@ items AS (
 SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
   sha256(coalesce(l, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)"""
+
+
+def _bucket(v: str) -> str:
+    wide = f"greatest(length(bin({v})) - 6, 0)"
+    return f"(32 * {wide} + ({v} >> {wide}))"
+
+
+def _top(b: str) -> str:
+    wide = f"greatest(({b} - 32) // 32, 0)::INT"
+    return f"((({b} - 32 * {wide} + 1)::BIGINT << {wide}) - 1)"
+
+
+def quality(floors: dict[str, int], scale: int, min_group: int, documents: str = "documents") -> str:
+    """The counts, base rules and adaptive verdict of the quality rules."""
+    names = list(floors)
+    level = lambda name, by: f"""
+q_{name} AS (
+  SELECT {by}rate, docs, {_top("q1")} AS q1, {_top("q3")} AS q3 FROM (
+    SELECT {by}rate, max(total) AS docs, min(bucket) FILTER (100 * below >= 25 * total) AS q1, min(bucket) FILTER (100 * below >= 75 * total) AS q3
+    FROM (SELECT *, sum(n) OVER (PARTITION BY {by}rate) AS total, sum(n) OVER (PARTITION BY {by}rate ORDER BY bucket) AS below
+      FROM (SELECT {by}rate, bucket, count(*) AS n FROM cells GROUP BY ALL)) GROUP BY {by}rate)
+), f_{name} AS (
+  SELECT {by}max(docs) AS docs, {", ".join(f"max(greatest(q3 + 3 * (q3 - q1), {floors[x]})) FILTER (rate = '{x}') AS most_{x}" for x in names)}
+  FROM q_{name} {"GROUP BY " + by.rstrip(", ") if by else ""}
+)"""
+    chosen = ", ".join(f"CASE WHEN o.docs >= {min_group} THEN o.most_{x} WHEN l.docs >= {min_group} THEN l.most_{x} ELSE a.most_{x} END AS most_{x}" for x in names)
+    white = "chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' '"
+    return f"""
+WITH t AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, coalesce('=' || lang, '') AS lang_key, coalesce('=' || source, '') AS source_key FROM {documents}
+), w AS (
+  SELECT r, doc_id, lang_key, source_key, text, regexp_extract_all(text, '{WORD}') AS w,
+    list_filter(string_split(text, chr(10)), lambda x: length(translate(x, {white}, '')) > 0) AS lines FROM t
+), g AS (
+  SELECT r, unnest(range(1, len(w) - 1)) AS i, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i:i + 2])) AS g FROM w WHERE len(w) > 2
+), twice AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS c FROM g) WHERE c > 1),
+rep AS (SELECT r, count(DISTINCT p) AS c FROM (SELECT r, unnest([i, i + 1, i + 2]) AS p FROM twice) GROUP BY r),
+counted AS (
+  SELECT doc_id, lang_key, source_key, len(w)::BIGINT AS n_words, length(translate(text, {white}, ''))::BIGINT AS word_chars,
+    (length(text) - length(translate(text, '#*$%&|<>', '')))::BIGINT AS n_symbols, len(lines)::BIGINT AS n_lines,
+    (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(rep.c, 0)::BIGINT AS n_repeat_words
+  FROM w LEFT JOIN rep USING (r)
+), rated AS (
+  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, {scale} * n_symbols // greatest(word_chars, 1) AS symbols,
+    {scale} * n_dup_lines // greatest(n_lines, 1) AS dup_lines, {scale} * n_repeat_words // greatest(n_words, 1) AS repeat_words FROM counted
+), cells AS (
+  {" UNION ALL ".join(f"SELECT lang_key, source_key, '{x}' AS rate, {_bucket(x)} AS bucket FROM rated WHERE NOT base_failed" for x in names)}
+),{level("own", "lang_key, source_key, ")},{level("lang", "lang_key, ")},{level("all", "")},
+cut AS (SELECT o.lang_key, o.source_key, {chosen} FROM f_own AS o JOIN f_lang AS l USING (lang_key) CROSS JOIN f_all AS a)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND coalesce({" AND ".join(f"{x} <= most_{x}" for x in names)}, false) AS kept
+FROM rated LEFT JOIN cut USING (lang_key, source_key)"""
+
+
+def mixing(power: dict[str, float], rounds: int, fixes: int, budget: float, seed: str, documents: str = "documents") -> str:
+    """Raking, calibration and the sample of the mixing operator."""
+    margins = list(power)
+    ctes, last = [], "w0"
+    for x in margins:
+        ctes.append(f"g_{x} AS (SELECT {x}, g / sum(g) OVER () AS goal FROM (SELECT {x}, pow(sum(tokens)::DOUBLE, {power[x]}) AS g FROM cells GROUP BY {x}))")
+    for i in range(rounds):
+        for x in margins:
+            name = f"w{i + 1}_{x}"
+            ctes.append(
+                f"{name} AS MATERIALIZED (SELECT w.source, w.lang, w.topic, w.tokens, w.weight * CASE WHEN n.now > 0 THEN goal / n.now ELSE 0 END AS weight FROM {last} AS w "
+                f"JOIN (SELECT {x}, sum(weight) AS now FROM {last} GROUP BY {x}) AS n ON n.{x} = w.{x} JOIN g_{x} ON g_{x}.{x} = w.{x})"
+            )
+            last = name
+    ctes.append(f"r AS (SELECT *, CASE WHEN tokens > 0 THEN weight / tokens END AS ratio FROM {last})")
+    ctes.append(f"s0 AS (SELECT sum(tokens)::DOUBLE * {budget} AS s, sum(tokens)::DOUBLE * {budget} AS aim FROM r)")
+    for i in range(fixes):
+        ctes.append(
+            f"s{i + 1} AS (SELECT CASE WHEN coalesce(sum(weight) FILTER (NOT ratio * s >= 1), 0) = 0 THEN max(s) ELSE "
+            f"greatest(0, max(aim) - coalesce(sum(tokens) FILTER (ratio * s >= 1), 0)) / sum(weight) FILTER (NOT ratio * s >= 1) END AS s, max(aim) AS aim FROM r, s{i})"
+        )
+    key = lambda x: f"coalesce('=' || {x}, '')"
+    plain = lambda x: f"CASE WHEN d.{x} <> '' THEN d.{x}[2:] END AS {x}"
+    return f"""
+WITH t AS (
+  SELECT doc_id, {key("source")} AS source, {key("lang")} AS lang, coalesce(text, '') AS text,
+    len(regexp_extract_all(coalesce(text, ''), '{WORD}'))::BIGINT AS n_tokens FROM {documents}
+), d AS (
+  SELECT doc_id, source, lang, n_tokens, ('0x' || md5('{seed}:' || coalesce(doc_id::VARCHAR, '') || ':' || text)[1:12])::BIGINT AS draw,
+    '=' || CASE WHEN 4 * (length(text) - length(translate(text, '|', ''))) > n_tokens THEN 'table'
+      WHEN 2 * (length(text) - length(translate(text, '#*$%&<>', ''))) > n_tokens THEN 'markup'
+      WHEN n_tokens < 100 THEN 'short' WHEN n_tokens < 1000 THEN 'prose' ELSE 'long' END AS topic FROM t
+), cells AS (SELECT source, lang, topic, sum(n_tokens) AS tokens FROM d GROUP BY ALL),
+w0 AS (SELECT *, tokens::DOUBLE AS weight FROM cells), {", ".join(ctes)},
+p AS (SELECT source, lang, topic, ratio, least(1, coalesce(ratio * s, 1)) AS prob FROM r, s{fixes})
+SELECT d.doc_id, {plain("source")}, {plain("lang")}, {plain("topic")}, d.n_tokens,
+  round(coalesce(ratio, 0) * (SELECT sum(n_tokens) FROM d)::DOUBLE, 6) AS weight, round(prob, 6) AS prob, draw < prob * 281474976710656.0::DOUBLE AS kept
+FROM d JOIN p USING (source, lang, topic)"""
