@@ -28,7 +28,7 @@ MAX_REPEAT_PERCENT = 50
 MIN_GROUP = 30
 SCALE = 100_000  # rates are parts of so many
 #: Rates and their floors, in parts of SCALE.
-FLOORS = {"symbols": 6_000, "dup_lines": 30_000, "repeat_words": 30_000}
+FLOORS = {"symbols": 6_000, "dup_lines": 50_000, "repeat_words": 30_000}
 WHITE = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
