@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, mixing, near_dedup, quality, sharding, sql
+from . import decontaminate, langid, lm_score, mixing, near_dedup, quality, sharding, sql
 from .common import table
 
 
@@ -26,12 +26,20 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
 
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
+def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score(table(spark, sf_dir, "documents"), lm_score.good_documents(table(spark, sf_dir, "labels")))
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_near_dedup, op2_mixing, op3_sharding, op4_quality, op10_decontaminate]
+    found = [op1_near_dedup, op2_mixing, op3_sharding, op4_quality, op5_language, op9_lm_score, op10_decontaminate]
     return {f.__name__: f for f in found}
 
 
