@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, langid, lm_score, mixing, near_dedup, quality, sharding, sql
+from . import decontaminate, langid, line_dedup, lm_score, mixing, near_dedup, packing, quality, sharding, sql, url_filter
 from .common import table
 
 
@@ -30,6 +30,19 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return url_filter.filter_urls(pages, url_filter.labels_by_path(pages, table(spark, sf_dir, "labels")))
+
+
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.find_repeats(table(spark, sf_dir, "documents"))
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.digest(packing.pack(table(spark, sf_dir, "documents")))
+
+
 def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.score(table(spark, sf_dir, "documents"), lm_score.good_documents(table(spark, sf_dir, "labels")))
 
@@ -39,7 +52,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_near_dedup, op2_mixing, op3_sharding, op4_quality, op5_language, op9_lm_score, op10_decontaminate]
+    found = [op1_near_dedup, op2_mixing, op3_sharding, op4_quality, op5_language, op6_url_filter, op7_line_dedup, op8_packing, op9_lm_score, op10_decontaminate]
     return {f.__name__: f for f in found}
 
 
