@@ -73,8 +73,8 @@ def rake(cells: DataFrame, rounds: int = ROUNDS, power: dict[str, float] | None
         for x in MARGINS:
             now = w.groupBy(x).agg(F.sum("weight").alias("now")).join(goals[x], x)
             factor = F.when(F.col("now") > 0, F.col("goal") / F.col("now")).otherwise(0.0)
-            w = w.join(now.select(x, factor.alias("factor")), x).withColumn("weight", F.col("weight") * F.col("factor")).drop("factor")
-        w = written(w, "raked")
+            # Written at each step: the table is used twice, so an unwritten plan would double with each margin.
+            w = written(w.join(now.select(x, factor.alias("factor")), x).withColumn("weight", F.col("weight") * F.col("factor")).drop("factor"), "raked")
     return w
 
 

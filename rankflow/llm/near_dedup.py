@@ -9,8 +9,8 @@
     nearest (deepest) neighbours within ``WINDOW`` places count, so that depth
     adapts to how dense a region is.
 3.  Candidates with too low an estimate (four standard deviations under the
-    threshold) go.  In dense regions each class also meets the hubs (classes
-    with most similar neighbours) next to it, so that no member of a large
+    threshold) go.  In dense regions each class also meets the region's hubs
+    (the classes nearest to its modal signature), so that no member of a large
     group hangs on chance neighbours alone.
 4.  Links are confirmed on full shingle sets, in blocks of a bounded number of
     classes; within a block, pairs already joined need no further look.
@@ -32,17 +32,19 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, map_arrow, small, words_of, written
+from .common import components, map_arrow, small, written
 from .tokens import NON_SPACE, hash_words, shingles, text_runs
 
 SIGNATURE = 128  # MinHash values of 16 bits
 TREES = 16
 DEPTH = 12
 MIN_DEPTH = 3
-WINDOW = 8
+WINDOW = 4
+DENSE = 16  # classes of one label, from which on hubs are used
+HUBS = 8
 BLOCK = 1500  # classes whose sets meet in one block
 BUCKET_BYTES = 24_000_000  # sets that a task holds at once, on average
 
@@ -133,43 +135,69 @@ def _scored(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame
     return map_arrow(both.select("a", "b", "sa", "sb"), _estimates(least), "a long, b long, score float")
 
 
-def _with_hubs(scored: DataFrame) -> DataFrame:
-    """Further pairs in dense regions: each class with the hubs that its neighbours lead to."""
-    both = scored.select("a", "b").unionByName(scored.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    degree = both.groupBy("a").agg(F.count("*").alias("d"))
-    dense = both.join(degree.select(F.col("a").alias("b"), "d"), "b").filter(F.col("d") > WINDOW)
-    hub = dense.groupBy("a").agg(F.max(F.struct("d", "b"))["b"].alias("h"))
-    hub = written(hub, "hub")
+def _labels(scored: DataFrame) -> DataFrame:
+    """(a, l): near classes share labels, after a few rounds of taking the least label around."""
+    both = written(scored.select("a", "b").unionByName(scored.select(F.col("b").alias("a"), F.col("a").alias("b"))), "pairs")
+    label = both.groupBy("a").agg(F.least(F.min("a"), F.min("b")).alias("l"))
     for _ in range(2):
-        step = hub.select(F.col("a").alias("h"), F.col("h").alias("next"))
-        hub = hub.join(step, "h", "left").select("a", F.coalesce("next", "h").alias("h"))
-    hub = written(hub, "hub")
-    far = both.join(hub.select(F.col("a").alias("b"), "h"), "b").filter("a <> h")
+        near = both.join(label.select(F.col("a").alias("b"), "l"), "b").groupBy("a").agg(F.min("l").alias("m"))
+        label = label.join(near, "a").select("a", F.least("l", "m").alias("l"))
+    return written(label, "label")
+
+
+def _votes(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """How often each value occurs at each place of the signatures of a label."""
+    place = np.arange(SIGNATURE, dtype=np.int64)
+    label, values = batch.column(0).to_numpy(), np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype="<u2").reshape(-1, SIGNATURE).astype(np.int64)
+    names, which = np.unique(label, return_inverse=True)
+    found, n = np.unique((which[:, None] * SIGNATURE + place[None, :]) * 65536 + values, return_counts=True)
+    yield pa.record_batch([pa.array(names[found // 65536 // SIGNATURE]), pa.array(found // 65536 % SIGNATURE), pa.array(found % 65536), pa.array(n)], ["l", "place", "value", "n"])
+
+
+def _agreement(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    values = np.frombuffer(b"".join(batch.column(3).to_pylist()), dtype="<u2").reshape(-1, SIGNATURE)
+    modal = np.stack(batch.column(4).to_numpy(zero_copy_only=False))
+    yield pa.record_batch([*batch.columns[:3], pa.array((values == modal).sum(axis=1))], ["a", "l", "m", "agree"])
+
+
+def _with_hubs(label: DataFrame, classes: DataFrame) -> DataFrame:
+    """Pairs of each class of a dense label with the label's hubs: those nearest to its modal signature."""
+    size = label.groupBy("l").agg(F.count("*").alias("m")).filter(F.col("m") > DENSE)
+    sig = classes.select(F.col("id").alias("a"), "sig")
+    dense = written(label.join(size, "l").join(sig, "a").select("a", "l", "m", "sig"), "dense")
+    votes = map_arrow(dense.select("l", "sig"), _votes, "l long, place long, value long, n long").groupBy("l", "place", "value").agg(F.sum("n").alias("n"))
+    modes = votes.groupBy("l", "place").agg(F.max(F.struct("n", "value"))["value"].alias("value"))
+    modal = modes.groupBy("l").agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "value"))), lambda x: x["value"]).alias("modal"))
+    rated = map_arrow(dense.join(modal, "l").select("a", "l", "m", "sig", "modal"), _agreement, "a long, l long, m long, agree long")
+    part = rated.withColumn("part", F.pmod(F.xxhash64("a"), F.ceil(F.col("m") / BLOCK)))
+    for by in (["l", "part"], ["l"]):  # the best of each part, then of the label
+        part = part.withColumn("r", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("agree"), "a"))).filter(F.col("r") <= HUBS)
+    hubs = part.select("l", F.col("a").alias("h"))
+    far = dense.select("a", "l").join(hubs, "l").filter("a <> h")
     return far.select(F.least("a", "h").alias("a"), F.greatest("a", "h").alias("b")).distinct()
 
 
-def _blocks(pairs: DataFrame) -> DataFrame:
-    """A block for each pair: near classes share labels; a label with many classes is cut into a grid."""
-    both = written(pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))), "pairs")
-    label = both.groupBy("a").agg(F.least(F.min("a"), F.min("b")).alias("l"))
-    for _ in range(2):
-        near = both.join(label.select(F.col("a").alias("b"), "l"), "b").groupBy("a").agg(F.min("l").alias("m"))
-        label = written(label.join(near, "a").select("a", F.least("l", "m").alias("l")), "label")
+def _blocks(pairs: DataFrame, label: DataFrame) -> DataFrame:
+    """A block for each pair: that of its label; a label with many classes is cut into a grid."""
     size = label.groupBy("l").agg(F.count("*").alias("m")).filter(F.col("m") > BLOCK).select("l", F.ceil(F.col("m") / BLOCK).alias("g"))
     label = label.join(size, "l", "left").select("a", "l", F.coalesce("g", F.lit(1)).alias("g"))
-    part = lambda x, g: F.pmod(F.xxhash64(x), F.greatest("ga", "gb")) if g else None
     at = pairs.join(label.select("a", F.col("l").alias("la"), F.col("g").alias("ga")), "a")
     at = at.join(label.select(F.col("a").alias("b"), F.col("l").alias("lb"), F.col("g").alias("gb")), "b")
-    pa_, pb_ = part("a", True), part("b", True)
-    return at.select("a", "b", "score", F.xxhash64(F.least("la", "lb"), F.least(pa_, pb_), F.greatest(pa_, pb_)).alias("block"))
+    x, y = (F.pmod(F.xxhash64(c), F.greatest("ga", "gb")) for c in ("a", "b"))
+    return at.select("a", "b", "score", F.xxhash64(F.least("la", "lb"), F.least(x, y), F.greatest(x, y)).alias("block"))
 
 
 def _confirm(threshold_percent: int):
-    """Rows of a bucket: sets first, then pairs by falling estimate; yields the pairs that join something new."""
+    """Rows of a bucket: sets first, then pairs by falling estimate; yields each class with the least one it is joined to."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket, sets, parent = None, {}, {}
 
+        def joined() -> pa.RecordBatch:
+            found = [(x, root(x)) for x in parent]
+            found = [x for x in found if x[0] != x[1]]
+            return pa.record_batch([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+
         def root(x: int) -> int:
             while parent.setdefault(x, x) != x:
                 parent[x] = parent[parent[x]]
@@ -177,10 +205,11 @@ def _confirm(threshold_percent: int):
             return x
 
         for batch in batches:
-            out_a, out_b = [], []
             for at, a, b, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(4).to_pylist(), strict=True):
                 if at != bucket:
-                    bucket, sets, parent = at, {}, {}
+                    yield joined()
+                    bucket, sets = at, {}
+                    parent.clear()
                 if data is not None:
                     sets[a] = np.frombuffer(data, dtype="<u8")
                     continue
@@ -193,17 +222,16 @@ def _confirm(threshold_percent: int):
                 place[place == len(y)] = 0
                 common = int(np.count_nonzero(y[place] == x))
                 if 100 * common >= threshold_percent * (len(x) + len(y) - common):
-                    parent[root(a)] = root(b)
-                    out_a.append(a)
-                    out_b.append(b)
-            yield pa.record_batch([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], ["a", "b"])
+                    low, high = sorted((root(a), root(b)))
+                    parent[high] = low
+        yield joined()
 
     return run
 
 
-def _links(docs: DataFrame, classes: DataFrame, scored: DataFrame, k: int, threshold_percent: int) -> DataFrame:
+def _links(docs: DataFrame, classes: DataFrame, scored: DataFrame, label: DataFrame, k: int, threshold_percent: int) -> DataFrame:
     """Confirmed links that span the components of the candidates' graph."""
-    blocked = written(_blocks(scored), "blocks")
+    blocked = written(_blocks(scored, label), "blocks")
     wanted = blocked.select("a").unionByName(blocked.select(F.col("b").alias("a"))).distinct()
     chosen = written(classes.join(wanted, classes["id"] == wanted["a"], "left_semi").select("id", "key", "doc_id", "n"), "chosen")
     about = chosen.agg(F.count("*").alias("c"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
@@ -235,9 +263,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold_percent: int = 80, do
     near = written(order.mapInArrow(_neighbours, "a long, b long").distinct(), "near")
     threshold = threshold_percent / 100
     scored = written(_scored(near, classes, threshold), "scored")
-    extra = _scored(_with_hubs(scored).join(scored, ["a", "b"], "left_anti"), classes, threshold)
+    label = _labels(scored)
+    extra = _scored(_with_hubs(label, classes).join(scored, ["a", "b"], "left_anti"), classes, threshold)
     scored = written(scored.unionByName(extra), "scored")
-    label = components(written(_links(docs, classes, scored, k, threshold_percent), "links"))
+    label = components(written(_links(docs, classes, scored, label, k, threshold_percent), "links"))
     of_class = classes.select("id", "key", "doc_id").join(label, classes["id"] == label["node"], "left").select("key", "doc_id", F.coalesce("label", "id").alias("label"))
     least = of_class.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     found = written(of_class.join(least, "label").select("key", "component_id"), "found")
@@ -262,6 +291,3 @@ def keep_one(docs: DataFrame, k: int = 5, threshold_percent: int = 80) -> DataFr
     named = kept.filter("doc_id is not null").dropDuplicates(["doc_id"])
     return named.unionByName(kept.filter("doc_id is null"))
 
-
-__all__ = ["keep_one", "near_duplicates", "signature", "words_of"]
-_ = Column
