@@ -117,7 +117,7 @@ def filter_urls(pages: DataFrame, labels: DataFrame, rules=RULES) -> DataFrame:
     of_page = labels.filter("page_id is not null and bad is not null").groupBy("page_id").agg(F.sum(F.when(F.col("bad"), 1).otherwise(0)).alias("bad"), F.sum(F.when(F.col("bad"), 0).otherwise(1)).alias("good"))
     counted = split.join(of_page, "page_id", "left").select("host", "shape", *[F.coalesce(x, F.lit(0)).alias(x) for x in ("good", "bad")])
     templates = build_templates(counted)
-    both = split.join(small(templates), ["host", "shape"], "left")
+    both = split.join(small(templates, most=100_000), ["host", "shape"], "left")
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     own = F.when(F.col("purity") >= REJECT, F.lit("block")).otherwise(F.lit("allow"))
     return both.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, own).alias("verdict"), "template", F.round("purity", 6).alias("purity"))
