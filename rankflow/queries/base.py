@@ -23,13 +23,13 @@ def add(name: str, query: Callable[[SparkSession, str], DataFrame], sql: str | N
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Doubles to six digits: engines add them up in different orders.  -0.0 becomes 0.0."""
-    return df.select(*[(F.round(x, digits) + F.lit(0.0)).alias(x) if kind == "double" else F.col(x) for x, kind in df.dtypes])
+    """Doubles to six digits: engines add them up in different orders.  A tiny shift settles ties; -0.0 becomes 0.0."""
+    return df.select(*[(F.round(F.col(x) + F.lit(1e-10), digits) + F.lit(0.0)).alias(x) if kind == "double" else F.col(x) for x, kind in df.dtypes])
 
 
 def six(x: str) -> str:
     """The SQL of ``rounded``."""
-    return f"round(({x})::DOUBLE, 6) + 0.0::DOUBLE"
+    return f"round(({x})::DOUBLE + 1e-10::DOUBLE, 6) + 0.0::DOUBLE"
 
 
 def player_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,7 +104,7 @@ for _name, _test in (("short", "duration <= 900"), ("long", "duration > 1800")):
 EXT_SQL["civ_avg_dur"] = six(f"avg(duration) {over('profile_id, civ', BEFORE)}")
 
 #: Full-precision forms, for further SQL to build on.
-RAW_EXT_SQL = {k: v.replace("round((", "((").replace(")::DOUBLE, 6) + 0.0::DOUBLE", ")::DOUBLE)") for k, v in EXT_SQL.items()}
+RAW_EXT_SQL = {k: v.replace("round((", "((").replace(")::DOUBLE + 1e-10::DOUBLE, 6) + 0.0::DOUBLE", ")::DOUBLE)") for k, v in EXT_SQL.items()}
 
 
 def listed(columns: dict[str, str]) -> str:
