@@ -136,13 +136,8 @@ def _scored(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame
 
 
 def _labels(scored: DataFrame) -> DataFrame:
-    """(a, l): near classes share labels, after a few rounds of taking the least label around."""
-    both = written(scored.select("a", "b").unionByName(scored.select(F.col("b").alias("a"), F.col("a").alias("b"))), "pairs")
-    label = both.groupBy("a").agg(F.least(F.min("a"), F.min("b")).alias("l"))
-    for _ in range(2):
-        near = both.join(label.select(F.col("a").alias("b"), "l"), "b").groupBy("a").agg(F.min("l").alias("m"))
-        label = label.join(near, "a").select("a", F.least("l", "m").alias("l"))
-    return written(label, "label")
+    """(a, l): candidates that hang together share a label."""
+    return written(components(scored.select("a", "b")).select(F.col("node").alias("a"), F.col("label").alias("l")), "label")
 
 
 def _votes(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
