@@ -32,15 +32,30 @@ from .tokens import NON_SPACE, Words, hash_words, text_runs
 
 VOCABULARY = 50_000
 BIGRAMS = 1_000_000
+KEYS_AT_ONCE = 500_000  # words or bigrams counted together in a task
 PRIOR = 0.5
 WEIGHT = 0.5  # of the bigram estimate, where the word before has bigrams
 
 
 def _word_counts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    yield from _counted(batch, lambda words: (words.hash, slice(None)))
+
+
+def _counted(batch: pa.RecordBatch, keys) -> Iterator[pa.RecordBatch]:
+    """Counts of the keys of a batch's texts; texts are hashed in small runs, their keys counted together."""
     target = batch.column(0).to_numpy(zero_copy_only=False)
-    for i, j, buf, starts in text_runs(batch.column(1), 16_000_000):
+    found, good, held = [], [], 0
+    for i, j, buf, starts in text_runs(batch.column(1)):
         words = hash_words(buf, starts, NON_SPACE)
-        yield _counts(words.hash, np.repeat(target[i:j], np.diff(words.first)))
+        key, at = keys(words)
+        found.append(key)
+        good.append(np.repeat(target[i:j], np.diff(words.first))[at])
+        held += len(key)
+        if held >= KEYS_AT_ONCE:
+            yield _counts(np.concatenate(found), np.concatenate(good))
+            found, good, held = [], [], 0
+    if held:
+        yield _counts(np.concatenate(found), np.concatenate(good))
 
 
 def _counts(key: np.ndarray, target: np.ndarray) -> pa.RecordBatch:
@@ -141,14 +156,13 @@ def fit(docs: DataFrame) -> Model:
     totals = counts.agg(F.coalesce(F.sum("good"), F.lit(0)).alias("good"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
     model = Model(_frequent(counts, VOCABULARY).toArrow(), (totals["good"], totals["n"]))
 
+    def known(words: Words) -> tuple[np.ndarray, np.ndarray]:
+        key, at = model.bigrams(words)
+        both = (key // model.size > 0) & (key % model.size > 0)
+        return key[both], at[both]
+
     def pairs(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        target = batch.column(0).to_numpy(zero_copy_only=False)
-        for i, j, buf, starts in text_runs(batch.column(1), 16_000_000):
-            words = hash_words(buf, starts, NON_SPACE)
-            key, at = model.bigrams(words)
-            both = (key // model.size > 0) & (key % model.size > 0)
-            good = np.repeat(target[i:j], np.diff(words.first))[at]
-            yield _counts(key[both], good[both])
+        yield from _counted(batch, known)
 
     counts = written(map_arrow(docs, pairs, COUNTS).groupBy("key").agg(F.sum("n").alias("n"), F.sum("good").alias("good")), "bigrams")
     model.add_bigrams(_frequent(counts, BIGRAMS).toArrow())
