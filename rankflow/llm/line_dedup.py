@@ -1,15 +1,25 @@
-"""Removal of repeated passages by content-defined chunks of lines.
-
-A text's lines are hashed.  A rolling hash over the hashes of the last
-``SPAN`` lines (blank ones left out) ends a chunk where its value is divisible
-by ``EVERY``; a line of ``LONG`` words or more is set off as a chunk of its
-own.  Boundaries thus depend on the text around them alone and shift with it.
-A chunk counts as a passage if it has two lines that aren't blank, or ``LONG``
-words.  Passages that occur more than once among all documents are removed but
-for the first (least doc_id, then row, then place), after comparing their bytes
-with the first one's.
-
-Chunks of a hot passage are joined to one first copy each, never to one
+"""Removal of repeated passages of lines.
+
+Two kinds of spans of a text's lines are compared; both depend on the text in
+them and next to them alone and shift with it.
+
+1.  Windows: from each line that isn't blank, the fewest lines on that reach
+    ``LONG`` words, and to each such line the fewest lines back.  A repeated
+    run of lines of ``LONG`` words or more is the union of its windows, all of
+    which occur in each of its copies, so that it is found whole whatever
+    surrounds it.
+2.  Content-defined chunks: a rolling hash over the hashes of the last ``SPAN``
+    lines (blank ones left out) ends a chunk where its value is divisible by
+    ``EVERY``; a line of ``LONG`` words or more is a chunk of its own.  A chunk
+    with two lines that aren't blank counts, however few its words.
+
+Spans are equal if the 128-bit BLAKE2b digests of their bytes are.  Those that
+occur more than once among all documents are removed but for the first (least
+doc_id, then row, then place).  A span that overlaps its first copy in the same
+text stays.  Each removed line has an equal one in an earlier place, so some
+copy of every line is kept.
+
+Spans of a hot passage are joined to one first copy each, never to one
 another; their counts are partial sums.
 
 Null texts count as empty: no line, nothing removed.  Documents without doc_id
@@ -19,6 +29,7 @@ Extra columns stay untouched.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,7 +46,8 @@ EVERY = 3
 LONG = 50
 _LINE = np.ones(256, dtype=bool)
 _LINE[0x0A] = False
-CHUNKS = "row long, doc_id long, chunk int, line int, lines int, words long, full int, key binary, data binary"
+SPANS = "row long, doc_id long, line int, lines int, k1 long, k2 long"
+FIGURES = ["n_lines", "n_chunks", "removed_chunks", "removed_lines", "removed_words"]
 
 
 def _chunk_ends(hashes: np.ndarray, words: np.ndarray) -> np.ndarray:
@@ -57,12 +69,9 @@ def _chunk_ends(hashes: np.ndarray, words: np.ndarray) -> np.ndarray:
     return ends
 
 
-def _chunks(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    names = ("row", "doc_id", "chunk", "line", "lines", "words", "full", "key", "data")
-    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
-    row, doc = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-    for i, j, buf, starts in text_runs(batch.column(2)):
-        out: list[tuple] = []
+def _texts(batch: pa.RecordBatch) -> Iterator[tuple[int, bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each text that isn't empty its place in the batch, bytes, begin, end and words of each line, and last line of each chunk."""
+    for i, j, buf, starts in text_runs(batch.column(batch.num_columns - 1)):
         spaced = hash_words(buf, starts, NON_SPACE, lower=False)
         breaks = np.flatnonzero(buf == 0x0A)
         data = buf.tobytes()
@@ -73,36 +82,88 @@ def _chunks(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             inner = breaks[np.searchsorted(breaks, a) : np.searchsorted(breaks, b)]
             begin = np.concatenate([[a], inner + 1])
             end = np.concatenate([inner, [b]])
-            first = np.searchsorted(spaced.start, begin)
-            words = np.searchsorted(spaced.start, end) - first
+            words = np.searchsorted(spaced.start, end) - np.searchsorted(spaced.start, begin)
             hashes = np.fromiter((xxhash.xxh3_64_intdigest(data[x:y]) for x, y in zip(begin.tolist(), end.tolist(), strict=True)), dtype=np.uint64, count=len(begin))
-            last = np.flatnonzero(_chunk_ends(hashes, words))
-            line = 0
-            for k, stop in enumerate(last.tolist()):
-                own = data[begin[line] : end[stop]]
-                out.append((row[i + d], doc[i + d], k, line, stop + 1 - line, int(words[line : stop + 1].sum()), int((words[line : stop + 1] > 0).sum()), xxhash.xxh3_128_digest(own), own))
-                line = stop + 1
-        if out:
-            yield pa.record_batch([pa.array(x, kind) for x, kind in zip(zip(*out, strict=True), kinds, strict=True)], names)
-
-
-def chunk_lines(docs: DataFrame) -> DataFrame:
-    """The written table of all chunks of ``docs`` (row, doc_id, text)."""
-    return written(map_arrow(docs.select("row", F.col("doc_id").cast("long"), "text"), _chunks, CHUNKS), "chunks")
-
-
-def repeated_chunks(chunks: DataFrame) -> DataFrame:
-    """(row, chunk) of the passages to remove: those whose bytes equal an earlier one's."""
-    passages = chunks.filter((F.col("full") >= 2) | (F.col("words") >= LONG))
-    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "chunk")
-    counted = passages.groupBy("key").agg(F.count("*").alias("n"), F.min(place).alias("first"))
-    repeated = written(counted.filter("n > 1").select("key", F.col("first.row").alias("first_row"), F.col("first.chunk").alias("first_chunk")), "repeated")
-    rows = repeated.count()
-    first = passages.join(small(repeated, rows, 100_000), "key").filter("row = first_row and chunk = first_chunk")
-    first = written(first.select("key", "first_row", "first_chunk", F.col("data").alias("first_data")), "first")
-    both = passages.select("key", "row", "chunk", "data").join(first, "key")
-    later = ~((F.col("row") == F.col("first_row")) & (F.col("chunk") == F.col("first_chunk")))
-    return both.filter(later & (F.col("data") == F.col("first_data"))).select("row", "chunk")
+            yield i + d, data, begin, end, words, np.flatnonzero(_chunk_ends(hashes, words))
+
+
+def _windows(words: np.ndarray) -> np.ndarray:
+    """(first, last) line of the shortest spans of LONG words from each line that isn't blank, and to each one."""
+    total = np.concatenate([[0], np.cumsum(words)])
+    full = np.flatnonzero(words > 0)
+    last = np.searchsorted(total, total[full] + LONG) - 1
+    first = np.searchsorted(total, total[full + 1] - LONG, side="right") - 1
+    on, back = last < len(words), total[full + 1] >= LONG
+    return np.concatenate([np.stack([full[on], last[on]], axis=1), np.stack([first[back], full[back]], axis=1)])
+
+
+def _spans(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    row, doc = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+    rows, docs, lines, keys = [], [], [], []
+
+    def made() -> pa.RecordBatch:
+        line, key = np.concatenate(lines), np.frombuffer(b"".join(keys), dtype="<i8").reshape(-1, 2)
+        columns = [pa.array(rows, pa.int64()), pa.array(docs, pa.int64()), pa.array(line[:, 0].astype(np.int32)), pa.array((line[:, 1] - line[:, 0] + 1).astype(np.int32)), pa.array(key[:, 0].copy()), pa.array(key[:, 1].copy())]
+        return pa.record_batch(columns, ["row", "doc_id", "line", "lines", "k1", "k2"])
+
+    for d, data, begin, end, words, last in _texts(batch):
+        first = np.concatenate([[0], last[:-1] + 1])
+        full = np.concatenate([[0], np.cumsum(words > 0)])
+        several = full[last + 1] - full[first] >= 2
+        found = np.unique(np.concatenate([np.stack([first, last], axis=1)[several], _windows(words)]), axis=0)
+        if not len(found):
+            continue
+        lines.append(found)
+        rows += [row[d]] * len(found)
+        docs += [doc[d]] * len(found)
+        keys += [hashlib.blake2b(data[x:y], digest_size=16).digest() for x, y in zip(begin[found[:, 0]].tolist(), end[found[:, 1]].tolist(), strict=True)]
+        if len(rows) >= 100_000:
+            yield made()
+            rows, docs, lines, keys = [], [], [], []
+    if rows:
+        yield made()
+
+
+def repeated_lines(docs: DataFrame) -> DataFrame:
+    """(row, gone) from ``docs`` (row, doc_id, text): the spans (line, lines) to remove, for each row that has some."""
+    spans = written(map_arrow(docs.select("row", F.col("doc_id").cast("long"), "text"), _spans, SPANS), "spans")
+    repeated = written(spans.groupBy("k1", "k2").agg(F.count("*").alias("n")).filter("n > 1").select("k1", "k2"), "repeated")
+    copies = written(spans.join(small(repeated, most=100_000), ["k1", "k2"], "left_semi"), "copies")
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "line")
+    first = written(copies.groupBy("k1", "k2").agg(F.min(place).alias("first")).select("k1", "k2", F.col("first.row").alias("first_row"), F.col("first.line").alias("first_line")), "first")
+    both = copies.join(small(first, most=100_000), ["k1", "k2"])
+    later = (F.col("row") != F.col("first_row")) | (F.col("line") >= F.col("first_line") + F.col("lines"))
+    return written(both.filter(later).groupBy("row").agg(F.collect_set(F.struct("line", "lines")).alias("gone")), "gone")
+
+
+def _cover(gone: list[dict] | None, n: int) -> np.ndarray:
+    """For each of ``n`` lines whether a span of ``gone`` covers it."""
+    edge = np.zeros(n + 1, dtype=np.int64)
+    for x in gone or []:
+        edge[x["line"]] += 1
+        edge[x["line"] + x["lines"]] -= 1
+    return np.cumsum(edge[:-1]) > 0
+
+
+def _sums(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """row, doc_id, gone, text: the figures of each row."""
+    out = np.zeros((batch.num_rows, 5), dtype=np.int64)
+    gone = batch.column(2).to_pylist()
+    for d, _, _, _, words, last in _texts(batch):
+        cover = _cover(gone[d], len(words))
+        kept = np.concatenate([[0], np.cumsum(~cover)])
+        whole = kept[last + 1] == kept[np.concatenate([[0], last[:-1] + 1])]
+        out[d] = len(words), len(last), whole.sum(), cover.sum(), words[cover].sum()
+    yield pa.record_batch([batch.column(1), *[pa.array(out[:, k].copy()) for k in range(5)]], ["doc_id", *FIGURES])
+
+
+def _cleaned(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """row, gone, text: the text without the lines of ``gone``."""
+    gone, clean = batch.column(1).to_pylist(), [""] * batch.num_rows
+    for d, data, begin, end, words, _ in _texts(batch):
+        kept = np.flatnonzero(~_cover(gone[d], len(words)))
+        clean[d] = b"\n".join(data[x:y] for x, y in zip(begin[kept].tolist(), end[kept].tolist(), strict=True)).decode()
+    yield pa.record_batch([batch.column(0), pa.array(clean, pa.string())], ["row", "clean"])
 
 
 def _with_rows(docs: DataFrame) -> DataFrame:
@@ -111,28 +172,18 @@ def _with_rows(docs: DataFrame) -> DataFrame:
 
 
 def find_repeats(docs: DataFrame) -> DataFrame:
-    """doc_id, n_lines, n_chunks, removed_chunks, removed_lines, removed_words for each row of ``docs``."""
+    """doc_id, n_lines, n_chunks, removed_chunks (whole ones), removed_lines, removed_words for each row of ``docs``."""
     base = written(_with_rows(docs.select("doc_id", "text")), "rows")
-    chunks = chunk_lines(base)
-    gone = repeated_chunks(chunks).withColumn("gone", F.lit(True))
-    marked = chunks.select("row", "chunk", "lines", "words").join(gone, ["row", "chunk"], "left")
-    when = lambda x: F.sum(F.when(F.col("gone"), x).otherwise(0))
-    sums = marked.groupBy("row").agg(
-        F.sum("lines").alias("n_lines"), F.count("*").alias("n_chunks"), when(F.lit(1)).alias("removed_chunks"), when(F.col("lines")).alias("removed_lines"), when(F.col("words")).alias("removed_words")
-    )
-    out = base.select("row", "doc_id").join(sums, "row", "left")
-    return out.select("doc_id", *[F.coalesce(x, F.lit(0)).cast("long").alias(x) for x in ("n_lines", "n_chunks", "removed_chunks", "removed_lines", "removed_words")])
+    marked = base.join(repeated_lines(base).hint("merge"), "row", "left")
+    schema = ", ".join(["doc_id long", *[f"{x} long" for x in FIGURES]])
+    return map_arrow(marked.select("row", F.col("doc_id").cast("long"), "gone", "text"), _sums, schema)
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """``docs`` with later copies of repeated passages taken out of ``text``, all columns kept."""
     packed = written(_with_rows(docs.select(F.struct(*docs.columns).alias("doc"))), "rows")
-    chunks = chunk_lines(packed.select("row", F.col("doc.doc_id").alias("doc_id"), F.col("doc.text").alias("text")))
-    gone = repeated_chunks(chunks)
-    touched = gone.select("row").distinct()
-    kept = chunks.join(touched, "row", "left_semi").join(gone, ["row", "chunk"], "left_anti")
-    ordered = F.transform(F.sort_array(F.collect_list(F.struct("chunk", "data"))), lambda x: x["data"].cast("string"))
-    texts = kept.groupBy("row").agg(F.concat_ws("\n", ordered).alias("clean")).join(touched, "row", "right").select("row", F.coalesce("clean", F.lit("")).alias("clean"))
+    gone = repeated_lines(packed.select("row", F.col("doc.doc_id").alias("doc_id"), F.col("doc.text").alias("text")))
+    texts = map_arrow(packed.join(gone.hint("merge"), "row").select("row", "gone", F.col("doc.text").alias("text")), _cleaned, "row long, clean string")
     both = packed.join(texts, "row", "left")
     text = F.coalesce(F.col("clean"), F.col("doc.text")).alias("text")
     return both.select(*[text if x == "text" else F.col("doc").getField(x).alias(x) for x in docs.columns])

@@ -317,6 +317,25 @@ def test_line_dedup(spark, docs, rows, none):
     assert line_dedup.find_repeats(none).count() == 0 and line_dedup.remove_repeats(none).count() == 0
 
 
+def test_line_dedup_takes_whole_passages_of_few_lines(spark):
+    rng = random.Random(12)
+    line = lambda n: " ".join(rng.choice(WORDS) + str(rng.random())[2:8] for _ in range(n))
+    rows, want = [], {}
+    for k in range(40):
+        n = 2 + k % 5
+        passage = [line(60 // n) for _ in range(n)] + [line(3)]
+        for copy in range(2):
+            head, tail = [line(9) for _ in range(rng.randrange(4))], [line(9) for _ in range(rng.randrange(4))]
+            rows.append((2 * k + copy, "\n".join([*head, *passage, *tail]), None, None, 0))
+            want[2 * k + copy] = "\n".join([*head, *tail] if copy else [*head, *passage, *tail])
+    rows.append((1000, "\n".join(["x"] * 120), None, None, 0))
+    want[1000] = "\n".join(["x"] * 50)
+    df = spark.createDataFrame(rows, DOCS).repartition(3)
+    assert {r["doc_id"]: r["text"] for r in line_dedup.remove_repeats(df).collect()} == want
+    found = {r["doc_id"]: r["removed_words"] for r in line_dedup.find_repeats(df).collect()}
+    assert all(found[i] == len(t.split()) - len(want[i].split()) for i, t, *_ in rows)
+
+
 @pytest.mark.skipif(not __import__("os").path.exists(packing.VOCABULARY), reason="no vocabulary file")
 def test_packing_round_trip(spark, docs, rows, none):
     bpe = packing.encoding(packing.VOCABULARY)
