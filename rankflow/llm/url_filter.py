@@ -35,7 +35,6 @@ FANOUT = 20
 ALIKE = 2.0
 STRENGTH = 10.0
 REJECT = 0.5
-LEVELS = 6  # levels whose nodes are counted; deeper segments are generalised by their form alone
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -77,14 +76,14 @@ def _node(upto: int) -> Column:
 def build_templates(pages: DataFrame) -> DataFrame:
     """(host, shape, template, purity) from ``pages`` (host, shape, good, bad): counts by host and shape."""
     t = written(pages.groupBy("host", "shape").agg(F.count("*").alias("n"), F.sum("good").alias("good"), F.sum("bad").alias("bad")).withColumn("template", F.col("shape")), "shapes")
-    depth = min(LEVELS, t.agg(F.coalesce(F.max(F.size("shape")), F.lit(0)).alias("d")).first()["d"])
+    depth = t.agg(F.coalesce(F.max(F.size("shape")), F.lit(0)).alias("d")).first()["d"]
     wild = lambda level: F.transform("template", lambda x, k: F.when(k == level, F.lit("*")).otherwise(x))
     for level in range(1, depth):  # the segment before the first slash is empty
         child = F.get("template", F.lit(level))
         keyed = t.withColumns({"_node": _node(level), "_child": child})
         wide = keyed.filter("_child is not null").select("host", "_node", "_child").distinct().groupBy("host", "_node").agg(F.count("*").alias("_fan"))
         t = keyed.join(wide, ["host", "_node"], "left").withColumn("template", F.when(F.col("_fan") > FANOUT, wild(level)).otherwise(F.col("template"))).drop("_node", "_child", "_fan")
-    t = written(t, "grown")
+        t = written(t, "grown")  # each level is written, so that plans stay short whatever the depth
     for level in range(1, depth):
         rest = F.array_join(wild(level), "/")
         keyed = t.withColumns({"_rest": F.concat(F.size("template").cast("string"), F.lit(":"), rest), "_child": F.get("template", F.lit(level))})
@@ -96,7 +95,7 @@ def build_templates(pages: DataFrame) -> DataFrame:
         alike = (F.col("m") == 0) | (F.abs(F.col("b") / F.greatest(F.col("m"), F.lit(1)) - F.col("p")) <= ALIKE * error)
         merge = both.filter((F.col("c") > 1) & alike).select("host", "_rest", "_child", F.lit(True).alias("_merge"))
         t = keyed.join(merge, ["host", "_rest", "_child"], "left").withColumn("template", F.when(F.col("_merge"), wild(level)).otherwise(F.col("template"))).drop("_rest", "_child", "_merge")
-    t = written(t, "merged")
+        t = written(t, "merged")
     sums = t.groupBy("host", "template").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
     hosts = sums.groupBy("host").agg(F.sum("good").alias("hg"), F.sum("bad").alias("hb"))
     total = sums.agg(F.coalesce(F.sum("good"), F.lit(0)).alias("g"), F.coalesce(F.sum("bad"), F.lit(0)).alias("b")).first()

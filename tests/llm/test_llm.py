@@ -299,6 +299,14 @@ def test_url_templates(spark):
     assert verdict == {("/shop/*.html", "block"), ("/news/*.html", "allow"), ("/tag/*", "allow")}
 
 
+def test_url_templates_of_deep_paths(spark):
+    title = lambda i: f"{chr(97 + i % 26)}{chr(97 + i // 26)}x"
+    rows = [(100 * k + i, f"http://h.net/{part}/2024/01/02/a/b/{title(i)}/c/{title(i)}") for k, part in enumerate(("en/blog", "en/news")) for i in range(60)]
+    labels = [(i, i < 100) for i, _ in rows if i % 2 == 0]
+    out = url_filter.filter_urls(spark.createDataFrame(rows, "page_id long, url string"), spark.createDataFrame(labels, "page_id long, bad boolean")).collect()
+    assert {(r["template"], r["verdict"]) for r in out} == {("/en/blog/*/*/*/a/b/*/c/*", "block"), ("/en/news/*/*/*/a/b/*/c/*", "allow")}
+
+
 def test_line_dedup(spark, docs, rows, none):
     rng = random.Random(8)
     line = lambda n: " ".join(rng.choices(WORDS, k=n)) + str(rng.random())
