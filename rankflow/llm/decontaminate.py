@@ -36,17 +36,17 @@ from .tokens import ALNUM, hash_words, text_runs
 WINDOW = 10
 ITEM_BYTES = 16_000_000  # text of test items looked up at once
 CANDIDATES = 2_000_000  # candidate starts held at once
-INDEX_SCHEMA = "ids binary, valid binary, first binary, terms binary, counts binary, postings binary"
+INDEX_SCHEMA = "rows binary, ids binary, valid binary, first binary, terms binary, counts binary, postings binary"
 
 
 def _index(gap: int):
-    """Index rows of a batch of (doc_id, text)."""
+    """Index rows of a batch of (row, doc_id, text)."""
 
     def each(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        ids = batch.column(0)
+        ids, number = batch.column(1), batch.column(0).to_numpy()
         valid = ids.is_valid().to_numpy(zero_copy_only=False)
         values = ids.fill_null(0).to_numpy()
-        for i, j, buf, starts in text_runs(batch.column(1)):
+        for i, j, buf, starts in text_runs(batch.column(2)):
             words = hash_words(buf, starts, ALNUM)
             n = np.diff(words.first)
             doc = np.repeat(np.arange(j - i), n)
@@ -56,15 +56,16 @@ def _index(gap: int):
             sorted_positions = position[order].astype(np.int64)
             delta = np.diff(sorted_positions, prepend=0)
             delta[at] = sorted_positions[at]
-            row = [values[i:j].astype("<i8"), valid[i:j].astype(np.uint8), words.first.astype("<i8"), terms.astype("<u8"), counts.astype("<u4"), delta.astype("<u4")]
-            yield pa.record_batch([pa.array([x.tobytes()], pa.binary()) for x in row], ["ids", "valid", "first", "terms", "counts", "postings"])
+            row = [number[i:j].astype("<i8"), values[i:j].astype("<i8"), valid[i:j].astype(np.uint8), words.first.astype("<i8"), terms.astype("<u8"), counts.astype("<u4"), delta.astype("<u4")]
+            yield pa.record_batch([pa.array([x.tobytes()], pa.binary()) for x in row], ["rows", "ids", "valid", "first", "terms", "counts", "postings"])
 
     return each
 
 
 def build_index(docs: DataFrame, gap: int = WINDOW, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The written positional index of all words of ``docs``."""
-    return written(map_arrow(docs.select(F.col(doc_id).cast("long"), F.col(text)), _index(gap), INDEX_SCHEMA), "index")
+    """The written positional index of all words of ``docs``; its rows keep their numbers ``row`` or get new ones."""
+    row = F.col("row") if "row" in docs.columns else F.monotonically_increasing_id()
+    return written(map_arrow(docs.select(row.cast("long").alias("row"), F.col(doc_id).cast("long"), F.col(text)), _index(gap), INDEX_SCHEMA), "index")
 
 
 class Phrases:
@@ -100,6 +101,7 @@ class Block:
     """The postings of one index row for the words of a vocabulary."""
 
     def __init__(self, row: dict, vocabulary: np.ndarray, gap: int):
+        self.rows = np.frombuffer(row["rows"], dtype="<i8")
         self.ids = np.frombuffer(row["ids"], dtype="<i8")
         self.valid = np.frombuffer(row["valid"], dtype=np.uint8).astype(bool)
         self.first = np.frombuffer(row["first"], dtype="<i8")
@@ -220,7 +222,7 @@ def _counted(index: DataFrame, phrases: Phrases) -> None:
 
 
 def matches(index: DataFrame, benchmark: DataFrame, window: int = WINDOW, slop: int | None = None, gap: int = WINDOW) -> DataFrame:
-    """One row for each match: doc_id, item_id, word (of its start in the document) and length.
+    """One row for each match: row (the document's number in the index), doc_id, item_id, word (of its start in the document) and length.
 
     Exact phrases, or with ``slop`` proximity matches.  ``benchmark`` has item_id and text.
     """
@@ -238,16 +240,16 @@ def matches(index: DataFrame, benchmark: DataFrame, window: int = WINDOW, slop:
                 again = np.repeat(np.arange(len(which)), sizes)
                 items = [phrases.items[i] for x in which for i in phrases.names[x]]
                 yield pa.record_batch(
-                    [pa.array(block.ids[doc][again], mask=~block.valid[doc][again]), pa.array(items, pa.string()), pa.array((start - block.base[doc])[again]), pa.array((phrases.length[which] + (slop or 0))[again])],
-                    ["doc_id", "item_id", "word", "length"],
+                    [pa.array(block.rows[doc][again]), pa.array(block.ids[doc][again], mask=~block.valid[doc][again]), pa.array(items, pa.string()), pa.array((start - block.base[doc])[again]), pa.array((phrases.length[which] + (slop or 0))[again])],
+                    ["row", "doc_id", "item_id", "word", "length"],
                 )
 
-        found = map_arrow(index, each, "doc_id long, item_id string, word long, length long")
+        found = map_arrow(index, each, "row long, doc_id long, item_id string, word long, length long")
         out = found if out is None else out.unionByName(found)
-    return out if out is not None else index.sparkSession.createDataFrame([], "doc_id long, item_id string, word long, length long")
+    return out if out is not None else index.sparkSession.createDataFrame([], "row long, doc_id long, item_id string, word long, length long")
 
 
-DIGEST = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string"
+DIGEST = "row long, doc_id long, n_words long, n_hit long, n_items long, items_sha256 string"
 
 
 def _digest(phrases: Phrases, gap: int):
@@ -270,7 +272,7 @@ def _digest(phrases: Phrases, gap: int):
             for doc, found in items.items():
                 amount[doc] = len(found)
                 digest[doc] = hashlib.sha256(",".join(phrases.items[i] for i in sorted(found)).encode()).hexdigest()
-            yield pa.record_batch([pa.array(block.ids, mask=~block.valid), pa.array(n), pa.array(hit), pa.array(amount), pa.array(digest)], ["doc_id", "n_words", "n_hit", "n_items", "items_sha256"])
+            yield pa.record_batch([pa.array(block.rows), pa.array(block.ids, mask=~block.valid), pa.array(n), pa.array(hit), pa.array(amount), pa.array(digest)], ["row", "doc_id", "n_words", "n_hit", "n_items", "items_sha256"])
 
     return each
 
@@ -279,8 +281,13 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated for each row of ``docs``.
 
     With more test items than one run holds, the rows come from the matches of
-    all runs, put together by document.
+    all runs, put together by row.
     """
+    return _digests(docs.select("doc_id", "text"), benchmark, window).drop("row")
+
+
+def _digests(docs: DataFrame, benchmark: DataFrame, window: int) -> DataFrame:
+    """The rows of ``decontaminate`` with the number of each: the column ``row`` of ``docs``, if it has one."""
     index = build_index(docs, window)
     runs = list(_item_sizes(benchmark))
     if len(runs) <= 1:
@@ -289,7 +296,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
             _counted(index, phrases)
         out = map_arrow(index, _digest(phrases, window), DIGEST)
         return out.withColumn("contaminated", F.col("n_hit") > 0)
-    return _from_matches(docs, index, benchmark, window)
+    return _from_matches(index, benchmark, window)
 
 
 def _item_sizes(benchmark: DataFrame) -> Iterator[list[tuple[str, str]]]:
@@ -301,24 +308,24 @@ def _item_sizes(benchmark: DataFrame) -> Iterator[list[tuple[str, str]]]:
         yield from ([], [])
 
 
-def _from_matches(docs: DataFrame, index: DataFrame, benchmark: DataFrame, window: int) -> DataFrame:
-    """The digest for any number of items; documents are told apart by doc_id here, so repeated ids count together."""
+def _from_matches(index: DataFrame, benchmark: DataFrame, window: int) -> DataFrame:
+    """The digest for any number of items; documents are told apart by their row's number."""
     found = written(matches(index, benchmark, window), "matches")
 
     def covered(group: pd.DataFrame) -> pd.DataFrame:
         spans = group.sort_values("word")
         start, end = spans["word"].to_numpy(), (spans["word"] + spans["length"]).to_numpy()
         before = np.concatenate([[0], np.maximum.accumulate(end)[:-1]])
-        return pd.DataFrame({"doc_id": [group["doc_id"].iloc[0]], "n_hit": [int(np.maximum(0, end - np.maximum(start, before)).sum())]})
+        return pd.DataFrame({"row": [group["row"].iloc[0]], "n_hit": [int(np.maximum(0, end - np.maximum(start, before)).sum())]})
 
-    spans = found.select("doc_id", "word", "length").distinct()
-    hits = spans.groupBy("doc_id").applyInPandas(covered, "doc_id long, n_hit long")
-    items = found.select("doc_id", "item_id").distinct().groupBy("doc_id").agg(
+    spans = found.select("row", "word", "length").distinct()
+    hits = spans.groupBy("row").applyInPandas(covered, "row long, n_hit long")
+    items = found.select("row", "item_id").distinct().groupBy("row").agg(
         F.count("*").alias("n_items"), F.sha2(F.concat_ws(",", F.sort_array(F.collect_list("item_id"))), 256).alias("items_sha256")
     )
-    plain = map_arrow(index, _digest(Phrases([], window), window), DIGEST).select("doc_id", "n_words")
-    out = plain.join(hits, "doc_id", "left").join(items, "doc_id", "left")
-    out = out.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce("n_items", F.lit(0)).alias("n_items"), F.coalesce("items_sha256", F.sha2(F.lit(""), 256)).alias("items_sha256"))
+    plain = map_arrow(index, _digest(Phrases([], window), window), DIGEST).select("row", "doc_id", "n_words")
+    out = plain.join(hits, "row", "left").join(items, "row", "left")
+    out = out.select("row", "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce("n_items", F.lit(0)).alias("n_items"), F.coalesce("items_sha256", F.sha2(F.lit(""), 256)).alias("items_sha256"))
     return out.withColumn("contaminated", F.col("n_hit") > 0)
 
 

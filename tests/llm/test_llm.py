@@ -158,6 +158,15 @@ def test_decontamination_in_runs_of_items(spark, monkeypatch):
     assert sorted((r["doc_id"], r["n_hit"], r["n_items"], r["items_sha256"]) for r in got) == sorted((d, h, n, s) for d, _, h, n, s, _ in brute_leaks(all_rows))
 
 
+def test_decontamination_by_row_whatever_the_number_of_items(spark, monkeypatch):
+    text = " ".join(WORDS[:25])
+    all_rows = [(None, text, None, None, 0), (None, "clean", None, None, 0), (7, text, None, None, 0), (7, "w1 w2 w3 z", None, None, 0), (7, "clean", None, None, 0)]
+    df, items = spark.createDataFrame(all_rows, DOCS), spark.createDataFrame(ITEMS, "item_id string, text string")
+    for most in (decontaminate.ITEM_BYTES, 40):
+        monkeypatch.setattr(decontaminate, "ITEM_BYTES", most)
+        assert sorted(map(tuple, decontaminate.decontaminate(df, items).collect()), key=repr) == sorted(brute_leaks(all_rows), key=repr)
+
+
 def test_proximity(spark):
     df = spark.createDataFrame([(1, "p q c x a b r"), (2, "a z z z z b c")], "doc_id long, text string")
     items = spark.createDataFrame([("i", "a b c")], "item_id string, text string")
