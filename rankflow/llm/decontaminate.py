@@ -330,6 +330,8 @@ def _from_matches(index: DataFrame, benchmark: DataFrame, window: int) -> DataFr
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``docs`` without the rows whose id is that of a contaminated document; rows without doc_id are judged together."""
-    hit = written(decontaminate(docs, benchmark, window).filter("contaminated").select("doc_id").distinct(), "hit").withColumnRenamed("doc_id", "hit_id")
-    return docs.join(small(hit), docs["doc_id"].eqNullSafe(hit["hit_id"]), "left_anti")
+    """``docs`` without the contaminated rows, each judged by itself whatever its doc_id."""
+    packed = written(docs.select(F.struct(*docs.columns).alias("doc")).withColumn("row", F.monotonically_increasing_id()), "rows")
+    judged = _digests(packed.select("row", F.col("doc.doc_id").alias("doc_id"), F.col("doc.text").alias("text")), benchmark, window)
+    hit = written(judged.filter("contaminated").select("row"), "hit")
+    return packed.join(small(hit), "row", "left_anti").select("doc.*")

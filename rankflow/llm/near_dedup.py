@@ -271,18 +271,17 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold_percent: int = 80, do
 
 
 def keep_one(docs: DataFrame, k: int = 5, threshold_percent: int = 80) -> DataFrame:
-    """One document of each group of near copies, with the columns of ``docs``.
+    """One row of each group of near copies, with the columns of ``docs``: that of the least doc_id, then row.
 
-    Rows that repeat a doc_id count as copies of one another where the id
-    stands for a whole group; rows without doc_id stay.
+    Rows are told apart by number, so that rows which repeat a doc_id or have
+    none go only as copies of another's text.
     """
-    found = near_duplicates(docs, k, threshold_percent)
-    gone = found.filter("not kept and doc_id is not null").select("doc_id").distinct()
-    gone = written(gone, "gone")
-    kept = docs.join(small(gone), "doc_id", "left_anti").select(docs.columns)
-    repeated = found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").limit(1).count()
-    if not repeated:
-        return kept
-    named = kept.filter("doc_id is not null").dropDuplicates(["doc_id"])
-    return named.unionByName(kept.filter("doc_id is null"))
-
+    packed = written(docs.select(F.struct(*docs.columns).alias("doc")).withColumn("row", F.monotonically_increasing_id()), "rows")
+    found = near_duplicates(packed.select("row", F.col("doc.text").alias("text")), k, threshold_percent, doc_id="row")
+    found = written(found.select(F.col("doc_id").alias("row"), "component_id"), "copies")
+    several = written(found.groupBy("component_id").count().filter("count > 1").select("component_id"), "several")
+    members = found.join(small(several), "component_id", "left_semi").join(packed.select("row", F.col("doc.doc_id").alias("doc_id")), "row")
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
+    first = members.groupBy("component_id").agg(F.min(place)["row"].alias("first"))
+    gone = written(members.join(first, "component_id").filter("row <> first").select("row"), "gone")
+    return packed.join(small(gone), "row", "left_anti").select("doc.*")

@@ -105,6 +105,15 @@ def test_keep_one(docs, rows, none):
     assert near_dedup.keep_one(none).count() == 0 and near_dedup.near_duplicates(none).count() == 0
 
 
+def test_stages_drop_rows_and_not_ids(spark):
+    one, other, leak = "a b c d e f g", "p q r s t u v", " ".join(WORDS[:25])
+    rows = [(i, t, None, None, n) for n, (i, t) in enumerate([(7, one), (7, other), (None, one), (None, leak), (3, other), (None, "clean words"), (7, leak), (None, None), (8, "")])]
+    df = spark.createDataFrame(rows, DOCS)
+    assert {r["extra"] for r in near_dedup.keep_one(df).collect()} == {0, 4, 5, 6, 7, 8}
+    items = spark.createDataFrame(ITEMS, "item_id string, text string")
+    assert {r["extra"] for r in decontaminate.drop_contaminated(df, items).collect()} == {0, 1, 2, 4, 5, 7, 8}
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(201, 200), (201, 201)]
     got = {r["node"]: r["label"] for r in common.components(spark.createDataFrame(edges, "a long, b long")).collect()}
