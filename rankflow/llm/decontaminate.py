@@ -12,7 +12,10 @@ by rising count, keeps those starts that its own postings, moved by its
 offset, confirm.  Proximity matches ask for all words of a window, in any
 order, within a span that is ``slop`` words longer than the window.
 
-Test items are taken in runs of bounded size, so any number of them works.
+Test items are taken in runs of bounded size, so any number of them works.  A
+run gives, for each document that it hits, the merged spans of words and the
+items; the runs of a document are put together by its row number.  The way is
+the same for one run and for many.
 
 Nulls, empty and blank texts have no word and no hit.  Repeated rows give
 repeated results.  Items without a word match nothing; items of equal text
@@ -21,11 +24,10 @@ match alike; a null item_id is left out.  Extra columns are ignored.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,7 +36,7 @@ from .common import map_arrow, small, written
 from .tokens import ALNUM, hash_words, text_runs
 
 WINDOW = 10
-ITEM_BYTES = 16_000_000  # text of test items looked up at once
+ITEM_BYTES = 4_000_000  # text of test items looked up at once
 CANDIDATES = 2_000_000  # candidate starts held at once
 INDEX_SCHEMA = "rows binary, ids binary, valid binary, first binary, terms binary, counts binary, postings binary"
 
@@ -72,24 +74,37 @@ class Phrases:
     """Distinct windows of some test items: words by rank in the shared vocabulary, and the items of each."""
 
     def __init__(self, items: list[tuple[str, str]], window: int):
-        texts = pa.array([x[1] or "" for x in items], pa.large_string())
-        found: dict[bytes, set[str]] = {}
-        for i, j, buf, starts in text_runs(texts):
+        self.items = sorted({x for x, _ in items})
+        number = {x: i for i, x in enumerate(self.items)}
+        hashes, length, item = [np.zeros((0, window), np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for i, j, buf, starts in text_runs(pa.array([x[1] for x in items], pa.large_string())):
             words = hash_words(buf, starts, ALNUM)
             for k in range(j - i):
                 own = words.hash[words.first[k] : words.first[k + 1]]
-                for s in range(max(len(own) - window, 0) + 1 if len(own) else 0):
-                    found.setdefault(own[s : s + window].tobytes(), set()).add(items[i + k][0])
-        self.items = sorted({x for names in found.values() for x in names})
-        number = {x: i for i, x in enumerate(self.items)}
-        self.names = [sorted(number[x] for x in names) for names in found.values()]
-        self.length = np.array([len(x) // 8 for x in found], dtype=np.int64)
-        flat = np.frombuffer(b"".join(found), dtype=np.uint64)
-        self.vocabulary, inverse = np.unique(flat, return_inverse=True)
-        self.words = np.zeros((len(found), window), dtype=np.int64)
-        self.words[np.arange(window)[None, :] < self.length[:, None]] = inverse
+                if len(own):
+                    size = min(window, len(own))
+                    rows = np.lib.stride_tricks.sliding_window_view(own, size)
+                    hashes.append(np.pad(rows, ((0, 0), (0, window - size))))
+                    length.append(np.full(len(rows), size))
+                    item.append(np.full(len(rows), number[items[i + k][0]]))
+        found, length, item = np.concatenate(hashes), np.concatenate(length), np.concatenate(item)
+        inside = np.arange(window)[None, :] < length[:, None]
+        self.vocabulary, inverse = np.unique(found[inside], return_inverse=True)
+        ranks = np.full(found.shape, -1, dtype=np.int32)
+        ranks[inside] = inverse
+        self.words, which = np.unique(ranks, axis=0, return_inverse=True) if len(ranks) else (ranks, item)
+        self.length = (self.words >= 0).sum(axis=1)
+        self.words = np.maximum(self.words, 0).astype(np.int64)
+        pairs = np.unique(np.stack([which.reshape(-1), item]), axis=1)
+        self.item_of = pairs[1]
+        self.item_from = np.searchsorted(pairs[0], np.arange(len(self.words) + 1))
         self.order = np.zeros_like(self.words)
 
+    def of(self, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place in ``windows``, item) for all items of some windows."""
+        sizes = self.item_from[windows + 1] - self.item_from[windows]
+        return np.repeat(np.arange(len(windows)), sizes), self.item_of[np.repeat(self.item_from[windows], sizes) + _within(sizes)]
+
     def rank(self, counts: np.ndarray) -> None:
         """Offsets of each window by rising count of their words over the whole index."""
         amount = counts[self.words].astype(np.float64)
@@ -192,8 +207,8 @@ def proximity_starts(phrases: Phrases, block: Block, slop: int) -> tuple[np.ndar
 def _item_runs(benchmark: DataFrame) -> Iterator[list[tuple[str, str]]]:
     """Test items, read to the driver in runs of bounded size."""
     run, size = [], 0
-    for row in benchmark.filter("item_id is not null").toLocalIterator():
-        run.append((str(row["item_id"]), row["text"] or ""))
+    for row in benchmark.filter("item_id is not null").select(F.col("item_id").cast("string"), "text").toLocalIterator():
+        run.append((row["item_id"], row["text"] or ""))
         size += len(run[-1][1])
         if size > ITEM_BYTES:
             yield run
@@ -221,117 +236,102 @@ def _counted(index: DataFrame, phrases: Phrases) -> None:
     phrases.rank(counts)
 
 
+def _looked_up(index: DataFrame, benchmark: DataFrame, window: int, each, schema: str) -> DataFrame:
+    """``each(phrases)`` over the blocks of the index, for every run of test items."""
+    parts = []
+    for run in _item_runs(benchmark):
+        phrases = Phrases(run, window)
+        _counted(index, phrases)
+        parts.append(map_arrow(index, each(phrases), schema))
+    return reduce(DataFrame.unionByName, parts) if parts else index.sparkSession.createDataFrame([], schema)
+
+
 def matches(index: DataFrame, benchmark: DataFrame, window: int = WINDOW, slop: int | None = None, gap: int = WINDOW) -> DataFrame:
     """One row for each match: row (the document's number in the index), doc_id, item_id, word (of its start in the document) and length.
 
     Exact phrases, or with ``slop`` proximity matches.  ``benchmark`` has item_id and text.
     """
-    out = None
-    for run in _item_runs(benchmark.select("item_id", "text")):
-        phrases = Phrases(run, window)
-        _counted(index, phrases)
 
-        def each(batch: pa.RecordBatch, phrases: Phrases = phrases) -> Iterator[pa.RecordBatch]:
+    def each(phrases: Phrases):
+        def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            names = pa.array(phrases.items, pa.string())
             for row in batch.to_pylist():
                 block = Block(row, phrases.vocabulary, gap)
                 which, start = phrase_starts(phrases, block) if slop is None else proximity_starts(phrases, block, slop)
-                doc = block.document(start)
-                sizes = np.array([len(phrases.names[x]) for x in which], dtype=np.int64)
-                again = np.repeat(np.arange(len(which)), sizes)
-                items = [phrases.items[i] for x in which for i in phrases.names[x]]
+                at, item = phrases.of(which)
+                doc = block.document(start)[at]
                 yield pa.record_batch(
-                    [pa.array(block.rows[doc][again]), pa.array(block.ids[doc][again], mask=~block.valid[doc][again]), pa.array(items, pa.string()), pa.array((start - block.base[doc])[again]), pa.array((phrases.length[which] + (slop or 0))[again])],
+                    [pa.array(block.rows[doc]), pa.array(block.ids[doc], mask=~block.valid[doc]), names.take(pa.array(item)), pa.array(start[at] - block.base[doc]), pa.array(phrases.length[which][at] + (slop or 0))],
                     ["row", "doc_id", "item_id", "word", "length"],
                 )
 
-        found = map_arrow(index, each, "row long, doc_id long, item_id string, word long, length long")
-        out = found if out is None else out.unionByName(found)
-    return out if out is not None else index.sparkSession.createDataFrame([], "row long, doc_id long, item_id string, word long, length long")
+        return run
 
+    return _looked_up(index, benchmark, window, each, "row long, doc_id long, item_id string, word long, length long")
 
-DIGEST = "row long, doc_id long, n_words long, n_hit long, n_items long, items_sha256 string"
 
+def _hits(index: DataFrame, benchmark: DataFrame, window: int) -> DataFrame:
+    """(row, begins, ends, items) for each run of items and document hit: its words hit, as merged spans, and the items."""
 
-def _digest(phrases: Phrases, gap: int):
-    def each(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for row in batch.to_pylist():
-            block = Block(row, phrases.vocabulary, gap)
-            which, start = phrase_starts(phrases, block)
-            size = int(block.base[-1] + block.first[-1] - block.first[-2] + gap) if len(block.ids) else 0
-            edge = np.zeros(size + 1, dtype=np.int64)
-            np.add.at(edge, start, 1)
-            np.add.at(edge, start + phrases.length[which], -1)
-            covered = np.concatenate([[0], np.cumsum(np.cumsum(edge)[:-1] > 0)])
-            n = np.diff(block.first)
-            hit = covered[block.base + n] - covered[block.base]
-            items: dict[int, set[int]] = {}
-            for doc, x in zip(block.document(start).tolist(), which.tolist(), strict=True):
-                items.setdefault(doc, set()).update(phrases.names[x])
-            amount = np.zeros(len(n), dtype=np.int64)
-            digest = [hashlib.sha256(b"").hexdigest()] * len(n)
-            for doc, found in items.items():
-                amount[doc] = len(found)
-                digest[doc] = hashlib.sha256(",".join(phrases.items[i] for i in sorted(found)).encode()).hexdigest()
-            yield pa.record_batch([pa.array(block.rows), pa.array(block.ids, mask=~block.valid), pa.array(n), pa.array(hit), pa.array(amount), pa.array(digest)], ["row", "doc_id", "n_words", "n_hit", "n_items", "items_sha256"])
-
-    return each
+    def each(phrases: Phrases):
+        def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            names = pa.array(phrases.items, pa.string())
+            for row in batch.to_pylist():
+                block = Block(row, phrases.vocabulary, window)
+                which, start = phrase_starts(phrases, block)
+                if not len(which):
+                    continue
+                order = np.argsort(start, kind="stable")
+                which, start = which[order], start[order]
+                reach = np.maximum.accumulate(start + phrases.length[which])
+                # Blocks have gaps between documents, so that spans of two documents never touch.
+                opens = np.concatenate([[True], start[1:] > reach[:-1]])
+                begin, end = start[opens], reach[np.concatenate([opens[1:], [True]])]
+                home = block.document(begin)
+                hit, first = np.unique(home, return_index=True)
+                cut = pa.array(np.append(first, len(begin)), pa.int32())
+                at, item = phrases.of(which)
+                pairs = np.unique(np.stack([block.document(start)[at], item]), axis=1)
+                edge = pa.array(np.searchsorted(pairs[0], np.append(hit, len(block.ids))), pa.int32())
+                spans = [pa.ListArray.from_arrays(cut, pa.array(x - block.base[home])) for x in (begin, end)]
+                yield pa.record_batch([pa.array(block.rows[hit]), *spans, pa.ListArray.from_arrays(edge, names.take(pa.array(pairs[1])))], ["row", "begins", "ends", "items"])
+
+        return run
+
+    return _looked_up(index, benchmark, window, each, "row long, begins array<long>, ends array<long>, items array<string>")
+
+
+def _sizes(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    for rows, ids, valid, first in zip(*[x.to_pylist() for x in batch.columns], strict=True):
+        ids, valid, first = np.frombuffer(ids, dtype="<i8"), np.frombuffer(valid, dtype=np.uint8).astype(bool), np.frombuffer(first, dtype="<i8")
+        yield pa.record_batch([pa.array(np.frombuffer(rows, dtype="<i8")), pa.array(ids, mask=~valid), pa.array(np.diff(first))], ["row", "doc_id", "n_words"])
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated for each row of ``docs``.
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated for each row of ``docs``."""
+    index = build_index(docs.select("doc_id", "text"), window)
+    found = _put_together(written(_hits(index, benchmark, window), "hits"))
+    every = map_arrow(index.select("rows", "ids", "valid", "first"), _sizes, "row long, doc_id long, n_words long")
+    out = every.join(small(found), "row", "left")
+    out = out.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce("n_items", F.lit(0)).alias("n_items"), F.coalesce("items_sha256", F.sha2(F.lit(""), 256)).alias("items_sha256"))
+    return out.withColumn("contaminated", F.col("n_hit") > 0)
 
-    With more test items than one run holds, the rows come from the matches of
-    all runs, put together by row.
-    """
-    return _digests(docs.select("doc_id", "text"), benchmark, window).drop("row")
-
-
-def _digests(docs: DataFrame, benchmark: DataFrame, window: int) -> DataFrame:
-    """The rows of ``decontaminate`` with the number of each: the column ``row`` of ``docs``, if it has one."""
-    index = build_index(docs, window)
-    runs = list(_item_sizes(benchmark))
-    if len(runs) <= 1:
-        phrases = Phrases(runs[0] if runs else [], window)
-        if runs:
-            _counted(index, phrases)
-        out = map_arrow(index, _digest(phrases, window), DIGEST)
-        return out.withColumn("contaminated", F.col("n_hit") > 0)
-    return _from_matches(index, benchmark, window)
-
-
-def _item_sizes(benchmark: DataFrame) -> Iterator[list[tuple[str, str]]]:
-    """The items if one run holds them all; otherwise two empty runs as a sign that it doesn't."""
-    size = benchmark.filter("item_id is not null").agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("s")).first()["s"]
-    if size <= ITEM_BYTES:
-        yield from _item_runs(benchmark.select("item_id", "text"))
-    else:
-        yield from ([], [])
-
-
-def _from_matches(index: DataFrame, benchmark: DataFrame, window: int) -> DataFrame:
-    """The digest for any number of items; documents are told apart by their row's number."""
-    found = written(matches(index, benchmark, window), "matches")
-
-    def covered(group: pd.DataFrame) -> pd.DataFrame:
-        spans = group.sort_values("word")
-        start, end = spans["word"].to_numpy(), (spans["word"] + spans["length"]).to_numpy()
-        before = np.concatenate([[0], np.maximum.accumulate(end)[:-1]])
-        return pd.DataFrame({"row": [group["row"].iloc[0]], "n_hit": [int(np.maximum(0, end - np.maximum(start, before)).sum())]})
-
-    spans = found.select("row", "word", "length").distinct()
-    hits = spans.groupBy("row").applyInPandas(covered, "row long, n_hit long")
-    items = found.select("row", "item_id").distinct().groupBy("row").agg(
-        F.count("*").alias("n_items"), F.sha2(F.concat_ws(",", F.sort_array(F.collect_list("item_id"))), 256).alias("items_sha256")
+
+def _put_together(hits: DataFrame) -> DataFrame:
+    """(row, n_hit, n_items, items_sha256) from the hits of all runs of items."""
+    spans = F.array_sort(F.flatten(F.collect_list(F.arrays_zip(F.col("begins").alias("begin"), F.col("ends").alias("end")))))
+    grouped = hits.groupBy("row").agg(spans.alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    none = F.lit(0).cast("long")
+    more = lambda acc, x: F.struct(
+        F.greatest(acc["upto"], x["end"]).alias("upto"), (acc["n"] + F.greatest(none, x["end"] - F.greatest(acc["upto"], x["begin"]))).alias("n")
     )
-    plain = map_arrow(index, _digest(Phrases([], window), window), DIGEST).select("row", "doc_id", "n_words")
-    out = plain.join(hits, "row", "left").join(items, "row", "left")
-    out = out.select("row", "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce("n_items", F.lit(0)).alias("n_items"), F.coalesce("items_sha256", F.sha2(F.lit(""), 256)).alias("items_sha256"))
-    return out.withColumn("contaminated", F.col("n_hit") > 0)
+    n_hit = F.aggregate("spans", F.struct(none.alias("upto"), none.alias("n")), more, lambda acc: acc["n"])
+    return grouped.select("row", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """``docs`` without the contaminated rows, each judged by itself whatever its doc_id."""
     packed = written(docs.select(F.struct(*docs.columns).alias("doc")).withColumn("row", F.monotonically_increasing_id()), "rows")
-    judged = _digests(packed.select("row", F.col("doc.doc_id").alias("doc_id"), F.col("doc.text").alias("text")), benchmark, window)
-    hit = written(judged.filter("contaminated").select("row"), "hit")
+    index = build_index(packed.select("row", F.col("doc.doc_id").alias("doc_id"), F.col("doc.text").alias("text")), window)
+    hit = written(_hits(index, benchmark, window).select("row").distinct(), "hit")
     return packed.join(small(hit), "row", "left_anti").select("doc.*")
