@@ -56,8 +56,7 @@ def map_arrow(df: DataFrame, each: Callable[[pa.RecordBatch], Iterator[pa.Record
 
 def words_of(text: Column) -> Column:
     """Words between white space (\\x20, \\x09-\\x0D) as an array; null or blank text gives an empty one."""
-    spaced = F.translate(F.coalesce(text, F.lit("")), "\t\n\x0b\x0c\r", "     ")
-    return F.array_remove(F.split(spaced, " "), "")
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), "[ \\t\\n\\x0b\\x0c\\r]+"), "")
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

@@ -5,15 +5,22 @@ three-word windows).  Two base rules are fixed.  The other cutoffs come from
 mergeable quantile sketches: for each language and source, each rate of the
 documents that pass the base rules is counted in log-linear buckets (relative
 error under 1/32, a bounded number of buckets).  Sketches merge by adding
-counts: a group of under ``MIN_GROUP`` documents takes the sketch of its
-language, and that failing the sketch of all documents.  A document is rejected
-if one of its rates lies above the upper fence Q3 + 3 (Q3 - Q1) of its group,
-or above the rate's floor where the fence is lower.
+counts: a group with too few documents (``least_docs``) takes the sketch of its
+language, and that failing the sketch of all documents.
+
+A document is rejected if one of its rates lies above the cutoff of its group:
+the larger of the upper fence Q3 + 3 (Q3 - Q1) and a high quantile of the rate
+(``QUANTILE``).  Symbols have the fence alone.  Repeated lines and words also
+occur in good texts, and are 0 in most, so that their fence is narrow; their
+quantile leaves out 0.5 % of a group at most.  ``SPREAD`` is the least spread
+(Q3 - Q1), so that a group where nearly all texts agree has some width.  There
+are no other fixed cutoffs.
 
 All of it runs on DataFrame functions and integers, so results are exact and
 repeatable.  Null and blank texts have zero counts and fail the base rules.  A
 null language or source is a group of its own.  Repeated rows count as often as
-they occur.  Extra columns stay untouched.
+they occur.  Values on a cutoff, and all of its bucket, are kept.  Extra
+columns stay untouched.
 """
 
 from __future__ import annotations
@@ -27,42 +34,50 @@ MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 MIN_GROUP = 30
 SCALE = 100_000  # rates are parts of so many
-#: Rates and their floors, in parts of SCALE.
-FLOORS = {"symbols": 6_000, "dup_lines": 50_000, "repeat_words": 30_000}
+SPREAD = 300  # in parts of SCALE
+#: Rates and the quantile, in thousandths, that their cutoff reaches at least.
+QUANTILE = {"symbols": 750, "dup_lines": 995, "repeat_words": 995}
 WHITE = " \t\n\x0b\x0c\r"
-SYMBOLS = "#*$%&|<>"
+SYMBOLS = "[#*$%&|<>]"
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
-def _get(array: str, at: Column) -> Column:
-    return F.get(F.col(array), at)
+def least_docs(rate: str) -> int:
+    """The documents a group needs for its own cutoff: enough to tell the quantile from the greatest value."""
+    return max(MIN_GROUP, 1000 // (1000 - QUANTILE[rate]))
 
 
-def _same(x: Column, y: Column) -> Column:
-    return (x["_a"] == y["_a"]) & (x["_b"] == y["_b"]) & (x["_c"] == y["_c"])
+def _three(at: Column) -> Column:
+    """The window of three words at a place."""
+    return F.array(*[F.get("_words", at + k) for k in range(3)])
 
 
 def count_text(docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
     """The columns ``keep`` and the counts of ``text``."""
     out = docs.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("_text"))
-    out = out.select(*keep, "_text", words_of(F.col("_text")).alias("_a"), F.filter(F.split("_text", "\n"), lambda x: F.length(F.translate(x, WHITE, "")) > 0).alias("_lines"))
+    lines = F.filter(F.split("_text", "\n"), lambda x: F.length(F.btrim(x, F.lit(WHITE))) > 0)
+    out = out.select(*keep, "_text", words_of(F.col("_text")).alias("_words"), lines.alias("_lines"))
     out = out.withColumns(
         {
-            "n_words": F.size("_a").cast("long"),
-            "word_chars": F.length(F.translate("_text", WHITE, "")).cast("long"),
-            "n_symbols": (F.length("_text") - F.length(F.translate("_text", SYMBOLS, ""))).cast("long"),
+            "n_words": F.size("_words").cast("long"),
+            "word_chars": F.length(F.array_join("_words", "")).cast("long"),
+            "n_symbols": F.regexp_count("_text", F.lit(SYMBOLS)).cast("long"),
             "n_lines": F.size("_lines").cast("long"),
             "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
         }
     ).drop("_text", "_lines")
-    # Windows of three words with their places, sorted: equal windows become neighbours.
-    size = F.greatest(F.size("_a"), F.lit(1))
-    out = out.withColumns({"_b": F.slice("_a", F.lit(2), size), "_c": F.slice("_a", F.lit(3), size), "_i": F.sequence(F.lit(0), size - 1)})
-    out = out.withColumn("_z", F.sort_array(F.slice(F.arrays_zip("_a", "_b", "_c", "_i"), F.lit(1), F.greatest(F.size("_a") - 2, F.lit(0))))).drop("_a", "_b", "_c", "_i")
-    again = F.transform("_z", lambda x, k: F.when(_same(x, _get("_z", k + 1)) | _same(x, _get("_z", k - 1)), x["_i"]))
-    out = out.withColumn("_at", F.array_compact(again)).drop("_z")
+    # Hashes of the windows of three words.  Only texts that repeat one sort them; equal hashes then count if the words are equal.
+    size = F.greatest(F.size("_words"), F.lit(1))
+    out = out.withColumns({"_b": F.slice("_words", F.lit(2), size), "_c": F.slice("_words", F.lit(3), size)})
+    windows = F.slice(F.arrays_zip("_words", "_b", "_c"), F.lit(1), F.greatest(F.size("_words") - 2, F.lit(0)))
+    out = out.withColumn("_hash", F.transform(windows, lambda x: F.xxhash64(x))).drop("_b", "_c")
+    placed = F.array_sort(F.transform("_hash", lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
+    out = out.withColumn("_sorted", F.when(F.size(F.array_distinct("_hash")) < F.size("_hash"), placed)).drop("_hash")
+    same = lambda x, y: (x["h"] == y["h"]) & (_three(x["i"]) == _three(y["i"]))
+    again = F.transform("_sorted", lambda x, k: F.when(same(x, F.get("_sorted", k + 1)) | same(x, F.get("_sorted", k - 1)), x["i"]))
+    out = out.withColumn("_at", F.array_compact(again)).drop("_sorted", "_words")
     covered = F.array_distinct(F.flatten(F.transform("_at", lambda i: F.array(i, i + 1, i + 2))))
-    return out.withColumn("n_repeat_words", F.size(covered).cast("long")).drop("_at")
+    return out.withColumn("n_repeat_words", F.when(F.col("_at").isNull(), F.lit(0)).otherwise(F.size(covered)).cast("long")).drop("_at")
 
 
 def with_rates(counted: DataFrame) -> DataFrame:
@@ -85,7 +100,7 @@ def bucket_top(at: Column) -> Column:
 
 def sketch(rows: DataFrame, by: list[str]) -> DataFrame:
     """Bucket counts of each rate by group."""
-    cells = F.explode(F.array(*[F.struct(F.lit(x).alias("rate"), bucket(F.col(x)).alias("bucket")) for x in FLOORS]))
+    cells = F.explode(F.array(*[F.struct(F.lit(x).alias("rate"), bucket(F.col(x)).alias("bucket")) for x in QUANTILE]))
     return rows.select(*by, cells.alias("cell")).groupBy(*by, "cell.rate", "cell.bucket").agg(F.count("*").alias("n"))
 
 
@@ -98,22 +113,24 @@ def fences(cells: DataFrame, by: list[str]) -> DataFrame:
     """For each group its number of documents and the cutoff of each rate."""
     group = Window.partitionBy(*by, "rate")
     ranked = cells.withColumns({"total": F.sum("n").over(group), "below": F.sum("n").over(group.orderBy("bucket"))})
-    quantile = lambda q: bucket_top(F.min(F.when(100 * F.col("below") >= q * F.col("total"), F.col("bucket"))))
-    found = ranked.groupBy(*by, "rate").agg(F.max("total").alias("docs"), quantile(25).alias("q1"), quantile(75).alias("q3"))
-    fence = F.col("q3") + 3 * (F.col("q3") - F.col("q1"))
-    return found.groupBy(*by).agg(F.max("docs").alias("docs"), *[F.max(F.when(F.col("rate") == x, F.greatest(fence, F.lit(floor)))).alias(f"most_{x}") for x, floor in FLOORS.items()])
+    quantile = lambda q: bucket_top(F.min(F.when(1000 * F.col("below") >= q * F.col("total"), F.col("bucket"))))
+    high = F.element_at(F.create_map(*[F.lit(y) for pair in QUANTILE.items() for y in pair]), F.col("rate"))
+    found = ranked.groupBy(*by, "rate").agg(F.max("total").alias("docs"), quantile(F.lit(250)).alias("q1"), quantile(F.lit(750)).alias("q3"), quantile(high).alias("high"))
+    fence = F.col("q3") + 3 * F.greatest(F.col("q3") - F.col("q1"), F.lit(SPREAD))
+    return found.groupBy(*by).agg(F.max("docs").alias("docs"), *[F.max(F.when(F.col("rate") == x, F.greatest(fence, F.col("high")))).alias(f"most_{x}") for x in QUANTILE])
 
 
 def thresholds(rated: DataFrame) -> DataFrame:
     """Cutoffs for each (lang_key, source_key) with a document that passes the base rules."""
     cells = written(sketch(rated.filter("not base_failed"), ["lang_key", "source_key"]), "sketch")
-    names = [f"most_{x}" for x in FLOORS]
+    names = [f"most_{x}" for x in QUANTILE]
     level = lambda by: fences(merged(cells, by), by)
     own = level(["lang_key", "source_key"])
     of_lang = level(["lang_key"]).select("lang_key", F.col("docs").alias("lang_docs"), *[F.col(x).alias(f"lang_{x}") for x in names])
     of_all = level([]).select(*[F.col(x).alias(f"all_{x}") for x in names])
     out = own.join(of_lang, "lang_key").crossJoin(F.broadcast(of_all))  # of_all is one row
-    chosen = [F.when(F.col("docs") >= MIN_GROUP, F.col(x)).when(F.col("lang_docs") >= MIN_GROUP, F.col(f"lang_{x}")).otherwise(F.col(f"all_{x}")).alias(x) for x in names]
+    least = [F.lit(least_docs(x)) for x in QUANTILE]
+    chosen = [F.when(F.col("docs") >= n, F.col(x)).when(F.col("lang_docs") >= n, F.col(f"lang_{x}")).otherwise(F.col(f"all_{x}")).alias(x) for x, n in zip(names, least, strict=True)]
     return written(out.select("lang_key", "source_key", *chosen), "fences")
 
 
@@ -123,7 +140,7 @@ def _judged(docs: DataFrame, keep: list[str], text: str, lang: Column, source: C
     cutoffs = thresholds(rated)
     both = rated.join(small(cutoffs), ["lang_key", "source_key"], "left")
     inside = F.lit(True)
-    for x in FLOORS:
+    for x in QUANTILE:
         inside &= F.col(x) <= F.col(f"most_{x}")
     return both.withColumn("kept", ~F.col("base_failed") & F.coalesce(inside, F.lit(False)))
 

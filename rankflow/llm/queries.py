@@ -60,6 +60,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_near_dedup": sql.near_dedup(4),
         "op2_mixing": sql.mixing(mixing.POWER, mixing.ROUNDS, mixing.FIXES, mixing.BUDGET, mixing.SEED),
-        "op4_quality": sql.quality(quality.FLOORS, quality.SCALE, quality.MIN_GROUP),
+        "op4_quality": sql.quality(quality.QUANTILE, quality.SPREAD, quality.SCALE, {x: quality.least_docs(x) for x in quality.QUANTILE}),
         "op10_decontaminate": sql.decontaminate(),
     }

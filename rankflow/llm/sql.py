@@ -65,20 +65,22 @@ def _top(b: str) -> str:
     return f"((({b} - 32 * {wide} + 1)::BIGINT << {wide}) - 1)"
 
 
-def quality(floors: dict[str, int], scale: int, min_group: int, documents: str = "documents") -> str:
+def quality(quantile: dict[str, int], spread: int, scale: int, least: dict[str, int], documents: str = "documents") -> str:
     """The counts, base rules and adaptive verdict of the quality rules."""
-    names = list(floors)
+    names = list(quantile)
+    high = "CASE rate " + " ".join(f"WHEN '{x}' THEN {q}" for x, q in quantile.items()) + " END"
     level = lambda name, by: f"""
 q_{name} AS (
-  SELECT {by}rate, docs, {_top("q1")} AS q1, {_top("q3")} AS q3 FROM (
-    SELECT {by}rate, max(total) AS docs, min(bucket) FILTER (100 * below >= 25 * total) AS q1, min(bucket) FILTER (100 * below >= 75 * total) AS q3
+  SELECT {by}rate, docs, {_top("q1")} AS q1, {_top("q3")} AS q3, {_top("qh")} AS high FROM (
+    SELECT {by}rate, max(total) AS docs, min(bucket) FILTER (1000 * below >= 250 * total) AS q1, min(bucket) FILTER (1000 * below >= 750 * total) AS q3,
+      min(bucket) FILTER (1000 * below >= {high} * total) AS qh
     FROM (SELECT *, sum(n) OVER (PARTITION BY {by}rate) AS total, sum(n) OVER (PARTITION BY {by}rate ORDER BY bucket) AS below
       FROM (SELECT {by}rate, bucket, count(*) AS n FROM cells GROUP BY ALL)) GROUP BY {by}rate)
 ), f_{name} AS (
-  SELECT {by}max(docs) AS docs, {", ".join(f"max(greatest(q3 + 3 * (q3 - q1), {floors[x]})) FILTER (rate = '{x}') AS most_{x}" for x in names)}
+  SELECT {by}max(docs) AS docs, {", ".join(f"max(greatest(q3 + 3 * greatest(q3 - q1, {spread}), high)) FILTER (rate = '{x}') AS most_{x}" for x in names)}
   FROM q_{name} {"GROUP BY " + by.rstrip(", ") if by else ""}
 )"""
-    chosen = ", ".join(f"CASE WHEN o.docs >= {min_group} THEN o.most_{x} WHEN l.docs >= {min_group} THEN l.most_{x} ELSE a.most_{x} END AS most_{x}" for x in names)
+    chosen = ", ".join(f"CASE WHEN o.docs >= {least[x]} THEN o.most_{x} WHEN l.docs >= {least[x]} THEN l.most_{x} ELSE a.most_{x} END AS most_{x}" for x in names)
     white = "chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' '"
     return f"""
 WITH t AS (

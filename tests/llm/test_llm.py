@@ -227,6 +227,37 @@ def test_quality_thresholds_adapt(spark):
     assert not got[500] and all(kept for i, kept in got.items() if i != 500)
 
 
+def test_quality_ties_at_a_cutoff_are_kept(spark):
+    word = lambda i, k: f"t{i}x{k}"
+    make = lambda i, again: " ".join(["a b c"] * again + [word(i, k) for k in range(100 - 3 * again)])
+    rows = [(i, make(i, 2 if i < 4 else 3 if i == 4 else 0), "en", "s", 0) for i in range(400)]
+    got = {r["doc_id"]: r["kept"] for r in quality.judge(spark.createDataFrame(rows, DOCS)).collect()}
+    assert [i for i, kept in got.items() if not kept] == [4]  # 0.5 % of 400 documents are 2, and those on the cutoff stay
+
+
+TABLES = "/root/testdata/sf0.1"
+
+
+@pytest.mark.skipif(not __import__("os").path.exists(TABLES), reason="no tables")
+def test_quality_cutoffs_differ_between_groups(spark):
+    docs = common.table(spark, TABLES, "documents")
+    key = lambda x: F.coalesce(F.concat(F.lit("="), F.col(x)), F.lit(""))
+    rated = quality.with_rates(quality.count_text(docs.withColumns({"lang_key": key("lang"), "source_key": key("source")}), "text", ["doc_id", "lang_key", "source_key"])).cache()
+    cutoffs = quality.thresholds(rated).collect()
+    assert len({r["most_repeat_words"] for r in cutoffs}) > 5 and len({r["most_dup_lines"] for r in cutoffs}) > 3
+    kept = {r["doc_id"]: r["kept"] for r in quality.judge(docs).collect()}
+    good = {r["doc_id"] for r in common.table(spark, TABLES, "labels").filter("quality = 1").collect()}
+    passed = [r for r in rated.collect() if not r["base_failed"]]
+    rates = {True: [], False: []}
+    for r in passed:
+        rates[kept[r["doc_id"]]].append(tuple(r[x] for x in quality.QUANTILE))
+    # Fixed cutoffs can't keep one text and reject another whose rates are all lower or equal.
+    gone = set(rates[False])
+    assert any(all(x <= y for x, y in zip(g, k, strict=True)) for k in set(rates[True]) for g in gone)
+    clean = [kept[r["doc_id"]] for r in passed if r["doc_id"] in good]
+    assert sum(clean) >= 0.98 * len(clean)
+
+
 def test_mixing_meets_margins_and_budget(spark, rows, docs, none):
     rng = random.Random(3)
     many = [(i, " ".join(rng.choices(WORDS, k=rng.randrange(1, 60))), rng.choice(["en", "en", "fr"]), "hot" if i % 3 else f"s{i % 4}", 0) for i in range(1500)]
