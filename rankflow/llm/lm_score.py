@@ -1,21 +1,32 @@
 """Language-model scores by cross-entropy difference.
 
 Two word bigram models, a target model (documents labelled good) and a
-background model (all documents), share one vocabulary, one set of bigrams and
-one smoothing, so that they differ by their counts alone.  A document's score
-is the mean over its words of (target loss - background loss), in nats; lower
-is closer to the target.
-
-Counts come from all words of all documents, summed before and after a
-shuffle.  The vocabulary is every word counted at least ``c`` times, with the
-least ``c`` that leaves at most ``VOCABULARY`` words; likewise the bigrams of
-known words, at most ``BIGRAMS``.  That bounds the model (about 25 MB), which
-goes to all tasks.  Other words share one unknown word, other bigrams back off
-to the unigrams.
+background model (all documents), share one vocabulary and one smoothing, and
+are matched in size: the background's counts are scaled to the target's number
+of words, so that smoothing weighs alike in both.  A document's score is the
+mean over its words of (target loss - background loss), in nats; lower is
+closer to the target.  Each document is scored by the models of all other
+documents: its own counts are taken off first.
+
+The vocabulary is every word that the corpus holds twice or more; all others
+are one unknown word.  Nothing else is cut: all words and bigrams of all
+documents count, however many there are.  Those that occur once have no count
+left once their own document's is taken off, so that only the rest is kept,
+which changes no score.
+
+1.  Documents go into blocks of some 2 MB of text; a block lists its distinct
+    words and bigrams (by 63-bit hashes) and which of them stands where.
+2.  The blocks' counts are summed by key, with partial sums before the shuffle.
+3.  Each block asks for its keys by a shuffled join; a common key is asked for
+    once a block, not once a word.  Answers meet their block again, sorted, and
+    the block's documents are scored.
+
+No task or driver holds a model; memory is that of a block and its keys.
 
 Null, empty and blank texts have no word and null scores.  Without target
-documents both models fall back to their priors.  Repeated rows are counted as
-often as they occur.  Extra columns are ignored.
+documents the target model is the prior.  Repeated rows are documents of their
+own.  Null and repeated ids in ``good`` change nothing.  Extra columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -28,165 +39,157 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_arrow, small, written
-from .tokens import NON_SPACE, Words, hash_words, text_runs
+from .tokens import _MULT, NON_SPACE, hash_words, mix, text_runs
 
-VOCABULARY = 50_000
-BIGRAMS = 1_000_000
-KEYS_AT_ONCE = 500_000  # words or bigrams counted together in a task
-PRIOR = 0.5
-WEIGHT = 0.5  # of the bigram estimate, where the word before has bigrams
+LEAST = 2  # occurrences of a known word
+PRIOR = 0.5  # added to each word's count
+MASS = 1.0  # weight of the word's own probability against the counts after the word before
+DIGITS = 6
+#: What a block holds: documents (id, whether it has one, target, place of their first word), keys with their counts, and the key of each word and bigram (-1: none).
+PARTS = {"ids": "<i8", "valid": "<u1", "target": "<u1", "first": "<i8", "keys": "<i8", "n": "<i8", "good": "<i8", "word": "<i4", "pair": "<i4"}
 
 
-def _word_counts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    yield from _counted(batch, lambda words: (words.hash, slice(None)))
+class Block:
+    """Some documents as places in a sorted list of n-gram keys; odd keys are bigrams."""
 
+    def __init__(self, **parts: np.ndarray):
+        for name, kind in PARTS.items():
+            setattr(self, name, np.ascontiguousarray(parts[name], dtype=kind))
 
-def _counted(batch: pa.RecordBatch, keys) -> Iterator[pa.RecordBatch]:
-    """Counts of the keys of a batch's texts; texts are hashed in small runs, their keys counted together."""
-    target = batch.column(0).to_numpy(zero_copy_only=False)
-    found, good, held = [], [], 0
-    for i, j, buf, starts in text_runs(batch.column(1)):
+    @classmethod
+    def of(cls, buf: np.ndarray, starts: np.ndarray, ids: np.ndarray, valid: np.ndarray, target: np.ndarray) -> Block:
         words = hash_words(buf, starts, NON_SPACE)
-        key, at = keys(words)
-        found.append(key)
-        good.append(np.repeat(target[i:j], np.diff(words.first))[at])
-        held += len(key)
-        if held >= KEYS_AT_ONCE:
-            yield _counts(np.concatenate(found), np.concatenate(good))
-            found, good, held = [], [], 0
-    if held:
-        yield _counts(np.concatenate(found), np.concatenate(good))
-
-
-def _counts(key: np.ndarray, target: np.ndarray) -> pa.RecordBatch:
-    found, inverse = np.unique(key, return_inverse=True)
-    total = np.bincount(inverse, minlength=len(found))
-    good = np.bincount(inverse[target], minlength=len(found))
-    return pa.record_batch([pa.array(found.view(np.int64)), pa.array(total.astype(np.int64)), pa.array(good.astype(np.int64))], ["key", "n", "good"])
-
-
-COUNTS = "key long, n long, good long"
-
-
-def _frequent(counts: DataFrame, most: int) -> DataFrame:
-    """Keys counted at least c times, with the least c that leaves at most ``most``."""
-    by_count = counts.groupBy("n").agg(F.count("*").alias("keys"))
-    tail = by_count.filter(F.col("n") > 1).orderBy(F.desc("n"))
-    cut, kept = None, 0
-    for row in tail.toLocalIterator():  # distinct counts, of which few are needed before ``most`` is met
-        kept += row["keys"]
-        if kept > most:
-            break
-        cut = row["n"]
-    if cut is None:
-        cut = 2**62
-    elif kept <= most:  # words seen once as well, if all of them fit
-        single = by_count.filter("n = 1").first()
-        cut = 1 if kept + (single["keys"] if single else 0) <= most else cut
-    return counts.filter(F.col("n") >= cut)
-
-
-class Model:
-    """Counts of the shared vocabulary (word 0 is unknown) and bigrams for both models."""
-
-    def __init__(self, words: pa.Table, totals: tuple[int, int]):
-        key = words["key"].to_numpy().view(np.uint64)
-        order = np.argsort(key)
-        self.vocabulary = key[order]
-        self.size = len(key) + 1
-        self.unigrams = np.zeros((2, self.size))
-        for k, name in enumerate(("good", "n")):
-            self.unigrams[k, 1:] = words[name].to_numpy()[order]
-            self.unigrams[k, 0] = totals[k] - self.unigrams[k].sum()
-        self.p1 = np.log((self.unigrams + PRIOR) / (self.unigrams.sum(axis=1, keepdims=True) + PRIOR * self.size)).astype(np.float32)
-        self.pairs = np.zeros(0, dtype=np.int64)
-
-    def ids(self, hashes: np.ndarray) -> np.ndarray:
-        if not len(self.vocabulary):
-            return np.zeros(len(hashes), dtype=np.int64)
-        place = np.searchsorted(self.vocabulary, hashes)
-        place[place == len(self.vocabulary)] = 0
-        return np.where(self.vocabulary[place] == hashes, place + 1, 0)
-
-    def bigrams(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs of neighbouring words as one number, and the place of the later word."""
-        ids = self.ids(words.hash)
-        later = np.ones(len(ids), dtype=bool)
-        later[words.first[:-1][words.first[:-1] < len(ids)]] = False
+        later = np.ones(len(words.hash), dtype=bool)
+        later[words.first[:-1][words.first[:-1] < len(later)]] = False
         at = np.flatnonzero(later)
-        return ids[at - 1] * self.size + ids[at], at
-
-    def add_bigrams(self, pairs: pa.Table) -> None:
-        key = pairs["key"].to_numpy()
-        order = np.argsort(key)
-        self.pairs = key[order]
-        before, self.p2, self.context = self.pairs // self.size, [], []
-        for k, name in enumerate(("good", "n")):
-            n = pairs[name].to_numpy()[order].astype(np.float64)
-            of = np.bincount(before, weights=n, minlength=self.size)
-            p1 = np.exp(self.p1[k, self.pairs % self.size].astype(np.float64))
-            with np.errstate(divide="ignore", invalid="ignore"):
-                mixed = WEIGHT * np.where(of[before] > 0, n / of[before], p1) + (1 - WEIGHT) * p1
-            self.p2.append(np.log(mixed).astype(np.float32))
-            self.context.append(np.where(of > 0, np.log(1 - WEIGHT), 0.0).astype(np.float32))
-
-    def losses(self, words: Words) -> list[np.ndarray]:
-        """For the target and the background model, the loss of each word."""
-        ids = self.ids(words.hash)
-        pairs, at = self.bigrams(words)
-        known = np.zeros(len(pairs), dtype=bool)
-        place = np.zeros(len(pairs), dtype=np.int64)
-        if len(self.pairs):
-            place = np.searchsorted(self.pairs, pairs)
-            place[place == len(self.pairs)] = 0
-            known = self.pairs[place] == pairs
+        pairs = mix(words.hash[at - 1] * _MULT + words.hash[at]) | np.uint64(1)
+        both = np.concatenate([mix(words.hash) & ~np.uint64(1), pairs]).view(np.int64)
+        keys, place, n = np.unique(both, return_inverse=True, return_counts=True)
+        pair = np.full(len(words.hash), -1)
+        pair[at] = place[len(words.hash) :]
+        own = np.repeat(target, np.diff(words.first))
+        good = np.bincount(place[np.concatenate([own, own[at]])], minlength=len(keys))
+        return cls(ids=ids, valid=valid, target=target, first=words.first, keys=keys, n=n, good=good, word=place[: len(words.hash)], pair=pair)
+
+    def pack(self) -> bytes:
+        parts = [getattr(self, x) for x in PARTS]
+        return b"".join([np.array([x.nbytes for x in parts], dtype="<i8").tobytes(), *[x.tobytes() for x in parts]])
+
+    @classmethod
+    def unpack(cls, data: bytes) -> Block:
+        edges = np.cumsum([8 * len(PARTS), *np.frombuffer(data, "<i8", len(PARTS))])
+        return cls(**{x: np.frombuffer(data[a:b], kind) for (x, kind), a, b in zip(PARTS.items(), edges[:-1], edges[1:], strict=True)})
+
+    def losses(self, found: np.ndarray, n: np.ndarray, good: np.ndarray, totals: dict) -> list[np.ndarray]:
+        """For the target and the background model, the loss of each word; ``found`` are the keys with counts to tell."""
+        doc = np.repeat(np.arange(len(self.ids)), np.diff(self.first))
+        inner = np.flatnonzero(self.pair >= 0)
+        word, pair = self.word.astype(np.int64), self.pair[inner].astype(np.int64)
+        place = np.searchsorted(self.keys, found)
+        known = np.zeros(len(self.keys), dtype=bool)
+        known[place] = n >= LEAST
+        mine = _own(doc, word, len(self.keys))
+        mine_pair = _own(doc[inner], pair, len(self.keys))
+        unknown = ~known[word]
+        strange = np.bincount(doc[unknown], minlength=len(self.ids))[doc]  # unknown words of the same document
+        own_words = np.diff(self.first)[doc]
+        is_target = self.target[doc].astype(np.int64)
         out = []
-        for k in range(2):
-            loss = -self.p1[k][ids].astype(np.float64)
-            if len(self.pairs):
-                loss[at] -= self.context[k][pairs // self.size]
-                loss[at[known]] = -self.p2[k][place[known]]
-            out.append(loss)
+        for name, given, own_is_in in (("good", good, is_target), ("n", n, np.ones_like(is_target))):
+            scale = totals["good"] / totals["n"] if name == "n" and totals["good"] else 1.0
+            count = getattr(self, name).copy()  # a key without an answer occurs nowhere else
+            count[place] = given
+            rest = np.where(unknown, totals[f"unknown_{name}"] - own_is_in * strange, count[word] - own_is_in * mine)
+            of = totals[name] - own_is_in * own_words
+            p = (scale * rest + PRIOR) / (scale * of + PRIOR * (totals["vocabulary"] + 1))
+            both = count[pair] - own_is_in[inner] * mine_pair
+            before = count[word[inner - 1]] - own_is_in[inner] * mine[inner - 1]
+            p[inner] = (scale * both + MASS * p[inner]) / (scale * before + MASS)
+            out.append(-np.log(p))
         return out
 
 
-def fit(docs: DataFrame) -> Model:
-    """Both models from ``docs`` (target boolean, text)."""
-    counts = written(map_arrow(docs, _word_counts, COUNTS).groupBy("key").agg(F.sum("n").alias("n"), F.sum("good").alias("good")), "words")
-    totals = counts.agg(F.coalesce(F.sum("good"), F.lit(0)).alias("good"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
-    model = Model(_frequent(counts, VOCABULARY).toArrow(), (totals["good"], totals["n"]))
+def _own(doc: np.ndarray, key: np.ndarray, keys: int) -> np.ndarray:
+    """How often each key occurs in its document."""
+    _, place, n = np.unique(doc * max(keys, 1) + key, return_inverse=True, return_counts=True)
+    return n[place]
 
-    def known(words: Words) -> tuple[np.ndarray, np.ndarray]:
-        key, at = model.bigrams(words)
-        both = (key // model.size > 0) & (key % model.size > 0)
-        return key[both], at[both]
 
-    def pairs(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        yield from _counted(batch, known)
+def _blocks(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """doc_id, target, text: packed blocks, each with its number of words, and of those in target documents."""
+    ids = batch.column(0)
+    valid, values = ids.is_valid().to_numpy(zero_copy_only=False), ids.fill_null(0).to_numpy()
+    target = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
+    for i, j, buf, starts in text_runs(batch.column(2)):
+        block = Block.of(buf, starts, values[i:j], valid[i:j], target[i:j])
+        n = np.diff(block.first)
+        yield pa.record_batch([pa.array([block.pack()], pa.binary()), pa.array([int(n.sum())]), pa.array([int(n[target[i:j]].sum())])], ["data", "n", "good"])
 
-    counts = written(map_arrow(docs, pairs, COUNTS).groupBy("key").agg(F.sum("n").alias("n"), F.sum("good").alias("good")), "bigrams")
-    model.add_bigrams(_frequent(counts, BIGRAMS).toArrow())
-    return model
+
+def _keys(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    for number, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+        block = Block.unpack(data.as_py())
+        yield pa.record_batch([pa.array(np.full(len(block.keys), number)), pa.array(block.keys), pa.array(block.n), pa.array(block.good)], ["block", "key", "n", "good"])
+
+
+KEYS = "block long, key long, n long, good long"
+
+
+def _scored(totals: dict):
+    """Rows of a block: the block itself first, then its answers."""
+
+    def result(block: Block, answers: list[tuple]) -> pa.RecordBatch:
+        key, n, good = (np.concatenate([x[k] for x in answers]) if answers else np.zeros(0, np.int64) for k in range(3))
+        count = np.diff(block.first)
+        sums = [np.concatenate([[0], np.cumsum(x)]) for x in block.losses(key, n, good, totals)]
+        mean = [(s[block.first[1:]] - s[block.first[:-1]]) / np.maximum(count, 1) for s in sums]
+        columns = [pa.array(np.round(x, DIGITS), mask=count == 0) for x in (mean[0], mean[1], mean[0] - mean[1])]
+        return pa.record_batch([pa.array(block.ids, mask=block.valid == 0), pa.array(count), *columns], ["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, answers = None, []
+        for batch in batches:
+            data = batch.column(3)
+            begins = np.flatnonzero(data.is_valid().to_numpy(zero_copy_only=False))
+            columns = [batch.column(k).fill_null(0).to_numpy() for k in range(3)]
+            for a, b in zip([0, *begins + 1], [*begins, batch.num_rows], strict=True):
+                if a < b:
+                    answers.append(tuple(x[a:b] for x in columns))
+                if b < batch.num_rows:
+                    if block is not None:
+                        yield result(block, answers)
+                    block, answers = Block.unpack(data[int(b)].as_py()), []
+        if block is not None:
+            yield result(block, answers)
+
+    return run
+
+
+def count_ngrams(blocks: DataFrame) -> tuple[DataFrame, dict]:
+    """(key, n, good) of every word and bigram that occurs twice or more, and the totals of both models."""
+    asked = map_arrow(blocks.select("block", "data"), _keys, KEYS)
+    counts = asked.groupBy("key").agg(F.sum("n").alias("n"), F.sum("good").alias("good")).filter(F.col("n") >= LEAST)
+    counts = written(counts, "counts")
+    of_words = counts.filter(F.col("key").bitwiseAND(1) == 0)
+    known = of_words.agg(F.count("*").alias("vocabulary"), *[F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in ("n", "good")]).first()
+    totals = blocks.agg(*[F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in ("n", "good")]).first().asDict()
+    return counts, totals | {"vocabulary": known["vocabulary"], "unknown_n": totals["n"] - known["n"], "unknown_good": totals["good"] - known["good"]}
 
 
 def score(docs: DataFrame, good: DataFrame) -> DataFrame:
     """doc_id, n_tokens, target_loss, background_loss, score for each row of ``docs``; ``good`` has the target's doc_id."""
     good = good.filter("doc_id is not null").select(F.col("doc_id").alias("good_id")).distinct()
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    flagged = named.join(small(good), F.col("doc_id") == F.col("good_id"), "left").select(F.col("good_id").isNotNull().alias("target"), "text")
-    model = fit(flagged)
-
-    def each(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for i, j, buf, starts in text_runs(batch.column(1)):
-            words = hash_words(buf, starts, NON_SPACE)
-            n = np.diff(words.first)
-            sums = [np.concatenate([[0], np.cumsum(x)]) for x in model.losses(words)]
-            mean = [(s[words.first[1:]] - s[words.first[:-1]]) / np.maximum(n, 1) for s in sums]
-            none = n == 0
-            columns = [pa.array(np.round(x, 6), mask=none) for x in (mean[0], mean[1], mean[0] - mean[1])]
-            yield pa.record_batch([batch.column(0).slice(i, j - i), pa.array(n.astype(np.int64)), *columns], ["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
-
-    return map_arrow(named, each, "doc_id long, n_tokens long, target_loss double, background_loss double, score double")
+    flagged = named.join(small(good), F.col("doc_id") == F.col("good_id"), "left").select("doc_id", F.col("good_id").isNotNull().alias("target"), "text")
+    blocks = map_arrow(flagged, _blocks, "data binary, n long, good long")
+    blocks = written(blocks.withColumn("block", F.monotonically_increasing_id()), "blocks")
+    counts, totals = count_ngrams(blocks)
+    asked = map_arrow(blocks.select("block", "data"), _keys, KEYS).select("block", "key")
+    answers = asked.join(counts, "key").select("block", "key", "n", "good", F.lit(None).cast("binary").alias("data"))
+    none = F.lit(None).cast("long")
+    rows = blocks.select("block", none.alias("key"), none.alias("n"), none.alias("good"), "data").unionByName(answers)
+    rows = rows.repartition("block").sortWithinPartitions("block", F.asc_nulls_first("key")).drop("block")
+    return rows.mapInArrow(_scored(totals), "doc_id long, n_tokens long, target_loss double, background_loss double, score double")
 
 
 def good_documents(labels: DataFrame) -> DataFrame:

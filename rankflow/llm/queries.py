@@ -61,5 +61,6 @@ def oracle_sql() -> dict[str, str]:
         "op1_near_dedup": sql.near_dedup(4),
         "op2_mixing": sql.mixing(mixing.POWER, mixing.ROUNDS, mixing.FIXES, mixing.BUDGET, mixing.SEED),
         "op4_quality": sql.quality(quality.QUANTILE, quality.SPREAD, quality.SCALE, {x: quality.least_docs(x) for x in quality.QUANTILE}),
+        "op9_lm_score": sql.lm_score(lm_score.PRIOR, lm_score.MASS, lm_score.LEAST, lm_score.DIGITS),
         "op10_decontaminate": sql.decontaminate(),
     }

@@ -147,3 +147,38 @@ p AS (SELECT source, lang, topic, ratio, least(1, coalesce(ratio * s, 1)) AS pro
 SELECT d.doc_id, {plain("source")}, {plain("lang")}, {plain("topic")}, d.n_tokens,
   round(coalesce(ratio, 0) * (SELECT sum(n_tokens) FROM d)::DOUBLE, 6) AS weight, round(prob, 6) AS prob, draw < prob * 281474976710656.0::DOUBLE AS kept
 FROM d JOIN p USING (source, lang, topic)"""
+
+
+def lm_score(prior: float, mass: float, least: int, digits: int, documents: str = "documents") -> str:
+    """Cross-entropy difference of two bigram models, each document left out of both."""
+    rest = lambda k, n, own: f"({n} - {'CASE WHEN target THEN ' + own + ' ELSE 0 END' if k == 'good' else own})"
+    scale = {"good": "1.0::DOUBLE", "n": "(SELECT CASE WHEN good > 0 THEN good::DOUBLE / n ELSE 1 END FROM totals)"}
+    p1 = lambda k: (
+        f"({scale[k]} * CASE WHEN word_n >= {least} THEN {rest(k, 'word_' + k, 'own_word')} ELSE {rest(k, '(SELECT unknown_' + k + ' FROM vocabulary)', 'strange')} END + {prior}) / "
+        f"({scale[k]} * {rest(k, '(SELECT ' + k + ' FROM totals)', 'words')} + {prior} * ((SELECT size FROM vocabulary) + 1))"
+    )
+    p2 = lambda k: f"CASE WHEN v IS NULL THEN p_{k} ELSE ({scale[k]} * {rest(k, 'pair_' + k, 'own_pair')} + {mass} * p_{k}) / ({scale[k]} * {rest(k, 'before_' + k, 'own_before')} + {mass}) END"
+    return f"""
+WITH d AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{WORD}') AS w,
+    coalesce(doc_id IN (SELECT doc_id FROM labels WHERE quality = 1 AND toxic = 0 AND doc_id IS NOT NULL), false) AS target FROM {documents}
+), t AS (SELECT r, target, len(w) AS words, unnest(w) AS w, unnest(list_prepend(NULL, w[:-2])) AS v FROM d),
+totals AS MATERIALIZED (SELECT count(*) AS n, count(*) FILTER (target) AS good FROM t),
+word AS MATERIALIZED (SELECT w, count(*) AS word_n, count(*) FILTER (target) AS word_good FROM t GROUP BY w),
+pair AS MATERIALIZED (SELECT v, w, count(*) AS pair_n, count(*) FILTER (target) AS pair_good FROM t WHERE v IS NOT NULL GROUP BY v, w),
+vocabulary AS MATERIALIZED (
+  SELECT count(*) FILTER (word_n >= {least}) AS size, coalesce(sum(word_n) FILTER (word_n < {least}), 0) AS unknown_n, coalesce(sum(word_good) FILTER (word_n < {least}), 0) AS unknown_good FROM word
+),
+own_word AS MATERIALIZED (SELECT r, w, count(*) AS own_word FROM t GROUP BY r, w),
+own_pair AS MATERIALIZED (SELECT r, v, w, count(*) AS own_pair FROM t WHERE v IS NOT NULL GROUP BY r, v, w),
+strange AS (SELECT r, count(*) AS strange FROM t JOIN word USING (w) WHERE word_n < {least} GROUP BY r),
+every AS (
+  SELECT t.r, t.target, t.words, t.v, word.word_n, word.word_good, o.own_word, coalesce(strange, 0) AS strange,
+    b.word_n AS before_n, b.word_good AS before_good, ob.own_word AS own_before, pair_n, pair_good, own_pair
+  FROM t JOIN word ON word.w = t.w JOIN own_word AS o ON o.r = t.r AND o.w = t.w LEFT JOIN strange ON strange.r = t.r
+    LEFT JOIN word AS b ON b.w = t.v LEFT JOIN own_word AS ob ON ob.r = t.r AND ob.w = t.v
+    LEFT JOIN pair ON pair.v = t.v AND pair.w = t.w LEFT JOIN own_pair AS op ON op.r = t.r AND op.v = t.v AND op.w = t.w
+), single AS (SELECT *, {p1("good")} AS p_good, {p1("n")} AS p_n FROM every),
+loss AS (SELECT r, avg(-ln({p2("good")})) AS good, avg(-ln({p2("n")})) AS background FROM single GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_tokens, round(good, {digits}) AS target_loss, round(background, {digits}) AS background_loss, round(good - background, {digits}) AS score
+FROM d LEFT JOIN loss USING (r)"""

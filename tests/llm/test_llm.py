@@ -433,35 +433,56 @@ def test_best_fit_decreasing_equals_brute_force():
         assert sorted(32 - np.bincount(where, weights=sizes)) == sorted(room)
 
 
-def test_cross_entropy_difference(spark, none):
-    texts = {1: "a b a c", 2: "a b b", 3: "q q a", 4: None, 5: " ", 6: "a b a c"}
-    df = spark.createDataFrame([(i, t, None, None, 0) for i, t in texts.items()], DOCS)
-    got = {r["doc_id"]: r for r in lm_score.score(df, spark.createDataFrame([(1,), (2,), (1,), (None,)], "doc_id long")).collect()}
-    split = {i: (t or "").split() for i, t in texts.items()}
-    model = {}
-    vocabulary = {w for s in split.values() for w in s}
-    for name, ids in (("good", [1, 2]), ("all", list(texts))):
-        model[name] = (Counter(w for i in ids for w in split[i]), Counter(p for i in ids for p in zip(split[i], split[i][1:], strict=False)))
-
-    def loss(name, words):
-        one, two = model[name]
-        out = []
-        for k, w in enumerate(words):
-            p1 = (one[w] + 0.5) / (sum(one.values()) + 0.5 * (len(vocabulary) + 1))
-            before = sum(n for (v, _), n in two.items() if k and v == words[k - 1])
-            out.append(-np.log(p1 if not before else 0.5 * two[(words[k - 1], w)] / before + 0.5 * p1))
-        return sum(out) / len(out)
-
-    for i, words in split.items():
-        if words:
-            assert got[i]["target_loss"] == pytest.approx(loss("good", words), abs=2e-5)
-            assert got[i]["background_loss"] == pytest.approx(loss("all", words), abs=2e-5)
-            assert got[i]["score"] == pytest.approx(got[i]["target_loss"] - got[i]["background_loss"], abs=2e-6)
-        else:
-            assert got[i]["score"] is None and got[i]["n_tokens"] == 0
+def brute_losses(texts, good):
+    split = [re.findall(r"[^\x20\x09-\x0D]+", lower(t or "")) for t in texts]
+    seen = Counter(w for s in split for w in s)
+    known = {w for w, n in seen.items() if n >= 2}
+    size = [sum(len(s) for s, g in zip(split, good, strict=True) if g), sum(map(len, split))]
+    out = []
+    for i, own in enumerate(split):
+        both = []
+        for k in (0, 1):
+            others = [s for j, (s, g) in enumerate(zip(split, good, strict=True)) if j != i and (g or k)]
+            one = Counter(w if w in known else None for s in others for w in s)
+            raw, two = Counter(w for s in others for w in s), Counter(p for s in others for p in zip(s, s[1:], strict=False))
+            scale = size[0] / size[1] if k and size[0] else 1.0
+            total = 0.0
+            for v, w in zip([None, *own], own, strict=False):
+                p = (scale * one[w if w in known else None] + 0.5) / (scale * sum(one.values()) + 0.5 * (len(known) + 1))
+                total -= np.log(p if v is None else (scale * two[(v, w)] + p) / (scale * raw[v] + 1))
+            both.append(total / len(own) if own else None)
+        out.append((len(own), *both))
+    return out
+
+
+def test_cross_entropy_difference(spark, none, rows, monkeypatch):
+    monkeypatch.setattr(lm_score, "text_runs", lambda column: text_runs(column, 400))  # several blocks
+    texts = ["a b a c", "a b b", "q q a", None, " ", "A b a c", "only here and q", "x", "", "a b a c", "long " * 3000 + "tail", *[r[1] for r in rows[:12]]]
+    ids = [None if i == 6 else i // 2 if i > 8 else i for i in range(len(texts))]
+    good = [(1,), (2,), (1,), (None,), (7,), (10,)]
+    df = spark.createDataFrame([(i, t, "n", "key", 0) for i, t in zip(ids, texts, strict=True)], "doc_id long, text string, n string, key string, block int").repartition(3)
+    for chosen in (good, [(999,)]):
+        named = {x for x, in chosen if x is not None}
+        want = [(i, n, *[None if x is None else round(x, 5) for x in both]) for i, (n, *both) in zip(ids, brute_losses(texts, [i in named for i in ids]), strict=True)]
+        found = lm_score.score(df, spark.createDataFrame(chosen, "doc_id long")).collect()
+        close = lambda x: x if x is None else round(x, 3)
+        got = [(r["doc_id"], r["n_tokens"], r["target_loss"], r["background_loss"]) for r in found]
+        order = lambda x: (repr(x[:2]), close(x[2] or 0), close(x[3] or 0))
+        for x, y in zip(sorted(got, key=order), sorted(want, key=order), strict=True):
+            assert x[:2] == y[:2] and x[2:] == (pytest.approx(y[2:], abs=2e-5) if y[2] is not None else (None, None))
+        assert all(r["score"] is None if r["n_tokens"] == 0 else r["score"] == pytest.approx(r["target_loss"] - r["background_loss"], abs=2e-6) for r in found)
     assert lm_score.score(none, none).count() == 0
 
 
+def test_copies_are_told_apart_by_the_background(spark):
+    rng = random.Random(20)
+    texts = [" ".join(rng.choices(WORDS, k=80)) for _ in range(60)]
+    df = spark.createDataFrame(list(enumerate([*texts, *texts[:6]])), "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in lm_score.score(df, spark.createDataFrame([(i,) for i in range(30, 50)], "doc_id long")).collect()}
+    copies = [got[i] for i in [*range(6), *range(60, 66)]]
+    assert min(copies) > max(x for i, x in got.items() if 6 <= i < 60)
+
+
 def test_pipeline_stages(spark, tmp_path, rows):
     pipeline = pytest.importorskip("corpus_pipeline")
     rng = random.Random(9)
