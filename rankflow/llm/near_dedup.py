@@ -4,20 +4,28 @@
     signature.  Texts of equal sets form one class; only classes go on.
 2.  The forest: several orders (permutations) of the signature's hashes.  For
     each, the classes are sorted by the reordered signature; every class meets
-    its neighbours on both sides with the longest common prefix.  A prefix of
-    ``MIN_DEPTH`` values must be common; where many classes share one, only the
-    nearest (deepest) neighbours within ``WINDOW`` places count, so that depth
-    adapts to how dense a region is.
+    its neighbours on both sides with the longest common prefix, at most
+    ``WINDOW`` places away and with ``MIN_DEPTH`` values in common, also over
+    the borders of sorted partitions.
 3.  Candidates with too low an estimate (four standard deviations under the
     threshold) go.  In dense regions each class also meets the region's hubs
-    (the classes nearest to its modal signature), so that no member of a large
-    group hangs on chance neighbours alone.
-4.  Links are confirmed on full shingle sets, in blocks of a bounded number of
-    classes; within a block, pairs already joined need no further look.
-5.  Connected components give the classes of near copies.
-
-No step emits all pairs of a group: pairs are linear in the number of classes
-whatever the group sizes, and a hot prefix is cut by range partitioning.
+    (the classes nearest to its modal signature), which joins large groups
+    early.  Links are confirmed on full shingle sets, in blocks of a bounded
+    number of classes; connected components give groups.
+4.  Depth adapts to the region.  A region of at most ``WINDOW`` + 1 classes with
+    ``MIN_DEPTH`` common values has had all its pairs compared by then.  Denser
+    ones are searched whole: all pairs of different groups are compared, block
+    by block within a task, first by signatures, which tells families of
+    regions that hang together, then by full sets within those families.  Of
+    the compared pairs only those that join two groups leave the task.  Pairs
+    within a group need no look, so that a large group that is joined already
+    costs no more than its few other neighbours.
+
+A pair at the threshold of 0.8 shares no such prefix in any of the 16 orders
+with a chance of 1e-5, and is estimated too low with one of 3e-5; no other pair
+is lost.  No step emits all pairs of a group: pairs are linear in the number of
+classes whatever the group sizes, and a hot prefix is cut by range partitioning
+and into blocks.
 
 Nulls, empty and blank texts have no set, link with nothing and are their own
 component.  Texts with fewer than k words have one shingle.  Repeated rows give
@@ -32,7 +40,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import components, map_arrow, small, written
@@ -45,8 +53,8 @@ MIN_DEPTH = 3
 WINDOW = 4
 DENSE = 16  # classes of one label, from which on hubs are used
 HUBS = 8
-BLOCK = 1500  # classes whose sets meet in one block
-BUCKET_BYTES = 24_000_000  # sets that a task holds at once, on average
+BLOCK = 1500  # classes of each side of a block
+BLOCK_BYTES = 16_000_000  # and their sets
 
 _RNG = np.random.default_rng(71)
 _FACTORS = _RNG.integers(0, 2**31, SIGNATURE, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -97,23 +105,66 @@ def _paths(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array(np.full(len(ids), tree, dtype=np.int32)), pa.array([x.tobytes() for x in path], pa.binary()), pa.array(ids)], ["tree", "path", "id"])
 
 
+def _close(tree: np.ndarray, path: np.ndarray, ids: np.ndarray, part: np.ndarray, old: int) -> Iterator[pa.RecordBatch]:
+    """Pairs of at most WINDOW places apart in sorted rows, with MIN_DEPTH values in common; the later one isn't among the first ``old``."""
+    for w in range(1, min(WINDOW, len(ids) - 1) + 1):
+        at = np.arange(max(w, old), len(ids))
+        same = (tree[at] == tree[at - w]) & (path[at, : 2 * MIN_DEPTH] == path[at - w, : 2 * MIN_DEPTH]).all(axis=1)
+        if old < 0:
+            same &= part[at] != part[at - w]
+        at = at[same]
+        if len(at):
+            none = pa.nulls(len(at))
+            yield pa.record_batch([pa.array(np.minimum(ids[at], ids[at - w])), pa.array(np.maximum(ids[at], ids[at - w])), none.cast(pa.int32()), none.cast(pa.int32()), none.cast(pa.binary()), none.cast(pa.int32())], NEAR)
+
+
+NEAR = ["a", "b", "place", "tree", "path", "part"]
+NEAR_SCHEMA = "a long, b long, place int, tree int, path binary, part int"
+
+
+def _rows(batch: pa.RecordBatch, tree: int, path: int, ids: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return batch.column(tree).to_numpy(), np.frombuffer(b"".join(batch.column(path).to_pylist()), dtype=np.uint8).reshape(-1, 2 * DEPTH), batch.column(ids).to_numpy()
+
+
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of at most WINDOW places apart in sorted rows, with MIN_DEPTH values in common."""
-    left_tree, left_path, left_id = np.zeros(0, np.int64), np.zeros((0, 2 * DEPTH), np.uint8), np.zeros(0, np.int64)
+    """Pairs (a, b) of near rows of a sorted partition; without b, the first and the last rows of the partition."""
+    from pyspark import TaskContext
+
+    held = (np.zeros(0, np.int32), np.zeros((0, 2 * DEPTH), np.uint8), np.zeros(0, np.int64))
+    first, total = held, 0
     for batch in batches:
         if not batch.num_rows:
             continue
-        fresh = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype=np.uint8).reshape(-1, 2 * DEPTH)
-        tree = np.concatenate([left_tree, batch.column(0).to_numpy()])
-        path, ids = np.concatenate([left_path, fresh]), np.concatenate([left_id, batch.column(2).to_numpy()])
-        old = len(left_id)
-        for w in range(1, min(WINDOW, len(ids) - 1) + 1):
-            at = np.arange(max(w, old), len(ids))  # the later one is new
-            same = (tree[at] == tree[at - w]) & (path[at, : 2 * MIN_DEPTH] == path[at - w, : 2 * MIN_DEPTH]).all(axis=1)
-            at = at[same]
-            if len(at):
-                yield pa.record_batch([pa.array(np.minimum(ids[at], ids[at - w])), pa.array(np.maximum(ids[at], ids[at - w]))], ["a", "b"])
-        left_tree, left_path, left_id = tree[-WINDOW:], path[-WINDOW:], ids[-WINDOW:]
+        fresh = _rows(batch, 0, 1, 2)
+        if total < WINDOW:
+            first = tuple(np.concatenate([x, y])[:WINDOW] for x, y in zip(first, fresh, strict=True))
+        total += batch.num_rows
+        tree, path, ids = (np.concatenate([x, y]) for x, y in zip(held, fresh, strict=True))
+        yield from _close(tree, path, ids, tree, len(held[2]))
+        held = tree[-2 * WINDOW :], path[-2 * WINDOW :], ids[-2 * WINDOW :]
+    edge = held if total <= 2 * WINDOW else tuple(np.concatenate([x, y[-WINDOW:]]) for x, y in zip(first, held, strict=True))
+    tree, path, ids = edge
+    part = np.full(len(ids), TaskContext.get().partitionId(), dtype=np.int32)
+    yield pa.record_batch([pa.array(ids), pa.nulls(len(ids), pa.int64()), pa.array(np.arange(len(ids), dtype=np.int32)), pa.array(tree, pa.int32()), pa.array([x.tobytes() for x in path], pa.binary()), pa.array(part)], NEAR)
+
+
+def _over_borders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of near rows of different partitions, from the partitions' first and last rows in order."""
+    found = [b for b in batches if b.num_rows]
+    if found:
+        parts = [_rows(b, 3, 4, 0) for b in found]
+        tree, path, ids = (np.concatenate([x[k] for x in parts]) for k in range(3))
+        for pairs in _close(tree, path, ids, np.concatenate([b.column(5).to_numpy() for b in found]), -1):
+            yield pairs.select(["a", "b"])
+
+
+def _near(paths: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b) of neighbours in the sorted orders."""
+    order = paths.repartitionByRange("tree", "path", "id").sortWithinPartitions("tree", "path", "id")
+    found = written(order.mapInArrow(_neighbours, NEAR_SCHEMA), "sorted")
+    edges = found.filter("b is null").repartition(1).sortWithinPartitions("part", "place")  # 2 WINDOW rows a partition
+    pairs = found.filter("b is not null").select("a", "b").unionByName(edges.mapInArrow(_over_borders, "a long, b long"))
+    return written(pairs.distinct(), "near")
 
 
 def _estimates(least: float):
@@ -126,9 +177,14 @@ def _estimates(least: float):
     return each
 
 
+def _least(threshold: float) -> float:
+    """The least estimate of a candidate: four standard deviations under the threshold."""
+    return max(0.0, threshold - 4 * (threshold * (1 - threshold) / SIGNATURE) ** 0.5)
+
+
 def _scored(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
     """Pairs whose sizes allow the threshold and whose signatures do, within four standard deviations."""
-    least = max(0.0, threshold - 4 * (threshold * (1 - threshold) / SIGNATURE) ** 0.5)
+    least = _least(threshold)
     side = lambda x: classes.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("sig").alias(f"s{x}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     both = both.filter(F.least("na", "nb") >= F.floor(threshold * F.greatest("na", "nb")))
@@ -163,7 +219,7 @@ def _with_hubs(label: DataFrame, classes: DataFrame) -> DataFrame:
     votes = map_arrow(dense.select("l", "sig"), _votes, "l long, place long, value long, n long").groupBy("l", "place", "value").agg(F.sum("n").alias("n"))
     modes = votes.groupBy("l", "place").agg(F.max(F.struct("n", "value"))["value"].alias("value"))
     modal = modes.groupBy("l").agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "value"))), lambda x: x["value"]).alias("modal"))
-    rated = map_arrow(dense.join(modal, "l").select("a", "l", "m", "sig", "modal"), _agreement, "a long, l long, m long, agree long")
+    rated = written(map_arrow(dense.join(written(modal, "modal"), "l").select("a", "l", "m", "sig", "modal"), _agreement, "a long, l long, m long, agree long"), "rated")
     part = rated.withColumn("part", F.pmod(F.xxhash64("a"), F.ceil(F.col("m") / BLOCK)))
     for by in (["l", "part"], ["l"]):  # the best of each part, then of the label
         part = part.withColumn("r", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("agree"), "a"))).filter(F.col("r") <= HUBS)
@@ -172,10 +228,16 @@ def _with_hubs(label: DataFrame, classes: DataFrame) -> DataFrame:
     return far.select(F.least("a", "h").alias("a"), F.greatest("a", "h").alias("b")).distinct()
 
 
-def _blocks(pairs: DataFrame, label: DataFrame) -> DataFrame:
+def _parts(n: Column, size: Column) -> Column:
+    """The number of parts for n classes with sets of ``size`` values."""
+    return F.greatest(F.ceil(n / BLOCK), F.ceil(size * 8 / BLOCK_BYTES), F.lit(1))
+
+
+def _blocks(pairs: DataFrame, label: DataFrame, classes: DataFrame) -> DataFrame:
     """A block for each pair: that of its label; a label with many classes is cut into a grid."""
-    size = label.groupBy("l").agg(F.count("*").alias("m")).filter(F.col("m") > BLOCK).select("l", F.ceil(F.col("m") / BLOCK).alias("g"))
-    label = label.join(size, "l", "left").select("a", "l", F.coalesce("g", F.lit(1)).alias("g"))
+    label = label.join(classes.select(F.col("id").alias("a"), "n"), "a")
+    size = label.groupBy("l").agg(_parts(F.count("*"), F.sum("n")).alias("g")).filter("g > 1")
+    label = label.join(small(written(size, "grid")), "l", "left").select("a", "l", F.coalesce("g", F.lit(1)).alias("g"))
     at = pairs.join(label.select("a", F.col("l").alias("la"), F.col("g").alias("ga")), "a")
     at = at.join(label.select(F.col("a").alias("b"), F.col("l").alias("lb"), F.col("g").alias("gb")), "b")
     x, y = (F.pmod(F.xxhash64(c), F.greatest("ga", "gb")) for c in ("a", "b"))
@@ -183,10 +245,10 @@ def _blocks(pairs: DataFrame, label: DataFrame) -> DataFrame:
 
 
 def _confirm(threshold_percent: int):
-    """Rows of a bucket: sets first, then pairs by falling estimate; yields each class with the least one it is joined to."""
+    """Rows of a block: sets first, then pairs by falling estimate; yields each class with the least one it is joined to."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bucket, sets, parent = None, {}, {}
+        block, sets, parent = None, {}, {}
 
         def joined() -> pa.RecordBatch:
             found = [(x, root(x)) for x in parent]
@@ -201,9 +263,9 @@ def _confirm(threshold_percent: int):
 
         for batch in batches:
             for at, a, b, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(4).to_pylist(), strict=True):
-                if at != bucket:
+                if at != block:
                     yield joined()
-                    bucket, sets = at, {}
+                    block, sets = at, {}
                     parent.clear()
                 if data is not None:
                     sets[a] = np.frombuffer(data, dtype="<u8")
@@ -224,29 +286,143 @@ def _confirm(threshold_percent: int):
     return run
 
 
-def _links(docs: DataFrame, classes: DataFrame, scored: DataFrame, label: DataFrame, k: int, threshold_percent: int) -> DataFrame:
-    """Confirmed links that span the components of the candidates' graph."""
-    blocked = written(_blocks(scored, label), "blocks")
-    wanted = blocked.select("a").unionByName(blocked.select(F.col("b").alias("a"))).distinct()
-    chosen = written(classes.join(wanted, classes["id"] == wanted["a"], "left_semi").select("id", "key", "doc_id", "n"), "chosen")
-    about = chosen.agg(F.count("*").alias("c"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
-    buckets = max(1, about["n"] * 8 // BUCKET_BYTES)
+def _sets_of(docs: DataFrame, chosen: DataFrame, k: int) -> DataFrame:
+    """(id, data): the full sets of some classes, from the texts that their doc_id names."""
 
     def each(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         found = [(_set_key(x), x.astype("<u8").tobytes()) for x in _sets(batch.column(0), k) if len(x)]
         yield pa.record_batch([pa.array([x[0] for x in found], pa.binary()), pa.array([x[1] for x in found], pa.binary())], ["key", "data"])
 
-    named = small(chosen.select("doc_id").distinct(), about["c"])
+    named = small(chosen.select("doc_id").distinct(), chosen.count())
     texts = docs.join(named, docs["doc_id"].eqNullSafe(named["doc_id"]), "left_semi").select("text")
+    # Copies of a text give its set again.
     sets = map_arrow(texts, each, "key binary, data binary").join(chosen.select("id", "key"), "key").select("id", "data")
-    home = lambda x: F.pmod(F.col("block"), F.lit(buckets)).cast("int").alias(x)
-    members = blocked.select(home("bucket"), F.col("a").alias("id")).unionByName(blocked.select(home("bucket"), F.col("b").alias("id"))).distinct()
-    given = members.join(sets, "id").select("bucket", F.col("id").alias("a"), F.lit(0).cast("long").alias("b"), F.lit(2.0).cast("float").alias("score"), "data")
-    asked = blocked.select(home("bucket"), "a", "b", "score", F.lit(None).cast("binary").alias("data"))
-    rows = given.unionByName(asked).repartition("bucket").sortWithinPartitions("bucket", F.desc("score"), "a", "b")
+    return written(sets, "given").dropDuplicates(["id"])
+
+
+def _links(docs: DataFrame, classes: DataFrame, scored: DataFrame, label: DataFrame, k: int, threshold_percent: int) -> DataFrame:
+    """Confirmed links that span the components of the candidates' graph."""
+    blocked = written(_blocks(scored, label, classes), "blocks")
+    wanted = blocked.select("a").unionByName(blocked.select(F.col("b").alias("a"))).distinct()
+    chosen = written(classes.join(wanted, classes["id"] == wanted["a"], "left_semi").select("id", "key", "doc_id", "n"), "chosen")
+    members = blocked.select("block", F.col("a").alias("id")).unionByName(blocked.select("block", F.col("b").alias("id"))).distinct()
+    given = members.join(_sets_of(docs, chosen, k), "id").select("block", F.col("id").alias("a"), F.lit(0).cast("long").alias("b"), F.lit(2.0).cast("float").alias("score"), "data")
+    asked = blocked.select("block", "a", "b", "score", F.lit(None).cast("binary").alias("data"))
+    rows = given.unionByName(asked).repartition("block").sortWithinPartitions("block", F.desc("score"), "a", "b")
     return rows.mapInArrow(_confirm(threshold_percent), "a long, b long")
 
 
+def _grid(members: DataFrame) -> DataFrame:
+    """(block, side, id, comp) from ``members`` (r, id, comp, n): blocks that hold all pairs of an r with different comp.
+
+    The largest comp of an r only meets the others.  Within a block, all pairs
+    count, or, where there are two sides, those of different sides.
+    """
+    of_comp = members.groupBy("r", "comp").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
+    about = of_comp.groupBy("r").agg(F.count("*").alias("k"), F.max(F.struct("c", "comp", "s")).alias("big"), F.sum("c").alias("c"), F.sum("s").alias("s")).filter("k > 1")
+    about = about.select("r", F.col("big.comp").alias("big"), _parts(F.col("big.c"), F.col("big.s")).alias("g_big"), _parts(F.col("c") - F.col("big.c"), F.col("s") - F.col("big.s")).alias("g_rest"))
+    at = members.join(small(written(about, "about")), "r").withColumn("in_big", F.col("comp") == F.col("big"))
+    at = at.withColumn("p", F.pmod(F.xxhash64("id"), F.when(F.col("in_big"), F.col("g_big")).otherwise(F.col("g_rest"))))
+    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1)).alias("q")
+    made = lambda rows, n, kind, first, second, side: rows.select("*", upto(n)).select(F.xxhash64("r", F.lit(kind), first, second).alias("block"), side.alias("side"), "id", "comp")
+    p, q = F.col("p"), F.col("q")
+    rest, big = at.filter("not in_big"), at.filter("in_big")
+    among = made(rest, "g_rest", 0, F.least(p, q), F.greatest(p, q), F.when(p > q, 1).otherwise(0))
+    return among.unionByName(made(rest, "g_big", 1, p, q, F.lit(0))).unionByName(made(big, "g_rest", 1, q, p, F.lit(1)))
+
+
+def _joins(batches: Iterator[pa.RecordBatch], least: int, threshold_percent: int | None) -> Iterator[pa.RecordBatch]:
+    """Rows (block, side, id, comp, sig[, data]) sorted by block: pairs of comps that the estimate and, if asked for, the full sets join."""
+    held: list[pa.RecordBatch] = []
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        if held:
+            rows = pa.Table.from_batches(held).combine_chunks()
+            found = _block_joins(rows, least, threshold_percent)
+            if found:
+                yield pa.record_batch([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+            held.clear()
+
+    last = None
+    for batch in batches:
+        block = batch.column(0).to_numpy()
+        cuts = np.flatnonzero(block[1:] != block[:-1]) + 1
+        for a, b in zip([0, *cuts], [*cuts, len(block)], strict=True):
+            if a < b:
+                if block[a] != last:
+                    yield from flush()
+                    last = block[a]
+                held.append(batch.slice(a, b - a))
+    yield from flush()
+
+
+def _block_joins(rows: pa.Table, least: int, threshold_percent: int | None) -> list[tuple[int, int]]:
+    side, comp = rows["side"].to_numpy(), rows["comp"].to_numpy()
+    sig = np.frombuffer(b"".join(rows["sig"].to_pylist()), dtype="<u2").reshape(-1, SIGNATURE)
+    if threshold_percent is not None:
+        data = rows["data"].to_pylist()
+        size = np.array([len(x) // 8 for x in data])
+        begin = np.concatenate([[0], np.cumsum(size)])
+        names, element = np.unique(np.frombuffer(b"".join(data), dtype="<u8"), return_inverse=True)
+        marked = np.zeros(len(names), dtype=bool)
+    group = np.unique(comp, return_inverse=True)[1]
+    two = side.min() != side.max()
+    right = np.flatnonzero(side == 1) if two else np.arange(len(side))
+    out = []
+    for i in (np.flatnonzero(side == 0) if two else right).tolist():
+        other = right if two else right[i + 1 :]
+        other = other[group[other] != group[i]]
+        if not len(other):
+            continue
+        other = other[(sig[other] == sig[i]).sum(axis=1) >= least]
+        if len(other) and threshold_percent is not None:
+            own = element[begin[i] : begin[i + 1]]
+            marked[own] = True
+            n = size[other]
+            ends = np.cumsum(n)
+            at = np.arange(ends[-1]) + np.repeat(begin[other] - ends + n, n)
+            common = np.add.reduceat(marked[element[at]].astype(np.int64), ends - n)
+            marked[own] = False
+            other = other[100 * common >= threshold_percent * (size[i] + n - common)]
+        while len(other):
+            j = other[0]
+            out.append((int(comp[i]), int(comp[j])))
+            group[group == group[j]] = group[i]
+            other = other[group[other] != group[i]]
+    return out
+
+
+def _dense_joins(docs: DataFrame, classes: DataFrame, paths: DataFrame, grouped: DataFrame, k: int, threshold_percent: int) -> DataFrame | None:
+    """Pairs of groups to join, from all pairs of different groups in dense regions; ``grouped`` has (id, comp) of joined classes."""
+    at = paths.select(F.xxhash64("tree", F.substring("path", 1, 2 * MIN_DEPTH)).alias("r"), "id")
+    dense = written(at.groupBy("r").agg(F.count("*").alias("m")).filter(F.col("m") > WINDOW + 1).select("r"), "dense")
+    members = at.join(small(dense), "r").join(grouped, "id", "left").select("r", "id", F.coalesce("comp", "id").alias("comp"))
+    members = written(members, "members")
+    split = members.groupBy("r").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("m"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y"))
+    # Several orders may find one region.
+    split = written(split.filter("low <> high").groupBy("m", "x", "y").agg(F.min("r").alias("r")).select("r"), "split")
+    if split.isEmpty():
+        return None
+    threshold = threshold_percent / 100
+    least = int(np.ceil(_least(threshold) * SIGNATURE))
+    sig, size = classes.select("id", "sig"), classes.select("id", "n")
+
+    def searched(members: DataFrame, more: DataFrame, full: int | None) -> DataFrame:
+        blocks = _grid(members).join(more, "id").repartition("block").sortWithinPartitions("block")
+        rows = blocks.select("block", "side", "id", "comp", "sig", *(["data"] if full else []))
+        return rows.mapInArrow(lambda batches: _joins(batches, least, full), "a long, b long")
+
+    likely = searched(members.join(small(split), "r").withColumn("n", F.lit(SIGNATURE // 4)), sig, None)
+    family = components(written(likely, "likely"))
+    if family.isEmpty():
+        return None
+    family = written(family.select(F.col("node").alias("comp"), F.col("label").alias("r")), "family")
+    every = members.select("id", "comp").unionByName(grouped.select("id", "comp")).distinct()
+    chosen = written(every.join(family, "comp").join(size, "id").select("r", "id", "comp", "n"), "chosen")
+    sets = _sets_of(docs, written(classes.join(chosen.select("id"), "id", "left_semi").select("id", "key", "doc_id"), "named"), k)
+    return written(searched(chosen, sets.join(sig, "id"), threshold_percent), "joins")
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, threshold_percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of ``docs`` (see the module)."""
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
@@ -254,17 +430,25 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold_percent: int = 80, do
     classes = described.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sig").alias("sig"))
     classes = written(classes.select(F.monotonically_increasing_id().alias("id"), "*"), "classes")
     paths = map_arrow(classes.select("id", "sig"), _paths, "tree int, path binary, id long")
-    order = paths.repartitionByRange("tree", "path", "id").sortWithinPartitions("tree", "path", "id")
-    near = written(order.mapInArrow(_neighbours, "a long, b long").distinct(), "near")
+    near = _near(paths)
     threshold = threshold_percent / 100
     scored = written(_scored(near, classes, threshold), "scored")
     label = _labels(scored)
     extra = _scored(_with_hubs(label, classes).join(scored, ["a", "b"], "left_anti"), classes, threshold)
     scored = written(scored.unionByName(extra), "scored")
-    label = components(written(_links(docs, classes, scored, label, k, threshold_percent), "links"))
-    of_class = classes.select("id", "key", "doc_id").join(label, classes["id"] == label["node"], "left").select("key", "doc_id", F.coalesce("label", "id").alias("label"))
-    least = of_class.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    found = written(of_class.join(least, "label").select("key", "component_id"), "found")
+    found = components(written(_links(docs, classes, scored, label, k, threshold_percent), "links"))
+    grouped = written(found.select(F.col("node").alias("id"), F.col("label").alias("comp")), "grouped")
+    more = _dense_joins(docs, classes, paths, grouped, k, threshold_percent)
+    if more is not None:
+        joined = written(components(more).select(F.col("node").alias("comp"), "label"), "joined")
+        # Groups of one class that were joined only now.
+        alone = joined.select(F.col("comp").alias("id"), "comp").join(grouped.select("id"), "id", "left_anti")
+        every = grouped.unionByName(alone).join(small(joined), "comp", "left")
+        grouped = written(every.select("id", F.coalesce("label", "comp").alias("comp")), "grouped")
+    of_class = written(classes.select("id", "key", "doc_id").join(grouped, "id").select("key", "doc_id", "comp"), "several")
+    least = written(of_class.groupBy("comp").agg(F.min("doc_id").alias("component_id")), "least")
+    alone = classes.join(grouped, "id", "left_anti").select("key", F.col("doc_id").alias("component_id"))
+    found = written(of_class.join(small(least), "comp").select("key", "component_id").unionByName(alone), "found")
     out = described.select("doc_id", F.col("n").alias("n_shingles"), "key").join(found, "key", "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))

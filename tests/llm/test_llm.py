@@ -97,6 +97,52 @@ def test_near_duplicates(docs, rows, k):
     assert all(r["kept"] == (r["doc_id"] is not None and r["doc_id"] == r["component_id"]) for r in got)
 
 
+def test_near_duplicates_in_a_dense_region(spark):
+    rng = random.Random(31)
+    base = [f"t{i}" for i in range(150)]
+    rows = []
+    for i in range(250):  # a template, most of whose texts are not quite near enough
+        own = list(base)
+        for k in rng.sample(range(0, 150, 12), 7):
+            own[k] = f"v{k}x{rng.randrange(3)}"
+        rows.append((i, " ".join(own), None, None, 0))
+    want = brute_near(rows, 4)
+    groups = Counter(c for *_, c in want)
+    assert 20 < len(groups) < 240 and max(groups.values()) > 5
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, DOCS).repartition(3), 4).collect()
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == sorted(want)
+
+
+def test_neighbours_reach_over_borders(spark):
+    rng = np.random.default_rng(5)
+    sigs = rng.integers(0, 3, (60, near_dedup.SIGNATURE)).astype("<u2")
+    classes = spark.createDataFrame([(i, x.tobytes()) for i, x in enumerate(sigs)], "id long, sig binary")
+    found = []
+    for n in (1, 3, 40):
+        spark.conf.set("spark.sql.shuffle.partitions", str(n))
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        paths = near_dedup.map_arrow(classes, near_dedup._paths, "tree int, path binary, id long")
+        found.append({(r["a"], r["b"]) for r in near_dedup._near(paths).collect()})
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(found[0]) > 200 and found[0] == found[1] == found[2]
+
+
+def test_blocks_hold_all_pairs_of_different_groups(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BLOCK", 4)
+    rng = random.Random(2)
+    members = [(r, 100 * r + i, 100 * r + (0 if i < 9 * r else rng.randrange(30)), 10) for r in range(3) for i in range(30)]
+    blocks: dict = {}
+    for x in near_dedup._grid(spark.createDataFrame(members, "r long, id long, comp long, n long")).collect():
+        blocks.setdefault(x["block"], []).append(x)
+    met = set()
+    for rows in blocks.values():
+        two = len({x["side"] for x in rows}) > 1
+        met |= {(min(x["id"], y["id"]), max(x["id"], y["id"])) for x in rows for y in rows if x["comp"] != y["comp"] and (not two or x["side"] != y["side"])}
+    comp = {i: (r, c) for r, i, c, _ in members}
+    assert met == {(i, j) for i in comp for j in comp if i < j and comp[i][0] == comp[j][0] and comp[i] != comp[j]}
+
+
 def test_keep_one(docs, rows, none):
     kept = near_dedup.keep_one(docs).collect()
     want = {c for _, n, c in brute_near(rows, 5) if c is not None}
