@@ -1,9 +1,15 @@
 """Language identification in two steps: the family first, then languages within it.
 
 Texts become hashed byte bigrams and trigrams (square roots of counts, unit
-length).  Linear support vector machines (squared hinge), one against the rest,
-choose the family; others, one against the rest of the same family, choose the
-language.  A family of one language needs no second step.
+length).  Linear support vector machines (squared hinge), one family against the
+rest, choose the family.  Within it, a machine for each pair of languages is
+fitted on these two alone; the language with most wins is chosen, by the sum of
+its margins if several have as many.  A family of one language needs no second
+step.
+
+Families of common languages are given; a language that isn't among them joins
+the family of the language whose mean vector is nearest, if their cosine is
+``RELATED`` or more, and is a family of its own otherwise.
 
 The machines are fitted on a sample of at most about ``MAX_ROWS`` labelled
 documents (``PER_LANG`` a language), drawn by a hash of doc_id; documents whose
@@ -32,8 +38,10 @@ PER_LANG = 1500
 MAX_ROWS = 8000
 COST = 1.0
 DOCS_AT_ONCE = 2000
+RELATED = 0.8
+SLOPE = 6.0  # of the logistic curve that makes margins scores
 
-#: Families of languages (fixed values); a language not listed is a family of its own.
+#: Families of languages (fixed values).
 FAMILIES = {
     "germanic": ["af", "da", "de", "en", "fy", "is", "lb", "nl", "no", "sv", "yi"],
     "romance": ["ca", "es", "fr", "gl", "it", "oc", "pt", "ro"],
@@ -46,8 +54,19 @@ _ASCII_LETTER = np.zeros(256, dtype=bool)
 _ASCII_LETTER[65:91] = _ASCII_LETTER[97:123] = True
 
 
-def family(lang: str) -> str:
-    return next((name for name, members in FAMILIES.items() if lang in members), lang)
+def families(langs: np.ndarray, x: np.ndarray) -> dict[str, str]:
+    """The family of each language; those not listed go by their mean vectors."""
+    names = sorted(set(langs.tolist()))
+    listed = {v: name for name, members in FAMILIES.items() for v in members}
+    mean = np.stack([x[langs == v].mean(axis=0) for v in names])
+    mean /= np.maximum(np.linalg.norm(mean, axis=1, keepdims=True), 1e-9)
+    out: dict[str, str] = {v: listed[v] for v in names if v in listed}
+    for k, v in enumerate(names):
+        if v not in out:
+            near = [(mean[k] @ mean[names.index(u)], u) for u in out]
+            best, u = max(near, default=(0.0, v))
+            out[v] = out[u] if best >= RELATED else v
+    return out
 
 
 def _vectors(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -112,38 +131,53 @@ def _svm(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 class Model:
-    """Family weights, and for each family its languages and their weights."""
+    """Family weights, and for each family its languages and the weights of each pair of them."""
 
     def __init__(self, langs: list[str], x: np.ndarray):
-        self.langs = sorted(set(langs))
-        y = np.array(langs)
-        home = np.array([family(v) for v in langs])
-        self.families = sorted(set(home.tolist()))
-        self.top = self._fit(self.families, x, home)
-        self.members = {f: sorted({v for v in self.langs if family(v) == f}) for f in self.families}
-        self.within = {f: self._fit(m, x[home == f], y[home == f]) for f, m in self.members.items()}
-
-    @staticmethod
-    def _fit(names: list[str], x: np.ndarray, y: np.ndarray) -> np.ndarray | None:
-        if len(names) < 2:
-            return None
-        return np.stack([_svm(x, np.where(y == v, 1.0, -1.0)) for v in names])
-
-    @staticmethod
-    def _choose(weights: np.ndarray | None, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        if weights is None:
+        y = np.array(langs, dtype=object)
+        self.family = families(y, x)
+        home = np.array([self.family[v] for v in langs], dtype=object)
+        self.families = sorted(set(self.family.values()))
+        self.members = {f: sorted(v for v, name in self.family.items() if name == f) for f in self.families}
+        self.top = np.stack([_svm(x, np.where(home == f, 1.0, -1.0)) for f in self.families]) if len(self.families) > 1 else None
+        self.pairs = {}
+        for f, members in self.members.items():
+            for i, v in enumerate(members):
+                for j in range(i + 1, len(members)):
+                    mine = (y == v) | (y == members[j])
+                    self.pairs[f, i, j] = _svm(x[mine], np.where(y[mine] == v, 1.0, -1.0))
+
+    def _families(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if self.top is None:
             return np.zeros(len(x), dtype=np.int64), np.ones(len(x))
-        margin = x @ weights[:, :-1].T + weights[:, -1]
-        share = np.exp(3 * (margin - margin.max(axis=1, keepdims=True)))
+        margin = x @ self.top[:, :-1].T + self.top[:, -1]
+        share = np.exp(SLOPE / 2 * (margin - margin.max(axis=1, keepdims=True)))
         best = margin.argmax(axis=1)
         return best, share[np.arange(len(x)), best] / share.sum(axis=1)
 
+    def _within(self, name: str, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        n = len(self.members[name])
+        wins, margins, chance = (np.zeros((len(x), n)) for _ in range(3))
+        for i in range(n):
+            for j in range(i + 1, n):
+                w = self.pairs[name, i, j]
+                margin = x @ w[:-1] + w[-1]
+                wins[:, i] += margin >= 0
+                wins[:, j] += margin < 0
+                margins[:, i] += margin
+                margins[:, j] -= margin
+                p = 1 / (1 + np.exp(-SLOPE * margin))
+                chance[:, i] += p
+                chance[:, j] += 1 - p
+        best = np.lexsort((margins, wins), axis=1)[:, -1]
+        return best, chance[np.arange(len(x)), best] / (n - 1) if n > 1 else np.ones(len(x))
+
     def predict(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        which, score = self._choose(self.top, x)
+        which, score = self._families(x)
         out = np.full(len(x), "und", dtype=object)
         for k, name in enumerate(self.families):
             mine = which == k
-            lang, share = self._choose(self.within[name], x[mine])
+            lang, share = self._within(name, x[mine])
             out[mine] = np.array(self.members[name], dtype=object)[lang]
             score[mine] *= share
         return out, score
