@@ -11,7 +11,9 @@
     are merged; others stay apart.
 4.  A template's purity is the share of bad labels among its labelled pages,
     smoothed towards its host's, which is smoothed towards the overall share.
-    Templates of a purity of ``REJECT`` or more are blocked.
+    A template is blocked if the odds of a bad page are ``LIFT`` times the
+    overall odds or more.  Without labels all purities are alike and nothing is
+    blocked.
 
 The tree is built on counts by host and path shape, which partial sums shrink
 before any shuffle; a hot host is a few rows there.  Pages meet their template
@@ -19,12 +21,13 @@ by a join on host and shape.
 
 A null url, or one without ``://``, has an empty host and path and is judged as
 such.  Null labels count as none.  Repeated rows count as often as they occur.
-Extra columns are ignored.
+Paths of any depth are handled; levels that no host can change are left out.  A
+fan of exactly ``FANOUT`` stays.  Extra columns are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import small, written
@@ -34,7 +37,7 @@ RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "exa
 FANOUT = 20
 ALIKE = 2.0
 STRENGTH = 10.0
-REJECT = 0.5
+LIFT = 2.0
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -54,7 +57,8 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
         fits = ((host == of) | host.endswith(f".{of}")) & path.startswith(begin)
         name = F.when(fits, F.lit(of + begin)) if name is None else name.when(fits, F.lit(of + begin))
         verdict = F.when(fits, F.lit(kind)) if verdict is None else verdict.when(fits, F.lit(kind))
-    return name, verdict
+    none = F.lit(None).cast("string")
+    return none if name is None else name, none if verdict is None else verdict
 
 
 def shape_of(path: Column) -> Column:
@@ -73,18 +77,26 @@ def _node(upto: int) -> Column:
     return F.array_join(F.slice("template", 1, upto), "/")
 
 
+def _levels(t: DataFrame) -> tuple[int, int]:
+    """Up to which level any node of the shapes can have too many children, and any two branches can be merged."""
+    sizes = t.groupBy("host", F.size("shape").alias("size")).agg(F.count("*").alias("c"))
+    reach = sizes.withColumn("r", F.sum("c").over(Window.partitionBy("host").orderBy(F.desc("size"))))  # shapes of that size or more
+    found = reach.agg(F.max(F.when(F.col("r") > FANOUT, F.col("size"))).alias("wide"), F.max(F.when(F.col("c") > 1, F.col("size"))).alias("alike")).first()
+    return found["wide"] or 0, found["alike"] or 0
+
+
 def build_templates(pages: DataFrame) -> DataFrame:
-    """(host, shape, template, purity) from ``pages`` (host, shape, good, bad): counts by host and shape."""
+    """(host, shape, template, purity, lift) from ``pages`` (host, shape, good, bad): counts by host and shape."""
     t = written(pages.groupBy("host", "shape").agg(F.count("*").alias("n"), F.sum("good").alias("good"), F.sum("bad").alias("bad")).withColumn("template", F.col("shape")), "shapes")
-    depth = t.agg(F.coalesce(F.max(F.size("shape")), F.lit(0)).alias("d")).first()["d"]
+    wide_depth, alike_depth = _levels(t)
     wild = lambda level: F.transform("template", lambda x, k: F.when(k == level, F.lit("*")).otherwise(x))
-    for level in range(1, depth):  # the segment before the first slash is empty
+    for level in range(1, wide_depth):  # the segment before the first slash is empty
         child = F.get("template", F.lit(level))
         keyed = t.withColumns({"_node": _node(level), "_child": child})
         wide = keyed.filter("_child is not null").select("host", "_node", "_child").distinct().groupBy("host", "_node").agg(F.count("*").alias("_fan"))
         t = keyed.join(wide, ["host", "_node"], "left").withColumn("template", F.when(F.col("_fan") > FANOUT, wild(level)).otherwise(F.col("template"))).drop("_node", "_child", "_fan")
         t = written(t, "grown")  # each level is written, so that plans stay short whatever the depth
-    for level in range(1, depth):
+    for level in range(1, alike_depth):
         rest = F.array_join(wild(level), "/")
         keyed = t.withColumns({"_rest": F.concat(F.size("template").cast("string"), F.lit(":"), rest), "_child": F.get("template", F.lit(level))})
         branch = keyed.filter("_child is not null").groupBy("host", "_rest", "_child").agg(F.sum("good").alias("g"), F.sum("bad").alias("b"))
@@ -99,15 +111,16 @@ def build_templates(pages: DataFrame) -> DataFrame:
     sums = t.groupBy("host", "template").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
     hosts = sums.groupBy("host").agg(F.sum("good").alias("hg"), F.sum("bad").alias("hb"))
     total = sums.agg(F.coalesce(F.sum("good"), F.lit(0)).alias("g"), F.coalesce(F.sum("bad"), F.lit(0)).alias("b")).first()
-    overall = total["b"] / max(1, total["g"] + total["b"])
+    overall = (total["b"] + 1) / (total["g"] + total["b"] + 2)
     of_host = (F.col("hb") + STRENGTH * overall) / (F.col("hg") + F.col("hb") + STRENGTH)
     purity = (F.col("bad") + STRENGTH * of_host) / (F.col("good") + F.col("bad") + STRENGTH)
     judged = sums.join(hosts, "host").select("host", "template", purity.alias("purity"))
-    return written(t.select("host", "shape", "template").join(judged, ["host", "template"]).select("host", "shape", F.array_join("template", "/").alias("template"), "purity"), "templates")
+    judged = judged.withColumn("lift", F.col("purity") * (1 - overall) / ((1 - F.col("purity")) * overall))  # purity is under 1, as overall is
+    return written(t.select("host", "shape", "template").join(judged, ["host", "template"]).select("host", "shape", F.array_join("template", "/").alias("template"), "purity", "lift"), "templates")
 
 
 def filter_urls(pages: DataFrame, labels: DataFrame, rules=RULES) -> DataFrame:
-    """page_id, host, path, rule, verdict, template and purity for each row of ``pages`` (page_id, url).
+    """page_id, host, path, rule, verdict, template, purity and lift for each row of ``pages`` (page_id, url).
 
     ``labels`` has page_id and bad (boolean); several labels of a page all count.
     """
@@ -118,8 +131,8 @@ def filter_urls(pages: DataFrame, labels: DataFrame, rules=RULES) -> DataFrame:
     templates = build_templates(counted)
     both = split.join(small(templates, most=100_000), ["host", "shape"], "left")
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    own = F.when(F.col("purity") >= REJECT, F.lit("block")).otherwise(F.lit("allow"))
-    return both.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, own).alias("verdict"), "template", F.round("purity", 6).alias("purity"))
+    own = F.when(F.col("lift") >= LIFT, F.lit("block")).otherwise(F.lit("allow"))
+    return both.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, own).alias("verdict"), "template", F.round("purity", 6).alias("purity"), F.round("lift", 6).alias("lift"))
 
 
 def labels_by_path(pages: DataFrame, labels: DataFrame) -> DataFrame:

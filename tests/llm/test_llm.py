@@ -374,6 +374,72 @@ def test_language(spark):
     assert {r["lang_pred"] for r in langid.identify(df.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def _three_languages(rng):
+    bits = {"da": ["sk", "ede", "ig", "er", "af", "oe"], "no": ["sk", "ede", "ig", "er", "av", "oy"], "sv": ["sk", "ade", "ig", "ar", "av", "oj"], "tlh": ["q", "x", "zz", "wk", "vv", "jj"]}
+    make = lambda lang: " ".join("".join(rng.choices(bits[lang], k=3)) for _ in range(12))
+    langs = rng.choices(list(bits), k=240)
+    return [make(x) for x in langs], langs
+
+
+def _slow_svm(x, y):
+    """The same machine by plain gradient descent."""
+    x, w = np.hstack([x, np.ones((len(x), 1))]), np.zeros(x.shape[1] + 1)
+    step = 1 / (1 + 2 * langid.COST * np.linalg.norm(x, 2) ** 2)
+    for _ in range(6000):
+        short = np.maximum(0, 1 - y * (x @ w))
+        w -= step * (w - 2 * langid.COST * x.T @ (y * short))
+    return w
+
+
+def test_related_languages_one_against_one():
+    import pyarrow as pa
+
+    texts, langs = _three_languages(random.Random(11))
+    x = np.concatenate([v for *_, v, _ in langid._vectors(pa.array(texts))])
+    model = langid.Model(langs[:160], x[:160])
+    assert model.members["germanic"] == ["da", "no", "sv"] and len(model.pairs) == 3 and model.family["tlh"] == "tlh"
+    names, train = model.members["germanic"], np.array(langs[:160])
+    pairs = {}
+    for i, j in ((0, 1), (0, 2), (1, 2)):
+        mine = (train == names[i]) | (train == names[j])
+        pairs[i, j] = _slow_svm(x[:160][mine], np.where(train[mine] == names[i], 1.0, -1.0))
+        assert np.allclose(pairs[i, j], model.pairs["germanic", i, j], atol=2e-3)
+    got, score = model.predict(x[160:])
+    for k, want in enumerate(langs[160:]):
+        if want == "tlh":
+            assert got[k] == "tlh"
+            continue
+        wins, total = Counter(), Counter()
+        for (i, j), w in pairs.items():
+            m = x[160 + k] @ w[:-1] + w[-1]
+            wins[i if m >= 0 else j] += 1
+            total[i] += m
+            total[j] -= m
+        assert got[k] == names[max(wins, key=lambda i: (wins[i], total[i]))]
+    assert np.mean(got == np.array(langs[160:], dtype=object)) > 0.9 and ((score >= 0) & (score <= 1)).all()
+
+
+def test_unlisted_languages_join_the_nearest_family():
+    rng = np.random.default_rng(3)
+    base = rng.random((2, 50))
+    x = np.concatenate([base[[0]] + 0.05 * rng.random((20, 50)), base[[0]] + 0.05 * rng.random((20, 50)), base[[1]] * (rng.random(50) < 0.3) + np.eye(50)[:20]])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    found = langid.families(np.array(["de"] * 20 + ["gsw"] * 20 + ["xx"] * 20, dtype=object), x)
+    assert found == {"de": "germanic", "gsw": "germanic", "xx": "xx"}
+
+
+def test_language_of_odd_rows(spark):
+    texts, langs = _three_languages(random.Random(12))
+    rows = [(i, t, x, 1, 0.5, "k") for i, (t, x) in enumerate(zip(texts, langs, strict=True))]
+    rows += [rows[3], rows[3], (900, texts[0] + " " + " ".join(texts) * 300, None, 1, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, held_out int, score double, lang_pred string")
+    got = langid.identify(df).collect()
+    assert len(got) == len(rows) and len({tuple(r) for r in got if r["doc_id"] == 3}) == 1 and got[0].asDict().keys() == {"doc_id", "held_out", "lang_pred", "score"}
+    assert next(r for r in got if r["doc_id"] == 900)["lang_pred"] in set(langs)
+    none = df.limit(0)
+    assert langid.identify(none).count() == 0
+
+
 def test_url_rules(spark):
     urls = {
         "https://A.Example.org/es/1": ("a.example.org", "/es/1", "example.org/es/", "block"), "http://example.org/en/12?x": ("example.org", "/en/12", "example.org/en/1", "block"), "http://x.org/q": ("x.org", "/q", "org/", "allow"),
@@ -396,6 +462,81 @@ def test_url_templates(spark):
     assert verdict == {("/shop/*.html", "block"), ("/news/*.html", "allow"), ("/tag/*", "allow")}
 
 
+def brute_templates(shapes, good, bad):
+    """Templates and their lift, by host and shape, step by step."""
+    hosts = {h for h, _ in shapes}
+    template = {x: list(x[1]) for x in shapes}
+    deepest = max(len(s) for _, s in shapes)
+    for host in hosts:
+        own = [x for x in shapes if x[0] == host]
+        for level in range(1, deepest):
+            nodes: dict = {}
+            for x in own:
+                if len(x[1]) > level:
+                    nodes.setdefault(tuple(template[x][:level]), set()).add(template[x][level])
+            wide = {n for n, children in nodes.items() if len(children) > url_filter.FANOUT}
+            for x in own:
+                if len(x[1]) > level and tuple(template[x][:level]) in wide:
+                    template[x] = [*template[x][:level], "*", *template[x][level + 1 :]]
+        for level in range(1, deepest):
+            branches: dict = {}
+            for x in own:
+                if len(x[1]) > level:
+                    t = template[x]
+                    at = branches.setdefault((len(t), *t[:level], "*", *t[level + 1 :]), {}).setdefault(t[level], [0, 0])
+                    at[0] += good[x]
+                    at[1] += bad[x]
+            merged = set()
+            for rest, children in branches.items():
+                all_bad, m = sum(b for _, b in children.values()), sum(g + b for g, b in children.values())
+                p = all_bad / max(m, 1)
+                for child, (g, b) in children.items():
+                    if len(children) > 1 and (g + b == 0 or abs(b / (g + b) - p) <= url_filter.ALIKE * (max(p * (1 - p), 0.01) / (g + b)) ** 0.5):
+                        merged.add((rest, child))
+            for x in own:
+                t = template[x]
+                if len(t) > level and ((len(t), *t[:level], "*", *t[level + 1 :]), t[level]) in merged:
+                    template[x] = [*t[:level], "*", *t[level + 1 :]]
+    k, of = url_filter.STRENGTH, Counter()
+    for x in shapes:
+        for key in ((), x[0], (x[0], tuple(template[x]))):
+            of[key, 0] += good[x]
+            of[key, 1] += bad[x]
+    overall = (of[(), 1] + 1) / (of[(), 0] + of[(), 1] + 2)
+    out = {}
+    for x in shapes:
+        host = (of[x[0], 1] + k * overall) / (of[x[0], 0] + of[x[0], 1] + k)
+        key = (x[0], tuple(template[x]))
+        p = (of[key, 1] + k * host) / (of[key, 0] + of[key, 1] + k)
+        out[x] = ("/".join(template[x]), p, p / (1 - p) * (1 - overall) / overall)
+    return out
+
+
+def test_url_templates_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(url_filter, "FANOUT", 3)
+    rng = random.Random(17)
+    names = ["blog", "shop", "tag", "a", "b", "c", "d", "e", "f", "12", "deadbeef01", "x.html", "y.html", "7.html", ""]
+    rows = [(i, f"http://{rng.choice(['h.net', 'i.net', 'j.net'])}/" + "/".join(rng.choices(names, k=rng.randrange(1, 9)))) for i in range(600)]
+    rows += [rows[0], (5000, "http://h.net/" + "/".join("q" * 300)), (5001, "http://h.net/" + "z" * 20_000), (5002, None), (5003, "http://k.net")]
+    labels = [(i, (i * 7919 % 100) < (70 if "/shop" in u else 15)) for i, u in rows[:400]] + [(3, True), (None, True), (4, None)]
+    pages = spark.createDataFrame([(*x, "t", 0.5) for x in rows], "page_id long, url string, template string, lift double")
+    got = url_filter.filter_urls(pages, spark.createDataFrame(labels, "page_id long, bad boolean"), rules=[]).collect()
+    split = url_filter.shape_of(url_filter.path_of(F.col("url")))
+    shape = [((r["h"], tuple(r["s"])), r["page_id"]) for r in pages.select("page_id", url_filter.host_of(F.col("url")).alias("h"), split.alias("s")).collect()]
+    good, bad = Counter(), Counter()
+    for x, page in shape:
+        for i, b in labels:
+            if i is not None and i == page and b is not None:
+                (bad if b else good)[x] += 1
+    want = brute_templates({x for x, _ in shape}, good, bad)
+    assert len(got) == len(rows) and len({r["verdict"] for r in got}) == 2
+    of = {page: want[x] for x, page in shape}
+    for r in got:
+        name, purity, lift = of[r["page_id"]]
+        assert r["template"] == name and r["purity"] == pytest.approx(purity, abs=1e-6) and r["lift"] == pytest.approx(lift, abs=1e-5)
+        assert r["verdict"] == ("block" if lift >= url_filter.LIFT else "allow")
+
+
 def test_url_templates_of_deep_paths(spark):
     title = lambda i: f"{chr(97 + i % 26)}{chr(97 + i // 26)}x"
     rows = [(100 * k + i, f"http://h.net/{part}/2024/01/02/a/b/{title(i)}/c/{title(i)}") for k, part in enumerate(("en/blog", "en/news")) for i in range(60)]
