@@ -14,7 +14,7 @@ documents count, however many there are.  Those that occur once have no count
 left once their own document's is taken off, so that only the rest is kept,
 which changes no score.
 
-1.  Documents go into blocks of some 2 MB of text; a block lists its distinct
+1.  Documents go into blocks of some 1 MB of text; a block lists its distinct
     words and bigrams (by 63-bit hashes) and which of them stands where.
 2.  The blocks' counts are summed by key, with partial sums before the shuffle.
 3.  Each block asks for its keys by a shuffled join; a common key is asked for
@@ -39,52 +39,47 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_arrow, small, written
-from .tokens import _MULT, NON_SPACE, hash_words, mix, text_runs
+from .tokens import _MULT, NON_SPACE, count_words, hash_words, mix, text_runs
 
 LEAST = 2  # occurrences of a known word
 PRIOR = 0.5  # added to each word's count
 MASS = 1.0  # weight of the word's own probability against the counts after the word before
 DIGITS = 6
-#: What a block holds: documents (id, whether it has one, target, place of their first word), keys with their counts, and the key of each word and bigram (-1: none).
-PARTS = {"ids": "<i8", "valid": "<u1", "target": "<u1", "first": "<i8", "keys": "<i8", "n": "<i8", "good": "<i8", "word": "<i4", "pair": "<i4"}
+#: What a packed block holds: documents (id, whether it has one, target, where their text begins) and the texts.
+PARTS = {"ids": "<i8", "valid": "<u1", "target": "<u1", "starts": "<i8", "text": "<u1"}
+
+
+def _pack(*parts: np.ndarray) -> bytes:
+    parts = [np.ascontiguousarray(x, dtype=kind) for x, kind in zip(parts, PARTS.values(), strict=True)]
+    return b"".join([np.array([x.nbytes for x in parts], dtype="<i8").tobytes(), *[x.tobytes() for x in parts]])
 
 
 class Block:
     """Some documents as places in a sorted list of n-gram keys; odd keys are bigrams."""
 
-    def __init__(self, **parts: np.ndarray):
-        for name, kind in PARTS.items():
-            setattr(self, name, np.ascontiguousarray(parts[name], dtype=kind))
-
-    @classmethod
-    def of(cls, buf: np.ndarray, starts: np.ndarray, ids: np.ndarray, valid: np.ndarray, target: np.ndarray) -> Block:
-        words = hash_words(buf, starts, NON_SPACE)
+    def __init__(self, data: pa.BinaryScalar):
+        buf = data.as_buffer()
+        edges = np.cumsum([8 * len(PARTS), *np.frombuffer(buf, "<i8", len(PARTS))])
+        parts = [np.frombuffer(buf[int(a) : int(b)], kind) for kind, a, b in zip(PARTS.values(), edges[:-1], edges[1:], strict=True)]
+        self.ids, self.valid, self.target, starts, text = parts
+        words = hash_words(text, starts, NON_SPACE)
+        self.first = words.first
         later = np.ones(len(words.hash), dtype=bool)
         later[words.first[:-1][words.first[:-1] < len(later)]] = False
         at = np.flatnonzero(later)
         pairs = mix(words.hash[at - 1] * _MULT + words.hash[at]) | np.uint64(1)
         both = np.concatenate([mix(words.hash) & ~np.uint64(1), pairs]).view(np.int64)
-        keys, place, n = np.unique(both, return_inverse=True, return_counts=True)
-        pair = np.full(len(words.hash), -1)
-        pair[at] = place[len(words.hash) :]
-        own = np.repeat(target, np.diff(words.first))
-        good = np.bincount(place[np.concatenate([own, own[at]])], minlength=len(keys))
-        return cls(ids=ids, valid=valid, target=target, first=words.first, keys=keys, n=n, good=good, word=place[: len(words.hash)], pair=pair)
-
-    def pack(self) -> bytes:
-        parts = [getattr(self, x) for x in PARTS]
-        return b"".join([np.array([x.nbytes for x in parts], dtype="<i8").tobytes(), *[x.tobytes() for x in parts]])
-
-    @classmethod
-    def unpack(cls, data: bytes) -> Block:
-        edges = np.cumsum([8 * len(PARTS), *np.frombuffer(data, "<i8", len(PARTS))])
-        return cls(**{x: np.frombuffer(data[a:b], kind) for (x, kind), a, b in zip(PARTS.items(), edges[:-1], edges[1:], strict=True)})
+        self.keys, place, self.n = np.unique(both, return_inverse=True, return_counts=True)
+        self.word, self.pair = place[: len(words.hash)], np.full(len(words.hash), -1)
+        self.pair[at] = place[len(words.hash) :]
+        own = np.repeat(self.target.astype(bool), np.diff(words.first))
+        self.good = np.bincount(place[np.concatenate([own, own[at]])], minlength=len(self.keys))
 
     def losses(self, found: np.ndarray, n: np.ndarray, good: np.ndarray, totals: dict) -> list[np.ndarray]:
         """For the target and the background model, the loss of each word; ``found`` are the keys with counts to tell."""
         doc = np.repeat(np.arange(len(self.ids)), np.diff(self.first))
         inner = np.flatnonzero(self.pair >= 0)
-        word, pair = self.word.astype(np.int64), self.pair[inner].astype(np.int64)
+        word, pair = self.word, self.pair[inner]
         place = np.searchsorted(self.keys, found)
         known = np.zeros(len(self.keys), dtype=bool)
         known[place] = n >= LEAST
@@ -119,16 +114,16 @@ def _blocks(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     """doc_id, target, text: packed blocks, each with its number of words, and of those in target documents."""
     ids = batch.column(0)
     valid, values = ids.is_valid().to_numpy(zero_copy_only=False), ids.fill_null(0).to_numpy()
-    target = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
+    target = batch.column(1).to_numpy(zero_copy_only=False)
     for i, j, buf, starts in text_runs(batch.column(2)):
-        block = Block.of(buf, starts, values[i:j], valid[i:j], target[i:j])
-        n = np.diff(block.first)
-        yield pa.record_batch([pa.array([block.pack()], pa.binary()), pa.array([int(n.sum())]), pa.array([int(n[target[i:j]].sum())])], ["data", "n", "good"])
+        n = count_words(buf, starts, NON_SPACE)
+        packed = _pack(values[i:j], valid[i:j], target[i:j], starts, buf)
+        yield pa.record_batch([pa.array([packed], pa.binary()), pa.array([int(n.sum())]), pa.array([int(n[target[i:j].astype(bool)].sum())])], ["data", "n", "good"])
 
 
 def _keys(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     for number, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-        block = Block.unpack(data.as_py())
+        block = Block(data)
         yield pa.record_batch([pa.array(np.full(len(block.keys), number)), pa.array(block.keys), pa.array(block.n), pa.array(block.good)], ["block", "key", "n", "good"])
 
 
@@ -158,7 +153,7 @@ def _scored(totals: dict):
                 if b < batch.num_rows:
                     if block is not None:
                         yield result(block, answers)
-                    block, answers = Block.unpack(data[int(b)].as_py()), []
+                    block, answers = Block(data[int(b)]), []
         if block is not None:
             yield result(block, answers)
 
@@ -170,10 +165,10 @@ def count_ngrams(blocks: DataFrame) -> tuple[DataFrame, dict]:
     asked = map_arrow(blocks.select("block", "data"), _keys, KEYS)
     counts = asked.groupBy("key").agg(F.sum("n").alias("n"), F.sum("good").alias("good")).filter(F.col("n") >= LEAST)
     counts = written(counts, "counts")
-    of_words = counts.filter(F.col("key").bitwiseAND(1) == 0)
-    known = of_words.agg(F.count("*").alias("vocabulary"), *[F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in ("n", "good")]).first()
-    totals = blocks.agg(*[F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in ("n", "good")]).first().asDict()
-    return counts, totals | {"vocabulary": known["vocabulary"], "unknown_n": totals["n"] - known["n"], "unknown_good": totals["good"] - known["good"]}
+    sums = [F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in ("n", "good")]
+    known = counts.filter(F.col("key").bitwiseAND(1) == 0).agg(F.count("*").alias("vocabulary"), *sums).first()
+    totals = blocks.agg(*sums).first().asDict()
+    return counts, totals | {"vocabulary": known["vocabulary"]} | {f"unknown_{x}": totals[x] - known[x] for x in ("n", "good")}
 
 
 def score(docs: DataFrame, good: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 
-CHUNK_BYTES = 2_000_000  # texts are hashed in runs of about so many bytes
+CHUNK_BYTES = 1_000_000  # texts are hashed in runs of about so many bytes
 LONG_WORD = 1024
 
 _MULT = np.uint64(0x9E3779B97F4A7C15)
@@ -70,6 +70,20 @@ class Words:
         self.start, self.end, self.hash, self.first = start, end, hashes, first
 
 
+def _opens(inside: np.ndarray, text_start: np.ndarray) -> np.ndarray:
+    """Whether a word begins at a byte."""
+    opens = inside.copy()
+    opens[1:] &= ~inside[:-1]
+    inner = text_start[(text_start > 0) & (text_start < len(inside))]
+    opens[inner] = inside[inner]
+    return opens
+
+
+def count_words(buf: np.ndarray, text_start: np.ndarray, in_word: np.ndarray) -> np.ndarray:
+    """The number of words of each text."""
+    return np.diff(np.concatenate([[0], np.cumsum(_opens(in_word[buf], text_start))])[text_start])
+
+
 def hash_words(buf: np.ndarray, text_start: np.ndarray, in_word: np.ndarray, lower: bool = True) -> Words:
     """Words of the texts ``buf[text_start[i]:text_start[i+1]]``; ``first`` has one entry more than texts."""
     n = len(buf)
@@ -79,12 +93,8 @@ def hash_words(buf: np.ndarray, text_start: np.ndarray, in_word: np.ndarray, low
         empty = np.zeros(0, dtype=np.int64)
         return Words(buf, text_start, empty, empty, np.zeros(0, dtype=np.uint64), np.zeros(len(text_start), dtype=np.int64))
     inside = in_word[buf]
-    before = np.empty(n, dtype=bool)
-    before[0] = False
-    before[1:] = inside[:-1]
+    opens = _opens(inside, text_start)
     inner = text_start[(text_start > 0) & (text_start < n)]
-    opens = inside & ~before
-    opens[inner] = inside[inner]
     start = np.flatnonzero(opens)
     closes = np.empty(n, dtype=bool)
     closes[-1] = inside[-1]
