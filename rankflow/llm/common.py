@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Rows of a narrow table (a few numbers a row) that may be broadcast; beyond it a shuffled join is used.
 BROADCAST_ROWS = 1_000_000
+#: Edges whose components one task finds; more are dealt out.
+EDGES_AT_ONCE = 100_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,19 +61,40 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), "[ \\t\\n\\x0b\\x0c\\r]+"), "")
 
 
+def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, label) of a table of edges by union-find."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while parent.setdefault(x, x) != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for batch in batches:
+        for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            high, low = root(u), root(v)
+            if high != low:
+                parent[max(high, low)] = min(high, low)
+    yield pa.record_batch([pa.array(list(parent), pa.int64()), pa.array([root(x) for x in parent], pa.int64())], ["node", "label"])
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """Connected components of undirected ``edges`` on comparable ids: (node, label), label the least id reached.
+    """Connected components of undirected ``edges`` on ids of type long: (node, label), label the least id reached.
 
-    Alternates large-star and small-star steps until the edges form stars; the
-    number of rounds grows with the logarithm of the component size.  A hub
-    only meets joins (whose skewed partitions Spark splits) and partial
-    aggregates.  Each round is written to the shared folder.
+    Up to ``EDGES_AT_ONCE`` edges go through one task.  More alternate large-star
+    and small-star steps until the edges form stars; the number of rounds grows
+    with the logarithm of the component size.  A hub only meets joins (whose
+    skewed partitions Spark splits) and partial aggregates.  Each round is
+    written to the shared folder.  Either way gives the same labels.
     """
-    e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct()
+    e = edges.select(F.greatest(a, b).cast("long").alias("u"), F.least(a, b).cast("long").alias("v")).filter("u <> v").distinct()
     e = written(e, "cc")
     before = None
     while True:
         state = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
+        if before is None and 0 < state["n"] <= EDGES_AT_ONCE:
+            return e.coalesce(1).mapInArrow(_united, "node long, label long")
         if state == before or state["n"] == 0:
             break
         before = state
@@ -82,6 +105,4 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         stars = large.join(least, "u")
         small_star = stars.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = written(small_star.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "cc")
-    return e.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(
-        e.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct()
-    )
+    return e.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
