@@ -648,7 +648,9 @@ def brute_losses(texts, good):
 
 
 def test_cross_entropy_difference(spark, none, rows, monkeypatch):
-    monkeypatch.setattr(lm_score, "text_runs", lambda column: text_runs(column, 400))  # several blocks
+    monkeypatch.setattr(lm_score, "BLOCK_BYTES", 400)  # several blocks and ranges
+    monkeypatch.setattr(lm_score, "RANGE_KEYS", 900)
+    monkeypatch.setattr(lm_score, "text_runs", lambda column, most=150: text_runs(column, most))
     texts = ["a b a c", "a b b", "q q a", None, " ", "A b a c", "only here and q", "x", "", "a b a c", "long " * 3000 + "tail", *[r[1] for r in rows[:12]]]
     ids = [None if i == 6 else i // 2 if i > 8 else i for i in range(len(texts))]
     good = [(1,), (2,), (1,), (None,), (7,), (10,)]
@@ -666,6 +668,11 @@ def test_cross_entropy_difference(spark, none, rows, monkeypatch):
     assert lm_score.score(none, none).count() == 0
 
 
+def test_packed_counts_round_trip():
+    for x in ([], [0], [255], [254, 255, 256, 1, 10**12, 0]):
+        assert lm_score._unpack_counts(lm_score._pack_counts(np.array(x, dtype=np.int64))).tolist() == x
+
+
 def test_copies_are_told_apart_by_the_background(spark):
     rng = random.Random(20)
     texts = [" ".join(rng.choices(WORDS, k=80)) for _ in range(60)]
