@@ -53,8 +53,8 @@ MIN_DEPTH = 3
 WINDOW = 4
 DENSE = 16  # classes of one label, from which on hubs are used
 HUBS = 8
-BLOCK = 1500  # classes of each side of a block
-BLOCK_BYTES = 16_000_000  # and their sets
+BLOCK = 400  # classes of each side of a block
+BLOCK_BYTES = 8_000_000  # and their sets
 
 _RNG = np.random.default_rng(71)
 _FACTORS = _RNG.integers(0, 2**31, SIGNATURE, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
