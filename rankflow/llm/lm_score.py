@@ -51,7 +51,7 @@ LEAST = 2  # occurrences of a known word
 PRIOR = 0.5  # added to each word's count
 MASS = 1.0  # weight of the word's own probability against the counts after the word before
 DIGITS = 6
-BLOCK_BYTES = 8_000_000  # text of a block
+BLOCK_BYTES = 4_000_000  # text of a block
 RANGE_KEYS = 1_000_000  # keys of all blocks that a range gets, at most on average
 #: What a packed block holds: documents (id, whether it has one, target, where their text begins) and the texts.
 PARTS = {"ids": "<i8", "valid": "<u1", "target": "<u1", "starts": "<i8", "text": "<u1"}
