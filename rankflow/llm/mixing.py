@@ -2,51 +2,66 @@
 
 Documents fall into cells of source, language and topic.  Starting from the
 cells' tokens, weights are raked in turn to the target shares of the sources,
-the languages and the topics, for a fixed number of rounds.  Documents are then
-sampled: a cell's probability is min(1, s * weight / tokens), where the common
-factor s is calibrated so that the expected tokens meet the budget although
-some cells are used up.
+the languages and the topics, until a round changes no weight by more than
+``TOLERANCE`` (of itself), or for ``ROUNDS`` rounds where the targets contradict
+each other.  Documents are then sampled: a cell's probability is
+min(1, s * weight / tokens), where the common factor s is calibrated, cell after
+cell that it uses up, so that the expected tokens meet the budget.
 
 Default targets temper the tokens' shares (a power under 1), so that hot
-sources lose weight and rare ones gain.  The topic is a column of the caller's
-or, by default, the form of the text.
+sources lose weight and rare ones gain.  Named values have the share that is
+asked for, and the others divide the rest by their tempered shares; if nothing
+is left for them, or all are named, the named shares are scaled to 1.
+
+The topic is a column of the caller's or, by default, a keyword of the text:
+the ``TOPICS`` words of a language that most of its documents hold, among those
+in a part of ``MOST`` at most, are its topics, and a document has the one that
+it repeats most (of equal ones the last by the alphabet), or none.  Document
+counts of words come from all documents.  Such topics belong to a language, so
+that their targets divide the language's.
 
 Only DataFrame functions are used.  A hot source, language or topic meets only
 partial sums; raking works on the table of cells.  Draws come from a digest of
 doc_id and text, so repeated rows share one decision and a rerun gives the same
-sample.  Null source, language and topic are values of their own; null and
-blank texts have no token, weight 0 and probability 1 in no budget: they are
-kept only if the budget is not short (probability as of their cell, 1 for a
-cell without tokens).
+sample.  Null source, language and topic are values of their own.  Null and
+blank texts have no token; they share the probability of their cell, and a cell
+without any token has weight 0 and probability 1, so that its documents, which
+cost nothing, are all kept.  Extra columns stay untouched.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import small, words_of, written
 
 MARGINS = ("source", "lang", "topic")
 POWER = {"source": 0.5, "lang": 0.7, "topic": 0.8}
-ROUNDS = 6
-FIXES = 4
+ROUNDS = 20
+TOLERANCE = 0.001
+TOPICS = 8
+MOST = 0.05  # of a language's documents
 BUDGET = 0.8  # tokens to keep, as a part of all
 SEED = "mix-1"
 DRAWS = 2**48
 
 
-def text_form(text: Column, words: Column) -> Column:
-    """The default topic: what the text looks like."""
-    bars = F.length(text) - F.length(F.translate(text, "|", ""))
-    marks = F.length(text) - F.length(F.translate(text, "#*$%&<>", ""))
-    return (
-        F.when(4 * bars > words, F.lit("table"))
-        .when(2 * marks > words, F.lit("markup"))
-        .when(words < 100, F.lit("short"))
-        .when(words < 1000, F.lit("prose"))
-        .otherwise(F.lit("long"))
-    )
+def topic_words(docs: DataFrame) -> DataFrame:
+    """(lang, topics) from ``docs`` (lang, words): the keywords of each language."""
+    size = docs.groupBy("lang").agg((F.count("*") * F.lit(MOST)).alias("most"))
+    counts = docs.select("lang", F.explode(F.array_distinct("words")).alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n"))
+    fit = counts.join(small(written(size, "langs")), "lang").filter("n <= most")
+    order = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
+    best = fit.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= TOPICS)
+    return written(best.groupBy("lang").agg(F.collect_list("word").alias("topics")), "topics")
+
+
+def keyword(words: Column, topics: Column) -> Column:
+    """The topic of a text: the keyword that occurs most; null if none does."""
+    found = F.filter(words, lambda w: F.array_contains(topics, w))
+    counted = F.transform(F.array_distinct(found), lambda w: F.struct(F.size(F.filter(found, lambda x: x == w)).alias("n"), w.alias("word")))
+    return F.array_max(counted)["word"]
 
 
 def _digest(doc_id: Column, text: Column) -> Column:
@@ -54,27 +69,55 @@ def _digest(doc_id: Column, text: Column) -> Column:
     return F.conv(F.substring(F.md5(joined.cast("binary")), 1, 12), 16, 10).cast("long")
 
 
-def rake(cells: DataFrame, rounds: int = ROUNDS, power: dict[str, float] | None = None, targets: dict[str, dict[str, float]] | None = None) -> DataFrame:
+def goal_shares(cells: DataFrame, margin: str, power: float, named: dict[str, float] | None = None) -> DataFrame:
+    """(margin, goal): the target share of each value, 1 in all."""
+    goal = cells.groupBy(margin).agg(F.pow(F.sum("tokens").cast("double"), F.lit(float(power))).alias("g"))
+    given = F.lit(None).cast("double")
+    if named:
+        shares = F.create_map(*[F.lit(y) for pair in named.items() for y in (f"={pair[0]}", float(pair[1]))])
+        given = F.try_element_at(shares, F.col(margin))
+    goal = goal.withColumn("given", given)
+    sums = goal.agg(F.sum("given").alias("given"), F.sum(F.when(F.col("given").isNull(), F.col("g"))).alias("g")).first()
+    asked, others = sums["given"] or 0.0, sums["g"] or 0.0
+    rest = max(0.0, 1.0 - asked) if others else 0.0
+    scale = 1.0 if asked + rest == 0 else asked + rest
+    own = F.coalesce(F.col("given"), F.col("g") * F.lit(rest / others if others else 0.0))
+    return written(goal.select(margin, (own / F.lit(scale)).alias("goal")), "goal")
+
+
+def nested_shares(cells: DataFrame, margin: str, power: float, outer: str, goals: DataFrame) -> DataFrame:
+    """(margin, goal) for values that belong to one value of ``outer``: parts of its goal."""
+    goal = cells.groupBy(outer, margin).agg(F.pow(F.sum("tokens").cast("double"), F.lit(float(power))).alias("g"))
+    total = goal.groupBy(outer).agg(F.sum("g").alias("s")).join(goals, outer)
+    share = F.when(F.col("s") > 0, F.col("goal") * F.col("g") / F.col("s")).otherwise(0.0)
+    return written(goal.join(total, outer).select(margin, share.alias("goal")), "goal")
+
+
+def rake(
+    cells: DataFrame, rounds: int = ROUNDS, power: dict[str, float] | None = None, targets: dict[str, dict[str, float]] | None = None, nested: dict[str, str] | None = None
+) -> DataFrame:
     """``cells`` (margins and tokens) with ``weight``: shares of all tokens, raked to the targets.
 
-    ``targets`` gives relative weights of some values of a margin; values not
-    named keep their tempered shares.
+    ``targets`` gives the shares of some values of a margin; ``nested`` names
+    the margin that each value of another belongs to.
     """
     w = cells.withColumn("weight", F.col("tokens").cast("double"))
-    goals = {}
+    goals: dict[str, DataFrame] = {}
     for x in MARGINS:
-        goal = cells.groupBy(x).agg(F.sum("tokens").alias("t")).withColumn("g", F.pow(F.col("t").cast("double"), F.lit(float((power or POWER)[x]))))
-        if named := (targets or {}).get(x):
-            given = F.create_map(*[F.lit(y) for pair in named.items() for y in (pair[0], float(pair[1]))])
-            goal = goal.withColumn("g", F.coalesce(F.try_element_at(given, F.regexp_replace(F.col(x), "^=", "")), F.col("g") / F.lit(1.0)))
-        total = goal.agg(F.sum("g").alias("s")).first()["s"] or 1.0
-        goals[x] = written(goal.select(x, (F.col("g") / F.lit(total)).alias("goal")), "goal")
+        of, named = (power or POWER)[x], (targets or {}).get(x)
+        outer = None if named else (nested or {}).get(x)
+        goals[x] = nested_shares(cells, x, of, outer, goals[outer]) if outer else goal_shares(cells, x, of, named)
     for _ in range(rounds):
+        w = w.withColumn("before", F.col("weight"))
         for x in MARGINS:
             now = w.groupBy(x).agg(F.sum("weight").alias("now")).join(goals[x], x)
             factor = F.when(F.col("now") > 0, F.col("goal") / F.col("now")).otherwise(0.0)
             # Written at each step: the table is used twice, so an unwritten plan would double with each margin.
             w = written(w.join(now.select(x, factor.alias("factor")), x).withColumn("weight", F.col("weight") * F.col("factor")).drop("factor"), "raked")
+        moved = w.agg(F.max(F.abs(F.col("weight") - F.col("before")) / F.greatest(F.col("before"), F.lit(1e-300))).alias("m")).first()["m"]
+        w = w.drop("before")
+        if moved is None or moved <= TOLERANCE:
+            break
     return w
 
 
@@ -83,13 +126,13 @@ def calibrate(raked: DataFrame, budget: float = BUDGET) -> DataFrame:
     totals = raked.agg(F.sum("tokens").alias("t")).first()
     aim = float(totals["t"] or 0) * budget
     raked = raked.withColumn("ratio", F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens")))
-    s = aim
-    for _ in range(FIXES):
+    s, before = aim, None
+    while s != before:  # cells are used up one after the other, never fewer than before
         full = F.col("ratio") * F.lit(s) >= 1
         sums = raked.agg(F.sum(F.when(full, F.col("tokens"))).alias("full"), F.sum(F.when(~full, F.col("weight"))).alias("rest")).first()
         if not sums["rest"]:
             break
-        s = max(0.0, aim - (sums["full"] or 0)) / sums["rest"]
+        s, before = max(s, max(0.0, aim - (sums["full"] or 0)) / sums["rest"]), s
     return raked.withColumn("prob", F.least(F.lit(1.0), F.coalesce(F.col("ratio") * F.lit(s), F.lit(1.0))))
 
 
@@ -97,8 +140,12 @@ def _mixed(docs: DataFrame, keep: list[str], text: str, of: dict[str, Column], d
     key = lambda x: F.coalesce(F.concat(F.lit("="), x.cast("string")), F.lit(""))
     body = F.coalesce(F.col(text), F.lit(""))
     sized = docs.withColumns({"source": key(of["source"]), "lang": key(of["lang"]), "n_tokens": F.size(words_of(F.col(text))).cast("long"), "draw": _digest(doc_id, body)})
-    named = sized.select(*keep, "source", "lang", "n_tokens", "draw", key(text_form(body, F.col("n_tokens")) if topic is None else topic).alias("topic"))
-    named = written(named, "sized")
+    if topic is None:
+        worded = docs.select(key(of["lang"]).alias("lang"), words_of(F.col(text)).alias("words"))
+        sized = sized.join(small(topic_words(worded)), "lang", "left")
+        topic = F.concat("lang", F.lit(" "), F.coalesce(keyword(words_of(F.col(text)), F.col("topics")), F.lit("")))
+        options["nested"] = {"topic": "lang"}
+    named = written(sized.select(*keep, "source", "lang", "n_tokens", "draw", key(topic).alias("topic")), "sized")
     budget = options.pop("budget", BUDGET)
     cells = written(named.groupBy(*MARGINS).agg(F.sum("n_tokens").alias("tokens")), "cells")
     cells = written(calibrate(rake(cells, **options), budget), "cells")

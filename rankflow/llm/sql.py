@@ -109,40 +109,48 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM rated LEFT JOIN cut USING (lang_key, source_key)"""
 
 
-def mixing(power: dict[str, float], rounds: int, fixes: int, budget: float, seed: str, documents: str = "documents") -> str:
-    """Raking, calibration and the sample of the mixing operator."""
+def mixing(power: dict[str, float], rounds: int, tolerance: float, fixes: int, budget: float, seed: str, topics: int, most: float, documents: str = "documents") -> str:
+    """Raking, calibration and the sample of the mixing operator, each in as many steps as the data may need."""
     margins = list(power)
     ctes, last = [], "w0"
-    for x in margins:
-        ctes.append(f"g_{x} AS (SELECT {x}, g / sum(g) OVER () AS goal FROM (SELECT {x}, pow(sum(tokens)::DOUBLE, {power[x]}) AS g FROM cells GROUP BY {x}))")
+    share = lambda x, by: f"SELECT {by}{x}, pow(sum(tokens)::DOUBLE, {power[x]}) AS g FROM cells GROUP BY ALL"
+    for x in ("source", "lang"):
+        ctes.append(f"g_{x} AS (SELECT {x}, g / sum(g) OVER () AS goal FROM ({share(x, '')}))")
+    ctes.append(f"g_topic AS (SELECT topic, CASE WHEN s > 0 THEN goal * g / s ELSE 0 END AS goal FROM (SELECT *, sum(g) OVER (PARTITION BY lang) AS s FROM ({share('topic', 'lang, ')})) JOIN g_lang USING (lang))")
     for i in range(rounds):
+        first, over = last, f"(SELECT m FROM m{i})"
         for x in margins:
             name = f"w{i + 1}_{x}"
             ctes.append(
-                f"{name} AS MATERIALIZED (SELECT w.source, w.lang, w.topic, w.tokens, w.weight * CASE WHEN n.now > 0 THEN goal / n.now ELSE 0 END AS weight FROM {last} AS w "
+                f"{name} AS MATERIALIZED (SELECT w.source, w.lang, w.topic, w.tokens, w.weight * CASE WHEN {over} <= {tolerance} THEN 1 WHEN n.now > 0 THEN goal / n.now ELSE 0 END AS weight FROM {last} AS w "
                 f"JOIN (SELECT {x}, sum(weight) AS now FROM {last} GROUP BY {x}) AS n ON n.{x} = w.{x} JOIN g_{x} ON g_{x}.{x} = w.{x})"
             )
             last = name
+        ctes.append(f"m{i + 1} AS MATERIALIZED (SELECT least({over}, max(abs(w.weight - v.weight) / greatest(v.weight, 1e-300))) AS m FROM {last} AS w JOIN {first} AS v USING (source, lang, topic))")
     ctes.append(f"r AS (SELECT *, CASE WHEN tokens > 0 THEN weight / tokens END AS ratio FROM {last})")
     ctes.append(f"s0 AS (SELECT sum(tokens)::DOUBLE * {budget} AS s, sum(tokens)::DOUBLE * {budget} AS aim FROM r)")
     for i in range(fixes):
         ctes.append(
             f"s{i + 1} AS (SELECT CASE WHEN coalesce(sum(weight) FILTER (NOT ratio * s >= 1), 0) = 0 THEN max(s) ELSE "
-            f"greatest(0, max(aim) - coalesce(sum(tokens) FILTER (ratio * s >= 1), 0)) / sum(weight) FILTER (NOT ratio * s >= 1) END AS s, max(aim) AS aim FROM r, s{i})"
+            f"greatest(max(s), greatest(0, max(aim) - coalesce(sum(tokens) FILTER (ratio * s >= 1), 0)) / sum(weight) FILTER (NOT ratio * s >= 1)) END AS s, max(aim) AS aim FROM r, s{i})"
         )
     key = lambda x: f"coalesce('=' || {x}, '')"
     plain = lambda x: f"CASE WHEN d.{x} <> '' THEN d.{x}[2:] END AS {x}"
     return f"""
-WITH t AS (
-  SELECT doc_id, {key("source")} AS source, {key("lang")} AS lang, coalesce(text, '') AS text,
-    len(regexp_extract_all(coalesce(text, ''), '{WORD}'))::BIGINT AS n_tokens FROM {documents}
-), d AS (
-  SELECT doc_id, source, lang, n_tokens, ('0x' || md5('{seed}:' || coalesce(doc_id::VARCHAR, '') || ':' || text)[1:12])::BIGINT AS draw,
-    '=' || CASE WHEN 4 * (length(text) - length(translate(text, '|', ''))) > n_tokens THEN 'table'
-      WHEN 2 * (length(text) - length(translate(text, '#*$%&<>', ''))) > n_tokens THEN 'markup'
-      WHEN n_tokens < 100 THEN 'short' WHEN n_tokens < 1000 THEN 'prose' ELSE 'long' END AS topic FROM t
+WITH t AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, doc_id, {key("source")} AS source, {key("lang")} AS lang, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{WORD}') AS w FROM {documents}
+), chosen AS MATERIALIZED (
+  SELECT lang, word FROM (
+    SELECT lang, word, row_number() OVER (PARTITION BY lang ORDER BY n DESC, word) AS k FROM (
+      SELECT lang, word, count(*) AS n FROM (SELECT lang, unnest(list_distinct(w)) AS word FROM t) GROUP BY ALL) JOIN (SELECT lang, count(*) AS docs FROM t GROUP BY lang) USING (lang)
+    WHERE n <= docs * {most}::DOUBLE) WHERE k <= {topics}
+), counted AS (SELECT r, word, count(*) AS n FROM (SELECT r, lang, unnest(w) AS word FROM t) JOIN chosen USING (lang, word) GROUP BY r, word),
+topic AS (SELECT r, max(struct_pack(n := n, word := word)).word AS topic FROM counted GROUP BY r),
+d AS MATERIALIZED (
+  SELECT doc_id, source, lang, len(w)::BIGINT AS n_tokens, ('0x' || md5('{seed}:' || coalesce(doc_id::VARCHAR, '') || ':' || text)[1:12])::BIGINT AS draw, '=' || lang || ' ' || coalesce(topic, '') AS topic
+  FROM t LEFT JOIN topic USING (r)
 ), cells AS (SELECT source, lang, topic, sum(n_tokens) AS tokens FROM d GROUP BY ALL),
-w0 AS (SELECT *, tokens::DOUBLE AS weight FROM cells), {", ".join(ctes)},
+m0 AS (SELECT 1e300::DOUBLE AS m), w0 AS (SELECT *, tokens::DOUBLE AS weight FROM cells), {", ".join(ctes)},
 p AS (SELECT source, lang, topic, ratio, least(1, coalesce(ratio * s, 1)) AS prob FROM r, s{fixes})
 SELECT d.doc_id, {plain("source")}, {plain("lang")}, {plain("topic")}, d.n_tokens,
   round(coalesce(ratio, 0) * (SELECT sum(n_tokens) FROM d)::DOUBLE, 6) AS weight, round(prob, 6) AS prob, draw < prob * 281474976710656.0::DOUBLE AS kept
