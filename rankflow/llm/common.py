@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -23,23 +24,41 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; where it is unset (tests), a folder of its own that goes at exit."""
+    """The folder of ``spark.checkpoint.dir``; where it is unset in local mode (tests), a folder of its own that goes at exit."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='rankflow-')}"
         spark.conf.set("spark.checkpoint.dir", folder)
         atexit.register(shutil.rmtree, folder.removeprefix("file://"), True)
     return folder.rstrip("/")
 
 
+_WRITTEN: list[str] = []
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back: cuts the lineage, survives lost executors."""
+    """Write ``df`` as Parquet into the shared folder and read it back: cuts the lineage, survives lost executors.
+
+    The tables stay, as results may read them whenever they are used, until
+    ``remove_written`` is called.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove_written(spark: SparkSession) -> None:
+    """Delete all tables that this driver has written; for when the results that read them have been saved."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    while _WRITTEN:
+        path = hadoop.Path(_WRITTEN.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def small(df: DataFrame, rows: int | None = None, most: int = BROADCAST_ROWS) -> DataFrame:
     """Mark a narrow table for broadcast if it has at most ``most`` rows; otherwise leave it to a shuffled join."""
     return F.broadcast(df) if (df.count() if rows is None else rows) <= most else df

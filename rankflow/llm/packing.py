@@ -1,7 +1,7 @@
 """Token-id output: best-fit-decreasing packing of documents into rows of fixed length.
 
-Texts become token ids of a public byte-level BPE vocabulary (a path, read by
-every task) and an end-of-text id.  A document longer than a row is split
+Texts become token ids of a public byte-level BPE vocabulary (a file of the
+driver's, sent to all executors) and an end-of-text id.  A document longer than a row is split
 without loss into full rows' worth of segments and a rest.
 
 Each task packs what it reads, in groups of at most ``GROUP_TOKENS`` tokens
@@ -35,6 +35,7 @@ from .common import map_arrow
 ROW = 2048
 PAD = -1
 GROUP_TOKENS = 2_000_000
+#: The vocabulary of the registered query.
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 #: How the byte-level BPE splits text (a fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -153,16 +154,20 @@ class _Group:
             )
 
 
-def pack(docs: DataFrame, row: int = ROW, vocabulary: str = VOCABULARY) -> DataFrame:
-    """Packed rows of ``docs`` (doc_id, text): see ROW_SCHEMA.
+def pack(docs: DataFrame, vocabulary: str, row: int = ROW) -> DataFrame:
+    """Packed rows of ``docs`` (doc_id, text): see ROW_SCHEMA.  ``vocabulary`` is a path that the driver can read.
 
     ``starts`` has the offset of each segment in its document's ids; the ids of
     a document end with the vocabulary's first free id.
     """
 
+    docs.sparkSession.sparkContext.addFile(vocabulary)
+    name_of_file = vocabulary.rpartition("/")[2]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
+        from pyspark import SparkFiles, TaskContext
 
+        vocabulary = SparkFiles.get(name_of_file)
         end = encoding(vocabulary).n_vocab
         task, number, group = TaskContext.get().partitionId(), 0, _Group()
         for batch in batches:
@@ -200,6 +205,6 @@ def digest(packed: DataFrame) -> DataFrame:
     return map_arrow(slim, each, "pack string, segment int, doc_id long, piece int, doc_start long, row_start int, length int, ids_crc32 long")
 
 
-def write_packed(docs: DataFrame, path: str, row: int = ROW, vocabulary: str = VOCABULARY) -> None:
+def write_packed(docs: DataFrame, path: str, vocabulary: str, row: int = ROW) -> None:
     """Packed rows as Parquet: id matrices, cumulative lengths and positions."""
-    pack(docs, row, vocabulary).write.mode("overwrite").parquet(path)
+    pack(docs, vocabulary, row).write.mode("overwrite").parquet(path)

@@ -40,7 +40,7 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.digest(packing.pack(table(spark, sf_dir, "documents")))
+    return packing.digest(packing.pack(table(spark, sf_dir, "documents"), packing.VOCABULARY))
 
 
 def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,7 +59,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_near_dedup": sql.near_dedup(4),
-        "op2_mixing": sql.mixing(mixing.POWER, mixing.ROUNDS, mixing.FIXES, mixing.BUDGET, mixing.SEED),
+        "op2_mixing": sql.mixing(mixing.POWER, mixing.ROUNDS, mixing.TOLERANCE, 12, mixing.BUDGET, mixing.SEED, mixing.TOPICS, mixing.MOST),
         "op4_quality": sql.quality(quality.QUANTILE, quality.SPREAD, quality.SCALE, {x: quality.least_docs(x) for x in quality.QUANTILE}),
         "op9_lm_score": sql.lm_score(lm_score.PRIOR, lm_score.MASS, lm_score.LEAST, lm_score.DIGITS),
         "op10_decontaminate": sql.decontaminate(),

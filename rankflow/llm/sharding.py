@@ -13,7 +13,7 @@
 The law is ``rows``: shard sizes differ by one at most.  Every assignment of
 rows to places has the same probability.  Rows are told apart by place, so
 repeated rows, equal texts, null ids and null texts (16 bytes) need no care; a
-table without rows gives none.
+table without rows gives none.  Extra columns are kept.
 """
 
 from __future__ import annotations
@@ -119,9 +119,16 @@ def shard_rows(df: DataFrame, shards: int) -> DataFrame:
 
 
 def shard_documents(docs: DataFrame, shards: int = 40) -> DataFrame:
-    """``docs`` with shard and slot."""
-    named = [x for x in docs.columns if x not in ("shard", "slot")]
-    return shard_rows(docs.select(named), shards).select("row.*", "shard", "slot")
+    """``docs`` with shard and slot; columns of these names that it has already become ``shard_before`` and ``slot_before``, with more ``_`` if need be."""
+    taken, names = set(docs.columns), []
+    for x in docs.columns:
+        if x in ("shard", "slot"):
+            x = f"{x}_before"
+            while x in taken:
+                x += "_"
+        names.append(x)
+        taken.add(x)
+    return shard_rows(docs.toDF(*names), shards).select("row.*", "shard", "slot")
 
 
 def shard_digest(docs: DataFrame, shards: int = 40) -> DataFrame:

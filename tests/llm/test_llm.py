@@ -330,6 +330,66 @@ def test_mixing_meets_margins_and_budget(spark, rows, docs, none):
     assert mixing.mix(docs).count() == len(rows) and mixing.sample_mix(docs).columns == docs.columns and mixing.mix(none).count() == 0
 
 
+def shares(spark, cells, **options):
+    df = spark.createDataFrame(cells, "source string, lang string, topic string, tokens long")
+    return mixing.rake(df, **options).collect()
+
+
+def test_mixing_targets(spark):
+    cells = [(f"={s}", "=en", "=t", n) for s, n in (("web", 500), ("book", 500), ("code", 1000), ("blank", 0))]
+    of = lambda targets: {r["source"][1:]: r["weight"] for r in shares(spark, cells, targets={"source": targets}) if r["tokens"]}
+    got = of({"web": 0.6})
+    assert got["web"] == pytest.approx(0.6) and got["book"] / got["code"] == pytest.approx(0.5**0.5) and sum(got.values()) == pytest.approx(1)
+    assert of({"web": 0.5, "book": 0.3, "code": 0.2}) == pytest.approx({"web": 0.5, "book": 0.3, "code": 0.2})
+    assert of({"web": 3.0, "book": 1.0}) == pytest.approx({"web": 0.75, "book": 0.25, "code": 0})
+    assert of({"nowhere": 0.9}) == pytest.approx(of({}))
+
+
+def test_mixing_raking_equals_brute_force(spark):
+    rng = random.Random(41)
+    cells = [(f"={s}", f"={x}", f"={x} {t}", rng.randrange(1, 500)) for s in "abcd" for x in ("en", "de") for t in "pq"]
+    got = {(r["source"], r["topic"]): r["weight"] for r in shares(spark, cells, nested={"topic": "lang"}, targets={"source": {"a": 0.4}})}
+    total = lambda k: Counter({v: sum(c[3] for c in cells if c[k] == v) for v in {c[k] for c in cells}})
+    temper = lambda n, p: {v: x**p / sum(y**p for y in n.values()) for v, x in n.items()}
+    by_source = temper({v: n for v, n in total(0).items() if v != "=a"}, mixing.POWER["source"])
+    source = {v: 0.6 * x for v, x in by_source.items()} | {"=a": 0.4}
+    lang = temper(total(1), mixing.POWER["lang"])
+    topic = {}
+    for x in lang:
+        topic |= {t: lang[x] * v for t, v in temper({t: n for t, n in total(2).items() if t.startswith(x + " ")}, mixing.POWER["topic"]).items()}
+    w = {(c[0], c[2]): float(c[3]) for c in cells}
+    for _ in range(200):
+        for goal, of in ((source, lambda k: k[0]), (lang, lambda k: k[1].split()[0]), (topic, lambda k: k[1])):
+            now = Counter()
+            for k, v in w.items():
+                now[of(k)] += v
+            w = {k: v * goal[of(k)] / now[of(k)] for k, v in w.items()}
+    assert got == pytest.approx(w, rel=3 * mixing.TOLERANCE)
+
+
+def test_mixing_topics(spark):
+    rng = random.Random(7)
+    rows = []
+    for i in range(200):
+        words = ["the"] * 3 + [f"{'x' if i < 100 else 'y'}{i}"] + rng.choices(["and", "of"], k=4)
+        if i % 25 == 0:
+            words += ["kiwi", "kiwi", "lime"]
+        if i % 25 == 1:
+            words += ["lime", "plum", "plum"]
+        rows.append((i, " ".join(words), "en" if i < 100 else None, "s", 0))
+    rows.append((900, None, "en", "s", 0))
+    got = {r["doc_id"]: r["topic"] for r in mixing.mix(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got[0] == "=en kiwi" and got[1] == "=en plum" and got[100] == " kiwi" and got[900] == "=en "
+    assert mixing.mix(spark.createDataFrame([(1, "", None, None, 0), (2, None, "en", "s", 0)], DOCS)).filter("kept and prob = 1 and weight = 0").count() == 2
+
+
+def test_sharding_keeps_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "a", 9, 8, 7), (2, "b", 5, 6, 4)], "doc_id long, text string, shard int, slot int, shard_before int")
+    got = sharding.shard_documents(df, 2)
+    assert got.columns == ["doc_id", "text", "shard_before_", "slot_before", "shard_before", "shard", "slot"]
+    assert {(r["doc_id"], r["shard_before_"], r["slot_before"], r["shard_before"]) for r in got.collect()} == {(1, 9, 8, 7), (2, 5, 6, 4)}
+
+
 def test_sharding_is_exact(docs, rows, none):
     got = sharding.shard_digest(docs, 7).collect()
     want = [(d, len((t or "").encode()) + 16, zlib.crc32(t.encode()) if t is not None else None) for d, t, *_ in rows]
@@ -587,12 +647,29 @@ def test_line_dedup_takes_whole_passages_of_few_lines(spark):
     assert all(found[i] == len(t.split()) - len(want[i].split()) for i, t, *_ in rows)
 
 
+def test_shared_folder_is_asked_for_on_clusters(spark, monkeypatch):
+    class Cluster:
+        conf = type("Conf", (), {"get": staticmethod(lambda name, default=None: default)})
+        sparkContext = type("Context", (), {"master": "spark://host:7077"})
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        common.shared_folder(Cluster)
+
+
+def test_written_tables_can_be_removed(spark):
+    path = common.written(spark.range(3), "gone").inputFiles()[0]
+    folder = path.removeprefix("file://").rpartition("/")[0]
+    assert __import__("os").path.exists(folder)
+    common.remove_written(spark)
+    assert not __import__("os").path.exists(folder)
+
+
 @pytest.mark.skipif(not __import__("os").path.exists(packing.VOCABULARY), reason="no vocabulary file")
 def test_packing_round_trip(spark, docs, rows, none):
     bpe = packing.encoding(packing.VOCABULARY)
     odd = [(5000, "a  b\n\nc \n d e　f\tg's 12 34!?\r\n x y z", None, None, 0), (5001, "\n a\n", None, None, 0), (5002, "é'll  \n\n  ß \x1c x", None, None, 0)]
     df = spark.createDataFrame(rows + odd, DOCS)
-    packed = packing.pack(df, row=64).collect()
+    packed = packing.pack(df, packing.VOCABULARY, row=64).collect()
     parts: dict = {}
     for r in packed:
         cu, ids, positions = r["cu_seqlens"], r["ids"], r["positions"]
@@ -606,7 +683,7 @@ def test_packing_round_trip(spark, docs, rows, none):
         assert sorted(i for _, ids in parts[doc] for i in ids) == whole
     for doc in (5000, 5001, 5002, 1007):
         assert sum((ids for _, ids in sorted(parts[doc])), ()) == next(ids for d, ids in want if d == doc)
-    assert packing.digest(packing.pack(none)).count() == 0
+    assert packing.digest(packing.pack(none, packing.VOCABULARY)).count() == 0
 
 
 def test_best_fit_decreasing_equals_brute_force():
