@@ -13,14 +13,20 @@ them and next to them alone and shift with it.
     ``EVERY``; a line of ``LONG`` words or more is a chunk of its own.  A chunk
     with two lines that aren't blank counts, however few its words.
 
-Spans are equal if the 128-bit BLAKE2b digests of their bytes are.  Those that
-occur more than once among all documents are removed but for the first (least
-doc_id, then row, then place).  A span that overlaps its first copy in the same
-text stays.  Each removed line has an equal one in an earlier place, so some
-copy of every line is kept.
+Spans with equal 128-bit digests of their bytes that occur more than once among
+all documents are candidates; all but the first (least doc_id, then row, then
+place) may go.  A span that overlaps its first copy in the same text stays.
+Neighbouring spans of a text whose first copies are neighbours too are put
+together, and a removed run's bytes are compared with those of its first copy.
+Each removed line has an equal one in an earlier place, so some copy of every
+line is kept.
+
+A single line goes only if it has ``LONG`` words or more, as a passage of its
+own, or within a longer run.
 
 Spans of a hot passage are joined to one first copy each, never to one
-another; their counts are partial sums.
+another; their counts are partial sums.  Only digests are shuffled to find
+them; bytes follow for what may go.
 
 Null texts count as empty: no line, nothing removed.  Documents without doc_id
 come last in the order of copies.  Repeated rows are copies of one another.
@@ -124,8 +130,35 @@ def _spans(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         yield made()
 
 
+def _runs(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """row, spans: the spans of a row whose first copies are as far away, put together where they touch."""
+    out: list[tuple[int, int, int, int, int]] = []
+    for row, spans in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        last = None
+        for first, off, line, lines in sorted((x["first_row"], x["first_line"] - x["line"], x["line"], x["lines"]) for x in spans):
+            if last is not None and last[0] == (first, off) and line <= last[2]:
+                last[2] = max(last[2], line + lines)
+                continue
+            if last is not None:
+                out.append((row, last[1], last[2] - last[1], last[0][0], last[1] + last[0][1]))
+            last = [(first, off), line, line + lines]
+        out.append((row, last[1], last[2] - last[1], last[0][0], last[1] + last[0][1]))
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32()]
+    yield pa.record_batch([pa.array([x[k] for x in out], kind) for k, kind in enumerate(kinds)], ["row", "line", "lines", "first_row", "first_line"])
+
+
+def _pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """row, wanted, text: the bytes of some runs of lines."""
+    wanted = batch.column(1).to_pylist()
+    row, found = batch.column(0).to_pylist(), []
+    for d, data, begin, end, _, _ in _texts(batch):
+        found += [(row[d], x["first_line"], x["lines"], data[begin[x["first_line"]] : end[x["first_line"] + x["lines"] - 1]]) for x in wanted[d]]
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+    yield pa.record_batch([pa.array([x[k] for x in found], kind) for k, kind in enumerate(kinds)], ["first_row", "first_line", "lines", "bytes"])
+
+
 def repeated_lines(docs: DataFrame) -> DataFrame:
-    """(row, gone) from ``docs`` (row, doc_id, text): the spans (line, lines) to remove, for each row that has some."""
+    """(row, gone) from ``docs`` (row, doc_id, text): the runs to remove (line, lines, bytes of the first copy), for each row that has some."""
     spans = written(map_arrow(docs.select("row", F.col("doc_id").cast("long"), "text"), _spans, SPANS), "spans")
     repeated = written(spans.groupBy("k1", "k2").agg(F.count("*").alias("n")).filter("n > 1").select("k1", "k2"), "repeated")
     copies = written(spans.join(small(repeated, most=100_000), ["k1", "k2"], "left_semi"), "copies")
@@ -133,15 +166,23 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     first = written(copies.groupBy("k1", "k2").agg(F.min(place).alias("first")).select("k1", "k2", F.col("first.row").alias("first_row"), F.col("first.line").alias("first_line")), "first")
     both = copies.join(small(first, most=100_000), ["k1", "k2"])
     later = (F.col("row") != F.col("first_row")) | (F.col("line") >= F.col("first_line") + F.col("lines"))
-    return written(both.filter(later).groupBy("row").agg(F.collect_set(F.struct("line", "lines")).alias("gone")), "gone")
-
-
-def _cover(gone: list[dict] | None, n: int) -> np.ndarray:
-    """For each of ``n`` lines whether a span of ``gone`` covers it."""
-    edge = np.zeros(n + 1, dtype=np.int64)
+    by_row = both.filter(later).groupBy("row").agg(F.collect_list(F.struct("line", "lines", "first_row", "first_line")).alias("spans"))
+    runs = written(map_arrow(by_row, _runs, "row long, line int, lines int, first_row long, first_line int"), "runs")
+    piece = ["first_row", "first_line", "lines"]
+    wanted = runs.select(*piece).distinct().groupBy(F.col("first_row").alias("row")).agg(F.collect_list(F.struct("first_line", "lines")).alias("wanted"))
+    sources = docs.join(small(written(wanted, "wanted"), most=100_000), "row").select("row", "wanted", "text")
+    pieces = written(map_arrow(sources, _pieces, "first_row long, first_line int, lines int, bytes binary"), "pieces")
+    return written(runs.join(pieces, piece).groupBy("row").agg(F.collect_list(F.struct("line", "lines", "bytes")).alias("gone")), "gone")
+
+
+def _cover(gone: list[dict] | None, data: bytes, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """For each line whether a run of ``gone`` covers it whose bytes are those of the text."""
+    edge = np.zeros(len(begin) + 1, dtype=np.int64)
     for x in gone or []:
-        edge[x["line"]] += 1
-        edge[x["line"] + x["lines"]] -= 1
+        a, b = x["line"], x["line"] + x["lines"]
+        if data[begin[a] : end[b - 1]] == x["bytes"]:
+            edge[a] += 1
+            edge[b] -= 1
     return np.cumsum(edge[:-1]) > 0
 
 
@@ -149,8 +190,8 @@ def _sums(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     """row, doc_id, gone, text: the figures of each row."""
     out = np.zeros((batch.num_rows, 5), dtype=np.int64)
     gone = batch.column(2).to_pylist()
-    for d, _, _, _, words, last in _texts(batch):
-        cover = _cover(gone[d], len(words))
+    for d, data, begin, end, words, last in _texts(batch):
+        cover = _cover(gone[d], data, begin, end)
         kept = np.concatenate([[0], np.cumsum(~cover)])
         whole = kept[last + 1] == kept[np.concatenate([[0], last[:-1] + 1])]
         out[d] = len(words), len(last), whole.sum(), cover.sum(), words[cover].sum()
@@ -160,8 +201,8 @@ def _sums(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
 def _cleaned(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     """row, gone, text: the text without the lines of ``gone``."""
     gone, clean = batch.column(1).to_pylist(), [""] * batch.num_rows
-    for d, data, begin, end, words, _ in _texts(batch):
-        kept = np.flatnonzero(~_cover(gone[d], len(words)))
+    for d, data, begin, end, _, _ in _texts(batch):
+        kept = np.flatnonzero(~_cover(gone[d], data, begin, end))
         clean[d] = b"\n".join(data[x:y] for x, y in zip(begin[kept].tolist(), end[kept].tolist(), strict=True)).decode()
     yield pa.record_batch([batch.column(0), pa.array(clean, pa.string())], ["row", "clean"])
 

@@ -628,6 +628,59 @@ def test_line_dedup(spark, docs, rows, none):
     assert line_dedup.find_repeats(none).count() == 0 and line_dedup.remove_repeats(none).count() == 0
 
 
+def brute_lines(rows):
+    """(lines, chunks, whole chunks gone, lines gone, words gone, text left) of each row, by comparing the bytes of all spans."""
+    order = sorted(range(len(rows)), key=lambda i: (rows[i][0] is None, rows[i][0] or 0, i))
+    seen: dict[bytes, tuple[int, int]] = {}
+    out = {}
+    for i in order:
+        data = (rows[i][1] or "").encode()
+        lines = data.split(b"\n") if data else []
+        words = np.array([len(re.findall(rb"[^\x20\x09-\x0D]+", x)) for x in lines], dtype=np.int64)
+        import xxhash
+
+        hashes = np.array([xxhash.xxh3_64_intdigest(x) for x in lines], dtype=np.uint64)
+        ends = np.flatnonzero(line_dedup._chunk_ends(hashes, words)) if lines else []
+        chunks = [(int(a), int(b)) for a, b in zip([0, *[e + 1 for e in ends[:-1]]], ends, strict=True)] if len(ends) else []
+        spans = {x for x in chunks if (words[x[0] : x[1] + 1] > 0).sum() >= 2}
+        for a in range(len(lines)):
+            if words[a]:
+                spans |= {next(((a, b) for b in range(a, len(lines)) if words[a : b + 1].sum() >= line_dedup.LONG), (a, -1))}
+                spans |= {next(((b, a) for b in range(a, -1, -1) if words[b : a + 1].sum() >= line_dedup.LONG), (a, -1))}
+        gone = np.zeros(len(lines), dtype=bool)
+        for a, b in sorted(x for x in spans if x[1] >= 0):
+            text = b"\n".join(lines[a : b + 1])
+            at = seen.setdefault(text, (i, a))
+            if at != (i, a) and (at[0] != i or a >= at[1] + (b - a + 1)):
+                gone[a : b + 1] = True
+        whole = sum(bool(gone[a : b + 1].all()) for a, b in chunks)
+        out[i] = (len(lines), len(chunks), whole, int(gone.sum()), int(words[gone].sum()), b"\n".join(x for x, g in zip(lines, gone, strict=True) if not g).decode())
+    return [out[i] for i in range(len(rows))]
+
+
+def test_line_dedup_equals_brute_force(spark):
+    rng = random.Random(23)
+    pool = [" ".join(rng.choices(WORDS, k=rng.choice([1, 4, 9, 20, 55]))) for _ in range(60)] + ["", " ", "x"]
+    blocks = [rng.choices(pool, k=rng.randrange(2, 9)) for _ in range(12)]
+    rows = []
+    for i in range(80):
+        lines: list[str] = []
+        for _ in range(rng.randrange(0, 5)):
+            lines += rng.choice(blocks) if rng.random() < 0.5 else rng.choices(pool, k=2)
+        rows.append((i if i % 9 else None if i % 2 else 5, "\n".join(lines) if i % 17 else None, "r", i, 0.5))
+    rows += [rows[3], rows[4]]
+    df = spark.createDataFrame(rows, "doc_id long, text string, row string, chunk long, clean double").coalesce(1)
+    want = brute_lines(rows)
+    clean = line_dedup.remove_repeats(df)
+    assert clean.columns == df.columns
+    order = lambda x: repr(x)
+    assert sorted(((r["doc_id"], r["chunk"], r["text"]) for r in clean.collect()), key=order) == sorted(((r[0], r[3], w[5] if r[1] or w[0] else r[1]) for r, w in zip(rows, want, strict=True)), key=order)
+    got = line_dedup.find_repeats(df).collect()
+    names = ["n_lines", "n_chunks", "removed_chunks", "removed_lines", "removed_words"]
+    assert sorted(((r["doc_id"], *[r[x] for x in names]) for r in got), key=order) == sorted(((r[0], *w[:5]) for r, w in zip(rows, want, strict=True)), key=order)
+    assert sum(w[3] for w in want) > 100
+
+
 def test_line_dedup_takes_whole_passages_of_few_lines(spark):
     rng = random.Random(12)
     line = lambda n: " ".join(rng.choice(WORDS) + str(rng.random())[2:8] for _ in range(n))
