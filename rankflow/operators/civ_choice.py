@@ -50,18 +50,30 @@ def previous_rates(rates: DataFrame, by: str) -> DataFrame:
     return full.select(by, "civ", F.last("pick_rate", ignorenulls=True).over(w).alias("pick_rate"))
 
 
-def rates_before(raw: DataFrame, keys: list[str], name: str) -> DataFrame:
-    """(keys, started_at, civ) -> share of picks of the option among all picks of the same keys at earlier times.
+def counts_as_of(events: DataFrame, probes: DataFrame, keys: list[str], name: str, at: str = "started_at") -> DataFrame:
+    """(keys, at, name): how many ``events`` (keys, at, n) have the same keys and an earlier time, for each of ``probes`` (keys, at).
 
-    Counts by time are summed cumulatively: one window for each option and one for the total.
+    Counts are cumulative within a day, and days are cumulative on their own, so
+    that no window holds more than the times of one day or the days of one key.
     """
-    at = raw.groupBy(*keys, "started_at", "civ").agg(F.count("*").alias("n"))
-    total = at.groupBy(*keys, "started_at").agg(F.sum("n").alias("n"))
-    before = lambda *by: F.coalesce(F.sum("n").over(Window.partitionBy(*by).orderBy(micros("started_at")).rangeBetween(W.START, -1)), F.lit(0))
-    total = total.select(*keys, "started_at", before(*keys).alias("_all"))
-    grid = total.crossJoin(as_dimension(raw.select("civ").distinct()))  # times x options: what candidates ask for
-    full = grid.join(at, [*keys, "started_at", "civ"], "left").na.fill(0, ["n"])
-    return full.select(*keys, "started_at", F.col("civ").alias("candidate_civ"), ratio(before(*keys, "civ"), "_all").alias(name))
+    both = events.select(*keys, at, "n", F.lit(0).alias("_asked")).unionByName(probes.select(*keys, at, F.lit(0).cast("long").alias("n"), F.lit(1).alias("_asked")))
+    times = both.groupBy(*keys, at).agg(F.sum("n").alias("n"), F.max("_asked").alias("_asked")).withColumn("_day", F.to_date(at))
+    before = lambda w: F.coalesce(F.sum("n").over(w), F.lit(0))
+    days = times.groupBy(*keys, "_day").agg(F.sum("n").alias("n"))
+    days = days.select(*keys, "_day", before(Window.partitionBy(*keys).orderBy(F.unix_date("_day")).rowsBetween(W.START, -1)).alias("_earlier"))
+    within = Window.partitionBy(*keys, "_day").orderBy(micros(at)).rowsBetween(W.START, -1)
+    own = times.withColumn("_within", before(within)).filter("_asked = 1")
+    return own.join(days, [*keys, "_day"]).select(*keys, at, (F.col("_earlier") + F.col("_within")).alias(name))
+
+
+def with_rate_before(rows: DataFrame, raw: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """Candidate rows with the share of picks of their option among all picks of the same keys at earlier times (null if none)."""
+    at = ["started_at"]
+    picks = raw.groupBy(*keys, *at, F.col("civ").alias("candidate_civ")).agg(F.count("*").alias("n"))
+    of_civ = counts_as_of(picks, rows.select(*keys, "candidate_civ", *at).distinct(), [*keys, "candidate_civ"], "_own")
+    of_all = counts_as_of(raw.groupBy(*keys, *at).agg(F.count("*").alias("n")), raw.select(*keys, *at).distinct(), keys, "_all")
+    known = rows.join(of_civ, [*keys, "candidate_civ", *at], "left").join(of_all, [*keys, *at], "left")
+    return known.withColumn(name, ratio("_own", "_all")).drop("_own", "_all")
 
 
 def candidates(raw: DataFrame, seen_at: DataFrame, seasons: list[int] | None = None, sample: Column | None = None) -> DataFrame:
@@ -70,26 +82,11 @@ def candidates(raw: DataFrame, seen_at: DataFrame, seasons: list[int] | None = N
     return expand_candidates(chosen.withColumnRenamed("civ", "chosen_civ"), seen_at, "chosen_civ")
 
 
-def _counts(rows: DataFrame, w, prefix: str) -> DataFrame:
-    """A map from option to how often it occurs in a window's rows, and to its wins."""
-    return rows.withColumn(prefix, F.collect_list(F.struct("civ", "result", "map", "patch")).over(w))
-
-
-def with_sequences(raw: DataFrame, last: int = 20, days: int = 30) -> DataFrame:
-    """``raw`` with arrays of earlier games: all of them by option as totals, the last ``last``, those of ``days`` days.
-
-    Totals by option are kept as one map per row, carried through the player's
-    history; arrays hold bounded numbers of games (a month of one player's).
-    """
-    earlier = W.earlier_time("profile_id")
-    rows = raw.repartition("profile_id").withColumn("_at", micros("started_at"))
-    item = F.struct("started_at", "game_id", "civ", "map")
-    tail = W.ordered("profile_id").rowsBetween(-last - 16, -1)
-    recent = F.filter(F.reverse(F.collect_list(item).over(tail)), lambda x: x["started_at"] < F.col("started_at"))
-    return rows.withColumns(
+def with_player_counts(raw: DataFrame, days: int = 30) -> DataFrame:
+    """The player's games at earlier times: all, of ``days`` days, of this patch and of this map."""
+    return raw.repartition("profile_id").withColumns(
         {
-            "recent": F.slice(recent, 1, last),
-            "player_games_lifetime": F.count("*").over(earlier),
+            "player_games_lifetime": F.count("*").over(W.earlier_time("profile_id")),
             "player_games_30d": F.count("*").over(W.within_days(days, "profile_id")),
             "player_games_this_patch": F.count("*").over(W.earlier_time("profile_id", "patch")),
             "player_games_this_map": F.count("*").over(W.earlier_time("profile_id", "map")),
@@ -97,6 +94,15 @@ def with_sequences(raw: DataFrame, last: int = 20, days: int = 30) -> DataFrame:
     )
 
 
+def with_recent(raw: DataFrame, last: int = 20) -> DataFrame:
+    """``recent``: the player's last ``last`` games at earlier times, newest first, however many share a time."""
+    item = F.struct("started_at", "game_id", "civ", "map")
+    upto = F.collect_list(item).over(W.ordered("profile_id").rowsBetween(1 - last, 0))
+    rows = raw.repartition("profile_id").withColumn("_upto", F.struct("started_at", "game_id", upto.alias("games")))
+    latest = F.max("_upto").over(W.earlier_time("profile_id"))["games"]
+    return rows.withColumn("recent", F.reverse(F.coalesce(latest, F.array()))).drop("_upto")
+
+
 def _own_history(raw: DataFrame, rows: DataFrame, days: int = 30) -> DataFrame:
     """Candidate rows with counts of the player's own earlier games with that option.
 
@@ -114,44 +120,71 @@ def _own_history(raw: DataFrame, rows: DataFrame, days: int = 30) -> DataFrame:
     return both.withColumns(out).filter("_one = 0").select("game_id", *keys, *out)
 
 
-def training_matrix(raw: DataFrame, seen_at: DataFrame, seasons: list[int] | None = None, sample: Column | None = None) -> DataFrame:
-    """One row for each sampled game and option known by then, with all of the option's histories."""
-    rows = candidates(with_sequences(raw), seen_at, seasons, sample)
-    hit = lambda n: seen(lambda x: x["civ"] == F.col("candidate_civ"), array=f"_r{n}")
-    tops = (1, 2, 3, 5, 10, 20)
-    rows = rows.withColumns({f"_r{n}": F.slice("recent", 1, n) for n in tops})
-    ten = F.transform("_r10", lambda x: x["civ"])
-    older = F.slice(ten, 2, 10)
-    switches = F.size(F.filter(F.zip_with(F.slice(ten, 1, F.greatest(F.size(ten) - 1, F.lit(0))), older, lambda x, y: x != y), lambda z: z)).cast("long")
-    kinds = F.array_distinct(ten)
-    share = lambda c: F.size(F.filter(ten, lambda x: x == c)) / F.size(ten)
+#: Families of a candidate row's features.
+FAMILIES = ("own", "recent", "global")
+TOPS = (1, 2, 3, 5, 10, 20)
+
+
+def _with_game_sequence(raw: DataFrame) -> DataFrame:
+    """What the last games tell of the player, whatever the candidate."""
+    rows = with_recent(raw).withColumn("_ten", F.transform(F.slice("recent", 1, 10), lambda x: x["civ"]))
+    older = F.slice("_ten", 2, 10)
+    changes = F.zip_with(F.slice("_ten", F.lit(1), F.greatest(F.size("_ten") - 1, F.lit(0))), older, lambda x, y: x != y)
+    kinds = F.array_distinct("_ten")
+    share = lambda c: F.size(F.filter("_ten", lambda x: x == c)) / F.size("_ten")
     entropy = F.aggregate(kinds, F.lit(0.0), lambda acc, c: acc - share(c) * F.ln(share(c)))
-    place = F.array_position(F.transform("recent", lambda x: x["civ"]), F.col("candidate_civ")).cast("long")
-    out = {f"cand_games_last_{n}_games": hit(n) for n in tops}
-    out |= {
+    return rows.withColumns(
+        {
+            "recent_civ_switch_count_last_10_games": F.size(F.filter(changes, lambda z: z)).cast("long"),
+            "recent_unique_civs_last_10_games": F.size(kinds).cast("long"),
+            "recent_entropy_last_10_games": F.when(F.size("_ten") > 0, entropy).otherwise(0.0),
+            "player_games_last_20_same_map": seen(lambda x: x["map"] == F.col("map"), array="recent"),
+        }
+    ).drop("_ten")
+
+
+def _with_candidate_sequence(rows: DataFrame) -> DataFrame:
+    civs = F.transform("recent", lambda x: x["civ"])
+    place = F.array_position(civs, F.col("candidate_civ")).cast("long")
+    hit = lambda n: F.size(F.filter(F.slice("recent", 1, n), lambda x: x["civ"] == F.col("candidate_civ"))).cast("long")
+    out = {f"cand_games_last_{n}_games": hit(n) for n in TOPS} | {
         "candidate_last_played_position": F.when(place > 0, place).otherwise(F.lit(21).cast("long")),
-        "recent_civ_switch_count_last_10_games": switches,
-        "recent_unique_civs_last_10_games": F.size(kinds).cast("long"),
-        "recent_entropy_last_10_games": F.when(F.size(ten) > 0, entropy).otherwise(0.0),
         "cand_games_last_20_same_map": seen(lambda x: (x["map"] == F.col("map")) & (x["civ"] == F.col("candidate_civ")), array="recent"),
-        "player_games_last_20_same_map": seen(lambda x: x["map"] == F.col("map"), array="recent"),
-        "player_current_streak_len": F.col("prev_civ_streak_len"),
-        "candidate_current_streak_len": F.when(F.col("candidate_civ") == F.col("prev_civ"), F.col("prev_civ_streak_len")).otherwise(0),
     }
-    rows = rows.withColumns(out).drop("recent", "_at", *[f"_r{n}" for n in tops])
-    rows = rows.join(_own_history(raw, rows), [*GROUP, "candidate_civ"])
-    return _with_global_rates(raw, rows)
+    return rows.withColumns(out).drop("recent")
+
+
+def training_matrix(raw: DataFrame, seen_at: DataFrame, seasons: list[int] | None = None, sample: Column | None = None, families: tuple[str, ...] = FAMILIES) -> DataFrame:
+    """One row for each sampled game and option known by then, with the option's histories.
+
+    Only the families asked for are computed: "own" (the player's earlier games
+    with the option), "recent" (the last 20 games) and "global" (pick rates of
+    all players).
+    """
+    base = with_player_counts(raw) if "own" in families else raw
+    base = _with_game_sequence(base) if "recent" in families else base
+    rows = candidates(base, seen_at, seasons, sample)
+    rows = rows.withColumns(
+        {
+            "player_current_streak_len": F.col("prev_civ_streak_len"),
+            "candidate_current_streak_len": F.when(F.col("candidate_civ") == F.col("prev_civ"), F.col("prev_civ_streak_len")).otherwise(0),
+        }
+    )
+    if "recent" in families:
+        rows = _with_candidate_sequence(rows)
+    if "own" in families:
+        rows = rows.join(_own_history(raw, rows), [*GROUP, "candidate_civ"])
+    return _with_global_rates(raw, rows) if "global" in families else rows
 
 
 def _with_global_rates(raw: DataFrame, rows: DataFrame) -> DataFrame:
     by_season, by_patch = pick_rates(raw, "season"), previous_rates(pick_rates(raw, "patch"), "patch")
     last_season = by_season.select((F.col("season") + 1).alias("season"), F.col("civ").alias("candidate_civ"), F.col("pick_rate").alias("cand_global_pr_prev_season"))
     last_patch = by_patch.select("patch", F.col("civ").alias("candidate_civ"), F.col("pick_rate").alias("cand_global_pr_prev_patch"))
-    bucketed = raw.withColumn("mmr_bucket", tier("mmr"))
-    rows = rows.withColumn("mmr_bucket", tier("mmr"))
-    rows = rows.join(last_season, ["season", "candidate_civ"], "left").join(last_patch, ["patch", "candidate_civ"], "left")
-    rows = rows.join(rates_before(bucketed, ["patch", "mmr_bucket"], "cand_global_pr_patch_mmr_bucket"), ["patch", "mmr_bucket", "started_at", "candidate_civ"], "left")
-    rows = rows.join(rates_before(raw, ["map", "patch"], "cand_global_pr_map_patch"), ["map", "patch", "started_at", "candidate_civ"], "left")
+    bucketed, rows = (x.withColumn("mmr_bucket", tier("mmr")) for x in (raw, rows))
+    rows = rows.join(as_dimension(last_season), ["season", "candidate_civ"], "left").join(as_dimension(last_patch), ["patch", "candidate_civ"], "left")
+    rows = with_rate_before(rows, bucketed, ["patch", "mmr_bucket"], "cand_global_pr_patch_mmr_bucket")
+    rows = with_rate_before(rows, raw, ["map", "patch"], "cand_global_pr_map_patch")
     return rows.na.fill(UNIFORM, [f"cand_global_pr_{x}" for x in ("prev_season", "prev_patch", "patch_mmr_bucket", "map_patch")])
 
 
@@ -207,7 +240,7 @@ def anonymous_games(games: DataFrame, participants: DataFrame) -> DataFrame:
 
 
 def counts_before_day(rows: DataFrame, keys: list[str], days: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Counts of (keys, civ) and of (keys) on earlier days, for each of ``days``: all days count, also those without a target."""
+    """Counts of (keys, civ) and of (keys) on earlier days, for each of ``days`` and each value: a full grid of days and values."""
 
     def cumulative(by: list[str], name: str) -> DataFrame:
         daily = rows.groupBy("day", *by).agg(F.count("*").alias("n"))
@@ -220,19 +253,33 @@ def counts_before_day(rows: DataFrame, keys: list[str], days: DataFrame) -> tupl
 
 
 def anonymous_matrix(rows: DataFrame, seen_at: DataFrame, seasons: list[int] | None = None, dimensions: list[str] | None = None) -> DataFrame:
-    """Candidate rows with counts before the day, by each dimension."""
+    """Candidate rows with counts before the day, by each dimension.
+
+    All dimensions roll up one daily aggregate, and are asked only for the days
+    and values that candidate rows have.
+    """
     chosen = rows if seasons is None else rows.filter(F.col("season").isin(seasons))
     out = expand_candidates(chosen.withColumnRenamed("civ", "chosen_civ"), seen_at, "chosen_civ")
-    days = chosen.select("day").distinct()
-    for name in dimensions or list(DIMENSIONS):
-        keys = DIMENSIONS[name]
-        of_civ, of_all = counts_before_day(rows, keys, days)
-        of_civ = of_civ.select("day", *keys, F.col("civ").alias("candidate_civ"), F.col("cand_count").alias(f"cand_{name}_count"))
-        of_all = of_all.select("day", *keys, F.col("total_count").alias(f"{name}_total"))
-        out = out.join(of_civ, ["day", *keys, "candidate_civ"], "left").join(of_all, ["day", *keys], "left").na.fill(0, [f"cand_{name}_count", f"{name}_total"])
+    used = dimensions or list(DIMENSIONS)
+    every = sorted({k for x in used for k in DIMENSIONS[x]})
+    daily = rows.groupBy("day", *every, "civ").agg(F.count("*").alias("n")).withColumnRenamed("civ", "candidate_civ")
+    asked = out.select("day", *every, "candidate_civ").distinct()
+    for name in used:
+        for keys, column in (([*DIMENSIONS[name], "candidate_civ"], f"cand_{name}_count"), (DIMENSIONS[name], f"{name}_total")):
+            known = _days_before(daily, asked, keys, column)
+            out = out.join(known, ["day", *keys], "left").na.fill(0, [column])
     return out
 
 
+def _days_before(daily: DataFrame, asked: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """(day, keys, name): the counts of earlier days, for each (day, keys) that is asked for."""
+    zero = F.lit(0).cast("long").alias("n")
+    both = daily.groupBy("day", *keys).agg(F.sum("n").alias("n"), F.lit(0).alias("_asked")).unionByName(asked.select("day", *keys).distinct().select("day", *keys, zero, F.lit(1).alias("_asked")))
+    by_day = both.groupBy("day", *keys).agg(F.sum("n").alias("n"), F.max("_asked").alias("_asked"))
+    w = Window.partitionBy(*keys).orderBy(F.unix_date("day")).rowsBetween(W.START, -1)
+    return by_day.withColumn(name, F.coalesce(F.sum("n").over(w), F.lit(0))).filter("_asked = 1").select("day", *keys, name)
+
+
 def user_recent(rows: DataFrame, candidate_rows: DataFrame, user: int) -> DataFrame:
     """Per candidate row of the watched user's games: how often recent opponents picked the option."""
     own = rows.filter(F.col("profile_id") == user).select("game_id", "started_at", F.col("profile_id").alias("user_id"))

@@ -11,14 +11,13 @@ from ..operators import clustering as K
 from ..operators import joins, metrics
 from .base import PG, add, over, pg_sql, player_rows, six, total
 
-SAMPLE = 40  # candidate rows of matches whose id is divisible by it (the sampling operator of the matrix)
 _RAW = (
     "base AS (SELECT * REPLACE (CASE WHEN civilization_randomized THEN 'random_civ' ELSE civ END AS civ) FROM pg), mk AS (SELECT *, CASE WHEN civ = lag(civ) " + over("profile_id") + " THEN 0 ELSE 1 END AS b FROM base), "
     "gr AS (SELECT *, sum(b) " + over("profile_id", "ROWS UNBOUNDED PRECEDING") + " AS g FROM mk), rl AS (SELECT *, row_number() " + over("profile_id, g") + " AS l FROM gr), "
     "raw AS (SELECT * EXCLUDE (b, g, l), lag(civ) " + over("profile_id") + " AS prev_civ, coalesce(lag(l) " + over("profile_id") + ", 0) AS prev_civ_streak_len FROM rl)"
 )
 _FIRST = "fs AS (SELECT CASE WHEN civilization_randomized THEN 'random_civ' ELSE civilization END AS civ, min(started_at) AS first_seen_at FROM participants JOIN games USING (game_id) WHERE civilization IS NOT NULL GROUP BY 1)"
-_CAND = f"cr AS (SELECT raw.* EXCLUDE (civ), raw.civ AS chosen_civ, fs.civ AS candidate_civ, CASE WHEN raw.civ = fs.civ THEN 1 ELSE 0 END AS target FROM raw JOIN fs ON fs.first_seen_at <= raw.started_at WHERE raw.game_id % {SAMPLE} = 0)"
+_CAND = "cr AS (SELECT raw.* EXCLUDE (civ), raw.civ AS chosen_civ, fs.civ AS candidate_civ, CASE WHEN raw.civ = fs.civ THEN 1 ELSE 0 END AS target FROM raw JOIN fs ON fs.first_seen_at <= raw.started_at)"
 KEY = ["game_id", "profile_id", "candidate_civ"]
 
 
@@ -30,15 +29,15 @@ def _seen(s, d):
     return C.first_seen(schema.games(s, d), schema.participants(s, d))
 
 
-def _matrix(s, d):
-    return C.training_matrix(_raw(s, d), _seen(s, d), sample=F.col("game_id") % SAMPLE == 0)
+def _matrix(s, d, *families):
+    return C.training_matrix(_raw(s, d), _seen(s, d), families=families or C.FAMILIES)
 
 
 add("w17_civ_runs", lambda s, d: _raw(s, d).select("game_id", "profile_id", "civ", "prev_civ", "prev_civ_streak_len"), pg_sql(_RAW) + "SELECT game_id, profile_id, civ, prev_civ, prev_civ_streak_len FROM raw")
 add("w15_inclusive_cumulative", lambda s, d: C.civ_games(_raw(s, d)).select("game_id", "profile_id", "civ_game_num", "civ_wins_cumul"), pg_sql(_RAW) + f"SELECT game_id, profile_id, row_number() {over('profile_id, civ')} AS civ_game_num, {total('result', 'profile_id, civ', 'ROWS UNBOUNDED PRECEDING')} AS civ_wins_cumul FROM raw")
 add("e3_civ_option", lambda s, d: player_rows(s, d).select("game_id", "profile_id", X.civ_option("civ").alias("civ"), X.tier("mmr").alias("mmr_bucket")), pg_sql() + "SELECT game_id, profile_id, CASE WHEN civilization_randomized THEN 'random_civ' ELSE civ END AS civ, CASE WHEN mmr IS NULL THEN 'unknown' WHEN mmr < 1000 THEN 'low' WHEN mmr < 1400 THEN 'mid' ELSE 'high' END AS mmr_bucket FROM pg")
 add("c16_candidates", lambda s, d: C.candidates(_raw(s, d), _seen(s, d)).groupBy("candidate_civ").agg(F.count("*").alias("n"), F.sum("target").alias("chosen")), pg_sql(_RAW, _FIRST) + "SELECT fs.civ AS candidate_civ, count(*) AS n, sum(CASE WHEN raw.civ = fs.civ THEN 1 ELSE 0 END)::BIGINT AS chosen FROM raw JOIN fs ON fs.first_seen_at <= raw.started_at GROUP BY 1")
-add("j8_theta_join", lambda s, d: C.candidates(_raw(s, d), _seen(s, d), sample=F.col("game_id") % SAMPLE == 0).select(*KEY, "target"), pg_sql(_RAW, _FIRST, _CAND) + "SELECT game_id, profile_id, candidate_civ, target FROM cr")
+add("j8_theta_join", lambda s, d: C.candidates(_raw(s, d), _seen(s, d)).select(*KEY, "target"), pg_sql(_RAW, _FIRST, _CAND) + "SELECT game_id, profile_id, candidate_civ, target FROM cr")
 _RATES = lambda by: f"SELECT {by}, civ, n::DOUBLE / sum(n) OVER (PARTITION BY {by}) AS pick_rate FROM (SELECT {by}, civ, count(*) AS n FROM raw GROUP BY ALL)"
 for _by in ("season", "patch"):
     add(f"a10_pick_rates_{_by}", lambda s, d, by=_by: C.pick_rates(_raw(s, d), by), pg_sql(_RAW) + f"SELECT {_by}, civ, {six('pick_rate')} AS pick_rate FROM ({_RATES(_by)})")
@@ -56,7 +55,7 @@ _LIFE = {
 _GROUP = "GROUP BY cr.game_id, cr.profile_id, cr.candidate_civ"
 _LIFE_SQL = "life AS (SELECT cr.game_id, cr.profile_id, cr.candidate_civ, " + ", ".join(f"{v} AS {k}" for k, v in _LIFE.items()) + f" {_PAST} {_GROUP})"
 for _name, _columns in {"j13_latest_own": ["cand_games_lifetime", "cand_wins_lifetime", "days_since_cand_civ"], "j14_bounded_aggregates": [c for c in _LIFE if c.endswith(("30d", "this_patch", "this_map"))]}.items():
-    add(_name, lambda s, d, c=_columns: _matrix(s, d).select(*KEY, *c), pg_sql(_RAW, _FIRST, _CAND, _LIFE_SQL) + f"SELECT game_id, profile_id, candidate_civ, {', '.join(_columns)} FROM life")
+    add(_name, lambda s, d, c=_columns: _matrix(s, d, "own").select(*KEY, *c), pg_sql(_RAW, _FIRST, _CAND, _LIFE_SQL) + f"SELECT game_id, profile_id, candidate_civ, {', '.join(_columns)} FROM life")
 _RECENT = (
     "rec AS (SELECT * FROM (SELECT cr.game_id, cr.profile_id, cr.candidate_civ, cr.map AS here, h.civ, h.map, row_number() OVER (PARTITION BY cr.game_id, cr.profile_id, cr.candidate_civ ORDER BY h.started_at DESC, h.game_id DESC) AS rn "
     "FROM cr JOIN raw AS h ON h.profile_id = cr.profile_id AND h.started_at < cr.started_at) WHERE rn <= 20), "
@@ -68,8 +67,8 @@ _RECENT = (
 )
 _SEQ = [*[f"cand_games_last_{n}_games" for n in (1, 2, 3, 5, 10, 20)], "recent_civ_switch_count_last_10_games", "recent_unique_civs_last_10_games", "cand_games_last_20_same_map", "player_games_last_20_same_map"]
 _SEQ_SQL = ", ".join(f"coalesce({c}, 0) AS {c}" for c in _SEQ) + ", coalesce(candidate_last_played_position, 21) AS candidate_last_played_position"
-add("j15_last_20", lambda s, d: _matrix(s, d).select(*KEY, "cand_games_last_20_games"), pg_sql(_RAW, _FIRST, _CAND, _RECENT) + "SELECT game_id, profile_id, candidate_civ, coalesce(cand_games_last_20_games, 0) AS cand_games_last_20_games FROM cr LEFT JOIN seq USING (game_id, profile_id, candidate_civ)")
-add("j16_recent_sequence", lambda s, d: _matrix(s, d).select(*KEY, *_SEQ, "candidate_last_played_position", "recent_entropy_last_10_games"), pg_sql(_RAW, _FIRST, _CAND, _RECENT) + f"SELECT game_id, profile_id, candidate_civ, {_SEQ_SQL}, {six('coalesce(e, 0)')} AS recent_entropy_last_10_games FROM cr LEFT JOIN seq USING (game_id, profile_id, candidate_civ) LEFT JOIN en USING (game_id, profile_id, candidate_civ)")
+add("j15_last_20", lambda s, d: _matrix(s, d, "recent").select(*KEY, "cand_games_last_20_games"), pg_sql(_RAW, _FIRST, _CAND, _RECENT) + "SELECT game_id, profile_id, candidate_civ, coalesce(cand_games_last_20_games, 0) AS cand_games_last_20_games FROM cr LEFT JOIN seq USING (game_id, profile_id, candidate_civ)")
+add("j16_recent_sequence", lambda s, d: _matrix(s, d, "recent").select(*KEY, *_SEQ, "candidate_last_played_position", "recent_entropy_last_10_games"), pg_sql(_RAW, _FIRST, _CAND, _RECENT) + f"SELECT game_id, profile_id, candidate_civ, {_SEQ_SQL}, {six('coalesce(e, 0)')} AS recent_entropy_last_10_games FROM cr LEFT JOIN seq USING (game_id, profile_id, candidate_civ) LEFT JOIN en USING (game_id, profile_id, candidate_civ)")
 add("a11_entropy", lambda s, d: player_rows(s, d).groupBy("profile_id", "civ").agg(F.count("*").alias("n")).withColumn("p", F.col("n") / F.sum("n").over(_of("profile_id"))).groupBy("profile_id").agg(F.sum(-F.col("p") * F.ln("p")).alias("entropy")), pg_sql() + f"SELECT profile_id, {six('-sum(p * ln(p))')} AS entropy FROM (SELECT profile_id, civ, count(*)::DOUBLE / sum(count(*)) OVER (PARTITION BY profile_id) AS p FROM pg GROUP BY profile_id, civ) GROUP BY 1")
 
 
@@ -89,14 +88,14 @@ _GLOBAL = (
 )
 add(
     "j17_global_rates",
-    lambda s, d: _matrix(s, d).select(*KEY, *[f"cand_global_pr_{x}" for x in ("prev_season", "prev_patch", "patch_mmr_bucket", "map_patch")]),
+    lambda s, d: _matrix(s, d, "global").select(*KEY, *[f"cand_global_pr_{x}" for x in ("prev_season", "prev_patch", "patch_mmr_bucket", "map_patch")]),
     pg_sql(_RAW, _FIRST, _CAND, _GLOBAL) + f"SELECT cr.game_id, cr.profile_id, cr.candidate_civ, {six(f'coalesce(rs.pick_rate, {_U})')} AS cand_global_pr_prev_season, {six(f'coalesce(pp.v, {_U})')} AS cand_global_pr_prev_patch, {six(f'coalesce(pmb.v, {_U})')} AS cand_global_pr_patch_mmr_bucket, {six(f'coalesce(mpr.v, {_U})')} AS cand_global_pr_map_patch "
     "FROM cr LEFT JOIN rs ON rs.season = cr.season - 1 AND rs.civ = cr.candidate_civ LEFT JOIN pp USING (game_id, profile_id, candidate_civ) LEFT JOIN pmb USING (game_id, profile_id, candidate_civ) LEFT JOIN mpr USING (game_id, profile_id, candidate_civ)",
 )
 _SHARE = lambda c, t: f"((cand_games_{c} + 5.0::DOUBLE / 19) / (player_games_{t} + 5.0::DOUBLE))"
-add("e29_choice_flags", lambda s, d: C.derived(_matrix(s, d)).select(*KEY, "candidate_is_last_civ", "candidate_is_in_pool_lifetime", "candidate_breaks_current_streak"), pg_sql(_RAW, _FIRST, _CAND, _LIFE_SQL) + "SELECT cr.game_id, cr.profile_id, cr.candidate_civ, CASE WHEN cr.candidate_civ = cr.prev_civ THEN 1 ELSE 0 END AS candidate_is_last_civ, CASE WHEN cand_games_lifetime > 0 THEN 1 ELSE 0 END AS candidate_is_in_pool_lifetime, CASE WHEN prev_civ_streak_len > 0 AND cr.candidate_civ <> coalesce(cr.prev_civ, '') THEN 1 ELSE 0 END AS candidate_breaks_current_streak FROM cr JOIN life USING (game_id, profile_id, candidate_civ)")
-add("w22_dense_ranks", lambda s, d: C.derived(_matrix(s, d)).select(*KEY, "candidate_civ_rank_lifetime", "candidate_civ_rank_30d", "candidate_is_lifetime_main"), pg_sql(_RAW, _FIRST, _CAND, _LIFE_SQL) + "SELECT *, CASE WHEN candidate_civ_rank_lifetime = 1 THEN 1 ELSE 0 END AS candidate_is_lifetime_main FROM (SELECT game_id, profile_id, candidate_civ, " + ", ".join(f"(dense_rank() OVER (PARTITION BY game_id, profile_id ORDER BY cand_games_{x} DESC))::INT AS candidate_civ_rank_{x}" for x in ("lifetime", "30d")) + " FROM life)")
-add("w23_group_shares", lambda s, d: C.derived(_matrix(s, d)).select(*KEY, "cand_pick_share_lifetime", "main_civ_share_lifetime", "num_civs_played_30d", "civ_pool_entropy_lifetime"), pg_sql(_RAW, _FIRST, _CAND, _LIFE_SQL, f"sh AS (SELECT *, {_SHARE('lifetime', 'lifetime')} AS sl FROM life), pr AS (SELECT *, sl / sum(sl) OVER (PARTITION BY game_id, profile_id) AS p FROM sh)") + f"SELECT game_id, profile_id, candidate_civ, {six('sl')} AS cand_pick_share_lifetime, {six('max(sl) OVER w')} AS main_civ_share_lifetime, (sum(CASE WHEN cand_games_30d > 0 THEN 1 ELSE 0 END) OVER w)::BIGINT AS num_civs_played_30d, {six('sum(-p * ln(p)) OVER w')} AS civ_pool_entropy_lifetime FROM pr WINDOW w AS (PARTITION BY game_id, profile_id)")
+add("e29_choice_flags", lambda s, d: C.derived(_matrix(s, d, "own", "recent")).select(*KEY, "candidate_is_last_civ", "candidate_is_in_pool_lifetime", "candidate_breaks_current_streak"), pg_sql(_RAW, _FIRST, _CAND, _LIFE_SQL) + "SELECT cr.game_id, cr.profile_id, cr.candidate_civ, CASE WHEN cr.candidate_civ = cr.prev_civ THEN 1 ELSE 0 END AS candidate_is_last_civ, CASE WHEN cand_games_lifetime > 0 THEN 1 ELSE 0 END AS candidate_is_in_pool_lifetime, CASE WHEN prev_civ_streak_len > 0 AND cr.candidate_civ <> coalesce(cr.prev_civ, '') THEN 1 ELSE 0 END AS candidate_breaks_current_streak FROM cr JOIN life USING (game_id, profile_id, candidate_civ)")
+add("w22_dense_ranks", lambda s, d: C.derived(_matrix(s, d, "own", "recent")).select(*KEY, "candidate_civ_rank_lifetime", "candidate_civ_rank_30d", "candidate_is_lifetime_main"), pg_sql(_RAW, _FIRST, _CAND, _LIFE_SQL) + "SELECT *, CASE WHEN candidate_civ_rank_lifetime = 1 THEN 1 ELSE 0 END AS candidate_is_lifetime_main FROM (SELECT game_id, profile_id, candidate_civ, " + ", ".join(f"(dense_rank() OVER (PARTITION BY game_id, profile_id ORDER BY cand_games_{x} DESC))::INT AS candidate_civ_rank_{x}" for x in ("lifetime", "30d")) + " FROM life)")
+add("w23_group_shares", lambda s, d: C.derived(_matrix(s, d, "own", "recent")).select(*KEY, "cand_pick_share_lifetime", "main_civ_share_lifetime", "num_civs_played_30d", "civ_pool_entropy_lifetime"), pg_sql(_RAW, _FIRST, _CAND, _LIFE_SQL, f"sh AS (SELECT *, {_SHARE('lifetime', 'lifetime')} AS sl FROM life), pr AS (SELECT *, sl / sum(sl) OVER (PARTITION BY game_id, profile_id) AS p FROM sh)") + f"SELECT game_id, profile_id, candidate_civ, {six('sl')} AS cand_pick_share_lifetime, {six('max(sl) OVER w')} AS main_civ_share_lifetime, (sum(CASE WHEN cand_games_30d > 0 THEN 1 ELSE 0 END) OVER w)::BIGINT AS num_civs_played_30d, {six('sum(-p * ln(p)) OVER w')} AS civ_pool_entropy_lifetime FROM pr WINDOW w AS (PARTITION BY game_id, profile_id)")
 add("a2_filtered_aggregates", lambda s, d: player_rows(s, d).groupBy("profile_id").agg(F.count(F.when(F.col("mmr") > 1200, 1)).alias("strong"), F.count_distinct(F.when(F.col("result") == 1, F.col("civ"))).alias("civs_won"), F.sum(F.when(F.col("duration") <= 900, F.col("result"))).alias("short_wins")), pg_sql() + "SELECT profile_id, count(*) FILTER (mmr > 1200) AS strong, count(DISTINCT civ) FILTER (result = 1) AS civs_won, (sum(result) FILTER (duration <= 900))::BIGINT AS short_wins FROM pg GROUP BY 1")
 
 # Anonymous.
@@ -157,7 +156,7 @@ _SCORE = "(cand_games_lifetime + 1)::DOUBLE"
 
 
 def _scored(s, d):
-    return _matrix(s, d).select(*KEY, "target", (F.col("cand_games_lifetime") + 1).cast("double").alias("score"))
+    return _matrix(s, d, "own").select(*KEY, "target", (F.col("cand_games_lifetime") + 1).cast("double").alias("score"))
 
 
 _SC = f"sc AS (SELECT cr.game_id, cr.profile_id, cr.candidate_civ, cr.target, {_SCORE} AS score FROM cr JOIN life USING (game_id, profile_id, candidate_civ)), pr AS (SELECT *, score / sum(score) OVER w AS prob, ln(score) AS ls FROM sc WINDOW w AS (PARTITION BY game_id, profile_id))"
@@ -168,7 +167,7 @@ add(
     pg_sql(_RAW, _FIRST, _CAND, _LIFE_SQL, _SC, "rk AS (SELECT *, row_number() OVER (PARTITION BY game_id, profile_id ORDER BY prob DESC, candidate_civ) AS r FROM pr), one AS (SELECT game_id, profile_id, sum(target) AS c, max(r) FILTER (target = 1) AS r, max(prob) FILTER (target = 1) AS q, sum(pow(prob - target, 2)) AS b FROM rk GROUP BY ALL)")
     + "SELECT count(*) AS n, " + ", ".join(f"{six(f'avg(CASE WHEN r <= {k} THEN 1.0 ELSE 0.0 END)')} AS top{k}_acc" for k in (1, 3, 5)) + f", {six('avg(-ln(q))')} AS log_loss, {six('avg(b)')} AS brier, {six('avg(q)')} AS mean_chosen_prob FROM one WHERE c = 1",
 )
-add("m11_choice_baselines", lambda s, d: _matrix(s, d).select(*KEY, F.col("cand_global_pr_prev_patch").alias("global"), X.smooth_share("cand_games_lifetime", "player_games_lifetime", C.UNIFORM, 5.0).alias("lifetime"), X.smooth_share("cand_games_this_map", "player_games_this_map", C.UNIFORM, 5.0).alias("map"), X.flag(F.col("candidate_civ") == F.col("prev_civ")).alias("last_civ")), pg_sql(_RAW, _FIRST, _CAND, _LIFE_SQL, _GLOBAL) + f"SELECT cr.game_id, cr.profile_id, cr.candidate_civ, {six(f'coalesce(pp.v, {_U})')} AS global, {six(_SHARE('lifetime', 'lifetime'))} AS lifetime, {six(_SHARE('this_map', 'this_map'))} AS map, CASE WHEN cr.candidate_civ = cr.prev_civ THEN 1 ELSE 0 END AS last_civ FROM cr JOIN life USING (game_id, profile_id, candidate_civ) LEFT JOIN pp USING (game_id, profile_id, candidate_civ)")
+add("m11_choice_baselines", lambda s, d: _matrix(s, d, "own", "global").select(*KEY, F.col("cand_global_pr_prev_patch").alias("global"), X.smooth_share("cand_games_lifetime", "player_games_lifetime", C.UNIFORM, 5.0).alias("lifetime"), X.smooth_share("cand_games_this_map", "player_games_this_map", C.UNIFORM, 5.0).alias("map"), X.flag(F.col("candidate_civ") == F.col("prev_civ")).alias("last_civ")), pg_sql(_RAW, _FIRST, _CAND, _LIFE_SQL, _GLOBAL) + f"SELECT cr.game_id, cr.profile_id, cr.candidate_civ, {six(f'coalesce(pp.v, {_U})')} AS global, {six(_SHARE('lifetime', 'lifetime'))} AS lifetime, {six(_SHARE('this_map', 'this_map'))} AS map, CASE WHEN cr.candidate_civ = cr.prev_civ THEN 1 ELSE 0 END AS last_civ FROM cr JOIN life USING (game_id, profile_id, candidate_civ) LEFT JOIN pp USING (game_id, profile_id, candidate_civ)")
 
 # Clustering.
 _KB = "ks AS (SELECT profile_id, count(*) AS n_games, avg(civilization_randomized::INT) AS random_civ_rate, count(*) FILTER (NOT civilization_randomized) AS n_nonrandom_games FROM pg GROUP BY 1 HAVING count(*) FILTER (NOT civilization_randomized) >= 50), kb AS (SELECT * FROM pg WHERE profile_id IN (SELECT profile_id FROM ks)), kc AS (SELECT * FROM kb WHERE NOT civilization_randomized), ke AS (SELECT * FROM pg WHERE NOT civilization_randomized)"

@@ -204,11 +204,11 @@ add("c15_heatmap", lambda s, d: spatial.heatmap(spatial.cells(_intents(s, d))))
 add("c25_label_sources", lambda s, d: snapshots.resolve_labels([G(s, d).filter("game_id % 3 = 0").select(F.col("game_id").alias("replay_id"), F.lit(1).alias("target")), G(s, d).filter("game_id % 2 = 0").select(F.col("game_id").alias("replay_id"), F.lit(0).alias("target"))]), "SELECT o_orderkey AS replay_id, CASE WHEN o_orderkey % 3 = 0 THEN 1 ELSE 0 END AS target, CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE 1 END AS label_source FROM orders WHERE o_orderkey % 3 = 0 OR o_orderkey % 2 = 0")
 
 # Serving.
-_RQ = "rq AS (SELECT 1000000 + game_id AS request_id, profile_id, civ, map, season, started_at AS at FROM pg WHERE game_id % 50 = 0)"
+_RQ = "rq AS (SELECT 1000000 + game_id AS request_id, profile_id, civ, map, season, started_at AS at FROM pg)"
 
 
 def _requests(s, d):
-    return player_rows(s, d).filter("game_id % 50 = 0").select((F.col("game_id") + 1000000).alias("request_id"), "profile_id", "civ", "map", "season", F.col("started_at").alias("at"))
+    return player_rows(s, d).select((F.col("game_id") + 1000000).alias("request_id"), "profile_id", "civ", "map", "season", F.col("started_at").alias("at"))
 
 
 _rc = lambda c: f"count(h.game_id) FILTER ({c})"
@@ -219,12 +219,12 @@ add(
     lambda s, d: serving.states_as_of(player_rows(s, d), _requests(s, d)),
     pg_sql(_RQ) + "SELECT rq.request_id, rq.profile_id, " + ", ".join(f"{f(c)} AS {x}_{k}" for k, f in (("games", _rc), ("wins", _rs)) for x, c in _SP.items()) + ", arg_max(h.mmr, (h.started_at, h.game_id)) FILTER (h.mmr IS NOT NULL) AS latest_mmr, arg_max(h.rating, (h.started_at, h.game_id)) FILTER (h.rating IS NOT NULL) AS latest_rating FROM rq LEFT JOIN pg AS h ON h.profile_id = rq.profile_id AND h.started_at < rq.at GROUP BY rq.request_id, rq.profile_id",
 )
-_CP2 = "cpk AS (SELECT game_id, profile_id, civ, count(*)::DOUBLE / sum(count(*)) OVER (PARTITION BY game_id, profile_id) AS p FROM (SELECT t.game_id, t.profile_id, h.civ FROM (SELECT game_id, profile_id FROM pg WHERE game_id % 100 = 0) AS t JOIN pg AS h USING (profile_id)) GROUP BY game_id, profile_id, civ)"
+_CP2 = "hc AS (SELECT profile_id, civ, count(*) AS n FROM pg GROUP BY ALL), cpk AS (SELECT pg.game_id, pg.profile_id, hc.civ, hc.n, n::DOUBLE / sum(n) OVER (PARTITION BY pg.game_id, pg.profile_id) AS p FROM pg JOIN hc USING (profile_id))"
 
 
 def _civ_shares(s, d):
     rows = player_rows(s, d)
-    counts = rows.filter("game_id % 100 = 0").select("game_id", "profile_id").join(rows.select("profile_id", "civ"), "profile_id").groupBy("game_id", "profile_id", "civ").agg(F.count("*").alias("n"))
+    counts = rows.select("game_id", "profile_id").join(rows.groupBy("profile_id", "civ").agg(F.count("*").alias("n")), "profile_id")
     return counts.withColumn("p", F.col("n") / F.sum("n").over(Window.partitionBy("game_id", "profile_id"))).withColumn("side", F.dense_rank().over(Window.partitionBy("game_id").orderBy("profile_id")))
 
 
@@ -235,7 +235,7 @@ def _marginal(s, d):
 
 
 add("c26_marginal_win", _marginal, pg_sql(_CP2, "sd AS (SELECT *, dense_rank() OVER (PARTITION BY game_id ORDER BY profile_id) AS side FROM cpk), wn AS (SELECT a.civ AS civ_a, b.civ AS civ_b, avg(a.result) AS pw FROM pg AS a JOIN pg AS b ON a.game_id = b.game_id AND a.profile_id < b.profile_id GROUP BY ALL)") + f"SELECT a.game_id AS request_id, {six('sum(a.p * b.p * coalesce(pw, 0.5)) / nullif(sum(a.p * b.p), 0)')} AS p_win FROM sd AS a JOIN sd AS b ON a.game_id = b.game_id AND a.side = 1 AND b.side = 2 LEFT JOIN wn ON wn.civ_a = a.civ AND wn.civ_b = b.civ GROUP BY 1")
-add("c36_civ_distribution", lambda s, d: serving.civ_distribution(_civ_shares(s, d).withColumn("games", F.sum("n").over(Window.partitionBy("game_id", "profile_id"))).withColumn("score", F.sqrt(F.col("n").cast("double"))), ["game_id", "profile_id"], "score", "games", 300).select("game_id", "profile_id", "civ", "p"), pg_sql(_CP2, "ct AS (SELECT t.game_id, t.profile_id, h.civ, count(*) AS n FROM (SELECT game_id, profile_id FROM pg WHERE game_id % 100 = 0) AS t JOIN pg AS h USING (profile_id) GROUP BY ALL)") + f"SELECT game_id, profile_id, civ, {six('CASE WHEN sum(n) OVER w < 300 THEN 1.0::DOUBLE / count(*) OVER w ELSE sqrt(n) / sum(sqrt(n)) OVER w END')} AS p FROM ct WINDOW w AS (PARTITION BY game_id, profile_id)")
+add("c36_civ_distribution", lambda s, d: serving.civ_distribution(_civ_shares(s, d).withColumn("games", F.sum("n").over(Window.partitionBy("game_id", "profile_id"))).withColumn("score", F.sqrt(F.col("n").cast("double"))), ["game_id", "profile_id"], "score", "games", 300).select("game_id", "profile_id", "civ", "p"), pg_sql(_CP2) + f"SELECT game_id, profile_id, civ, {six('CASE WHEN sum(n) OVER w < 300 THEN 1.0::DOUBLE / count(*) OVER w ELSE sqrt(n) / sum(sqrt(n)) OVER w END')} AS p FROM cpk WINDOW w AS (PARTITION BY game_id, profile_id)")
 add("c38_context", lambda s, d: serving.context(pregame.base_derived(training(s, d))).select("game_id", "context_level", F.array_join("warnings", "; ").alias("warnings")), pg_sql(PS, PRIORS, TF) + "SELECT game_id, CASE WHEN civ_a IS NOT NULL AND civ_b IS NOT NULL AND map IS NOT NULL THEN 'full' WHEN civ_a IS NOT NULL AND civ_b IS NOT NULL THEN 'civs' WHEN map IS NOT NULL THEN 'map' ELSE 'players' END AS context_level, concat_ws('; ', CASE WHEN map IS NULL THEN 'unknown map' END, CASE WHEN civ_a IS NULL OR civ_b IS NULL THEN 'unknown civilization' END, CASE WHEN coalesce(mmr_a, rating_a) IS NULL THEN 'no skill of player a' END, CASE WHEN coalesce(mmr_b, rating_b) IS NULL THEN 'no skill of player b' END, CASE WHEN games_lifetime_a < 10 THEN 'few games of player a' END, CASE WHEN games_lifetime_b < 10 THEN 'few games of player b' END) AS warnings FROM tf")
 add("c32_mirror_matchup", lambda s, d: serving.mirror_fixed(pregame.matchup_priors(stats(s, d)).groupBy("civ_a", "civ_b").agg(F.max("prior_games").alias("games"), F.max("prior_wins").alias("wins"))), pg_sql(PS, PRIORS) + "SELECT civ_a, civ_b, games, CASE WHEN civ_a = civ_b THEN games // 2 ELSE wins END AS wins FROM (SELECT civ_a, civ_b, max(prior_games) AS games, max(prior_wins) AS wins FROM priors GROUP BY ALL)")
 add("c30_latest_matchup", lambda s, d: serving.latest_matchup(training(s, d).select("game_id", "civ_a", "civ_b", "season"), pregame.matchup_priors(stats(s, d))).select("game_id", "prior_games", "prior_wins"), pg_sql(PS, PRIORS, TF) + "SELECT game_id, prior_games, prior_wins FROM (SELECT game_id, civ_a, civ_b, season FROM tf) AS t ASOF LEFT JOIN priors AS p ON p.civ_a = t.civ_a AND p.civ_b = t.civ_b AND t.season >= p.season")
