@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 1_000_000
 #: Edges whose components one task finds; more are dealt out.
 EDGES_AT_ONCE = 100_000
+#: Bytes of an Arrow batch between Spark and Python; a longer row is a batch of its own.
+BATCH_BYTES = 4_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,8 +66,16 @@ def small(df: DataFrame, rows: int | None = None, most: int = BROADCAST_ROWS) ->
     return F.broadcast(df) if (df.count() if rows is None else rows) <= most else df
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Give the session Arrow batches of ``BATCH_BYTES``, unless it has a limit other than Spark's own of 64 MB."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, "") in ("67108864b", "67108864", "64m", "64MB"):
+        spark.conf.set(name, BATCH_BYTES)
+
+
 def map_arrow(df: DataFrame, each: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """``mapInArrow`` with a function of one batch."""
+    """``mapInArrow`` with a function of one batch, whose size is bounded."""
+    bound_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

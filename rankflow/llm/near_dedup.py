@@ -295,9 +295,9 @@ def _sets_of(docs: DataFrame, chosen: DataFrame, k: int) -> DataFrame:
 
     named = small(chosen.select("doc_id").distinct(), chosen.count())
     texts = docs.join(named, docs["doc_id"].eqNullSafe(named["doc_id"]), "left_semi").select("text")
-    # Copies of a text give its set again.
+    # Rows that share a doc_id and a text give a set again.
     sets = map_arrow(texts, each, "key binary, data binary").join(chosen.select("id", "key"), "key").select("id", "data")
-    return written(sets, "given").dropDuplicates(["id"])
+    return written(sets, "given")
 
 
 def _links(docs: DataFrame, classes: DataFrame, scored: DataFrame, label: DataFrame, k: int, threshold_percent: int) -> DataFrame:
@@ -338,6 +338,8 @@ def _joins(batches: Iterator[pa.RecordBatch], least: int, threshold_percent: int
     def flush() -> Iterator[pa.RecordBatch]:
         if held:
             rows = pa.Table.from_batches(held).combine_chunks()
+            once = np.unique(rows["id"].to_numpy(), return_index=True)[1]
+            rows = rows if len(once) == len(rows) else rows.take(pa.array(once))
             found = _block_joins(rows, least, threshold_percent)
             if found:
                 yield pa.record_batch([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow
+from .common import bound_batches, map_arrow
 
 ROW = 2048
 PAD = -1
@@ -161,6 +161,7 @@ def pack(docs: DataFrame, vocabulary: str, row: int = ROW) -> DataFrame:
     a document end with the vocabulary's first free id.
     """
 
+    bound_batches(docs.sparkSession)
     docs.sparkSession.sparkContext.addFile(vocabulary)
     name_of_file = vocabulary.rpartition("/")[2]
 
