@@ -69,7 +69,7 @@ def small(df: DataFrame, rows: int | None = None, most: int = BROADCAST_ROWS) ->
 def bound_batches(spark: SparkSession) -> None:
     """Give the session Arrow batches of ``BATCH_BYTES``, unless it has a limit other than Spark's own of 64 MB."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if spark.conf.get(name, "") in ("67108864b", "67108864", "64m", "64MB"):
+    if spark.conf.get(name, "64MB") in ("67108864b", "67108864", "64m", "64MB"):
         spark.conf.set(name, BATCH_BYTES)
 
 
