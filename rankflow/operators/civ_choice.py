@@ -307,3 +307,33 @@ def anonymous_derived(matrix: DataFrame) -> DataFrame:
     of = lambda x, prior: smooth_share(f"cand_{x}_count", f"{x}_total", F.col(prior), ANONYMOUS_SMOOTHING)
     out = out.withColumns({f"cand_global_pr_{x}": of(x, "cand_global_pr_prior") for x in ("mmr_bucket", "rating_bucket", "map", "patch")})
     return out.withColumn("cand_global_pr_map_patch", of("map_patch", "cand_global_pr_map"))
+
+
+BASELINES = ["p_global", "p_mmr_tier", "p_map_patch"]
+UNSEEN = 1e-6
+
+
+def anonymous_baselines(train: DataFrame, candidate_rows: DataFrame, recent: str | None = None) -> DataFrame:
+    """Candidate rows with baseline chances: rates of the picks in ``train``, overall, by skill tier, and by map and patch.
+
+    A rate that ``train`` lacks falls back: map and patch to map, then to the
+    overall rate, and that to ``UNSEEN``.  ``recent`` names a column with the
+    part of recent opponents that picked the option; ``p_recent_meta`` is that
+    where it is over 0, else the tier's rate.
+    """
+
+    def rates(keys: list[str], name: str) -> DataFrame:
+        counts = train.groupBy(*keys, F.col("civ").alias("candidate_civ")).agg(F.count("*").alias("n"))
+        total = train.groupBy(*keys).agg(F.count("*").alias("t"))
+        both = counts.join(total, keys) if keys else counts.crossJoin(F.broadcast(total))  # total is one row
+        return as_dimension(both.select(*keys, "candidate_civ", ratio("n", "t").alias(name)))
+
+    out = candidate_rows
+    for name, keys in {"_all": [], "_tier": ["mmr_bucket"], "_map": ["map"], "_map_patch": ["map", "patch"]}.items():
+        out = out.join(rates(keys, name), [*keys, "candidate_civ"], "left")
+    overall = F.coalesce("_all", F.lit(UNSEEN))
+    tier_rate = F.coalesce("_tier", overall)
+    made = {"p_global": overall, "p_mmr_tier": tier_rate, "p_map_patch": F.coalesce("_map_patch", "_map", overall)}
+    if recent is not None:
+        made["p_recent_meta"] = F.when(F.col(recent) > 0, F.col(recent).cast("double")).otherwise(tier_rate)
+    return out.withColumns(made).drop("_all", "_tier", "_map", "_map_patch")

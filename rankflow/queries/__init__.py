@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import choice, history, metric, misc, teams
+from . import choice, history, metric, misc, serving, teams
 from .base import ORACLES, QUERIES
 
-_ = (choice, history, metric, misc, teams)
+_ = (choice, history, metric, misc, serving, teams)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
