@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import re
+import tempfile
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import windows as W
@@ -146,7 +149,7 @@ def threshold_sweep(edges: DataFrame, opponents: DataFrame, xs: list[int] = THRE
     return both.withColumn("enrichment_ratio", F.col("same_team_pairs") / F.greatest(F.col("random_opp_pairs"), F.lit(1)))
 
 
-def node_stats(edges: DataFrame, least: int = TEAMMATE_GAMES, rounds: int = 50) -> DataFrame:
+def node_stats(edges: DataFrame, least: int = TEAMMATE_GAMES) -> DataFrame:
     """Degree, weighted degree, clustering and component of each player of the thresholded graph."""
     e = edges.filter(F.col("games_together") >= least).select("p1", "p2", F.col("games_together").alias("w"))
     both = e.unionByName(e.select(F.col("p2").alias("p1"), F.col("p1").alias("p2"), "w"))
@@ -157,31 +160,30 @@ def node_stats(edges: DataFrame, least: int = TEAMMATE_GAMES, rounds: int = 50)
     wedge = out.join(out.select("p1", F.col("p2").alias("p3")), "p1").filter("p2 < p3")
     triangle = wedge.join(both.select(F.col("p1").alias("p2"), F.col("p2").alias("p3")), ["p2", "p3"])
     closed = triangle.select(F.explode(F.array("p1", "p2", "p3")).alias("p1")).groupBy("p1").agg(F.count("*").alias("t"))
-    label = components(both.select("p1", "p2"), rounds)
+    label = components(both.select("p1", "p2"))
     size = label.groupBy("component").agg(F.count("*").alias("component_size"))
     pairs = F.col("degree") * (F.col("degree") - 1)
     nodes = degree.join(closed, "p1", "left").join(label, "p1").join(size, "component")
     return nodes.select(F.col("p1").alias(P), "degree", "weighted_degree", F.when(pairs > 0, 2 * F.coalesce("t", F.lit(0)) / pairs).otherwise(0.0).alias("clustering"), F.col("component").alias("component_id"), "component_size")
 
 
-def components(both: DataFrame, rounds: int = 50) -> DataFrame:
-    """(p1, component): the least id reached, by label propagation with label hopping; rounds are checkpointed."""
+def components(both: DataFrame) -> DataFrame:
+    """(p1, component): the least id reached, by label propagation with label hopping until nothing changes; rounds are checkpointed."""
     spark = both.sparkSession
     if not spark.sparkContext.getCheckpointDir():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="rankflow-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not re.match(r"local(\[|$)", spark.sparkContext.master):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="rankflow-")
+        spark.sparkContext.setCheckpointDir(folder)
     both = both.checkpoint()
     label = both.groupBy("p1").agg(F.least(F.col("p1"), F.min("p2")).alias("component")).checkpoint()
-    for _ in range(rounds):
+    while True:
         near = both.join(label.select(F.col("p1").alias("p2"), "component"), "p2").groupBy("p1").agg(F.min("component").alias("near"))
         low = label.join(near, "p1").select("p1", F.least("component", "near").alias("low"), "component")
         hop = label.select(F.col("p1").alias("low"), F.col("component").alias("hop"))
         fresh = low.join(hop, "low", "left").select("p1", F.least("low", F.coalesce("hop", "low")).alias("fresh"), "component").checkpoint()
         label = fresh.select("p1", F.col("fresh").alias("component"))
-        if not fresh.filter("fresh <> component").limit(1).count():
-            break
-    return label
-
-
-_ = Column
+        if fresh.filter("fresh <> component").isEmpty():
+            return label

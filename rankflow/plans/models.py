@@ -220,3 +220,30 @@ def cluster_summary(df: DataFrame, numeric: list[str]) -> DataFrame:
     return df.groupBy("cluster").agg(F.count("*").alias("n"), *[F.avg(x).alias(f"mean_{x}") for x in numeric])
 
 
+
+
+# Models of the other frames: what each learns from, and how its rows are weighted.
+
+CIV_FEATURES = ["cand_pick_share_lifetime", "cand_pick_share_30d", "cand_wr_lifetime", "candidate_is_last_civ", "candidate_last_played_position", "cand_games_last_10_games", "recent_entropy_last_10_games", "candidate_current_streak_len"]
+DELTA_FEATURES = ["visible_rating_gap", "hidden_mmr_gap", "result", "games_lifetime_before", "games_this_season_before", "days_since_last_game", "current_streak", "recent_wr_10", "recent_wr_20", "missing_player_rating", "missing_player_mmr"]
+TEAM_FEATURES = ["skill_mean_diff", "skill_max_diff", "carry_gap_diff", "n_carried_diff", "games_lifetime_mean_diff", "overall_wr_mean_diff", "recent_wr_mean_diff", "n_new_players_diff"]
+
+
+def fit_civ_model(train: DataFrame, valid: str | None = None, **options) -> PipelineModel:
+    """How likely each candidate is to be picked; scores are normalised within a game by ``metrics.normalize``."""
+    return fit_trees(train, [x for x in CIV_FEATURES if x in train.columns], valid=valid, **options)
+
+
+def fit_delta_model(train: DataFrame, valid: str | None = None, target: str = "observed_rating_delta", **options) -> PipelineModel:
+    """Rating changes, by regression; rows without a change are left out."""
+    return fit_trees(train.filter(F.col(target).isNotNull()), [x for x in DELTA_FEATURES if x in train.columns], ["map"] if "map" in train.columns else None, target=target, valid=valid, regression=True, **options)
+
+
+def fit_team_model(train: DataFrame, valid: str | None = None, **options) -> PipelineModel:
+    """Which team wins, from differences of team aggregates."""
+    return fit_trees(train, [x for x in TEAM_FEATURES if x in train.columns], valid=valid, **options)
+
+
+def fit_snapshot_model(train: DataFrame, columns: list[str], valid: str | None = None, weight: str = "row_weight", **options) -> PipelineModel:
+    """Who wins, from the state at a checkpoint; each match weighs as much however many checkpoints it has."""
+    return fit_trees(train, columns, valid=valid, weight=weight, **options)

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from .. import schema
-from ..operators import joins
-from ..operators import metrics as M
 from ..operators import civ_choice as C
+from ..operators import joins, rating, snapshots, splits, team
+from ..operators import metrics as M
 from ..plans import models, requests
-from .base import add, pg_sql, player_rows, six, smooth_sql
+from .base import add, pg_sql, player_rows, six, smooth_sql, training
 from .choice import _AC, _AF, _AG, _anonymous, _anonymous_seen
 from .choice import KEY as CHOICE
+from .misc import _views
+from .teams import _teams
 
 _RQ = "rq AS (SELECT game_id AS request_id, profile_id, civ, started_at AS at FROM pg)"
 
@@ -140,4 +143,63 @@ add(
     pg_sql(_AG, _AF, _AC, _TRAINED, *[_rate(n, k) for n, k in _BASES.items()]) + f"SELECT ac.game_id, ac.profile_id, ac.candidate_civ, {six('coalesce(rg.p, 1e-6)')} AS p_global, {six('coalesce(rm.p, rg.p, 1e-6)')} AS p_mmr_tier, {six('coalesce(rq.p, rp.p, rg.p, 1e-6)')} AS p_map_patch FROM ac " + " ".join(_on(n, k) for n, k in _BASES.items()),
 )
 
-_ = (M, models, schema)
+
+# Models of the other frames: figures on the latest part, trees of bounded size.
+_SIZE = {"trees": 5, "depth": 3}
+
+
+def _split(rows):
+    return splits.temporal_split(rows).withColumn("is_valid", F.col("split") == "valid")
+
+
+def _p(model, rows):
+    return model.transform(rows).withColumn("p", vector_to_array("probability")[1])
+
+
+def _civ_model(s, d):
+    rows = C.derived(C.training_matrix(C.raw_games(schema.games(s, d), schema.participants(s, d)), C.first_seen(schema.games(s, d), schema.participants(s, d)), families=("own", "recent")))
+    split = splits.group_split(rows, ["game_id"]).withColumn("is_valid", F.col("split") == "valid")
+    model = models.fit_civ_model(split.filter("split <> 'test'"), valid="is_valid", **_SIZE)
+    return M.group_metrics(M.normalize(_p(model, split.filter("split = 'test'")), CHOICE[:2], "p"), CHOICE[:2])
+
+
+def _delta_model(s, d):
+    rows = _split(rating.rating_frame(schema.games(s, d), schema.participants(s, d)))
+    model = models.fit_delta_model(rows.filter("split <> 'test'"), valid="is_valid", **_SIZE)
+    test = rows.filter("split = 'test' AND observed_rating_delta IS NOT NULL")
+    return M.regression_metrics(model.transform(test).select(F.col("observed_rating_delta").alias("y"), F.col("prediction").alias("p")))
+
+
+def _team_model(s, d):
+    rows = _split(team.match_matrix(_teams(s, d)).join(schema.games(s, d).select("game_id", "started_at"), "game_id"))
+    model = models.fit_team_model(rows.filter("split <> 'test'"), valid="is_valid", **_SIZE)
+    return M.binary_metrics(_p(model, rows.filter("split = 'test'")).select("p", F.col("target").alias("y")))
+
+
+def _snapshot_model(s, d):
+    rows = snapshots.row_weights(_views(s, d)).withColumns({"target": F.col("replay_id") % 2, "split": F.when(F.col("replay_id") % 10 < 7, "train").when(F.col("replay_id") % 10 == 7, "valid").otherwise("test")})
+    rows = rows.withColumn("is_valid", F.col("split") == "valid")  # the test tables have no winner of a replay: a label by id
+    model = models.fit_snapshot_model(rows.filter("split <> 'test'"), ["diff_view", "share_slot1_view", "minute"], valid="is_valid", **_SIZE)
+    return M.binary_metrics(_p(model, rows.filter("split = 'test'")).select("p", F.col("target").alias("y")))
+
+
+def _binary_frame(s, d):
+    return training(s, d).select("game_id", "started_at", "target", *[F.col(f"{x}_{side}") for x in ("mmr", "games_lifetime", "wins_lifetime") for side in ("a", "b")])
+
+
+def _tuned(s, d):
+    rows = _split(_binary_frame(s, d))
+    best = models.tune_trees(rows.filter("split <> 'test'"), ["mmr_a", "mmr_b"], depths=(2, 3), rates=(0.1,))
+    return M.binary_metrics(_p(best.bestModel, rows.filter("split = 'test'")).select("p", F.col("target").alias("y")))
+
+
+def _ablation(s, d):
+    rows = _split(_binary_frame(s, d))
+    loss = lambda df: M.binary_metrics(df.select(vector_to_array("probability")[1].alias("p"), F.col("target").alias("y"))).first()["log_loss"]
+    families = {"skill": ["mmr_a", "mmr_b"], "history": ["games_lifetime_a", "games_lifetime_b", "wins_lifetime_a", "wins_lifetime_b"]}
+    found = models.ablation(rows.filter("split <> 'test'"), rows.filter("split = 'test'"), families, lambda df, columns: models.fit_logistic(df, columns), loss)
+    return s.createDataFrame(sorted(found.items()), "family string, log_loss double")
+
+
+for _name, _query in {"m18_civ_model": _civ_model, "m18_delta_model": _delta_model, "m18_team_model": _team_model, "m18_snapshot_model": _snapshot_model, "m22_tuned_trees": _tuned, "m24_ablation": _ablation}.items():
+    add(_name, _query)

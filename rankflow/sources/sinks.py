@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, MapType, StructType
 
 from ..operators.joins import insert_new
 
@@ -38,6 +40,17 @@ def write_chunk(df: DataFrame, path: str, csv: bool = False) -> None:
     (writer.option("header", True).csv if csv else writer.parquet)(path)
 
 
+def write_table(df: DataFrame, path: str) -> str:
+    """Write Parquet, or CSV beside it where Parquet can't hold the columns' types; returns the path written."""
+    try:
+        df.write.mode("overwrite").parquet(path)
+        return path
+    except AnalysisException:
+        plain = [F.to_json(x).alias(x) if isinstance(df.schema[x].dataType, (ArrayType, MapType, StructType)) else F.col(x).cast("string").alias(x) for x in df.columns]
+        df.select(*plain).write.mode("overwrite").option("header", True).csv(f"{path}.csv")
+        return f"{path}.csv"
+
+
 def row_count(spark: SparkSession, path: str) -> int | None:
     """Rows of a Parquet table, None if there is none."""
     try:
@@ -59,6 +72,3 @@ def write_report(df: DataFrame, path: str, kind: str = "json") -> None:
     """A small aggregate as one JSON or CSV file."""
     writer = df.coalesce(1).write.mode("overwrite")
     (writer.option("header", True).csv if kind == "csv" else writer.json)(path)
-
-
-_ = F
