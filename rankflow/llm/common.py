@@ -53,12 +53,25 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def remove_written(spark: SparkSession) -> None:
-    """Delete all tables that this driver has written; for when the results that read them have been saved."""
+def written_so_far() -> int:
+    """How many tables this driver has written; ``written_since`` names those that come after."""
+    return len(_WRITTEN)
+
+
+def written_since(mark: int) -> list[str]:
+    return _WRITTEN[mark:]
+
+
+def remove_written(spark: SparkSession, paths: list[str] | None = None) -> None:
+    """Delete tables that this driver has written, all by default; for when the results that read them have been saved."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-    while _WRITTEN:
-        path = hadoop.Path(_WRITTEN.pop())
+    for name in filter(None, list(_WRITTEN) if paths is None else paths):
+        path = hadoop.Path(name)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        if name in _WRITTEN:
+            _WRITTEN[_WRITTEN.index(name)] = ""
+    if paths is None:
+        _WRITTEN.clear()
 
 
 def small(df: DataFrame, rows: int | None = None, most: int = BROADCAST_ROWS) -> DataFrame:

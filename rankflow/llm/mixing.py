@@ -42,19 +42,39 @@ ROUNDS = 20
 TOLERANCE = 0.001
 TOPICS = 8
 MOST = 0.05  # of a language's documents
+SLOTS = 2**16  # of words by hash
 BUDGET = 0.8  # tokens to keep, as a part of all
 SEED = "mix-1"
 DRAWS = 2**48
 
 
+def _among(slot, full: list[int]):
+    return lambda w: slot(w).isin(full)
+
+
 def topic_words(docs: DataFrame) -> DataFrame:
-    """(lang, topics) from ``docs`` (lang, words): the keywords of each language."""
-    size = docs.groupBy("lang").agg((F.count("*") * F.lit(MOST)).alias("most"))
-    counts = docs.select("lang", F.explode(F.array_distinct("words")).alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n"))
-    fit = counts.join(small(written(size, "langs")), "lang").filter("n <= most")
-    order = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
-    best = fit.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= TOPICS)
-    return written(best.groupBy("lang").agg(F.collect_list("word").alias("topics")), "topics")
+    """(lang, topics) from ``docs`` (lang, words): the keywords of each language.
+
+    Documents are counted by hashed slots of words first.  A word is in no more
+    documents than its slot, so that only words of well filled slots need a
+    count of their own; the bar is lowered until each language has its topics.
+    """
+    size = written(docs.groupBy("lang").agg(F.count("*").alias("docs")), "langs")
+    slot = lambda w: F.pmod(F.xxhash64(w), F.lit(SLOTS)).cast("int")
+    slots = docs.select("lang", F.explode(F.array_distinct(F.transform("words", slot))).alias("slot")).groupBy("lang", "slot").agg(F.count("*").alias("n"))
+    slots = written(slots.join(small(size), "lang"), "slots")
+    share = MOST
+    while True:
+        share /= 4
+        full = [r["slot"] for r in slots.filter(F.col("n") >= F.col("docs") * F.lit(share)).select("slot").distinct().collect()]  # SLOTS of them at most
+        likely = docs.select("lang", F.explode(F.array_distinct(F.filter("words", _among(slot, full)))).alias("word"))
+        counts = likely.groupBy("lang", "word").agg(F.count("*").alias("n")).join(small(size), "lang")
+        fit = counts.filter((F.col("n") >= F.col("docs") * F.lit(share)) & (F.col("n") <= F.col("docs") * F.lit(MOST)))
+        best = fit.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))).filter(F.col("k") <= TOPICS)
+        found = written(best.groupBy("lang").agg(F.collect_list("word").alias("topics")), "topics")
+        short = size.join(found, "lang", "left").filter((F.coalesce(F.size("topics"), F.lit(0)) < TOPICS) & (F.col("docs") * F.lit(share) > 1))
+        if short.isEmpty():
+            return found
 
 
 def keyword(words: Column, topics: Column) -> Column:
