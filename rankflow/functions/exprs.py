@@ -28,6 +28,11 @@ def col(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def stable_hash(x: Column | str, seed: str = "") -> Column:
+    """48 bits of a digest of ``x`` as text: the same on every engine and version."""
+    return F.conv(F.substring(F.md5(F.concat(F.lit(seed), col(x).cast("string")).cast("binary")), 1, 12), 16, 10).cast("long")
+
+
 def zero(x: Column | str) -> Column:
     return F.coalesce(col(x), F.lit(0))
 

@@ -28,7 +28,8 @@ def eligible(rows: DataFrame, least: int = MIN_GAMES) -> DataFrame:
 def civ_prior(rows: DataFrame) -> DataFrame:
     """(civ, prior): each civilisation's share of all picks."""
     counts = rows.groupBy("civ").agg(F.count("*").alias("n"))
-    return counts.select("civ", ratio("n", F.sum("n").over(Window.partitionBy(F.lit(1)))).alias("prior"))
+    total = counts.agg(F.sum("n").alias("t"))
+    return counts.crossJoin(F.broadcast(total)).select("civ", ratio("n", "t").alias("prior"))  # total is one row
 
 
 def smoothed_shares(rows: DataFrame, prior: DataFrame, alpha: int = ALPHA_OVERALL) -> DataFrame:
@@ -94,6 +95,11 @@ def season_profile(rows: DataFrame) -> DataFrame:
     )
 
 
+def mmr_profile(rows: DataFrame) -> DataFrame:
+    """Each player's mean mmr, how often it is known and how often not."""
+    return rows.groupBy(P).agg(F.avg("mmr").alias("mean_mmr"), F.count("mmr").alias("n_mmr_obs"), F.avg(F.col("mmr").isNull().cast("int")).alias("mmr_missing_rate"))
+
+
 def player_features(rows: DataFrame, least: int = MIN_GAMES) -> DataFrame:
     """All clustering features of players with enough picks."""
     players = eligible(rows, least)
@@ -101,8 +107,7 @@ def player_features(rows: DataFrame, least: int = MIN_GAMES) -> DataFrame:
     chosen, everyone = picks(base), picks(rows)
     prior = civ_prior(chosen)
     shares = smoothed_shares(chosen, prior)
-    mmr = base.groupBy(P).agg(F.avg("mmr").alias("mean_mmr"), F.count("mmr").alias("n_mmr_obs"), F.avg(F.col("mmr").isNull().cast("int")).alias("mmr_missing_rate"))
     out = players
-    for part in (diagnostics(shares), mmr, latest_value(base), season_profile(base), map_dependence(chosen, shares), off_meta(everyone, base, shares, civ_prior(everyone))):
+    for part in (diagnostics(shares), mmr_profile(base), latest_value(base), season_profile(base), map_dependence(chosen, shares), off_meta(everyone, base, shares, civ_prior(everyone))):
         out = out.join(part, P, "left")
     return out.withColumn("v1_eligible", F.col("map_dependence_score").isNotNull())

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import windows as W
-from ..functions.exprs import ONE_V_ONE_KINDS, days_between, elo_delta, flag, micros, round_half_away
+from ..functions.exprs import days_between, elo_delta, flag, micros, round_half_away
 from .pregame import player_games
 
 
@@ -86,6 +86,3 @@ def conditional_deltas(pairs: DataFrame, k: float = 32.0, spread: float = 400.0)
     raw = elo_delta(F.col("own").cast("double"), F.col("other").cast("double"), F.col("result").cast("double"), k, spread)
     warn = F.array_compact(F.array(F.when(F.col("own").isNull(), "no_rating"), F.when(F.col("other").isNull(), "no_opponent_rating")))
     return rows.select("game_id", "side", "result", raw.alias("delta"), round_half_away(raw).alias("delta_rounded"), F.floor(raw).alias("delta_floor"), F.array_join(warn, ",").alias("warnings"))
-
-
-_ = ONE_V_ONE_KINDS

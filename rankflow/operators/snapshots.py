@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.exprs import flag, ratio, token
+from ..functions.exprs import ratio, token
 from ..functions.windows import START
 from .joins import as_dimension
 
@@ -180,6 +180,3 @@ def resolve_labels(sources: list[DataFrame], key: str = "replay_id") -> DataFram
     labels = [F.col(f"_t{k}") for k in range(len(sources))]
     which = F.coalesce(*[F.when(x.isNotNull(), F.lit(k)) for k, x in enumerate(labels)])
     return out.select(key, F.coalesce(*labels).alias("target"), which.alias("label_source"))
-
-
-_ = flag

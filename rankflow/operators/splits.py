@@ -7,6 +7,9 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.durable import checkpointed
+from ..functions.exprs import stable_hash
+
 VALID, TEST = 0.15, 0.15
 
 
@@ -17,7 +20,8 @@ def positions(df: DataFrame, order: list[str]) -> DataFrame:
     """
     spread = df.repartitionByRange(*order).sortWithinPartitions(*order)
     numbered = spread.withColumn("_at", F.monotonically_increasing_id())
-    keyed = numbered.withColumns({"_part": F.shiftright("_at", 33), "_in": F.col("_at").bitwiseAND(2**33 - 1)}).drop("_at").persist()
+    keyed = numbered.withColumns({"_part": F.shiftright("_at", 33), "_in": F.col("_at").bitwiseAND(2**33 - 1)}).drop("_at")
+    keyed = checkpointed(keyed)  # range partitions are sampled anew otherwise
     counts = keyed.groupBy("_part").agg(F.count("*").alias("_n"))
     starts, total = [], 0
     for row in counts.orderBy("_part").collect():  # a row for each partition
@@ -61,7 +65,12 @@ def evenly_spaced(df: DataFrame, n: int, by: str) -> DataFrame:
 
 def hash_sample(df: DataFrame, key: str, parts: int = 10, keep: int = 2) -> DataFrame:
     """A repeatable sample of keys."""
-    return df.filter(F.pmod(F.xxhash64(key), F.lit(parts)) < keep)
+    return df.filter(stable_hash(key) % parts < keep)
+
+
+def seeded_sample(df: DataFrame, key: str, part: float, seed: int) -> DataFrame:
+    """About a ``part`` of the keys, drawn by a seeded hash: a rerun, on any partitioning, draws the same ones."""
+    return df.filter(stable_hash(key, f"{seed}:") < F.lit(int(part * 2**48)))
 
 
 def stride_sample(df: DataFrame, stride: int, order: list[str]) -> DataFrame:
@@ -99,7 +108,7 @@ def augmented(df: DataFrame, **options) -> DataFrame:
 
 def half_swapped(df: DataFrame, key: str = "game_id", **options) -> DataFrame:
     """Rows, about half of them swapped, by a hash of the key."""
-    coin = F.pmod(F.xxhash64(key, F.lit(42)), F.lit(2)) == 1
+    coin = stable_hash(key, "swap:") % 2 == 1
     return df.filter(~coin).unionByName(swapped(df.filter(coin), **options))
 
 

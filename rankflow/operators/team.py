@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import windows as W
+from ..functions.durable import checkpointed
 from ..functions.exprs import NEW_PLAYER_GAMES, days_between, flag, skill, smooth
 from .joins import asof_join
 
@@ -169,21 +167,13 @@ def node_stats(edges: DataFrame, least: int = TEAMMATE_GAMES) -> DataFrame:
 
 def components(both: DataFrame) -> DataFrame:
     """(p1, component): the least id reached, by label propagation with label hopping until nothing changes; rounds are checkpointed."""
-    spark = both.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            if not re.match(r"local(\[|$)", spark.sparkContext.master):
-                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-            folder = tempfile.mkdtemp(prefix="rankflow-")
-        spark.sparkContext.setCheckpointDir(folder)
-    both = both.checkpoint()
-    label = both.groupBy("p1").agg(F.least(F.col("p1"), F.min("p2")).alias("component")).checkpoint()
+    both = checkpointed(both)
+    label = checkpointed(both.groupBy("p1").agg(F.least(F.col("p1"), F.min("p2")).alias("component")))
     while True:
         near = both.join(label.select(F.col("p1").alias("p2"), "component"), "p2").groupBy("p1").agg(F.min("component").alias("near"))
         low = label.join(near, "p1").select("p1", F.least("component", "near").alias("low"), "component")
         hop = label.select(F.col("p1").alias("low"), F.col("component").alias("hop"))
-        fresh = low.join(hop, "low", "left").select("p1", F.least("low", F.coalesce("hop", "low")).alias("fresh"), "component").checkpoint()
+        fresh = checkpointed(low.join(hop, "low", "left").select("p1", F.least("low", F.coalesce("hop", "low")).alias("fresh"), "component"))
         label = fresh.select("p1", F.col("fresh").alias("component"))
         if fresh.filter("fresh <> component").isEmpty():
             return label

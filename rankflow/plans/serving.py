@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import flag
 from ..operators.joins import as_dimension, asof_join
-from ..operators.pregame import player_stats
 
 LOW_HISTORY = 10
 
@@ -79,6 +78,3 @@ def confidence(p: Column) -> Column:
     """A word for how sure a probability is."""
     d = F.abs(p - 0.5)
     return F.when(d >= 0.25, "high").when(d >= 0.1, "medium").otherwise("low")
-
-
-_ = player_stats

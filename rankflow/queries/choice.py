@@ -9,7 +9,7 @@ from ..functions import exprs as X
 from ..operators import civ_choice as C
 from ..operators import clustering as K
 from ..operators import joins, metrics
-from .base import PG, add, over, pg_sql, player_rows, six, total
+from .base import add, over, pg_sql, player_rows, six, total
 
 _RAW = (
     "base AS (SELECT * REPLACE (CASE WHEN civilization_randomized THEN 'random_civ' ELSE civ END AS civ) FROM pg), mk AS (SELECT *, CASE WHEN civ = lag(civ) " + over("profile_id") + " THEN 0 ELSE 1 END AS b FROM base), "
@@ -200,6 +200,10 @@ add(
 )
 add("a21_season_profile", lambda s, d: K.season_profile(player_rows(s, d)), pg_sql() + "SELECT profile_id, min(a) AS first_game_date, max(b) AS last_game_date, count(*) AS n_seasons, min(season) AS first_season, max(season) AS last_season, max(season) - min(season) AS season_span, arg_max(season, n * 100 - season) AS dominant_season FROM (SELECT profile_id, season, count(*) AS n, min(started_at) AS a, max(started_at) AS b FROM pg GROUP BY ALL) GROUP BY 1")
 add("a22_latest_value", lambda s, d: K.latest_value(player_rows(s, d)), pg_sql() + "SELECT profile_id, arg_min(mmr, r) AS latest_mmr FROM (SELECT *, row_number() OVER (PARTITION BY profile_id ORDER BY started_at DESC, game_id DESC) AS r FROM pg WHERE mmr IS NOT NULL) GROUP BY 1")
+add(
+    "c19_profile",
+    lambda s, d: K.player_features(player_rows(s, d)).select("profile_id", "n_games", "random_civ_rate", "n_nonrandom_games", "mean_mmr", "n_mmr_obs", "mmr_missing_rate", "latest_mmr", "n_seasons", "first_season"),
+    pg_sql(_KB, "lt AS (SELECT profile_id, last(mmr ORDER BY started_at, game_id) FILTER (mmr IS NOT NULL) AS latest_mmr FROM kb GROUP BY 1), ss AS (SELECT profile_id, count(DISTINCT season) AS n_seasons, min(season) AS first_season, avg(mmr) AS m, count(mmr) AS n, avg(CASE WHEN mmr IS NULL THEN 1.0::DOUBLE ELSE 0 END) AS r FROM kb GROUP BY 1)")
+    + f"SELECT profile_id, n_games, {six('random_civ_rate')} AS random_civ_rate, n_nonrandom_games, {six('m')} AS mean_mmr, n AS n_mmr_obs, {six('r')} AS mmr_missing_rate, latest_mmr, n_seasons, first_season FROM ks JOIN ss USING (profile_id) LEFT JOIN lt USING (profile_id)",
+)
 add("c19_player_features", lambda s, d: K.player_features(player_rows(s, d)))
-
-_ = PG

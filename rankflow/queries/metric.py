@@ -191,5 +191,6 @@ def _swappable(s, d):
 
 add("c7_slot_swap", lambda s, d: splits.swapped(_swappable(s, d)), pg_sql(PS, PRIORS, TF) + f"SELECT {_SW} FROM tf")
 add("l5_augmented", lambda s, d: splits.augmented(_swappable(s, d)), pg_sql(PS, PRIORS, TF) + f"SELECT {_SW} FROM tf UNION ALL SELECT {', '.join('mmr_a - mmr_b AS mmr_diff' if c == 'mmr_diff' else c for c in _SC)} FROM tf")
-add("c8_half_swapped", lambda s, d: splits.half_swapped(_swappable(s, d)))
+_COIN = "('0x' || md5('swap:' || game_id)[:12])::BIGINT % 2 = 1"
+add("c8_half_swapped", lambda s, d: splits.half_swapped(_swappable(s, d)), pg_sql(PS, PRIORS, TF) + f"SELECT {_SW} FROM tf WHERE {_COIN} UNION ALL SELECT {', '.join('mmr_a - mmr_b AS mmr_diff' if c == 'mmr_diff' else c for c in _SC)} FROM tf WHERE NOT ({_COIN})")
 add("c24_leakage_audit", lambda s, d: stats(s, d).agg(*[F.sum(X.flag(F.col(w) > F.col(g))).alias(name) for name, w, g in (("lifetime", "wins_lifetime_before", "games_lifetime_before"), ("civ", "civ_wins_before", "civ_games_before"), ("season", "wins_season_before", "games_season_before"))], F.avg(X.flag(F.col("games_lifetime_before") > 0)).alias("coverage")), pg_sql(PS) + f"SELECT count(*) FILTER (wins_lifetime_before > games_lifetime_before) AS lifetime, count(*) FILTER (civ_wins_before > civ_games_before) AS civ, count(*) FILTER (wins_season_before > games_season_before) AS season, {six('avg(CASE WHEN games_lifetime_before > 0 THEN 1.0 ELSE 0.0 END)')} AS coverage FROM ps")

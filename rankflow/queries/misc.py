@@ -9,7 +9,7 @@ from .. import schema
 from ..functions import exprs as X
 from ..operators import joins, pregame, snapshots, spatial, splits
 from ..plans import serving
-from .base import BEFORE, PRIORS, PS, TF, add, over, pg_sql, player_rows, six, stats, training
+from .base import PRIORS, PS, TF, add, over, pg_sql, player_rows, six, stats, training
 
 P = schema.participants
 G = schema.games
@@ -46,7 +46,7 @@ add("e4_null_functions", lambda s, d: P(s, d).select("game_id", "profile_id", F.
 add("e5_day_difference", lambda s, d: schema.player_game(s, d).withColumn("prev", F.lag("started_at").over(Window.partitionBy("profile_id").orderBy("started_at", "game_id"))).select("game_id", X.days_between("prev", "started_at").alias("days")), schema.with_views("player_game") + f"SELECT game_id, date_diff('day', (lag(started_at) {over('profile_id')})::DATE, started_at::DATE) AS days FROM player_game")
 add("e6_date_truncation", lambda s, d: schema.player_game(s, d).groupBy(F.to_date("started_at").alias("day"), F.to_date(F.date_trunc("week", "started_at")).alias("wk")).agg(F.count("*").alias("n")), schema.with_views("player_game") + "SELECT started_at::DATE AS day, date_trunc('week', started_at)::DATE AS wk, count(*) AS n FROM player_game GROUP BY ALL")
 add("e8_safe_ratio", lambda s, d: stats(s, d).select("game_id", "profile_id", X.ratio("wins_lifetime_before", "games_lifetime_before").alias("r")), pg_sql(PS) + f"SELECT game_id, profile_id, {six('wins_lifetime_before::DOUBLE / nullif(games_lifetime_before, 0)')} AS r FROM ps")
-add("e9_hash_sample", lambda s, d: splits.hash_sample(G(s, d).select("game_id"), "game_id"))
+add("e9_hash_sample", lambda s, d: splits.hash_sample(G(s, d).select("game_id"), "game_id"), schema.with_views("games") + "SELECT game_id FROM games WHERE ('0x' || md5(game_id::VARCHAR)[:12])::BIGINT % 10 < 2")
 add("e10_star_except", lambda s, d: G(s, d).drop("started_at", "duration", "map", "kind", "server"), schema.with_views("games") + "SELECT * EXCLUDE (started_at, duration, map, kind, server) FROM games")
 add("e31_column_guard", lambda s, d: X.forbid_columns(G(s, d).select("game_id", "map"), ["target"]), schema.with_views("games") + "SELECT game_id, map FROM games")
 add("e32_tokens", lambda s, d: s_orders(s, d).select("o_orderkey", X.token("o_orderpriority").alias("t")), "SELECT o_orderkey, CASE WHEN coalesce(o_orderpriority, '') = '' THEN 'unknown' ELSE regexp_replace(lower(o_orderpriority), '[ /]', '_', 'g') END AS t FROM orders")
@@ -95,7 +95,7 @@ add("j26_swap_exchange", lambda s, d: training(s, d).select("game_id", F.when(F.
 add("l1_latest_rows", lambda s, d: splits.top_n(player_rows(s, d).select("game_id", "profile_id", "started_at"), 20, F.desc("started_at"), F.desc("game_id"), "profile_id"), pg_sql() + "SELECT game_id, profile_id, started_at FROM pg ORDER BY started_at DESC, game_id DESC, profile_id LIMIT 20")
 add("l3_top_or_other", lambda s, d: splits.top_or_other(player_rows(s, d), "map", 3).groupBy("map").agg(F.count("*").alias("n")), pg_sql("tm AS (SELECT map FROM pg GROUP BY map ORDER BY count(*) DESC, map LIMIT 3)") + "SELECT CASE WHEN map IN (SELECT map FROM tm) THEN map ELSE 'other' END AS map, count(*) AS n FROM pg GROUP BY 1")
 add("l10_chronological_split", lambda s, d: splits.temporal_split(G(s, d).select("game_id"), ["game_id"]).groupBy("split").agg(F.min("game_id").alias("lo"), F.max("game_id").alias("hi"), F.count("*").alias("n")), schema.with_views("games", "po AS (SELECT game_id, row_number() OVER (ORDER BY game_id) - 1 AS pos, count(*) OVER () AS t FROM games)") + "SELECT CASE WHEN pos >= t - floor(t * 0.15) THEN 'test' WHEN pos >= t - floor(t * 0.15) - floor(t * 0.15) THEN 'valid' ELSE 'train' END AS split, min(game_id) AS lo, max(game_id) AS hi, count(*) AS n FROM po GROUP BY 1")
-add("l11_random_sample", lambda s, d: G(s, d).select("game_id").sample(0.1, seed=7))
+add("l11_random_sample", lambda s, d: splits.seeded_sample(G(s, d).select("game_id"), "game_id", 0.1, 7), schema.with_views("games") + f"SELECT game_id FROM games WHERE ('0x' || md5('7:' || game_id)[:12])::BIGINT < {int(0.1 * 2**48)}")
 add("l12_drop_duplicates", lambda s, d: splits.first_in_group(schema.table(s, d, "lineitem").select("l_orderkey", "l_suppkey", "l_partkey"), ["l_orderkey", "l_suppkey"], "l_partkey"), "SELECT l_orderkey, l_suppkey, min(l_partkey) AS l_partkey FROM lineitem GROUP BY ALL")
 add("l13_intersection", lambda s, d: G(s, d).select("game_id").intersect(P(s, d).select("game_id")), schema.with_views(VP) + "SELECT game_id FROM games INTERSECT SELECT game_id FROM participants")
 add("s5_idempotent_insert", lambda s, d: joins.replace_rows(P(s, d).filter("game_id % 2 = 0").select("game_id", "profile_id", "mmr"), P(s, d).select("game_id", "profile_id", "mmr"), ["game_id", "profile_id"], ignore=True), schema.with_views(VP) + "SELECT game_id, profile_id, mmr FROM participants")
@@ -199,7 +199,7 @@ add(
     f"{_first(2, 'c = ' + chr(39) + 'unit' + chr(39) + ' AND id % 4 + 1 = 3')} AS slot2_first_age3_unit_s, {_first(1, 'c = ' + chr(39) + 'technology' + chr(39) + ' AND id <> 9 AND id % 4 + 1 = 4')} - {_first(2, 'c = ' + chr(39) + 'technology' + chr(39) + ' AND id <> 9 AND id % 4 + 1 = 4')} AS diff_first_age4_tech_s, "
     f"{_first(1, 'c = ' + chr(39) + 'unit' + chr(39) + ' AND id % 4 + 1 = 2')} - {_first(1, '((c = ' + chr(39) + 'building' + chr(39) + ' AND id = 7) OR (c = ' + chr(39) + 'technology' + chr(39) + ' AND id = 9))')} AS slot1_age2_commit_to_unit_s FROM ev WHERE c IS NOT NULL AND id < 20 GROUP BY 1".replace("chr(98) || chr(117) || chr(105) || chr(108) || chr(100) || chr(105) || chr(110) || chr(103)", "'building'"),
 )
-add("w30_time_gate", lambda s, d: spatial.gate_by_last_kept(_replay(s, d).withColumn("command_index", F.lit(0)).select("replay_id", "player_slot", "key", "time_s", "command_index"), ["replay_id", "player_slot", "key"], 60.0))
+add("w30_time_gate", lambda s, d: spatial.gate_by_last_kept(_replay(s, d).withColumn("command_index", F.lit(0)).select("replay_id", "player_slot", "key", "time_s", "command_index"), ["replay_id", "player_slot", "key"], 60.0), f"WITH RECURSIVE {_RE}, kept AS (SELECT replay_id, player_slot, kind, min(time_s) AS time_s FROM re GROUP BY ALL UNION ALL SELECT k.replay_id, k.player_slot, k.kind, min(re.time_s) FROM kept AS k JOIN re ON re.replay_id = k.replay_id AND re.player_slot = k.player_slot AND re.kind = k.kind AND re.time_s >= k.time_s + 60 GROUP BY k.replay_id, k.player_slot, k.kind, k.time_s) SELECT replay_id, player_slot, kind AS key, time_s FROM kept")
 add("c15_heatmap", lambda s, d: spatial.heatmap(spatial.cells(_intents(s, d))))
 add("c25_label_sources", lambda s, d: snapshots.resolve_labels([G(s, d).filter("game_id % 3 = 0").select(F.col("game_id").alias("replay_id"), F.lit(1).alias("target")), G(s, d).filter("game_id % 2 = 0").select(F.col("game_id").alias("replay_id"), F.lit(0).alias("target"))]), "SELECT o_orderkey AS replay_id, CASE WHEN o_orderkey % 3 = 0 THEN 1 ELSE 0 END AS target, CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE 1 END AS label_source FROM orders WHERE o_orderkey % 3 = 0 OR o_orderkey % 2 = 0")
 
@@ -239,5 +239,3 @@ add("c36_civ_distribution", lambda s, d: serving.civ_distribution(_civ_shares(s,
 add("c38_context", lambda s, d: serving.context(pregame.base_derived(training(s, d))).select("game_id", "context_level", F.array_join("warnings", "; ").alias("warnings")), pg_sql(PS, PRIORS, TF) + "SELECT game_id, CASE WHEN civ_a IS NOT NULL AND civ_b IS NOT NULL AND map IS NOT NULL THEN 'full' WHEN civ_a IS NOT NULL AND civ_b IS NOT NULL THEN 'civs' WHEN map IS NOT NULL THEN 'map' ELSE 'players' END AS context_level, concat_ws('; ', CASE WHEN map IS NULL THEN 'unknown map' END, CASE WHEN civ_a IS NULL OR civ_b IS NULL THEN 'unknown civilization' END, CASE WHEN coalesce(mmr_a, rating_a) IS NULL THEN 'no skill of player a' END, CASE WHEN coalesce(mmr_b, rating_b) IS NULL THEN 'no skill of player b' END, CASE WHEN games_lifetime_a < 10 THEN 'few games of player a' END, CASE WHEN games_lifetime_b < 10 THEN 'few games of player b' END) AS warnings FROM tf")
 add("c32_mirror_matchup", lambda s, d: serving.mirror_fixed(pregame.matchup_priors(stats(s, d)).groupBy("civ_a", "civ_b").agg(F.max("prior_games").alias("games"), F.max("prior_wins").alias("wins"))), pg_sql(PS, PRIORS) + "SELECT civ_a, civ_b, games, CASE WHEN civ_a = civ_b THEN games // 2 ELSE wins END AS wins FROM (SELECT civ_a, civ_b, max(prior_games) AS games, max(prior_wins) AS wins FROM priors GROUP BY ALL)")
 add("c30_latest_matchup", lambda s, d: serving.latest_matchup(training(s, d).select("game_id", "civ_a", "civ_b", "season"), pregame.matchup_priors(stats(s, d))).select("game_id", "prior_games", "prior_wins"), pg_sql(PS, PRIORS, TF) + "SELECT game_id, prior_games, prior_wins FROM (SELECT game_id, civ_a, civ_b, season FROM tf) AS t ASOF LEFT JOIN priors AS p ON p.civ_a = t.civ_a AND p.civ_b = t.civ_b AND t.season >= p.season")
-
-_ = BEFORE

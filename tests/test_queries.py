@@ -9,7 +9,13 @@ import pytest
 from rankflow import queries
 
 SF = "/root/testdata/sf0.001"
-SOME = ["w1_prior_games", "w3_day_cutoff", "w4_event_time_range", "c1_pair_features", "j12_asof_left", "c27_rating_frame", "a8_team_aggregates", "c23_network_nodes", "m1_binary_metrics", "c11_slot_views", "l6_temporal_split", "c17_anonymous_counts"]
+SOME = [
+    "w1_prior_games", "w3_day_cutoff", "w4_event_time_range", "w30_time_gate", "c1_pair_features", "c3_capped_overrides", "c8_half_swapped",
+    "c11_slot_views", "c17_anonymous_counts", "c23_network_nodes", "c26_marginal_win", "c27_rating_frame", "c31_extended_states", "c31_meetings",
+    "c32_recent_features", "c37_pregame_probabilities", "j8_theta_join", "j12_asof_left", "j14_bounded_aggregates", "j16_recent_sequence",
+    "j17_global_rates", "a8_team_aggregates", "a13_first_crossing", "e9_hash_sample", "e30_anonymous_shares", "l6_temporal_split",
+    "l11_random_sample", "m1_binary_metrics", "m11_choice_baselines", "m12_anonymous_baselines", "s15_upsert",
+]
 
 
 @pytest.fixture(scope="module")
