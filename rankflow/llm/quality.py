@@ -35,6 +35,7 @@ MAX_REPEAT_PERCENT = 50
 MIN_GROUP = 30
 SCALE = 100_000  # rates are parts of so many
 SPREAD = 300  # in parts of SCALE
+PLACE = 24  # bits of a place in a text
 #: Rates and the quantile, in thousandths, that their cutoff reaches at least.
 QUANTILE = {"symbols": 750, "dup_lines": 995, "repeat_words": 995}
 WHITE = " \t\n\x0b\x0c\r"
@@ -66,16 +67,34 @@ def count_text(docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
             "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
         }
     ).drop("_text", "_lines")
-    # Hashes of the windows of three words.  Only texts that repeat one sort them; equal hashes then count if the words are equal.
-    size = F.greatest(F.size("_words"), F.lit(1))
-    out = out.withColumns({"_b": F.slice("_words", F.lit(2), size), "_c": F.slice("_words", F.lit(3), size)})
-    windows = F.slice(F.arrays_zip("_words", "_b", "_c"), F.lit(1), F.greatest(F.size("_words") - 2, F.lit(0)))
-    out = out.withColumn("_hash", F.transform(windows, lambda x: F.xxhash64(x))).drop("_b", "_c")
-    placed = F.array_sort(F.transform("_hash", lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
-    out = out.withColumn("_sorted", F.when(F.size(F.array_distinct("_hash")) < F.size("_hash"), placed)).drop("_hash")
+    return _with_repeats(out).drop("_words")
+
+
+def _with_repeats(rows: DataFrame) -> DataFrame:
+    """``rows`` (with ``_words``) and n_repeat_words: the words in windows of three that occur twice or more.
+
+    Only texts that repeat a hash of a window sort them.  Hashes are sorted
+    together with their places as one number, of which the place takes the last
+    ``PLACE`` bits; neighbours with the same rest count if their words are
+    equal.  If some aren't, or a text is longer than that, whole hashes are
+    sorted.
+    """
+    own = rows.withColumn("_h", F.transform("_words", lambda x: F.xxhash64(x)))
+    windows = F.transform("_h", lambda x, i: F.xxhash64(x, F.get("_h", i + 1), F.get("_h", i + 2)))
+    out = own.withColumn("_hash", F.slice(windows, F.lit(1), F.greatest(F.size("_h") - 2, F.lit(0)))).drop("_h")
+    out = out.withColumn("_hash", F.when(F.size(F.array_distinct("_hash")) < F.size("_hash"), F.col("_hash")))
+    kept = lambda x: F.shiftright(x, PLACE)
+    place = lambda x: x.bitwiseAND(F.lit(2**PLACE - 1).cast("long")).cast("int")
+    short = F.size("_hash") < 2**PLACE
+    out = out.withColumn("_sorted", F.when(short, F.sort_array(F.transform("_hash", lambda x, i: F.shiftleft(kept(x), PLACE) + i))))
+    after = lambda x, y: F.when(kept(x) == kept(y), _three(place(x)) == _three(place(y)))
+    out = out.withColumn("_same", F.transform("_sorted", lambda x, k: after(x, F.get("_sorted", k + 1))))
+    met = F.transform("_sorted", lambda x, k: F.when(F.get("_same", k) | F.get("_same", k - 1), place(x)))
+    whole = F.col("_hash").isNotNull() & (~short | F.coalesce(F.array_contains("_same", False), F.lit(False)))
+    out = out.withColumn("_all", F.when(whole, F.array_sort(F.transform("_hash", lambda x, i: F.struct(x.alias("h"), i.alias("i")))))).drop("_hash")
     same = lambda x, y: (x["h"] == y["h"]) & (_three(x["i"]) == _three(y["i"]))
-    again = F.transform("_sorted", lambda x, k: F.when(same(x, F.get("_sorted", k + 1)) | same(x, F.get("_sorted", k - 1)), x["i"]))
-    out = out.withColumn("_at", F.array_compact(again)).drop("_sorted", "_words")
+    met_whole = F.transform("_all", lambda x, k: F.when(same(x, F.get("_all", k + 1)) | same(x, F.get("_all", k - 1)), x["i"]))
+    out = out.withColumn("_at", F.array_compact(F.coalesce(met_whole, met))).drop("_sorted", "_same", "_all")
     covered = F.array_distinct(F.flatten(F.transform("_at", lambda i: F.array(i, i + 1, i + 2))))
     return out.withColumn("n_repeat_words", F.when(F.col("_at").isNull(), F.lit(0)).otherwise(F.size(covered)).cast("long")).drop("_at")
 

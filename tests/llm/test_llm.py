@@ -263,6 +263,16 @@ def test_quality_counts(spark, rows, docs, none):
     assert quality.keep_good(df).columns == df.columns
 
 
+@pytest.mark.parametrize("bits", [24, 8, 62])
+def test_quality_repeats_whatever_the_bits_of_a_place(spark, monkeypatch, bits):
+    monkeypatch.setattr(quality, "PLACE", bits)  # 8: texts longer than places, 62: many equal rests of hashes
+    rng = random.Random(5)
+    texts = [" ".join(rng.choices("abcde", k=n)) for n in (3, 5, 9, 40, 300, 700)] + [" ".join(WORDS) + " w1 w2 w3", "a b", "", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["n_repeat_words"] for r in quality.count_text(df, "text", ["doc_id"]).collect()}
+    assert got == {i: brute_counts(t)[4] for i, t in enumerate(texts)}
+
+
 def test_quality_sketch_merges(spark):
     values = [0, 1, 63, 64, 65, 127, 128, 1000, 99_999]
     df = spark.createDataFrame([(v,) for v in values], "v long")
