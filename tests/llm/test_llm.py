@@ -840,3 +840,51 @@ def test_pipeline_stages(spark, tmp_path, rows):
     assert 30_000 in seen["quality_rules"] and 30_000 not in seen["decontamination"]
     run = pipeline.run(spark, str(tmp_path)).collect()
     assert {r["doc_id"] for r in run} == seen["sharding"]
+
+
+CLASHING = ["row", "doc", "shard", "slot", "n_words", "kept", "lang_key", "weight", "prob", "draw", "topic", "n_tokens", "component_id", "key", "id", "text_", "part", "place"]
+
+
+def test_pipeline_on_odd_tables(spark, tmp_path):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    rng = random.Random(14)
+    fresh = lambda: " ".join(rng.choice(WORDS) + str(rng.random())[2:7] for _ in range(70))
+    one, two = fresh(), fresh()
+    rows = [(None, one, "en", "s"), (None, two, "en", "s"), (7, one, "en", None), (7, fresh(), None, "s"), (7, fresh(), None, None), (8, None, "en", "s"), (9, "", "en", "s"), (10, "word " * 40_000, "en", "s")]
+    rows += [(11, two + " more", "en", "s"), (12, " ".join(WORDS[:25]) + " " + fresh(), "en", "s"), *[(20 + i, fresh(), "en", f"s{i % 2}") for i in range(12)]]
+    schema = "doc_id long, text string, lang string, source string, " + ", ".join(f"{x} int" for x in CLASHING)
+    full = [(*r, *[100 * i + k for k in range(len(CLASHING))]) for i, r in enumerate(rows)]
+    spark.createDataFrame(ITEMS, "item_id string, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs, kept = spark.createDataFrame(full, schema), {}
+    for name, stage in pipeline.STAGES:
+        given = docs.columns
+        docs = common.written(stage(spark, docs, str(tmp_path)), name)
+        kept[name] = {r["place"] // 100: r for r in docs.collect()}  # each row is known by its extra columns
+        assert len(kept[name]) == docs.count() and (docs.columns == given if name != "sharding" else docs.columns[-2:] == ["shard", "slot"])
+    assert set(kept["quality_rules"]) == set(range(len(rows))) - {5, 6, 7}
+    assert {0, 1, 2, 8}.intersection(kept["near_dedup"]) == {2, 8}  # of the copies that of the least id; none comes last
+    assert {3, 4} <= set(kept["near_dedup"]) and 9 in kept["near_dedup"] and set(kept["near_dedup"]) - set(kept["decontamination"]) == {9}
+    assert set(kept["sharding"]) == set(kept["mixing"]) <= set(kept["decontamination"])
+    for i, r in kept["sharding"].items():
+        assert r["shard_before"] == full[i][4 + CLASHING.index("shard")] and r["text"] == rows[i][1]
+    none = spark.createDataFrame([], schema)
+    for name, stage in pipeline.STAGES:
+        none = common.written(stage(spark, none, str(tmp_path)), name)
+        assert none.count() == 0
+
+
+def test_stages_remove_the_tables_of_the_one_before(spark, tmp_path):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    spark.createDataFrame([(i, f"{i} " * 60, "en", "s") for i in range(5)], "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(ITEMS, "item_id string, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    folder = common.shared_folder(spark).removeprefix("file://")
+    exists = lambda paths: [__import__("os").path.exists(x.removeprefix("file://")) for x in paths]
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    (_, first), (_, second) = pipeline.STAGES[:2]
+    mark = common.written_so_far()
+    out = first(spark, docs, str(tmp_path))
+    own = common.written_since(mark)
+    assert own and all(x.removeprefix("file://").startswith(folder) for x in own) and all(exists(own))
+    saved = common.written(out, "saved")
+    second(spark, saved, str(tmp_path))
+    assert not any(exists(own)) and saved.count() >= 0
