@@ -43,6 +43,7 @@ TOLERANCE = 0.001
 TOPICS = 8
 MOST = 0.05  # of a language's documents
 SLOTS = 2**16  # of words by hash
+FULL = 1024  # slots of a language whose words are counted at first
 BUDGET = 0.8  # tokens to keep, as a part of all
 SEED = "mix-1"
 DRAWS = 2**48
@@ -56,25 +57,27 @@ def topic_words(docs: DataFrame) -> DataFrame:
     """(lang, topics) from ``docs`` (lang, words): the keywords of each language.
 
     Documents are counted by hashed slots of words first.  A word is in no more
-    documents than its slot, so that only words of well filled slots need a
-    count of their own; the bar is lowered until each language has its topics.
+    documents than its slot, so that only the words of a language's fullest
+    slots need a count of their own: those in more documents than any slot left
+    out are counted for certain.  If they are too few, more slots are taken.
     """
     size = written(docs.groupBy("lang").agg(F.count("*").alias("docs")), "langs")
     slot = lambda w: F.pmod(F.xxhash64(w), F.lit(SLOTS)).cast("int")
     slots = docs.select("lang", F.explode(F.array_distinct(F.transform("words", slot))).alias("slot")).groupBy("lang", "slot").agg(F.count("*").alias("n"))
-    slots = written(slots.join(small(size), "lang"), "slots")
-    share = MOST
+    slots = written(slots.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "slot"))), "slots")
+    most = FULL
     while True:
-        share /= 4
-        full = [r["slot"] for r in slots.filter(F.col("n") >= F.col("docs") * F.lit(share)).select("slot").distinct().collect()]  # SLOTS of them at most
+        full = [r["slot"] for r in slots.filter(F.col("k") <= most).select("slot").distinct().collect()]  # SLOTS of them at most
+        left_out = size.join(slots.filter(F.col("k") > most).groupBy("lang").agg(F.max("n").alias("bar")), "lang", "left").na.fill(0, ["bar"])
         likely = docs.select("lang", F.explode(F.array_distinct(F.filter("words", _among(slot, full)))).alias("word"))
-        counts = likely.groupBy("lang", "word").agg(F.count("*").alias("n")).join(small(size), "lang")
-        fit = counts.filter((F.col("n") >= F.col("docs") * F.lit(share)) & (F.col("n") <= F.col("docs") * F.lit(MOST)))
-        best = fit.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))).filter(F.col("k") <= TOPICS)
-        found = written(best.groupBy("lang").agg(F.collect_list("word").alias("topics")), "topics")
-        short = size.join(found, "lang", "left").filter((F.coalesce(F.size("topics"), F.lit(0)) < TOPICS) & (F.col("docs") * F.lit(share) > 1))
+        counts = likely.groupBy("lang", "word").agg(F.count("*").alias("n")).join(small(written(left_out, "bars")), "lang")
+        fit = counts.filter((F.col("n") > F.col("bar")) & (F.col("n") <= F.col("docs") * F.lit(MOST)))
+        best = fit.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))).filter(F.col("r") <= TOPICS)
+        found = written(best.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("r", "word"))).alias("w")).select("lang", F.col("w.word").alias("topics")), "topics")
+        short = left_out.join(found, "lang", "left").filter((F.coalesce(F.size("topics"), F.lit(0)) < TOPICS) & (F.col("bar") > 0))
         if short.isEmpty():
             return found
+        most *= 8
 
 
 def keyword(words: Column, topics: Column) -> Column:
