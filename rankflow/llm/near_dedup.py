@@ -53,7 +53,8 @@ MIN_DEPTH = 3
 WINDOW = 4
 DENSE = 16  # classes of one label, from which on hubs are used
 HUBS = 8
-BLOCK = 400  # classes of each side of a block
+BLOCK = 400  # classes of each side of a block of sets
+WIDE_BLOCK = 4000  # and of one of signatures alone
 BLOCK_BYTES = 8_000_000  # and their sets
 
 _RNG = np.random.default_rng(71)
@@ -228,15 +229,15 @@ def _with_hubs(label: DataFrame, classes: DataFrame) -> DataFrame:
     return far.select(F.least("a", "h").alias("a"), F.greatest("a", "h").alias("b")).distinct()
 
 
-def _parts(n: Column, size: Column) -> Column:
+def _parts(n: Column, size: Column, block: int) -> Column:
     """The number of parts for n classes with sets of ``size`` values."""
-    return F.greatest(F.ceil(n / BLOCK), F.ceil(size * 8 / BLOCK_BYTES), F.lit(1))
+    return F.greatest(F.ceil(n / block), F.ceil(size * 8 / BLOCK_BYTES), F.lit(1))
 
 
 def _blocks(pairs: DataFrame, label: DataFrame, classes: DataFrame) -> DataFrame:
     """A block for each pair: that of its label; a label with many classes is cut into a grid."""
     label = label.join(classes.select(F.col("id").alias("a"), "n"), "a")
-    size = label.groupBy("l").agg(_parts(F.count("*"), F.sum("n")).alias("g")).filter("g > 1")
+    size = label.groupBy("l").agg(_parts(F.count("*"), F.sum("n"), BLOCK).alias("g")).filter("g > 1")
     label = label.join(small(written(size, "grid")), "l", "left").select("a", "l", F.coalesce("g", F.lit(1)).alias("g"))
     at = pairs.join(label.select("a", F.col("l").alias("la"), F.col("g").alias("ga")), "a")
     at = at.join(label.select(F.col("a").alias("b"), F.col("l").alias("lb"), F.col("g").alias("gb")), "b")
@@ -312,7 +313,7 @@ def _links(docs: DataFrame, classes: DataFrame, scored: DataFrame, label: DataFr
     return rows.mapInArrow(_confirm(threshold_percent), "a long, b long")
 
 
-def _grid(members: DataFrame) -> DataFrame:
+def _grid(members: DataFrame, block: int) -> DataFrame:
     """(block, side, id, comp) from ``members`` (r, id, comp, n): blocks that hold all pairs of an r with different comp.
 
     The largest comp of an r only meets the others.  Within a block, all pairs
@@ -320,7 +321,7 @@ def _grid(members: DataFrame) -> DataFrame:
     """
     of_comp = members.groupBy("r", "comp").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
     about = of_comp.groupBy("r").agg(F.count("*").alias("k"), F.max(F.struct("c", "comp", "s")).alias("big"), F.sum("c").alias("c"), F.sum("s").alias("s")).filter("k > 1")
-    about = about.select("r", F.col("big.comp").alias("big"), _parts(F.col("big.c"), F.col("big.s")).alias("g_big"), _parts(F.col("c") - F.col("big.c"), F.col("s") - F.col("big.s")).alias("g_rest"))
+    about = about.select("r", F.col("big.comp").alias("big"), _parts(F.col("big.c"), F.col("big.s"), block).alias("g_big"), _parts(F.col("c") - F.col("big.c"), F.col("s") - F.col("big.s"), block).alias("g_rest"))
     at = members.join(small(written(about, "about")), "r").withColumn("in_big", F.col("comp") == F.col("big"))
     at = at.withColumn("p", F.pmod(F.xxhash64("id"), F.when(F.col("in_big"), F.col("g_big")).otherwise(F.col("g_rest"))))
     upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1)).alias("q")
@@ -410,7 +411,7 @@ def _dense_joins(docs: DataFrame, classes: DataFrame, paths: DataFrame, grouped:
     sig, size = classes.select("id", "sig"), classes.select("id", "n")
 
     def searched(members: DataFrame, more: DataFrame, full: int | None) -> DataFrame:
-        blocks = _grid(members).join(more, "id").repartition("block").sortWithinPartitions("block")
+        blocks = _grid(members, BLOCK if full else WIDE_BLOCK).join(more, "id").repartition("block").sortWithinPartitions("block")
         rows = blocks.select("block", "side", "id", "comp", "sig", *(["data"] if full else []))
         return rows.mapInArrow(lambda batches: _joins(batches, least, full), "a long, b long")
 

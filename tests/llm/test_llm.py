@@ -130,12 +130,11 @@ def test_neighbours_reach_over_borders(spark):
     assert len(found[0]) > 200 and found[0] == found[1] == found[2]
 
 
-def test_blocks_hold_all_pairs_of_different_groups(spark, monkeypatch):
-    monkeypatch.setattr(near_dedup, "BLOCK", 4)
+def test_blocks_hold_all_pairs_of_different_groups(spark):
     rng = random.Random(2)
     members = [(r, 100 * r + i, 100 * r + (0 if i < 9 * r else rng.randrange(30)), 10) for r in range(3) for i in range(30)]
     blocks: dict = {}
-    for x in near_dedup._grid(spark.createDataFrame(members, "r long, id long, comp long, n long")).collect():
+    for x in near_dedup._grid(spark.createDataFrame(members, "r long, id long, comp long, n long"), 4).collect():
         blocks.setdefault(x["block"], []).append(x)
     met = set()
     for rows in blocks.values():
@@ -730,7 +729,7 @@ def test_written_tables_can_be_removed(spark):
 @pytest.mark.skipif(not __import__("os").path.exists(packing.VOCABULARY), reason="no vocabulary file")
 def test_packing_round_trip(spark, docs, rows, none):
     bpe = packing.encoding(packing.VOCABULARY)
-    odd = [(5000, "a  b\n\nc \n d e　f\tg's 12 34!?\r\n x y z", None, None, 0), (5001, "\n a\n", None, None, 0), (5002, "é'll  \n\n  ß \x1c x", None, None, 0)]
+    odd = [(5000, "a  b\n\nc \n d e　f\tg's 12 34!?\r\n x y z", None, None, 0), (5001, "\n a\n", None, None, 0), (5002, "é'll  \n\n  ß \x1c x", None, None, 0), (5003, "abc" * 40_000, None, None, 0)]
     df = spark.createDataFrame(rows + odd, DOCS)
     packed = packing.pack(df, packing.VOCABULARY, row=64).collect()
     parts: dict = {}
@@ -744,7 +743,7 @@ def test_packing_round_trip(spark, docs, rows, none):
     for doc in {d for d, _ in want}:
         whole = sorted(i for (d, ids), n in want.items() if d == doc for i in ids * n)
         assert sorted(i for _, ids in parts[doc] for i in ids) == whole
-    for doc in (5000, 5001, 5002, 1007):
+    for doc in (5000, 5001, 5002, 5003, 1007):
         assert sum((ids for _, ids in sorted(parts[doc])), ()) == next(ids for d, ids in want if d == doc)
     assert packing.digest(packing.pack(none, packing.VOCABULARY)).count() == 0
 
