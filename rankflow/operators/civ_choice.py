@@ -125,9 +125,9 @@ FAMILIES = ("own", "recent", "global")
 TOPS = (1, 2, 3, 5, 10, 20)
 
 
-def _with_game_sequence(raw: DataFrame) -> DataFrame:
-    """What the last games tell of the player, whatever the candidate."""
-    rows = with_recent(raw).withColumn("_ten", F.transform(F.slice("recent", 1, 10), lambda x: x["civ"]))
+def _game_sequence(rows: DataFrame) -> DataFrame:
+    """What the last games in ``recent`` tell of the player, whatever the candidate."""
+    rows = rows.withColumn("_ten", F.transform(F.slice("recent", 1, 10), lambda x: x["civ"]))
     older = F.slice("_ten", 2, 10)
     changes = F.zip_with(F.slice("_ten", F.lit(1), F.greatest(F.size("_ten") - 1, F.lit(0))), older, lambda x, y: x != y)
     kinds = F.array_distinct("_ten")
@@ -143,6 +143,42 @@ def _with_game_sequence(raw: DataFrame) -> DataFrame:
     ).drop("_ten")
 
 
+def _with_game_sequence(raw: DataFrame) -> DataFrame:
+    return _game_sequence(with_recent(raw))
+
+
+def backfill_sequences(matrix: DataFrame, raw: DataFrame, last: int = 20) -> DataFrame:
+    """A matrix of older rows with the sequence columns added (or replaced), without building it anew.
+
+    ``matrix`` has game_id, profile_id, candidate_civ, started_at and map.  The
+    player's games at earlier times count; streaks are those of the last
+    ``last`` games.  Global rates that such a matrix lacks are uniform.
+    """
+    columns = ["profile_id", "started_at", "_upto"]
+    item = F.struct("started_at", "game_id", "civ", "map")
+    own = raw.join(matrix.select("profile_id").distinct(), "profile_id", "left_semi")
+    upto = F.collect_list(item).over(W.ordered("profile_id").rowsBetween(1 - last, 0))
+    past = own.withColumn("_upto", F.struct("started_at", "game_id", upto.alias("games"))).select(*columns, F.lit(None).cast("long").alias("game_id"), F.lit(None).cast("string").alias("map"))
+    asked = matrix.select("profile_id", "started_at", F.lit(None).cast(past.schema["_upto"].dataType).alias("_upto"), "game_id", "map").distinct()
+    latest = F.max("_upto").over(W.earlier_time("profile_id"))["games"]
+    both = past.unionByName(asked).withColumn("recent", F.reverse(F.coalesce(latest, F.array()))).filter("game_id IS NOT NULL")
+    known = _game_sequence(both.drop("_upto"))
+    first = F.get("recent", F.lit(0))["civ"]
+    ends = F.array_min(F.transform("recent", lambda x, i: F.when(x["civ"] != first, i)))
+    known = known.withColumns({"_newest": first, "player_current_streak_len": F.coalesce(ends, F.size("recent")).cast("long")}).drop("map")
+    added = [x for x in known.columns if x not in ("profile_id", "started_at", "game_id")]
+    rows = matrix.drop(*[x for x in SEQUENCE if x in matrix.columns]).join(known.select("game_id", "profile_id", "started_at", *added), ["game_id", "profile_id", "started_at"], "left")
+    rows = _with_candidate_sequence(rows).withColumn("candidate_current_streak_len", F.when(F.col("candidate_civ") == F.col("_newest"), F.col("player_current_streak_len")).otherwise(F.lit(0).cast("long"))).drop("_newest")
+    missing = [x for x in ("cand_global_pr_patch_mmr_bucket", "cand_global_pr_map_patch") if x not in rows.columns]
+    return rows.withColumns({x: F.lit(UNIFORM) for x in missing})
+
+
+SEQUENCE = [
+    *[f"cand_games_last_{n}_games" for n in TOPS], "candidate_last_played_position", "cand_games_last_20_same_map", "player_games_last_20_same_map", "player_current_streak_len", "candidate_current_streak_len",
+    "recent_civ_switch_count_last_10_games", "recent_unique_civs_last_10_games", "recent_entropy_last_10_games",
+]
+
+
 def _with_candidate_sequence(rows: DataFrame) -> DataFrame:
     civs = F.transform("recent", lambda x: x["civ"])
     place = F.array_position(civs, F.col("candidate_civ")).cast("long")

@@ -69,6 +69,13 @@ _SEQ = [*[f"cand_games_last_{n}_games" for n in (1, 2, 3, 5, 10, 20)], "recent_c
 _SEQ_SQL = ", ".join(f"coalesce({c}, 0) AS {c}" for c in _SEQ) + ", coalesce(candidate_last_played_position, 21) AS candidate_last_played_position"
 add("j15_last_20", lambda s, d: _matrix(s, d, "recent").select(*KEY, "cand_games_last_20_games"), pg_sql(_RAW, _FIRST, _CAND, _RECENT) + "SELECT game_id, profile_id, candidate_civ, coalesce(cand_games_last_20_games, 0) AS cand_games_last_20_games FROM cr LEFT JOIN seq USING (game_id, profile_id, candidate_civ)")
 add("j16_recent_sequence", lambda s, d: _matrix(s, d, "recent").select(*KEY, *_SEQ, "candidate_last_played_position", "recent_entropy_last_10_games"), pg_sql(_RAW, _FIRST, _CAND, _RECENT) + f"SELECT game_id, profile_id, candidate_civ, {_SEQ_SQL}, {six('coalesce(e, 0)')} AS recent_entropy_last_10_games FROM cr LEFT JOIN seq USING (game_id, profile_id, candidate_civ) LEFT JOIN en USING (game_id, profile_id, candidate_civ)")
+_STREAK = "fc AS (SELECT game_id, profile_id, candidate_civ, arg_min(civ, rn) AS newest FROM rec GROUP BY ALL), sk AS (SELECT game_id, profile_id, candidate_civ, newest, coalesce(min(rn) FILTER (civ <> newest) - 1, count(*)) AS streak FROM rec JOIN fc USING (game_id, profile_id, candidate_civ) GROUP BY ALL)"
+add(
+    "c28_sequence_backfill",
+    lambda s, d: C.backfill_sequences(C.candidates(_raw(s, d), _seen(s, d)).select(*KEY, "started_at", "map"), _raw(s, d)).select(*KEY, *C.SEQUENCE, "cand_global_pr_map_patch"),
+    pg_sql(_RAW, _FIRST, _CAND, _RECENT, _STREAK) + f"SELECT game_id, profile_id, candidate_civ, {_SEQ_SQL}, coalesce(streak, 0) AS player_current_streak_len, CASE WHEN candidate_civ = newest THEN streak ELSE 0 END AS candidate_current_streak_len, {six('coalesce(e, 0)')} AS recent_entropy_last_10_games, {six('1.0::DOUBLE / 19')} AS cand_global_pr_map_patch "
+    "FROM cr LEFT JOIN seq USING (game_id, profile_id, candidate_civ) LEFT JOIN en USING (game_id, profile_id, candidate_civ) LEFT JOIN sk USING (game_id, profile_id, candidate_civ)",
+)
 add("a11_entropy", lambda s, d: player_rows(s, d).groupBy("profile_id", "civ").agg(F.count("*").alias("n")).withColumn("p", F.col("n") / F.sum("n").over(_of("profile_id"))).groupBy("profile_id").agg(F.sum(-F.col("p") * F.ln("p")).alias("entropy")), pg_sql() + f"SELECT profile_id, {six('-sum(p * ln(p))')} AS entropy FROM (SELECT profile_id, civ, count(*)::DOUBLE / sum(count(*)) OVER (PARTITION BY profile_id) AS p FROM pg GROUP BY profile_id, civ) GROUP BY 1")
 
 
