@@ -42,7 +42,8 @@ ROUNDS = 20
 TOLERANCE = 0.001
 TOPICS = 8
 MOST = 0.05  # of a language's documents
-SLOTS = 2**16  # of words by hash
+SLOT_BITS = 16
+SLOTS = 2**SLOT_BITS  # of words by hash
 FULL = 1024  # slots of a language whose words are counted at first
 BUDGET = 0.8  # tokens to keep, as a part of all
 SEED = "mix-1"
@@ -61,9 +62,12 @@ def topic_words(docs: DataFrame) -> DataFrame:
     slots need a count of their own: those in more documents than any slot left
     out are counted for certain.  If they are too few, more slots are taken.
     """
-    size = written(docs.groupBy("lang").agg(F.count("*").alias("docs")), "langs")
-    slot = lambda w: F.pmod(F.xxhash64(w), F.lit(SLOTS)).cast("int")
-    slots = docs.select("lang", F.explode(F.array_distinct(F.transform("words", slot))).alias("slot")).groupBy("lang", "slot").agg(F.count("*").alias("n"))
+    own = F.pmod(F.xxhash64("lang"), F.lit(2**40))  # one number for language and slot counts faster than two columns
+    size = written(docs.groupBy("lang").agg(F.count("*").alias("docs")).withColumn("own", own), "langs")
+    slot = lambda w: F.pmod(F.xxhash64(w), F.lit(SLOTS))
+    numbered = docs.select("words", (own * SLOTS).alias("base"))
+    filled = numbered.select(F.explode(F.array_distinct(F.transform("words", lambda w: slot(w) + F.col("base")))).alias("key")).groupBy("key").agg(F.count("*").alias("n"))
+    slots = filled.select(F.shiftright("key", SLOT_BITS).alias("own"), F.pmod("key", F.lit(SLOTS)).alias("slot"), "n").join(small(size), "own").select("lang", "slot", "n")
     slots = written(slots.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "slot"))), "slots")
     most = FULL
     while True:
@@ -80,11 +84,12 @@ def topic_words(docs: DataFrame) -> DataFrame:
         most *= 8
 
 
-def keyword(words: Column, topics: Column) -> Column:
-    """The topic of a text: the keyword that occurs most; null if none does."""
-    found = F.filter(words, lambda w: F.array_contains(topics, w))
-    counted = F.transform(F.array_distinct(found), lambda w: F.struct(F.size(F.filter(found, lambda x: x == w)).alias("n"), w.alias("word")))
-    return F.array_max(counted)["word"]
+def with_keyword(rows: DataFrame, words: str, topics: str, name: str) -> DataFrame:
+    """``rows`` with the topic of a text: the keyword that occurs most; null if none does."""
+    # A column of its own, as the expression would be evaluated anew for each keyword.
+    found = rows.withColumn("_found", F.filter(words, lambda w: F.array_contains(topics, w)))
+    counted = F.transform(F.array_distinct("_found"), lambda w: F.struct(F.size(F.filter("_found", lambda x: x == w)).alias("n"), w.alias("word")))
+    return found.withColumn(name, F.array_max(counted)["word"]).drop("_found")
 
 
 def _digest(doc_id: Column, text: Column) -> Column:
@@ -162,13 +167,13 @@ def calibrate(raked: DataFrame, budget: float = BUDGET) -> DataFrame:
 def _mixed(docs: DataFrame, keep: list[str], text: str, of: dict[str, Column], doc_id: Column, topic: Column | None, **options) -> DataFrame:
     key = lambda x: F.coalesce(F.concat(F.lit("="), x.cast("string")), F.lit(""))
     body = F.coalesce(F.col(text), F.lit(""))
-    sized = docs.withColumns({"source": key(of["source"]), "lang": key(of["lang"]), "n_tokens": F.size(words_of(F.col(text))).cast("long"), "draw": _digest(doc_id, body)})
+    sized = docs.withColumns({"source": key(of["source"]), "lang": key(of["lang"]), "_words": words_of(F.col(text)), "draw": _digest(doc_id, body)})
     if topic is None:
         worded = docs.select(key(of["lang"]).alias("lang"), words_of(F.col(text)).alias("words"))
-        sized = sized.join(small(topic_words(worded)), "lang", "left")
-        topic = F.concat("lang", F.lit(" "), F.coalesce(keyword(words_of(F.col(text)), F.col("topics")), F.lit("")))
+        sized = with_keyword(sized.join(small(topic_words(worded)), "lang", "left"), "_words", "topics", "_keyword")
+        topic = F.concat("lang", F.lit(" "), F.coalesce("_keyword", F.lit("")))
         options["nested"] = {"topic": "lang"}
-    named = written(sized.select(*keep, "source", "lang", "n_tokens", "draw", key(topic).alias("topic")), "sized")
+    named = written(sized.select(*keep, "source", "lang", F.size("_words").cast("long").alias("n_tokens"), "draw", key(topic).alias("topic")), "sized")
     budget = options.pop("budget", BUDGET)
     cells = written(named.groupBy(*MARGINS).agg(F.sum("n_tokens").alias("tokens")), "cells")
     cells = written(calibrate(rake(cells, **options), budget), "cells")
