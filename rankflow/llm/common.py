@@ -98,9 +98,14 @@ def map_arrow(df: DataFrame, each: Callable[[pa.RecordBatch], Iterator[pa.Record
     return df.mapInArrow(run, schema)
 
 
+def pieces_of(text: Column) -> Column:
+    """Words between white space (\\x20, \\x09-\\x0D) as an array, and empty strings where a text begins or ends with it."""
+    return F.split(F.coalesce(text, F.lit("")), "[ \\t\\n\\x0b\\x0c\\r]+")
+
+
 def words_of(text: Column) -> Column:
-    """Words between white space (\\x20, \\x09-\\x0D) as an array; null or blank text gives an empty one."""
-    return F.array_remove(F.split(F.coalesce(text, F.lit("")), "[ \\t\\n\\x0b\\x0c\\r]+"), "")
+    """Words between white space as an array; null or blank text gives an empty one."""
+    return F.array_remove(pieces_of(text), "")
 
 
 def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

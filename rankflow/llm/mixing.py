@@ -34,7 +34,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small, words_of, written
+from .common import pieces_of, small, words_of, written
 
 MARGINS = ("source", "lang", "topic")
 POWER = {"source": 0.5, "lang": 0.7, "topic": 0.8}
@@ -55,7 +55,7 @@ def _among(slot, full: list[int]):
 
 
 def topic_words(docs: DataFrame) -> DataFrame:
-    """(lang, topics) from ``docs`` (lang, words): the keywords of each language.
+    """(lang, topics) from ``docs`` (lang, words): the keywords of each language; empty words don't count.
 
     Documents are counted by hashed slots of words first.  A word is in no more
     documents than its slot, so that only the words of a language's fullest
@@ -73,7 +73,7 @@ def topic_words(docs: DataFrame) -> DataFrame:
     while True:
         full = [r["slot"] for r in slots.filter(F.col("k") <= most).select("slot").distinct().collect()]  # SLOTS of them at most
         left_out = size.join(slots.filter(F.col("k") > most).groupBy("lang").agg(F.max("n").alias("bar")), "lang", "left").na.fill(0, ["bar"])
-        likely = docs.select("lang", F.explode(F.array_distinct(F.filter("words", _among(slot, full)))).alias("word"))
+        likely = docs.select("lang", F.explode(F.array_distinct(F.filter("words", _among(slot, full)))).alias("word")).filter("word <> ''")
         counts = likely.groupBy("lang", "word").agg(F.count("*").alias("n")).join(small(written(left_out, "bars")), "lang")
         fit = counts.filter((F.col("n") > F.col("bar")) & (F.col("n") <= F.col("docs") * F.lit(MOST)))
         best = fit.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))).filter(F.col("r") <= TOPICS)
@@ -86,10 +86,11 @@ def topic_words(docs: DataFrame) -> DataFrame:
 
 def with_keyword(rows: DataFrame, words: str, topics: str, name: str) -> DataFrame:
     """``rows`` with the topic of a text: the keyword that occurs most; null if none does."""
-    # A column of its own, as the expression would be evaluated anew for each keyword.
-    found = rows.withColumn("_found", F.filter(words, lambda w: F.array_contains(topics, w)))
-    counted = F.transform(F.array_distinct("_found"), lambda w: F.struct(F.size(F.filter("_found", lambda x: x == w)).alias("n"), w.alias("word")))
-    return found.withColumn(name, F.array_max(counted)["word"]).drop("_found")
+    some = rows.withColumn("_some", F.array_intersect(words, topics))
+    # Columns of their own, as expressions would be evaluated anew for each keyword.  Texts with one keyword need no counts.
+    found = some.withColumn("_found", F.when(F.size("_some") > 1, F.filter(words, lambda w: F.array_contains("_some", w))))
+    counted = F.transform("_some", lambda w: F.struct(F.size(F.filter("_found", lambda x: x == w)).alias("n"), w.alias("word")))
+    return found.withColumn(name, F.when(F.size("_some") > 1, F.array_max(counted)["word"]).otherwise(F.get("_some", F.lit(0)))).drop("_some", "_found")
 
 
 def _digest(doc_id: Column, text: Column) -> Column:
@@ -169,7 +170,7 @@ def _mixed(docs: DataFrame, keep: list[str], text: str, of: dict[str, Column], d
     body = F.coalesce(F.col(text), F.lit(""))
     sized = docs.withColumns({"source": key(of["source"]), "lang": key(of["lang"]), "_words": words_of(F.col(text)), "draw": _digest(doc_id, body)})
     if topic is None:
-        worded = docs.select(key(of["lang"]).alias("lang"), words_of(F.col(text)).alias("words"))
+        worded = docs.select(key(of["lang"]).alias("lang"), pieces_of(F.col(text)).alias("words"))
         sized = with_keyword(sized.join(small(topic_words(worded)), "lang", "left"), "_words", "topics", "_keyword")
         topic = F.concat("lang", F.lit(" "), F.coalesce("_keyword", F.lit("")))
         options["nested"] = {"topic": "lang"}
