@@ -40,15 +40,18 @@ def shared_folder(spark: SparkSession) -> str:
 _WRITTEN: list[str] = []
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, at_once: int | None = None) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back: cuts the lineage, survives lost executors.
 
     The tables stay, as results may read them whenever they are used, until
-    ``remove_written`` is called.
+    ``remove_written`` is called.  Rows of megabytes need ``at_once``, the rows
+    of a row group: Parquet's writer looks at its size every hundred rows only,
+    and a batch of Spark's reader holds up to 4096 rows of a group in memory.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    writer = df.write.option("compression", "zstd")
+    (writer.option("parquet.block.row.count.limit", at_once) if at_once else writer).parquet(path)
     _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -52,6 +52,7 @@ PRIOR = 0.5  # added to each word's count
 MASS = 1.0  # weight of the word's own probability against the counts after the word before
 DIGITS = 6
 BLOCK_BYTES = 4_000_000  # text of a block
+BLOCKS_AT_ONCE = 2  # that a reader or writer of blocks holds
 RANGE_KEYS = 1_000_000  # keys of all blocks that a range gets, at most on average
 #: What a packed block holds: documents (id, whether it has one, target, where their text begins) and the texts.
 PARTS = {"ids": "<i8", "valid": "<u1", "target": "<u1", "starts": "<i8", "text": "<u1"}
@@ -240,7 +241,7 @@ def score(docs: DataFrame, good: DataFrame) -> DataFrame:
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     flagged = named.join(small(good), F.col("doc_id") == F.col("good_id"), "left").select("doc_id", F.col("good_id").isNotNull().alias("target"), "text")
     blocks = map_arrow(flagged, _blocks, "data binary, n long, good long")
-    blocks = written(blocks.withColumn("block", F.monotonically_increasing_id()), "blocks")
+    blocks = written(blocks.withColumn("block", F.monotonically_increasing_id()), "blocks", BLOCKS_AT_ONCE)
     answers, range_bits, totals = count_ngrams(blocks)
     nothing = [F.lit(None).cast(kind).alias(x) for x, kind in (("part", "long"), ("n", "binary"), ("good", "binary"))]
     rows = blocks.select("block", *nothing, "data").unionByName(answers.select("block", "part", "n", "good", F.lit(None).cast("binary").alias("data")))

@@ -7,8 +7,10 @@ import random
 import re
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -812,6 +814,22 @@ def test_packed_counts_round_trip():
         assert lm_score._unpack_counts(lm_score._pack_counts(np.array(x, dtype=np.int64))).tolist() == x
 
 
+def test_blocks_are_written_in_small_row_groups(spark):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, 4)  # rows of a block
+    df = spark.createDataFrame([(i, f"word{i} and others") for i in range(40)], "doc_id long, text string").coalesce(1)
+    mark = common.written_so_far()
+    try:
+        assert lm_score.score(df, spark.createDataFrame([(1,)], "doc_id long")).count() == 40
+    finally:
+        spark.conf.set(name, before)
+    (path,) = [x for x in common.written_since(mark) if "/blocks-" in x]
+    groups = [pq.ParquetFile(f).metadata for f in Path(path.removeprefix("file://")).glob("*.parquet")]
+    rows = [m.row_group(i).num_rows for m in groups for i in range(m.num_row_groups)]
+    assert sum(rows) == 10 and max(rows) <= lm_score.BLOCKS_AT_ONCE
+
+
 def test_copies_are_told_apart_by_the_background(spark):
     rng = random.Random(20)
     texts = [" ".join(rng.choices(WORDS, k=80)) for _ in range(60)]
