@@ -115,11 +115,11 @@ def extended_request_features(rows: DataFrame, requests: DataFrame) -> DataFrame
 # Requests that bring the players' recent games along.
 
 
-def _side(s: str, cap: int) -> dict[str, Column]:
-    """Counts of one player's list of games ``games_{s}`` (newest first): all but skills from its first ``cap`` games."""
-    games, array = F.col(f"games_{s}"), f"_visible_{s}"
-    civ = lambda x: x["civ"] == F.col(f"civ_{s}")
-    place, season = (lambda x: x["map"] == F.col("map")), (lambda x: x["season"].eqNullSafe(F.col("season")))
+def _side(t: str) -> dict[str, Column]:
+    """Counts of one player's list of games ``games{t}`` (newest first): all but skills from its first games ``_visible{t}``, and of the match's season apart."""
+    games, array = F.col(f"games{t}"), f"_visible{t}"
+    civ = lambda x: x["civ"] == F.col(f"civ{t}")
+    place = lambda x: x["map"] == F.col("map")
     won, length = (lambda x: x["result"]), (lambda x: x["duration"])
     short, long = (lambda x: x["duration"] <= SHORT_GAME), (lambda x: x["duration"] > LONG_GAME)
     since = lambda n: lambda x: micros(x["started_at"]) >= micros("at") - n * MICROS_A_DAY
@@ -129,10 +129,10 @@ def _side(s: str, cap: int) -> dict[str, Column]:
     out = {
         "visible_games": seen(array=array), "mmr": first("mmr"), "rating": first("rating"), "days_since": days(F.get(games, F.lit(0))["started_at"]),
         "days_since_civ": days(seen_max(lambda x: x["started_at"], civ, array)), "games_lifetime": seen(array=array), "wins_lifetime": seen_sum(won, array=array),
-        "avg_dur_life": seen_avg(length, array=array), "civ_avg_dur": seen_avg(length, civ, array), "avg_dur_20": seen_avg(length, array=f"_last_{s}"),
+        "avg_dur_life": seen_avg(length, array=array), "civ_avg_dur": seen_avg(length, civ, array), "avg_dur_20": seen_avg(length, array=f"_last{t}"),
         "short_games": seen(short, array), "short_wins": seen_sum(won, short, array), "long_games": seen(long, array), "long_wins": seen_sum(won, long, array),
     }
-    for name, same in (("games_season", season), ("civ_games", civ), ("map_games", place)):
+    for name, same in (("civ_games", civ), ("map_games", place)):
         out[name], out[name.replace("games", "wins")] = seen(same, array), seen_sum(won, same, array)
     for n in (7, 30, 60):
         out[f"civ_games_{n}d"], out[f"civ_wins_{n}d"] = seen(both(civ, since(n)), array), seen_sum(won, both(civ, since(n)), array)
@@ -142,7 +142,24 @@ def _side(s: str, cap: int) -> dict[str, Column]:
         played = F.slice(games, 1, n)
         out[f"recent_n_{n}"] = F.size(played).cast("long")
         out[f"recent_w_{n}"] = F.aggregate(played, F.lit(0).cast("long"), lambda acc, x: acc + zero(x["result"]))
-    return {f"{name}_{s}": x for name, x in out.items()}
+    return {f"{name}{t}": x for name, x in out.items()}
+
+
+def _checked(cap: int) -> int:
+    if cap < LAST:
+        raise ValueError(f"the cap must be {LAST} or more")
+    return cap
+
+
+def _derived(out: DataFrame) -> DataFrame:
+    """What both sides' counts and ``_shared``, the games that the two played, give."""
+    out = out.withColumns({"h2h_games": seen(array="_shared"), "h2h_wins_a": seen_sum(lambda x: x["result"], array="_shared")})
+    out = pregame.base_derived(out)
+    for derive in (pregame.p1_derived, pregame.p3_derived, pregame.p4_derived, pregame.p5_derived):
+        out = derive(out)
+    out = out.withColumns({f"{x}_diff": zero(f"{x}_a") - zero(f"{x}_b") for x in ("mmr", "rating")})
+    out = cold_start(out)
+    return out.withColumn("skill_diff", F.col("skill_a") - F.col("skill_b")).drop("_shared")
 
 
 def recent_features(requests: DataFrame, cap: int = CAP) -> DataFrame:
@@ -154,25 +171,24 @@ def recent_features(requests: DataFrame, cap: int = CAP) -> DataFrame:
     newest game of either player gives them.  A null list counts as empty.
     Everything but skills and form comes from the last ``cap`` games.
     """
-    if cap < LAST:
-        raise ValueError(f"the cap must be {LAST} or more")
+    _checked(cap)
     out = requests.withColumns({f"games_{s}": F.coalesce(F.col(f"games_{s}"), F.array().cast(GAME)) for s in ("a", "b")})
     for x, kind in (("season", "int"), ("patch", "string")):
         if x not in out.columns:
             out = out.withColumn(x, F.lit(None).cast(kind))
-    newest = F.array_max(F.transform(F.concat(F.slice("games_a", 1, 1), F.slice("games_b", 1, 1)), lambda x: F.struct(x["started_at"].alias("t"), x["season"].alias("season"), x["patch"].alias("patch"))))
+    newest = F.array_max(F.transform(F.concat(F.slice("games_a", 1, 1), F.slice("games_b", 1, 1)), _stamp))
     out = out.withColumns({"season": F.coalesce("season", newest["season"]), "patch": F.coalesce("patch", newest["patch"])})
     out = out.withColumns({f"_{name}_{s}": F.slice(f"games_{s}", 1, n) for s in ("a", "b") for name, n in (("visible", cap), ("last", LAST))})
-    out = out.withColumns(_side("a", cap) | _side("b", cap))
+    same = lambda x: x["season"].eqNullSafe(F.col("season"))
+    of_season = {f"{name}_season_{s}": f(f"_visible_{s}") for s in ("a", "b") for name, f in (("games", lambda v: seen(same, v)), ("wins", lambda v: seen_sum(lambda x: x["result"], same, v)))}
+    out = out.withColumns(_side("_a") | _side("_b") | of_season)
     ids = F.transform("_visible_b", lambda x: x["game_id"])
     shared = F.filter("_visible_a", lambda x: (x["opponent_profile_id"] == F.col("profile_id_b")) & F.array_contains(ids, x["game_id"]))
-    out = out.withColumn("_shared", shared).withColumns({"h2h_games": seen(array="_shared"), "h2h_wins_a": seen_sum(lambda x: x["result"], array="_shared")})
-    out = pregame.base_derived(out)
-    for derive in (pregame.p1_derived, pregame.p3_derived, pregame.p4_derived, pregame.p5_derived):
-        out = derive(out)
-    out = out.withColumns({f"{x}_diff": zero(f"{x}_a") - zero(f"{x}_b") for x in ("mmr", "rating")})
-    out = cold_start(out)
-    return out.withColumn("skill_diff", F.col("skill_a") - F.col("skill_b")).drop("games_a", "games_b", "_shared", *[f"_{name}_{s}" for s in ("a", "b") for name in ("visible", "last")])
+    return _derived(out.withColumn("_shared", shared)).drop("games_a", "games_b", *[f"_{name}_{s}" for s in ("a", "b") for name in ("visible", "last")])
+
+
+def _stamp(x: Column) -> Column:
+    return F.struct(x["started_at"].alias("t"), x["season"].alias("season"), x["patch"].alias("patch"))
 
 
 # Batches of probabilities.
@@ -208,12 +224,51 @@ def pregame_probabilities(matches: DataFrame, rows: DataFrame, model, p: str = "
     return model.transform(both).select("match_id", p)
 
 
+def _lists(rows: DataFrame, most: int) -> DataFrame:
+    """Each row with ``games`` (see ``recent_lists``; ``several`` marks games of more than two) and ``_players``, those of its match.
+
+    Both windows go through one sort of narrow rows; no list is sorted or sent.
+    """
+    players = F.collect_set("profile_id").over(Window.partitionBy("game_id"))
+    faced = rows.withColumn("_players", players).withColumns({"opponent_profile_id": F.get(F.array_remove("_players", F.col("profile_id")), F.lit(0)), "several": F.size("_players") > 2, "_t": micros("started_at")})
+    item = F.struct("game_id", "started_at", "duration", "map", "season", "patch", "civ", "result", "rating", "mmr", "opponent_profile_id", "several")
+    w = Window.partitionBy("profile_id").orderBy("_t", "game_id").rowsBetween(1 - most, 0)
+    known = faced.repartition("profile_id").withColumn("_upto", F.struct("_t", "game_id", F.collect_list(item).over(w).alias("games")))
+    before = F.max("_upto").over(Window.partitionBy("profile_id").orderBy("_t").rangeBetween(W.START, -1))["games"]
+    return known.withColumn("games", F.reverse(F.coalesce(before, F.array()))).drop("_upto", "_t", "opponent_profile_id", "several")
+
+
 def recent_lists(rows: DataFrame, most: int = CAP) -> DataFrame:
     """Each row with ``games``: its player's last ``most`` games at earlier times, newest first, as requests bring them along."""
-    players = F.collect_set("profile_id").over(Window.partitionBy("game_id"))
-    faced = rows.withColumn("opponent_profile_id", F.get(F.array_remove(players, F.col("profile_id")), F.lit(0)))
-    item = F.struct("game_id", "started_at", "duration", "map", "season", "patch", "civ", "result", "rating", "mmr", "opponent_profile_id")
-    upto = F.collect_list(item).over(W.ordered("profile_id").rowsBetween(1 - most, 0))
-    known = faced.repartition("profile_id").withColumn("_upto", F.struct("started_at", "game_id", upto.alias("games")))
-    before = F.max("_upto").over(W.earlier_time("profile_id"))["games"]
-    return known.withColumn("games", F.reverse(F.coalesce(before, F.array().cast(GAME)))).drop("_upto", "opponent_profile_id")
+    return _lists(rows, most).withColumn("games", F.transform("games", lambda x: x.dropFields("several"))).drop("_players")
+
+
+def recent_match_features(rows: DataFrame, most: int = CAP, cap: int = CAP, sides: list[str] | None = None) -> DataFrame:
+    """``recent_features`` of each match as a request of its players, with their last ``most`` games at earlier times.
+
+    Each side is counted where its player's games are; only counts travel to
+    the match, not the lists: of a list, no more than the games against players
+    of this match and a count for each season.  With ``sides``, only these
+    columns of a side (named without ``_a`` and ``_b``) are counted; others and
+    what derives from them are null.
+    """
+    own = _lists(rows, most).withColumn("at", F.col("started_at"))
+    own = own.withColumns({name: F.slice("games", 1, n) for name, n in (("_visible", _checked(cap)), ("_last", LAST))})
+    of = lambda s: lambda x: x["season"].eqNullSafe(s)
+    season = lambda s: F.struct(s.alias("season"), seen(of(s), "_visible").alias("games"), seen_sum(lambda x: x["result"], of(s), "_visible").alias("wins"))
+    among = lambda x: F.array_contains("_players", x["opponent_profile_id"])
+    game = lambda x: F.struct(x["game_id"].alias("game_id"), x["opponent_profile_id"].alias("opponent_profile_id"), x["result"].alias("result"))
+    counted = _side("")
+    kept = [x for x in counted if sides is None or x in sides]
+    seasons, met = F.transform(F.array_distinct(F.transform("_visible", lambda x: x["season"])), season), F.transform(F.filter("_visible", among), game)
+    ids = F.transform(F.filter("_visible", lambda x: x["several"] | among(x)), lambda x: x["game_id"])
+    made = {x: counted[x] for x in kept} | {"_newest": F.get(F.transform(F.slice("games", 1, 1), _stamp), F.lit(0)), "_seasons": seasons, "_met": met, "_ids": ids}
+    own = own.select("game_id", "profile_id", "civ", "at", "map", *[x.alias(name) for name, x in made.items()])
+    out = pair_up(own, ["civ", *made], shared=["at", "map"]).withColumnRenamed("game_id", "request_id")
+    out = out.withColumns({f"{x}_{s}": F.lit(None).cast("long") for x in counted if x not in kept for s in ("a", "b")} | {f"prior_matchup_{x}": F.lit(None).cast("long") for x in ("games", "wins")})
+    newest = F.array_max(F.array("_newest_a", "_newest_b"))
+    out = out.withColumns({"season": newest["season"], "patch": newest["patch"]})
+    now = lambda s, x: zero(F.get(F.filter(f"_seasons_{s}", of(F.col("season"))), F.lit(0))[x])
+    out = out.withColumns({f"{x}_season_{s}": now(s, x) for s in ("a", "b") for x in ("games", "wins")})
+    shared = F.filter("_met_a", lambda x: (x["opponent_profile_id"] == F.col("profile_id_b")) & F.array_contains("_ids_b", x["game_id"]))
+    return _derived(out.withColumn("_shared", shared)).drop(*[f"{x}_{s}" for x in ("_newest", "_seasons", "_met", "_ids") for s in ("a", "b")])

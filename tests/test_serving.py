@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import math
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -105,6 +106,33 @@ def test_recent_lists_give_the_capped_training_features(spark):
         assert close(own["short_share_a"], own["short_games_a"] / max(own["games_lifetime_a"], 1)) and close(own["mmr_diff"], (own["mmr_a"] or 0) - (own["mmr_b"] or 0))
 
 
+def exchanged(plan):
+    """Schemas of what a plan sends or sorts."""
+    plan = plan.initialPlan() if plan.nodeName() == "AdaptiveSparkPlan" else plan
+    found = [plan.schema().json()] if plan.nodeName() in ("Exchange", "Sort") else []
+    children = plan.children()
+    return found + [x for i in range(children.size()) for x in exchanged(children.apply(i))]
+
+
+def test_recent_match_features_equal_those_of_lists(spark):
+    more = [(g, p, r, "a", 1000, 1000, DAY0 + dt.timedelta(days=300 + g - 1000), 600, "x", 19, "p9", False) for g in range(1000, 1006) for p, r in ((1, 1), (2, 0), (3, 0))]  # of three players
+    ties = [(g, p, r, "b", None, 1000, DAY0 + dt.timedelta(days=320), 2000, "y", None, "p9", False) for g in range(2000, 2004) for p, r in ((1, 0), (4, 1))]  # of one time
+    rows = spark.createDataFrame(league(300, 7, 5) + more + ties, ROWS).repartition(3).cache()
+    got = requests.recent_match_features(rows, 40)
+    lists = listed(rows).drop("season", "patch").withColumns({f"prior_matchup_{x}": F.lit(None).cast("long") for x in ("games", "wins")})
+    want = requests.recent_features(lists)
+    key = lambda r: (r["request_id"], r["profile_id_a"], r["profile_id_b"])
+    assert set(got.columns) == set(want.columns)
+    found, names = {key(r): r for r in got.collect()}, want.columns
+    for r in want.collect():
+        assert all(close(found[key(r)][x], r[x]) if not isinstance(r[x], (str, dt.datetime)) else found[key(r)][x] == r[x] for x in names), [x for x in names if found[key(r)][x] != r[x]]
+    assert len(found) == 300 + 18 + 4 and max(r["h2h_games"] for r in found.values()) > 2
+    # Neither the query nor the lists themselves sort or send lists of games.
+    for df in (requests.recent_match_features(rows, 40, sides=["mmr", "rating"]), requests.recent_lists(rows, 40)):
+        sent = exchanged(df._jdf.queryExecution().executedPlan())
+        assert sent and not any(re.search(r'"elementType":\{"type":"struct".*"duration"', x) for x in sent)
+
+
 def test_recent_features_of_empty_and_short_lists(spark):
     game = lambda g, at, **more: {"game_id": g, "started_at": at, "duration": 600, "map": "x", "season": 3, "patch": "p9", "civ": "a", "result": 1, "rating": None, "mmr": None, "opponent_profile_id": 2} | more
     now = DAY0 + dt.timedelta(days=100)
