@@ -21,7 +21,7 @@ GROUP = ["game_id", "profile_id"]
 def raw_games(games: DataFrame, participants: DataFrame) -> DataFrame:
     """Players' games with the option picked, the one before and how long that had been picked in a row."""
     rows = player_games(games, participants).filter("civ IS NOT NULL").withColumn("civ", civ_option("civ"))
-    run = W.runs(rows.repartition("profile_id"), "profile_id", "civ")
+    run = W.runs(rows.repartition("profile_id"), "profile_id", "civ")  # and so are the rows that come out
     w = W.ordered("profile_id")
     return run.withColumns({"prev_civ": F.lag("civ").over(w), "prev_civ_streak_len": F.coalesce(F.lag("run_len").over(w), F.lit(0))}).drop("run", "run_len")
 
@@ -82,9 +82,9 @@ def candidates(raw: DataFrame, seen_at: DataFrame, seasons: list[int] | None = N
     return expand_candidates(chosen.withColumnRenamed("civ", "chosen_civ"), seen_at, "chosen_civ")
 
 
-def with_player_counts(raw: DataFrame, days: int = 30) -> DataFrame:
-    """The player's games at earlier times: all, of ``days`` days, of this patch and of this map."""
-    return raw.repartition("profile_id").withColumns(
+def with_player_counts(raw: DataFrame, days: int = 30, dealt: bool = False) -> DataFrame:
+    """The player's games at earlier times: all, of ``days`` days, of this patch and of this map; ``dealt``: rows are dealt by player already."""
+    return (raw if dealt else raw.repartition("profile_id")).withColumns(
         {
             "player_games_lifetime": F.count("*").over(W.earlier_time("profile_id")),
             "player_games_30d": F.count("*").over(W.within_days(days, "profile_id")),
@@ -94,13 +94,17 @@ def with_player_counts(raw: DataFrame, days: int = 30) -> DataFrame:
     )
 
 
-def with_recent(raw: DataFrame, last: int = 20) -> DataFrame:
-    """``recent``: the player's last ``last`` games at earlier times, newest first, however many share a time."""
+def with_recent(raw: DataFrame, last: int = 20, dealt: bool = False) -> DataFrame:
+    """``recent``: the player's last ``last`` games at earlier times, newest first, however many share a time.
+
+    Both windows go through one sort of rows without lists; ``dealt``: rows are dealt by player already.
+    """
     item = F.struct("started_at", "game_id", "civ", "map")
-    upto = F.collect_list(item).over(W.ordered("profile_id").rowsBetween(1 - last, 0))
-    rows = raw.repartition("profile_id").withColumn("_upto", F.struct("started_at", "game_id", upto.alias("games")))
-    latest = F.max("_upto").over(W.earlier_time("profile_id"))["games"]
-    return rows.withColumn("recent", F.reverse(F.coalesce(latest, F.array()))).drop("_upto")
+    rows = (raw if dealt else raw.repartition("profile_id")).withColumn("_t", micros("started_at"))
+    upto = F.collect_list(item).over(Window.partitionBy("profile_id").orderBy("_t", "game_id").rowsBetween(1 - last, 0))
+    rows = rows.withColumn("_upto", F.struct("_t", "game_id", upto.alias("games")))
+    latest = F.max("_upto").over(Window.partitionBy("profile_id").orderBy("_t").rangeBetween(W.START, -1))["games"]
+    return rows.withColumn("recent", F.reverse(F.coalesce(latest, F.array()))).drop("_upto", "_t")
 
 
 def _own_history(raw: DataFrame, rows: DataFrame, days: int = 30) -> DataFrame:
@@ -113,13 +117,19 @@ def _own_history(raw: DataFrame, rows: DataFrame, days: int = 30) -> DataFrame:
     probe = rows.select(*keys, "game_id", "started_at", "patch", "map", F.lit(0).alias("_one"), F.lit(0).alias("result"))
     past = raw.select("profile_id", F.col("civ").alias("candidate_civ"), "game_id", "started_at", "patch", "map", F.lit(1).alias("_one"), "result")
     both = probe.unionByName(past).repartition("profile_id")
-    at = F.when(F.col("_one") == 1, F.col("started_at"))
-    spans = {"lifetime": W.earlier_time(*keys), "30d": W.within_days(days, *keys), "this_patch": W.earlier_time(*keys, "patch"), "this_map": W.earlier_time(*keys, "map")}
-    out = {f"cand_games_{x}": W.sum_over("_one", w) for x, w in spans.items()} | {f"cand_wins_{x}": W.sum_over("result", w) for x, w in spans.items()}
-    out["days_since_cand_civ"] = days_between(F.max(at).over(spans["lifetime"]), "started_at")
+    out = _own_counts(F.col("_one"), days)
     return both.withColumns(out).filter("_one = 0").select("game_id", *keys, *out)
 
 
+def _own_counts(one: Column, days: int = 30) -> dict[str, Column]:
+    """Counts of the player's earlier rows with the candidate, as far as they are games with it (``one`` is 1)."""
+    keys = ["profile_id", "candidate_civ"]
+    spans = {"lifetime": W.earlier_time(*keys), "30d": W.within_days(days, *keys), "this_patch": W.earlier_time(*keys, "patch"), "this_map": W.earlier_time(*keys, "map")}
+    out = {f"cand_games_{x}": W.sum_over(one, w) for x, w in spans.items()} | {f"cand_wins_{x}": W.sum_over(F.when(one == 1, F.col("result")), w) for x, w in spans.items()}
+    out["days_since_cand_civ"] = days_between(F.max(F.when(one == 1, F.col("started_at"))).over(spans["lifetime"]), "started_at")
+    return out
+
+
 #: Families of a candidate row's features.
 FAMILIES = ("own", "recent", "global")
 TOPS = (1, 2, 3, 5, 10, 20)
@@ -143,8 +153,8 @@ def _game_sequence(rows: DataFrame) -> DataFrame:
     ).drop("_ten")
 
 
-def _with_game_sequence(raw: DataFrame) -> DataFrame:
-    return _game_sequence(with_recent(raw))
+def _with_game_sequence(raw: DataFrame, dealt: bool = False) -> DataFrame:
+    return _game_sequence(with_recent(raw, dealt=dealt))
 
 
 def backfill_sequences(matrix: DataFrame, raw: DataFrame, last: int = 20) -> DataFrame:
@@ -190,16 +200,24 @@ def _with_candidate_sequence(rows: DataFrame) -> DataFrame:
     return rows.withColumns(out).drop("recent")
 
 
-def training_matrix(raw: DataFrame, seen_at: DataFrame, seasons: list[int] | None = None, sample: Column | None = None, families: tuple[str, ...] = FAMILIES) -> DataFrame:
+def training_matrix(raw: DataFrame, seen_at: DataFrame, seasons: list[int] | None = None, sample: Column | None = None, families: tuple[str, ...] = FAMILIES, dealt: bool = False) -> DataFrame:
     """One row for each sampled game and option known by then, with the option's histories.
 
     Only the families asked for are computed: "own" (the player's earlier games
     with the option), "recent" (the last 20 games) and "global" (pick rates of
-    all players).
+    all players).  ``dealt`` says that rows are dealt by player already, as
+    those of ``raw_games`` are.  With all games as candidates, a player's games
+    with an option are among the candidate rows, which stay with the player.
     """
-    base = with_player_counts(raw) if "own" in families else raw
-    base = _with_game_sequence(base) if "recent" in families else base
-    rows = candidates(base, seen_at, seasons, sample)
+    base = with_player_counts(raw, dealt=dealt) if "own" in families else raw
+    base = _with_game_sequence(base, dealt or "own" in families) if "recent" in families else base
+    whole = "own" in families and seasons is None and sample is None
+    if whole:
+        options = as_dimension(seen_at.select(F.col("civ").alias("candidate_civ"), F.col("first_seen_at").alias("_since")))
+        known, own = F.col("_since") <= F.col("started_at"), F.col("candidate_civ") == F.col("chosen_civ")
+        rows = base.withColumnRenamed("civ", "chosen_civ").dropna(subset=GROUP).join(options, known | own).withColumn("target", F.when(own, 1).otherwise(0))
+    else:
+        rows = candidates(base, seen_at, seasons, sample)
     rows = rows.withColumns(
         {
             "player_current_streak_len": F.col("prev_civ_streak_len"),
@@ -208,7 +226,11 @@ def training_matrix(raw: DataFrame, seen_at: DataFrame, seasons: list[int] | Non
     )
     if "recent" in families:
         rows = _with_candidate_sequence(rows)
-    if "own" in families:
+    if whole:
+        counts = _own_counts(F.col("target"))
+        rows = rows.withColumns(counts).filter(known).drop("_since")
+        rows = rows.select(*GROUP, "candidate_civ", *[x for x in rows.columns if x not in (*GROUP, "candidate_civ")])
+    elif "own" in families:
         rows = rows.join(_own_history(raw, rows), [*GROUP, "candidate_civ"])
     return _with_global_rates(raw, rows) if "global" in families else rows
 

@@ -48,6 +48,16 @@ def group_split(df: DataFrame, group: list[str], order: str = "started_at", vali
     return df.join(temporal_split(groups, ["_at", *group], valid, test).drop("_at"), group)
 
 
+def group_split_in_place(df: DataFrame, group: list[str], order: str = "started_at", valid: float = VALID, test: float = TEST) -> DataFrame:
+    """``group_split`` where all rows of a group have one ``order``: rows are told apart by the first group of each part, and stay where they are."""
+    groups = df.dropna(subset=group).groupBy(*group).agg(F.min(order).alias("_begun"))
+    placed = temporal_split(groups, ["_begun", *group], valid, test)
+    first = lambda part: F.min(F.when(F.col("split") == part, F.struct("_begun", *group))).alias(f"_{part}")
+    key = F.struct(F.col(order).alias("_begun"), *group)
+    split = F.when(key >= F.col("_test"), "test").when(key >= F.col("_valid"), "valid").otherwise("train")
+    return df.dropna(subset=group).crossJoin(F.broadcast(placed.agg(first("valid"), first("test")))).withColumn("split", split).drop("_valid", "_test")  # one row
+
+
 def season_holdout(df: DataFrame, held: list[int], valid: float = VALID) -> DataFrame:
     """Held-out seasons test; the latest part of the others validates."""
     rest = temporal_split(df.filter(~F.col("season").isin(held)), valid=valid, test=0.0)

@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
+import math
 from itertools import product
 
 import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import PCA, Imputer, Interaction, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import PCA, Bucketizer, Imputer, Interaction, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.regression import GBTRegressor
 from pyspark.ml.tuning import ParamGridBuilder, TrainValidationSplit
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.durable import stored
 from ..functions.exprs import elo_delta
 from ..operators.metrics import adjusted_rand
 
@@ -166,6 +168,40 @@ def fit_trees(train: DataFrame, numeric: list[str], categorical: list[str] | Non
     return Pipeline(stages=[*features(numeric, categorical, scale=False), model]).fit(train.select(*columns, F.col(target).cast("double").alias(target)))
 
 
+BINS = 32  # as many as the trees look at
+
+
+def bin_edges(df: DataFrame, columns: list[str], most: int = BINS) -> list[list[float]]:
+    """Edges of at most ``most`` bins for each column: between all its values if they are few, else at quantiles."""
+    about = df.agg(*[F.approx_count_distinct(x).alias(x) for x in columns]).first()
+    few = {x: [r[0] for r in df.select(x).distinct().limit(most + 1).collect()] for x in columns if about[x] <= 2 * most}
+    out = []
+    for x in columns:
+        values = sorted(few.get(x, []))
+        if 0 < len(values) <= most:
+            edges = [(a + b) / 2 for a, b in zip(values, values[1:], strict=False)]
+        else:
+            edges = sorted(set(df.approxQuantile(x, [k / most for k in range(1, most)], 0.001)))
+        out.append([-math.inf, *edges, math.inf])
+    return out
+
+
+def fit_counted_trees(train: DataFrame, numeric: list[str], target: str = "target", valid: str | None = None, trees: int = 20, depth: int = 5) -> PipelineModel:
+    """``fit_trees`` for many rows: trees only see bins of a column's values, so that rows of equal bins are counted first and weigh as many."""
+    label = [F.col(target).cast("double").alias(target), *([F.col(valid)] if valid else [])]
+    rows = train.select(*[F.col(x).cast("double") for x in numeric], *label)
+    imputer = Imputer(strategy="median", inputCols=numeric, outputCols=[f"{x}_i" for x in numeric]).fit(rows)
+    filled = imputer.transform(rows)
+    bins = [f"{x}_b" for x in numeric]
+    bucketizer = Bucketizer(splitsArray=bin_edges(filled, [f"{x}_i" for x in numeric]), inputCols=[f"{x}_i" for x in numeric], outputCols=bins, handleInvalid="keep")
+    keys = [*bins, target, *([valid] if valid else [])]
+    plain = [(F.col(x) + 0.0).alias(x) for x in bins]  # an order, not the categories that a Bucketizer's columns are marked as
+    counted = stored(bucketizer.transform(filled).select(*plain, *keys[len(bins) :]).groupBy(*keys).agg(F.count("*").cast("double").alias("n")))
+    model = GBTClassifier(featuresCol="features", labelCol=target, weightCol="n", maxIter=trees, maxDepth=depth, maxBins=BINS, seed=7, **({"validationIndicatorCol": valid} if valid else {}))
+    assembler = VectorAssembler(inputCols=bins, outputCol="features", handleInvalid="keep")
+    return PipelineModel(stages=[imputer, bucketizer, assembler, model.fit(assembler.transform(counted))])
+
+
 def importance(model: PipelineModel) -> list[float]:
     """Feature importances of a tree model, in the order of its vector."""
     return model.stages[-1].featureImportances.toArray().tolist()
@@ -231,7 +267,7 @@ TEAM_FEATURES = ["skill_mean_diff", "skill_max_diff", "carry_gap_diff", "n_carri
 
 def fit_civ_model(train: DataFrame, valid: str | None = None, **options) -> PipelineModel:
     """How likely each candidate is to be picked; scores are normalised within a game by ``metrics.normalize``."""
-    return fit_trees(train, [x for x in CIV_FEATURES if x in train.columns], valid=valid, **options)
+    return fit_counted_trees(train, [x for x in CIV_FEATURES if x in train.columns], valid=valid, **options)
 
 
 def fit_delta_model(train: DataFrame, valid: str | None = None, target: str = "observed_rating_delta", **options) -> PipelineModel:

@@ -10,7 +10,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from rankflow.operators import civ_choice, history, joins, pregame
+from rankflow.operators import civ_choice, history, joins, pregame, splits
 from rankflow.plans import models, requests
 
 DAY0 = dt.datetime(2026, 1, 1)
@@ -106,12 +106,12 @@ def test_recent_lists_give_the_capped_training_features(spark):
         assert close(own["short_share_a"], own["short_games_a"] / max(own["games_lifetime_a"], 1)) and close(own["mmr_diff"], (own["mmr_a"] or 0) - (own["mmr_b"] or 0))
 
 
-def exchanged(plan):
+def exchanged(plan, nodes=("Exchange", "Sort")):
     """Schemas of what a plan sends or sorts."""
     plan = plan.initialPlan() if plan.nodeName() == "AdaptiveSparkPlan" else plan
-    found = [plan.schema().json()] if plan.nodeName() in ("Exchange", "Sort") else []
+    found = [plan.schema().json()] if plan.nodeName() in nodes else []
     children = plan.children()
-    return found + [x for i in range(children.size()) for x in exchanged(children.apply(i))]
+    return found + [x for i in range(children.size()) for x in exchanged(children.apply(i), nodes)]
 
 
 def test_recent_match_features_equal_those_of_lists(spark):
@@ -185,3 +185,36 @@ def test_counts_as_of_equal_brute_force(spark):
     events, probes = [(rng.choice("xy"), at(), rng.randrange(1, 4)) for _ in range(150)], [(rng.choice("xyz"), at()) for _ in range(60)]
     got = civ_choice.counts_as_of(spark.createDataFrame(events, "k string, started_at timestamp_ntz, n long"), spark.createDataFrame(probes, "k string, started_at timestamp_ntz").distinct(), ["k"], "c").collect()
     assert {(r["k"], r["started_at"]): r["c"] for r in got} == {(k, t): sum(n for e, u, n in events if e == k and u < t) for k, t in probes}
+
+
+def test_candidate_rows_stay_with_their_player(spark, rows):
+    raw = rows.filter("civ IS NOT NULL").withColumns({"prev_civ": F.lit("a"), "prev_civ_streak_len": F.lit(1)})
+    late = DAY0 + dt.timedelta(days=30)  # of an option picked before it counts as known
+    seen_at = spark.createDataFrame([("a", DAY0), ("b", late), ("c", DAY0), ("d", DAY0)], "civ string, first_seen_at timestamp_ntz")
+    families = ("own", "recent")
+    got = civ_choice.training_matrix(raw, seen_at, families=families)
+    want = civ_choice.training_matrix(raw, seen_at, sample=F.lit(True), families=families)  # by a join with the histories
+    assert got.columns == want.columns and got.filter("candidate_civ = 'b'").agg(F.min("started_at")).first()[0] >= late
+    key = lambda r: tuple(repr(x) for x in r)
+    assert sorted(got.collect(), key=key) == sorted(want.collect(), key=key)
+    assert not any('"candidate_civ"' in x and '"game_id"' in x for x in exchanged(got._jdf.queryExecution().executedPlan(), ("Exchange",)))
+
+
+def test_group_split_in_place_equals_the_join(spark, rows):
+    df = rows.select("game_id", "profile_id", "started_at")
+    split = lambda f, **more: sorted(map(tuple, f(df, ["game_id"], **more).select("game_id", "profile_id", "split").collect()))
+    for more in ({}, {"valid": 0.0}, {"valid": 0.0, "test": 0.0}, {"test": 0.5}):
+        assert split(splits.group_split_in_place, **more) == split(splits.group_split, **more)
+
+
+def test_counted_trees_equal_trees_of_all_rows(spark):
+    rng = random.Random(4)
+    made = [(float(x := rng.randrange(6)), None if rng.random() < 0.05 else float(rng.randrange(20)), int(rng.random() < (x + 1) / 8), i % 5 == 0) for i in range(3000)]
+    df = spark.createDataFrame(made, "x double, y double, target int, valid boolean")
+    for valid in (None, "valid"):
+        one, two = (f(df, ["x", "y"], valid=valid, trees=4, depth=3).transform(df) for f in (models.fit_counted_trees, models.fit_trees))
+        p = [[r["probability"][1] for r in m.orderBy("x", "y", "target", "valid").collect()] for m in (one, two)]
+        assert p[0] == pytest.approx(p[1], abs=1e-9)
+    many = spark.range(20000).select((F.col("id") / 7).alias("x"), F.lit(1.0).alias("y"))
+    edges = models.bin_edges(many, ["x", "y"])
+    assert len(edges[0]) == models.BINS + 1 and edges[1] == [-math.inf, math.inf] and abs(edges[0][16] - 10000 / 7) < 10
