@@ -53,6 +53,7 @@ MIN_DEPTH = 3
 WINDOW = 4
 DENSE = 16  # classes of one label, from which on hubs are used
 HUBS = 8
+HUB_ROWS = 20_000  # of hubs with their signatures that may be broadcast
 BLOCK = 400  # classes of each side of a block of sets
 WIDE_BLOCK = 4000  # and of one of signatures alone
 BLOCK_BYTES = 8_000_000  # and their sets
@@ -185,9 +186,13 @@ def _least(threshold: float) -> float:
 
 def _scored(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
     """Pairs whose sizes allow the threshold and whose signatures do, within four standard deviations."""
-    least = _least(threshold)
     side = lambda x: classes.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("sig").alias(f"s{x}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    return _estimated(pairs.join(side("a"), "a").join(side("b"), "b"), threshold)
+
+
+def _estimated(both: DataFrame, threshold: float) -> DataFrame:
+    """``_scored`` of pairs that bring their sizes (na, nb) and signatures (sa, sb)."""
+    least = _least(threshold)
     both = both.filter(F.least("na", "nb") >= F.floor(threshold * F.greatest("na", "nb")))
     return map_arrow(both.select("a", "b", "sa", "sb"), _estimates(least), "a long, b long, score float")
 
@@ -212,11 +217,11 @@ def _agreement(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     yield pa.record_batch([*batch.columns[:3], pa.array((values == modal).sum(axis=1))], ["a", "l", "m", "agree"])
 
 
-def _with_hubs(label: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs of each class of a dense label with the label's hubs: those nearest to its modal signature."""
+def _with_hubs(label: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
+    """Scored pairs of each class of a dense label with the label's hubs: those nearest to its modal signature."""
     size = label.groupBy("l").agg(F.count("*").alias("m")).filter(F.col("m") > DENSE)
-    sig = classes.select(F.col("id").alias("a"), "sig")
-    dense = written(label.join(size, "l").join(sig, "a").select("a", "l", "m", "sig"), "dense")
+    sig = classes.select(F.col("id").alias("a"), "n", "sig")
+    dense = written(label.join(size, "l").join(sig, "a").select("a", "l", "m", "n", "sig"), "dense")
     votes = map_arrow(dense.select("l", "sig"), _votes, "l long, place long, value long, n long").groupBy("l", "place", "value").agg(F.sum("n").alias("n"))
     modes = votes.groupBy("l", "place").agg(F.max(F.struct("n", "value"))["value"].alias("value"))
     modal = modes.groupBy("l").agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "value"))), lambda x: x["value"]).alias("modal"))
@@ -224,9 +229,11 @@ def _with_hubs(label: DataFrame, classes: DataFrame) -> DataFrame:
     part = rated.withColumn("part", F.pmod(F.xxhash64("a"), F.ceil(F.col("m") / BLOCK)))
     for by in (["l", "part"], ["l"]):  # the best of each part, then of the label
         part = part.withColumn("r", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("agree"), "a"))).filter(F.col("r") <= HUBS)
-    hubs = part.select("l", F.col("a").alias("h"))
-    far = dense.select("a", "l").join(hubs, "l").filter("a <> h")
-    return far.select(F.least("a", "h").alias("a"), F.greatest("a", "h").alias("b")).distinct()
+    # Classes bring their signatures along, and the hubs' come to them.
+    hubs = written(part.select("l", F.col("a").alias("h")).join(dense.select(F.col("a").alias("h"), F.col("n").alias("nb"), F.col("sig").alias("sb")), "h"), "hubs")
+    far = dense.select("a", "l", F.col("n").alias("na"), F.col("sig").alias("sa")).join(small(hubs, most=HUB_ROWS), "l").filter("a <> h")
+    found = _estimated(far.withColumnRenamed("h", "b"), threshold)
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "score").distinct()
 
 
 def _parts(n: Column, size: Column, block: int) -> Column:
@@ -236,13 +243,10 @@ def _parts(n: Column, size: Column, block: int) -> Column:
 
 def _blocks(pairs: DataFrame, label: DataFrame, classes: DataFrame) -> DataFrame:
     """A block for each pair: that of its label; a label with many classes is cut into a grid."""
-    label = label.join(classes.select(F.col("id").alias("a"), "n"), "a")
-    size = label.groupBy("l").agg(_parts(F.count("*"), F.sum("n"), BLOCK).alias("g")).filter("g > 1")
+    size = label.join(classes.select(F.col("id").alias("a"), "n"), "a").groupBy("l").agg(_parts(F.count("*"), F.sum("n"), BLOCK).alias("g")).filter("g > 1")
     label = label.join(small(written(size, "grid")), "l", "left").select("a", "l", F.coalesce("g", F.lit(1)).alias("g"))
-    at = pairs.join(label.select("a", F.col("l").alias("la"), F.col("g").alias("ga")), "a")
-    at = at.join(label.select(F.col("a").alias("b"), F.col("l").alias("lb"), F.col("g").alias("gb")), "b")
-    x, y = (F.pmod(F.xxhash64(c), F.greatest("ga", "gb")) for c in ("a", "b"))
-    return at.select("a", "b", "score", F.xxhash64(F.least("la", "lb"), F.least(x, y), F.greatest(x, y)).alias("block"))
+    x, y = (F.pmod(F.xxhash64(c), F.col("g")) for c in ("a", "b"))  # both classes of a pair have one label
+    return pairs.join(label, "a").select("a", "b", "score", F.xxhash64("l", F.least(x, y), F.greatest(x, y)).alias("block"))
 
 
 def _confirm(threshold_percent: int):
@@ -437,7 +441,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold_percent: int = 80, do
     threshold = threshold_percent / 100
     scored = written(_scored(near, classes, threshold), "scored")
     label = _labels(scored)
-    extra = _scored(_with_hubs(label, classes).join(scored, ["a", "b"], "left_anti"), classes, threshold)
+    extra = _with_hubs(label, classes, threshold).join(scored, ["a", "b"], "left_anti")
     scored = written(scored.unionByName(extra), "scored")
     found = components(written(_links(docs, classes, scored, label, k, threshold_percent), "links"))
     grouped = written(found.select(F.col("node").alias("id"), F.col("label").alias("comp")), "grouped")

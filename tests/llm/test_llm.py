@@ -117,6 +117,24 @@ def test_near_duplicates_in_a_dense_region(spark):
     assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == sorted(want)
 
 
+def test_pairs_of_a_dense_label_are_joined_once(spark):
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 99, near_dedup.SIGNATURE)
+    sigs = [np.where(rng.random(near_dedup.SIGNATURE) < 0.1, 100 + i, base).astype("<u2") for i in range(40)]
+    classes = spark.createDataFrame([(i, 10, x.tobytes()) for i, x in enumerate(sigs)], "id long, n long, sig binary")
+    label = spark.createDataFrame([(i, 0) for i in range(40)], "a long, l long")
+    hubs = near_dedup._with_hubs(label, classes, 0.8)
+    found = {(r["a"], r["b"]): r["score"] for r in hubs.collect()}
+    pairs = spark.createDataFrame([(i, j) for i in range(40) for j in range(i + 1, 40)], "a long, b long")
+    scored = {(r["a"], r["b"]): r["score"] for r in near_dedup._scored(pairs, classes, 0.8).collect()}
+    assert len(found) > 100 and hubs.count() == len(found) and all(scored[x] == y for x, y in found.items())
+    blocks = near_dedup._blocks(hubs.select("a", "b", "score"), label, classes)
+    assert blocks.count() == len(found) and blocks.select("block").distinct().count() == 1
+    names = blocks._jdf.queryExecution().optimizedPlan().toString()
+    mine = hubs._jdf.queryExecution().optimizedPlan().toString()
+    assert names.count("Join ") - mine.count("Join ") == 2  # pairs with labels, labels with the grid
+
+
 def test_neighbours_reach_over_borders(spark):
     rng = np.random.default_rng(5)
     sigs = rng.integers(0, 3, (60, near_dedup.SIGNATURE)).astype("<u2")
